@@ -1,13 +1,23 @@
-"""The registered queries of this package and, where SQL can express one, its DuckDB SQL."""
+"""The registered queries of this package and, where SQL can express one, its DuckDB SQL.
+
+The tokenizer files' paths are parameters of the operators; the queries take them from
+the installed public_tokenizers package.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
+from tidemark.llm.packing import pack
+from tidemark.llm.storage import scratch_path
 from tidemark.llm.substring_dedup import substring_dedup
+from tidemark.llm.token_store import read_tokens, write_tokens
+from tidemark.llm.wordpiece import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_store")
+    write_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 0, path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), "text")
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -43,8 +59,29 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe_decode(encoded, path).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_substring_dedup": op2_substring_dedup}
+    return {
+        "op1_token_store": op1_token_store,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_token_counts": op3_token_counts,
+        "op5_packing": op5_packing,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
