@@ -51,6 +51,7 @@ class Blocks:
     table: DataFrame
     schema: T.StructType
     text: str
+    n_rows: int
     n_bytes: int
     n_words: int
 
@@ -87,8 +88,8 @@ def to_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Blo
     packed = map_arrow(docs, pack, BLOCK_SCHEMA)
     packed.write.bucketBy(partitions(spark), "block").saveAsTable(name, format="parquet")
     table = spark.table(name)
-    size = table.agg(F.sum("n_bytes"), F.sum("n_words")).first()
-    return Blocks(table, docs.schema, text, size[0] or 0, size[1] or 0)
+    size = table.agg(F.sum("n_rows"), F.sum("n_bytes"), F.sum("n_words")).first()
+    return Blocks(table, docs.schema, text, size[0] or 0, size[1] or 0, size[2] or 0)
 
 
 def unpack(payload: bytes) -> pa.RecordBatch:

@@ -16,6 +16,7 @@ from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
 from tidemark.llm.packing import pack
 from tidemark.llm.storage import scratch_path
 from tidemark.llm.substring_dedup import substring_dedup
+from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.token_store import read_tokens, write_tokens
 from tidemark.llm.wordpiece import token_counts
 
@@ -41,9 +42,11 @@ OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), g AS (
-  SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35
+  SELECT r, unnest(range(1, len(w) - 33)) AS i,
+         unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i+34], ' ')))) AS m
+  FROM d WHERE len(w) >= 35
 ), h AS (
-  SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i:i+34], ' ')) AS n FROM g
+  SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM g
 ), gone AS (
   SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM h WHERE n > 1
 ), words AS (
@@ -63,6 +66,40 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), g AS (
+  SELECT r, unnest(range(0, CAST(length(x) // 2 - 199 AS BIGINT))) AS i,
+         unnest(list_transform(range(0, CAST(length(x) // 2 - 199 AS BIGINT)), lambda i: md5(substr(x, CAST(2 * i + 1 AS BIGINT), 400)))) AS m
+  FROM d WHERE length(x) >= 400
+), h AS (
+  SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM g
+), s AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM h WHERE n > 1
+), island AS (
+  SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM s
+), span AS (
+  SELECT r, k, min(i) AS a, max(i) + 200 AS z FROM island GROUP BY r, k
+), gap AS (
+  SELECT r, k, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY k) AS kept_from FROM span
+), parts AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail_from,
+         string_agg(substr(x, CAST(2 * kept_from + 1 AS BIGINT), CAST(2 * (a - kept_from) AS BIGINT)), '' ORDER BY k) AS head
+  FROM gap JOIN d USING (r) GROUP BY r
+)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(tail_from, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN parts USING (r)
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -79,10 +116,11 @@ def queries() -> dict[str, Query]:
         "op1_token_store": op1_token_store,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_token_counts": op3_token_counts,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL}
