@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
+from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
-from tidemark.llm.storage import scratch_path
+from tidemark.llm.storage import scratch_path, written
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.token_store import read_tokens, write_tokens
@@ -105,6 +106,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_uid"), "classes")
+    names = found.groupBy("class_uid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return found.join(names, "class_uid").select("doc_id", "class_id", "class_size")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe_encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -118,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
+        "op9_near_dup": op9_near_dup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
