@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.quality_rules import BASE, apply_rules, fit
 from tidemark.llm.storage import scratch_path, written
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
@@ -106,6 +107,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    rules = fit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return apply_rules(docs, rules).select("doc_id", *BASE, "base_failed", "kept")
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_uid"), "classes")
     names = found.groupBy("class_uid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
@@ -125,6 +132,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
+        "op8_quality_rules": op8_quality_rules,
         "op9_near_dup": op9_near_dup,
         "op10_byte_bpe": op10_byte_bpe,
     }
