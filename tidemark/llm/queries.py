@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
+from tidemark.llm.cover_tree import top_k
+from tidemark.llm.html_main_text import main_text
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import BASE, apply_rules, fit
@@ -107,6 +109,29 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, q.r, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.r <> d.r WHERE q.vec_id % 20 = 0
+), k AS (
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     rules = fit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -132,6 +157,8 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
+        "op6_html_main_text": op6_html_main_text,
+        "op7_exact_top_k": op7_exact_top_k,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_dup": op9_near_dup,
         "op10_byte_bpe": op10_byte_bpe,
@@ -139,4 +166,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_exact_top_k": OP7_SQL}
