@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.operators import aggregates, bars, joins, projections, sets  # noqa: F401
+from tidemark.operators import aggregates, bars, joins, projections, sets, windows  # noqa: F401
