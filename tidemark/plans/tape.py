@@ -22,14 +22,14 @@ _EV = "SELECT event_id, user_id, event_type AS kind, {seconds} AS t, value, prop
 _CALLS = "SELECT o_orderkey AS call_id, o_custkey % 97 AS caller, o_custkey AS mint, {order_day} * 86400 + 43200 AS t, o_totalprice AS price FROM orders"
 
 SPARK = {
-    "trades": _TRADES.format(day_number="CAST(datediff(CAST(l_shipdate AS DATE), DATE'1992-01-01') AS BIGINT)"),
+    "trades": _TRADES.format(day_number="CAST(datediff(CAST(l_shipdate AS DATE), DATE'1995-01-01') AS BIGINT)"),
     "ev": _EV.format(seconds="timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"),
-    "calls": _CALLS.format(order_day="CAST(datediff(CAST(o_orderdate AS DATE), DATE'1992-01-01') AS BIGINT)"),
+    "calls": _CALLS.format(order_day="CAST(datediff(CAST(o_orderdate AS DATE), DATE'1995-01-01') AS BIGINT)"),
 }
 DUCKDB = {
-    "trades": _TRADES.format(day_number="CAST(CAST(l_shipdate AS DATE) - DATE '1992-01-01' AS BIGINT)"),
+    "trades": _TRADES.format(day_number="CAST(CAST(l_shipdate AS DATE) - DATE '1995-01-01' AS BIGINT)"),
     "ev": _EV.format(seconds="CAST(floor(epoch(ts)) AS BIGINT)"),
-    "calls": _CALLS.format(order_day="CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS BIGINT)"),
+    "calls": _CALLS.format(order_day="CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS BIGINT)"),
 }
 
 
