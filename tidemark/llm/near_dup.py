@@ -7,9 +7,9 @@ near copies, whose shared shingles are frequent, as similar as its texts are.
 
 Documents with the same weighted terms are one text from the start. In every band, the
 texts of a key are compared with the key's leader; those found similar are joined.
-Keys that still hold texts of several classes get the next leader, until every key's
-texts are of one class or have all been leaders: no candidate pair of different classes
-stays unverified, and no key's pairs are ever listed.
+Keys that still hold texts of several classes get more leaders, eight times as many in
+each round, until a key's texts are of one class or have all been leaders: no candidate
+pair of different classes stays unverified, and pairs inside a class are not compared.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ THRESHOLD = 0.8
 DAMPING = 0.25
 #: Frequencies are counted by 40 bits of a term; a few collisions change a few frequencies a little.
 TERM_BITS = 40
+#: Leaders of a key in each round, as a multiple of the round before.
+LEADERS_GROW = 8
 
 _SIGNED = pa.schema([("uid", pa.int64()), ("same1", pa.int64()), ("same2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _VECTOR = pa.schema([("uid", pa.int64()), ("n", pa.int32()), ("vector", pa.binary())])
@@ -173,24 +175,26 @@ def _weigher(b: Blocks, at: int, k: int, buckets: int):
 def _classes(members: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
     """node, root of every text that is linked to another."""
     spark = members.sparkSession
-    links, roots, tried = None, None, 0
+    roots, leaders = None, 1
+    chance = F.shiftrightunsigned(F.xxhash64("key", "uid"), 11) / float(1 << 53)
     open_ = members.withColumn("root", F.col("uid"))
     while True:
-        # The next leader of each key that holds several classes: the least by a hash of key and text.
-        rank = F.struct(F.xxhash64("key", "uid").alias("h"), "uid")
-        leaders = open_.groupBy("key").agg(F.min(rank).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.col("l.uid").alias("leader"))
-        rest = written(open_.join(leaders, "key").where("uid != leader"), "open")
-        led = open_.select(F.col("key").alias("k"), F.col("uid").alias("u"), F.col("root").alias("leader_root"))
-        pairs = rest.join(led, (F.col("key") == F.col("k")) & (F.col("leader") == F.col("u"))).where("root != leader_root").select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
-        found = written(_verified(pairs, vector, threshold), "links")
-        if rest.isEmpty():
+        # Leaders of each key that holds several classes: a random part of its texts, and always the one with the least hash.
+        keys = open_.groupBy("key").agg(F.count("*").alias("n"), F.min(chance).alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n", "least")
+        marked = written(open_.join(keys, "key").select("key", "uid", "root", ((chance * F.col("n") <= leaders) | (chance == F.col("least"))).alias("leads")), "open")
+        if marked.isEmpty():
             break
-        new = found.where("similar").select("a", "b")
-        links = new if links is None else written(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))).unionByName(new), "links")
-        roots = written(components(links), "roots")
-        rest = rest.select("key", "uid")
-        open_ = written(rest.join(roots, rest["uid"] == roots["node"], "left").select("key", "uid", F.coalesce("root", "uid").alias("root")), "open")
-        tried += 1
+        led = marked.where("leads").select(F.col("key").alias("k"), F.col("uid").alias("u"), F.col("root").alias("r"))
+        pairs = marked.join(led, (F.col("key") == F.col("k")) & (F.col("root") != F.col("r"))).select(F.least("uid", "u").alias("a"), F.greatest("uid", "u").alias("b")).distinct()
+        links = written(_verified(pairs, vector, threshold).where("similar").select("a", "b"), "links")
+        rest = marked.where("NOT leads").select("key", "uid", "root")
+        if not links.isEmpty():
+            if roots is not None:
+                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = written(components(links), "roots")
+            rest = rest.drop("root").join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
+        open_ = rest
+        leaders *= LEADERS_GROW
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
