@@ -26,7 +26,7 @@ statement("crew_best_jaccard_join", """WITH s AS (SELECT DISTINCT slot, owner FR
  o AS (SELECT a.slot AS q, b.slot AS m, count(*) AS overlap FROM s a JOIN s b ON a.owner = b.owner AND a.slot <> b.slot WHERE a.slot % 50 = 1 GROUP BY a.slot, b.slot),
  j AS (SELECT q, m, overlap, CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) AS jaccard FROM o JOIN n x ON x.slot = q JOIN n y ON y.slot = m WHERE overlap >= 2)
 SELECT q, m, overlap, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, overlap DESC, m) AS rn FROM j) z WHERE rn = 1""")
-statement("crew_best_match", """WITH s AS (SELECT DISTINCT slot, owner, d FROM trades WHERE txi <= 3), n AS (SELECT slot, count(DISTINCT owner) AS n, min(d) AS d FROM s GROUP BY slot),
+statement("crew_best_match", """WITH s AS (SELECT DISTINCT slot, owner, d FROM trades WHERE txi <= 2), n AS (SELECT slot, count(DISTINCT owner) AS n, min(d) AS d FROM s GROUP BY slot),
  o AS (SELECT a.slot AS q, b.slot AS m, count(DISTINCT a.owner) AS overlap FROM s a JOIN s b ON a.owner = b.owner GROUP BY a.slot, b.slot)
 SELECT q, max(CAST(overlap AS DOUBLE) / (x.n + y.n - overlap)) AS best FROM o JOIN n x ON x.slot = q JOIN n y ON y.slot = m WHERE y.d < x.d GROUP BY q""")
 statement("crew_persistence_membership", "SELECT count(*) AS n, count(b.owner) AS seen FROM (SELECT DISTINCT owner FROM trades WHERE d >= 1300 AND qty > 40) a LEFT JOIN (SELECT DISTINCT owner FROM trades WHERE d < 1300 AND qty > 45 AND discount > 0.08) b ON b.owner = a.owner")

@@ -56,8 +56,8 @@ statement("callout_peak_multiple", "SELECT c.call_id, greatest(1.0D, max(l.px) /
 statement("entry_window_measure", "SELECT c.call_id, count(*) AS n, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS first, max(l.px) AS high, min(l.px) AS low FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t AND l.t < c.t + 86400 * 60 GROUP BY c.call_id")
 statement("buy_call_sell_choreography", "SELECT call_id, CASE WHEN bought > 0 AND sold > 0 THEN 'buy_call_sell' WHEN bought > 0 THEN 'buy_call' WHEN sold > 0 THEN 'call_sell' ELSE 'none' END AS shape FROM (SELECT c.call_id, count(*) FILTER (WHERE side = 1 AND l.t < c.t) AS bought, count(*) FILTER (WHERE side = -1 AND l.t > c.t) AS sold FROM calls c JOIN trades l ON l.mint = c.mint AND l.t BETWEEN c.t - 86400 * 40 AND c.t + 86400 * 40 GROUP BY c.call_id) x")
 statement("both_edges_touch", "SELECT w, count(*) AS n, count(*) FILTER (WHERE hi >= px + w AND lo <= px - w) AS both_edges FROM (SELECT a.mint, a.px, max(b.px) AS hi, min(b.px) AS lo FROM (SELECT mint, d, max(px) AS px FROM trades GROUP BY mint, d) a JOIN trades b ON b.mint = a.mint AND b.d > a.d AND b.d <= a.d + 120 GROUP BY a.mint, a.d, a.px) x, (VALUES (0.0), (0.05), (0.5)) AS ws(w) GROUP BY w".replace("SELECT w, count(*) AS n", "SELECT CAST(w AS DOUBLE) AS w, count(*) AS n"))
-statement("window_twap", f"SELECT mint, d div 100 AS w, CASE WHEN count(*) >= 2 THEN {q('avg(c)', 6)} END AS twap FROM (SELECT mint, d, max_by(px, struct(slot, txi, owner, cents)) AS c FROM trades GROUP BY mint, d) x GROUP BY 1, 2")
-statement("step_series", f"WITH s AS (SELECT mint, d, max(px) AS px FROM trades GROUP BY mint, d), g AS (SELECT mint, px, lead(d) OVER (PARTITION BY mint ORDER BY d) - d AS held FROM s) SELECT mint, {q('sum(px * held) / nullif(sum(held), 0)', 6)} AS twap FROM g GROUP BY mint")
+statement("window_twap", "SELECT mint, d div 100 AS w, CASE WHEN count(*) >= 2 THEN max(c) END AS high, CASE WHEN count(*) >= 2 THEN CAST(sum(c) AS DOUBLE) / count(*) END AS twap FROM (SELECT mint, d, CAST(floor(max_by(px, struct(slot, txi, owner, cents)) * 100 + 0.25) AS BIGINT) AS c FROM trades GROUP BY mint, d) x GROUP BY 1, 2")
+statement("step_series", f"WITH s AS (SELECT mint, d, max(px) AS px FROM trades GROUP BY mint, d), g AS (SELECT mint, px, lead(d) OVER (PARTITION BY mint ORDER BY d) - d AS held FROM s) SELECT mint, {q('sum(px * held) / nullif(sum(held), 0)', 3)} AS twap FROM g GROUP BY mint")
 statement("prediction_base_rates", "WITH c AS (SELECT d, max_by(px, struct(slot, txi, mint, owner, cents)) AS c FROM trades GROUP BY d), b AS (SELECT min(d) AS lo, max(d) AS hi FROM c), g AS (SELECT explode(sequence(lo, hi, 5)) AS d FROM b) SELECT CAST(h AS BIGINT) AS horizon, count(*) AS n, count(*) FILTER (WHERE y.c > x.c) AS up FROM g JOIN c x ON x.d = g.d CROSS JOIN (VALUES (5), (20)) AS hs(h) JOIN c y ON y.d = g.d + h GROUP BY h")
 statement("block_excursion_census", "WITH a AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) SELECT l.mint, (l.d - d0) div 200 AS block, count(*) AS n, max(px) / min(px) - 1 AS excursion FROM trades l JOIN a ON a.mint = l.mint GROUP BY 1, 2")
 statement("excursion_summary", "WITH a AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint), b AS (SELECT l.mint, (l.d - d0) div 200 AS block, count(*) AS n, max(px) / min(px) - 1 AS excursion FROM trades l JOIN a ON a.mint = l.mint GROUP BY 1, 2) SELECT count(*) AS blocks, count(*) FILTER (WHERE n >= 3) AS workable, count(*) FILTER (WHERE n >= 3 AND excursion >= 0.05) AS qualifying FROM b")
