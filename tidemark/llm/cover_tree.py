@@ -20,20 +20,25 @@ from tidemark.llm.storage import map_arrow, written
 
 SCALE = 64
 K = 20
-LEAF = 48
+LEAF = 128
 #: Rows of one cell of the query-by-data grid; a cell is one unit of work and bounds its memory.
 CELL_DATA, CELL_QUERIES = 4096, 2048
 
 
 class _Node:
-    __slots__ = ("center", "radius", "points", "children")
+    __slots__ = ("center", "radius", "points", "children", "centers", "radii")
 
     def __init__(self, center: int, radius: float, points: np.ndarray, children: list[_Node]):
         self.center, self.radius, self.points, self.children = center, radius, points, children
+        self.centers, self.radii = np.array([c.center for c in children], np.int64), np.array([c.radius for c in children])
 
 
 def build(x: np.ndarray) -> _Node:
-    """A cover tree over the rows of x: a node at scale i has children at scale i - 1 whose centres are more than 2**(i-1) apart and cover its points to within that; a child holds the point of its parent."""
+    """A cover tree over the rows of x: a node at scale i has children at scale i - 1 whose centres are more than 2**(i-1) apart and cover its points to within that; a child holds the point of its parent.
+
+    Children of few points, of which there are many where all points are far apart, are
+    bound together by LEAF into leaves under their parent's own centre, nearest first.
+    """
     squares = np.einsum("ij,ij->i", x, x)
 
     def distances(points: np.ndarray, c: int) -> np.ndarray:
@@ -44,17 +49,27 @@ def build(x: np.ndarray) -> _Node:
         if len(points) <= LEAF or radius == 0:
             return _Node(c, radius, points, [])
         reach = 2.0 ** (math.ceil(math.log2(radius)) - 1)
-        children = []
-        rest, center, near = points, c, d
+        children, few, far = [], [], []
+        rest, center, near, own = points, c, d, d
         while True:
             inside = near <= reach
-            children.append(node(rest[inside], center, near[inside]))
-            rest = rest[~inside]
+            if inside.sum() * 4 > LEAF:
+                children.append(node(rest[inside], center, near[inside]))
+            else:
+                few.append(rest[inside])
+                far.append(own[inside])
+            rest, own = rest[~inside], own[~inside]
             if not len(rest):
                 break
             center = int(rest[0])
             near = distances(rest, center)
             near[0] = 0.0
+        if few:
+            small, distance = np.concatenate(few), np.concatenate(far)
+            order = np.argsort(distance, kind="stable")
+            for lo in range(0, len(small), LEAF):
+                part = order[lo : lo + LEAF]
+                children.append(_Node(c, float(distance[part].max()), small[part], []))
         return _Node(c, radius, points, children)
 
     every = np.arange(len(x))
@@ -83,23 +98,30 @@ class Search:
         if len(self.q) and len(self.d):
             self._pair(build(self.near), build(self.far))
 
-    def _bound(self, a: _Node, b: _Node) -> float:
-        gap = math.dist(self.near[a.center], self.far[b.center]) - a.radius - b.radius
-        gap = max(gap - 1e-7 * (1 + abs(gap)), 0.0)
-        return (float(self.q2[a.points].max()) + self.m2 - gap * gap) / 2 + self.slack
+    def _bounds(self, centers: np.ndarray, radii: np.ndarray, far: np.ndarray, far_radii: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Upper bounds of the inner products under pairs of nodes; top: the largest squared norm of the queries."""
+        gap = np.sqrt(np.square(self.near[centers] - self.far[far]).sum(axis=1)) - radii - far_radii
+        gap = np.maximum(gap - 1e-7 * (1 + np.abs(gap)), 0.0)
+        return (top + self.m2 - gap * gap) / 2 + self.slack
 
     def _pair(self, a: _Node, b: _Node) -> None:
-        stack = [(self._bound(a, b), a, b)]
+        stack = [(np.inf, a, b)]
         while stack:
             bound, a, b = stack.pop()
-            if bound < self.kth[a.points].min():
+            worst = self.kth[a.points].min()
+            if bound < worst:
                 continue
             if not a.children and not b.children:
                 self._leaves(a.points, b.points)
-            elif b.children and (not a.children or b.radius >= a.radius):
-                stack += sorted(((self._bound(a, c), a, c) for c in b.children), key=lambda x: x[0])
+                continue
+            if b.children and (not a.children or b.radius >= a.radius):
+                bounds = self._bounds(np.full(len(b.children), a.center), a.radius, b.centers, b.radii, self.q2[a.points].max())
+                pairs = [(x, a, c) for x, c in zip(bounds.tolist(), b.children, strict=True) if x >= worst]
             else:
-                stack += sorted(((self._bound(c, b), c, b) for c in a.children), key=lambda x: x[0])
+                top = np.array([self.q2[c.points].max() for c in a.children])
+                bounds = self._bounds(a.centers, a.radii, np.full(len(a.children), b.center), b.radius, top)
+                pairs = [(x, c, b) for x, c in zip(bounds.tolist(), a.children, strict=True)]
+            stack += sorted(pairs, key=lambda x: x[0])
 
     def _leaves(self, qs: np.ndarray, ds: np.ndarray) -> None:
         scores = self.q[qs] @ self.d[ds].T
