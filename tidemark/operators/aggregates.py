@@ -59,7 +59,7 @@ statement("ar1", f"WITH s AS (SELECT d, CAST(sum(delta) AS DOUBLE) AS x FROM tra
 statement("acf_lags", f"WITH s AS (SELECT d, CAST(sum(delta) AS DOUBLE) AS x FROM trades GROUP BY d), l AS (SELECT x, lag(x, 1) OVER (ORDER BY d) AS l1, lag(x, 2) OVER (ORDER BY d) AS l2, lag(x, 5) OVER (ORDER BY d) AS l5, lag(x, 10) OVER (ORDER BY d) AS l10 FROM s) SELECT {q('corr(x, l1)', 6)} AS acf1, {q('corr(x, l2)', 6)} AS acf2, {q('corr(x, l5)', 6)} AS acf5, {q('corr(x, l10)', 6)} AS acf10 FROM l")
 statement("clustered_mean_se", f"WITH m AS (SELECT avg(CAST(qty AS DOUBLE)) AS mu, CAST(count(*) AS DOUBLE) AS n FROM trades), g AS (SELECT owner, sum(qty - mu) AS s FROM trades, m GROUP BY owner) SELECT {q('max(mu)', 6)} AS mean, {q('sqrt(sum(s * s) * count(*) / (count(*) - 1)) / max(n)', 6)} AS se FROM g, m")
 statement("wallet_cluster_mean_se", f"SELECT mint, {q('avg(m)', 6)} AS mean, {q('stddev_samp(m) / sqrt(count(*))', 6)} AS se FROM (SELECT mint, owner, avg(CAST(qty AS DOUBLE)) AS m FROM trades GROUP BY mint, owner) x GROUP BY mint HAVING count(*) >= 2")
-statement("raw_log_rate_pool", "SELECT mint, ln((a + 0.5D) / (b + 0.5D)) AS effect, 1 / (a + 0.5D) + 1 / (b + 0.5D) AS variance FROM (SELECT mint, count(*) FILTER (WHERE side = 1) AS a, count(*) FILTER (WHERE side = -1) AS b FROM trades GROUP BY mint) x", "SELECT mint, ln((a + CAST(0.5 AS DOUBLE)) / (b + CAST(0.5 AS DOUBLE))) AS effect, 1 / (a + CAST(0.5 AS DOUBLE)) + 1 / (b + CAST(0.5 AS DOUBLE)) AS variance FROM (SELECT mint, count(*) FILTER (WHERE side = 1) AS a, count(*) FILTER (WHERE side = -1) AS b FROM trades GROUP BY mint) x")
+statement("raw_log_rate_pool", f"SELECT mint, {q('ln((2 * a + 1) / CAST(2 * b + 1 AS DOUBLE))', 7)} AS effect, CAST(2 AS DOUBLE) / (2 * a + 1) + CAST(2 AS DOUBLE) / (2 * b + 1) AS variance FROM (SELECT mint, count(*) FILTER (WHERE side = 1) AS a, count(*) FILTER (WHERE side = -1) AS b FROM trades GROUP BY mint) x")
 statement("poisson_pool", f"WITH x AS (SELECT mint, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) + 0.5 AS a, CAST(count(*) FILTER (WHERE side = -1) AS DOUBLE) + 0.5 AS b FROM trades GROUP BY mint), w AS (SELECT ln(a / b) AS e, 1 / (1 / a + 1 / b) AS w FROM x) SELECT {q('sum(w * e) / sum(w)', 6)} AS pooled, {q('1 / sqrt(sum(w))', 6)} AS se FROM w")
 statement("distribution_summary", f"SELECT status, count(px) AS n, {q('percentile(px, 0.25)')} AS p25, {q('percentile(px, 0.5)')} AS p50, {q('percentile(px, 0.75)')} AS p75, count(*) - count(px) AS absent FROM trades GROUP BY status")
 statement("verdict_histogram", "SELECT o_orderpriority AS verdict, count(*) AS n FROM orders GROUP BY o_orderpriority")
