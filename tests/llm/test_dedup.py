@@ -7,6 +7,8 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import near_dup
+from tidemark.llm.cells import common
 from tidemark.llm.cover_tree import Search, top_k
 from tidemark.llm.html_main_text import extract, main_text
 from tidemark.llm.near_dup import near_duplicates
@@ -160,3 +162,50 @@ def test_learned_list_separates_held_out_rows(spark):
     docs = spark.createDataFrame([(1, "good words here " * 5 + "one two three four five six", 0), (2, "few words", 0), (3, None, 0)], "doc_id long, text string, kept int")
     kept = keep_good(docs, rules).collect()
     assert all(r.doc_id == 1 for r in kept)
+
+
+@pytest.mark.parametrize("n,v", [(1, 4), (40, 30), (60, 900), (150, 2500)])
+def test_cell_compares_all_pairs(n, v):
+    r = np.random.default_rng(n)
+    vectors = []
+    for _ in range(n):
+        k = r.integers(0, min(v, 200))
+        vectors.append((np.sort(r.choice(v, k, replace=False)).astype(np.uint64), r.integers(1, 5, k) * 1.25))
+    left, right = np.flatnonzero(r.random(n) < 0.7), np.flatnonzero(r.random(n) < 0.7)
+    got = common(vectors, left, right)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            x, y = (dict(zip(*(z.tolist() for z in vectors[c]), strict=True)) for c in (a, b))
+            assert a == b or abs(got[i, j] - sum(min(x[t], y[t]) for t in x.keys() & y.keys())) < 1e-9
+
+
+def test_near_duplicates_of_one_key_over_many_cells(spark, monkeypatch):
+    """Six texts of a group sit near one another, the groups just under the threshold: a leader finds its own only."""
+    monkeypatch.setattr(near_dup, "CELL_TEXTS", 3)
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for g in range(6):
+        text = list(base)
+        for at in r.sample(range(80), 9):
+            text[5 * at] = f"g{g}-{at}"
+        for k in range(6):
+            copy = list(text)
+            copy[5 * (20 + k)] += f"x{k}"
+            rows.append((6 * g + k, " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    df = collections.Counter(x for s in sets for x in s)
+    weight = {x: 1 + 0.25 * np.log(len(rows) / n) / np.log(len(rows)) for x, n in df.items()}
+    root = list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = (sum(weight[x] for x in s) for s in (sets[i] & sets[j], sets[i] | sets[j]))
+            if both / either >= 0.8:
+                root[find(i)] = find(j)
+    got = {x.i: x.class_uid for x in near_duplicates(spark.createDataFrame(rows, "i long, text string").repartition(3)).collect()}
+    assert len({find(i) for i in range(len(rows))}) > 1
+    assert all((got[i] == got[j]) == (find(i) == find(j)) for i in range(len(rows)) for j in range(i))

@@ -6,10 +6,11 @@ frequencies of all terms over the whole corpus. The damping keeps a large group
 near copies, whose shared shingles are frequent, as similar as its texts are.
 
 Documents with the same weighted terms are one text from the start. In every band, the
-texts of a key are compared with the key's leader; those found similar are joined.
-Keys that still hold texts of several classes get more leaders, eight times as many in
-each round, until a key's texts are of one class or have all been leaders: no candidate
-pair of different classes stays unverified, and pairs inside a class are not compared.
+texts of a key are compared with one of them, the key's leader, and those found similar
+are joined. Keys whose other texts are still of several classes are then compared
+whole: their texts are dealt into cells of bounded size (cells.py), a cell compares all
+its pairs by matrix products and returns only links that join classes. So no candidate
+pair of different classes stays unverified, and no table ever holds a key's pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import hashing as H
 from tidemark.llm.blocks import Blocks, Order, delta_pack, delta_unpack, pieces, reply, send, to_blocks, unpack, with_replies
+from tidemark.llm.cells import Cell
 from tidemark.llm.components import components
 from tidemark.llm.storage import map_arrow, written
 from tidemark.llm.weighted_minhash import BANDS, band_keys, similarity
@@ -34,11 +36,13 @@ THRESHOLD = 0.8
 DAMPING = 0.25
 #: Frequencies are counted by 40 bits of a term; a few collisions change a few frequencies a little.
 TERM_BITS = 40
-#: Leaders of a key in each round, as a multiple of the round before.
-LEADERS_GROW = 8
+#: Texts, and terms of texts, that a cell's side holds about.
+CELL_TEXTS = 1024
+CELL_TERMS = 2_000_000
 
 _SIGNED = pa.schema([("uid", pa.int64()), ("same1", pa.int64()), ("same2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_VECTOR = pa.schema([("uid", pa.int64()), ("n", pa.int32()), ("vector", pa.binary())])
+_VECTOR = pa.schema([("uid", pa.int64()), ("n", pa.int32()), ("total", pa.float64()), ("vector", pa.binary())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _terms(batch: pa.RecordBatch, at: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +103,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in batches:
             for row in blocks.to_pylist():
-                rows, hashes, weights, n = weigh(row)
+                rows, hashes, weights, _, n = weigh(row)
                 every = uid(row["block"], np.arange(n))
                 same1, same2 = H.mix(every.astype(np.uint64)).view(np.int64), every.copy()
                 bands: list = [None] * n
@@ -125,20 +129,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
         codec = zstandard.ZstdCompressor(1)
         for blocks in batches:
             for row in blocks.to_pylist():
-                rows, hashes, weights, n = weigh(row)
+                rows, hashes, weights, shared, n = weigh(row)
                 bounds = np.searchsorted(rows, np.arange(n + 1))
-                out: dict[str, list] = {"uid": [], "n": [], "vector": []}
+                out: dict[str, list] = {"uid": [], "n": [], "total": [], "vector": []}
                 for u in row["wanted"]:
                     i = u & 0xFFFFF
                     lo, hi = bounds[i], bounds[i + 1]
+                    w, common = weights[lo:hi].astype("<f4"), shared[lo:hi]
                     out["uid"].append(u)
-                    out["n"].append(hi - lo)
-                    out["vector"].append(codec.compress(delta_pack(hashes[lo:hi] >> np.uint64(24), 5) + weights[lo:hi].astype("<f4").tobytes()))
+                    out["n"].append(int(common.sum()))
+                    out["total"].append(float(w.sum(dtype=np.float64)))
+                    out["vector"].append(codec.compress(delta_pack(hashes[lo:hi][common] >> np.uint64(24), 5) + w[common].tobytes()))
                 yield pa.RecordBatch.from_pydict(out, schema=_VECTOR)
 
     block = (F.shiftright("uid", 40) * (1 << 32) + F.shiftright("uid", 20).bitwiseAND(0xFFFFF)).alias("block")
+    # A vector holds the terms that other documents have too, and the total weight of all.
     wanted = members.select("uid").distinct().groupBy(block).agg(F.collect_list("uid").alias("wanted"))
-    vector = written(map_arrow(table.join(wanted, "block"), vectors, "uid long, n int, vector binary"), "vectors")
+    vector = written(map_arrow(table.join(wanted, "block"), vectors, "uid long, n int, total double, vector binary"), "vectors")
     roots = _classes(members, vector, threshold)
     text_class = first.join(roots, first["uid"] == roots["node"], "left").select("same1", "same2", F.coalesce("root", "uid").alias("class_uid"))
     labels = signed.select("uid", "same1", "same2").join(text_class, ["same1", "same2"]).select("uid", "class_uid")
@@ -162,58 +169,68 @@ def _weigher(b: Blocks, at: int, k: int, buckets: int):
     scale = DAMPING / np.log(max(b.n_rows, 2))
     n_docs = max(b.n_rows, 1)
 
-    def weigh(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def weigh(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         batch = unpack(row["payload"])
         rows, hashes, counts, _ = _terms(batch, at, k)
         order = _order(hashes, buckets)
         df = np.maximum(order.answers(row["replies"], True), order.counts)[order.rank]
-        return rows, hashes, counts * (1 + scale * np.log(n_docs / np.minimum(df, n_docs))), batch.num_rows
+        return rows, hashes, counts * (1 + scale * np.log(n_docs / np.minimum(df, n_docs))), df > 1, batch.num_rows
 
     return weigh
 
 
+def _decoded(codec: zstandard.ZstdDecompressor, n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = codec.decompress(data)
+    return delta_unpack(raw, n, 5), np.frombuffer(raw, "<f4", n, 5 * n).astype(np.float64)
+
+
 def _classes(members: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
     """node, root of every text that is linked to another."""
-    spark = members.sparkSession
-    roots, leaders = None, 1
-    chance = F.shiftrightunsigned(F.xxhash64("key", "uid"), 11) / float(1 << 53)
-    open_ = members.withColumn("root", F.col("uid"))
-    while True:
-        # Leaders of each key that holds several classes: a random part of its texts, and always the one with the least hash.
-        keys = open_.groupBy("key").agg(F.count("*").alias("n"), F.min(chance).alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n", "least")
-        marked = written(open_.join(keys, "key").select("key", "uid", "root", ((chance * F.col("n") <= leaders) | (chance == F.col("least"))).alias("leads")), "open")
-        if marked.isEmpty():
-            break
-        led = marked.where("leads").select(F.col("key").alias("k"), F.col("uid").alias("u"), F.col("root").alias("r"))
-        pairs = marked.join(led, (F.col("key") == F.col("k")) & (F.col("root") != F.col("r"))).select(F.least("uid", "u").alias("a"), F.greatest("uid", "u").alias("b")).distinct()
-        links = written(_verified(pairs, vector, threshold).where("similar").select("a", "b"), "links")
-        rest = marked.where("NOT leads").select("key", "uid", "root")
-        if not links.isEmpty():
-            if roots is not None:
-                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = written(components(links), "roots")
-            rest = rest.drop("root").join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
-        open_ = rest
-        leaders *= LEADERS_GROW
-    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
+    leader = members.groupBy("key").agg(F.min_by("uid", F.xxhash64("key", "uid")).alias("leader"))
+    rest = written(members.join(leader, "key").where("uid != leader"), "led")
+    pairs = rest.select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
+    links = written(_verified(pairs, vector, threshold), "links")
+    roots = written(components(links), "roots")
+    more = written(_compared(rest, roots, vector, threshold), "links")
+    return roots if more.isEmpty() else written(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
 
 
 def _verified(pairs: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
-    """pairs with similar (boolean)."""
-    left = vector.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-    right = vector.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
+    """The pairs (a, b) that are similar."""
+    left, right = (vector.select(F.col("uid").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "total", "vector"))) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            sides = (zip(*(batch.column(c + x).to_pylist() for c in "ntv"), strict=True) for x in "ab")
+            found = [similarity((*_decoded(codec, n, v), t), (*_decoded(codec, m, u), s)) >= threshold - 1e-9 for (n, t, v), (m, s, u) in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=_LINK).filter(pa.array(found, pa.bool_()))
 
-        def read(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-            raw = codec.decompress(data)
-            return delta_unpack(raw, n, 5), np.frombuffer(raw, "<f4", n, 5 * n).astype(np.float64)
+    return map_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long")
 
-        for batch in batches:
-            out = []
-            for na, va, nb, vb in zip(*(batch.column(c).to_pylist() for c in ("na", "va", "nb", "vb")), strict=True):
-                out.append(2 * min(na, nb) > 0 and similarity(read(na, va), read(nb, vb)) >= threshold - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "similar"])
 
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "va", "nb", "vb"), run, "a long, b long, similar boolean")
+def _compared(rest: DataFrame, roots: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the classes of a key's texts, from all pairs of texts of each key that still holds several classes."""
+    texts = written(rest.join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("root")).join(vector.select("uid", "n"), "uid"), "texts")
+    sets = texts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("texts"), F.sum("n").alias("terms"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("y")).where("lo < hi")
+    # Keys of the same texts are one; a key of many texts is a triangle of cells.
+    sides = F.ceil(F.greatest(F.col("texts") / CELL_TEXTS, F.col("terms") / CELL_TERMS)).alias("sides")
+    keys = sets.groupBy("x", "y", "texts", "terms").agg(F.min("key").alias("key")).select("key", sides)
+    block = F.pmod(F.xxhash64("uid", F.lit(2)), "sides")
+    dealt = texts.join(keys, "key").select("key", "uid", "root", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "root").join(vector, "uid")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, cell, at = zstandard.ZstdDecompressor(), None, None
+        for batch in batches:
+            for key, i, j, block, uid, root, n, total, data in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "uid", "root", "n", "total", "vector")), strict=True):
+                if at != (key, i, j):
+                    if cell is not None:
+                        yield pa.RecordBatch.from_pydict(cell.links(threshold - 1e-9), schema=_LINK)
+                    cell, at = Cell(), (key, i, j)
+                cell.add(uid, root, block == i, block == j, *_decoded(codec, n, data), total)
+        if cell is not None:
+            yield pa.RecordBatch.from_pydict(cell.links(threshold - 1e-9), schema=_LINK)
+
+    return map_arrow(dealt, run, "a long, b long")

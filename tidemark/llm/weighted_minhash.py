@@ -44,9 +44,9 @@ def band_keys(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.
     return keys
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two documents' sorted distinct terms and weights."""
+def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Weighted Jaccard similarity of two documents: sorted distinct terms and their weights (terms that no other document has may be left out), and the weight of all terms."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = float(np.minimum(a[1][i], b[1][j]).sum())
-    total = float(a[1].sum() + b[1].sum()) - both
-    return both / total if total else 0.0
+    total = a[2] + b[2] - both
+    return both / total if total > 0 else 0.0
