@@ -11,9 +11,9 @@ from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
 
-_T = "SELECT owner AS row, mint % 40 AS col, CAST(delta AS DOUBLE) AS val, d * 100000 + slot + txi / 10.0 AS ord FROM trades WHERE owner < 60"
+_T = "SELECT owner AS row, mint AS col, CAST(delta AS DOUBLE) AS val, d * 100000 + slot + txi / 10.0 AS ord FROM trades"
 _A = f"SELECT row, col, sum(val) AS val FROM ({_T}) t GROUP BY row, col HAVING sum(val) <> 0"
-_B = "SELECT mint % 40 AS row, txi AS col, CAST(sum(qty) AS DOUBLE) AS val FROM trades GROUP BY 1, 2 HAVING sum(qty) <> 0"
+_B = "SELECT mint AS row, txi AS col, CAST(sum(qty) AS DOUBLE) AS val FROM trades GROUP BY 1, 2 HAVING sum(qty) <> 0"
 
 
 def _a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assoc.from_tuples(run(spark, sf_dir, "SELECT mint % 40 AS row, txi AS col, CAST(qty AS DOUBLE) AS val FROM trades"))
+    return assoc.from_tuples(run(spark, sf_dir, "SELECT mint AS row, txi AS col, CAST(qty AS DOUBLE) AS val FROM trades"))
 
 
 def _put(name: str, sql: str, f) -> None:
