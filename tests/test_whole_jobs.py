@@ -55,3 +55,14 @@ def test_associative_array_holds_all_owners_and_real_mints(spark, tape):
         held[o].add(m)
     pairs = {(p, q): len(held[p] & held[q]) / len(held[p] | held[q]) for p in held for q in held if p < q and held[p] & held[q]}
     assert {(r.row, r.col): r.val for r in rows(spark, "jaccard", at)} == pairs
+
+
+def test_knn_takes_all_earlier_calls(spark, tmp_path):
+    r = random.Random(2)
+    calls = [(i, r.randrange(1, 400), r.randrange(300), float(r.randrange(1, 40)) * 1000) for i in range(1, 400)]
+    got = {(x.call_id, x.rank_): x.a_id for x in rows(spark, "knn_topk", write_calls(tmp_path, calls))}
+    want = {}
+    for i, m, d, p in calls[19::20]:
+        near = sorted((abs(p - q) / 1000 + abs(m - n), j) for j, n, e, q in calls if e < d)[:5]
+        want |= {(i, k + 1): j for k, (_, j) in enumerate(near)}
+    assert got == want

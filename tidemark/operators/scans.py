@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.nearest import blocks, in_cells, nearest_calls
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
@@ -95,7 +96,22 @@ statement("iceberg_candidates", "SELECT owner, mint, count(*) AS slices, CAST(su
 statement("censoring_check", "SELECT a.mint, a.px AS by_last, b.px AS by_best, b.px - a.px AS diff FROM (SELECT mint, max_by(px, struct(t, slot, txi, owner, cents)) AS px FROM trades GROUP BY mint) a JOIN (SELECT mint, max(px) AS px FROM trades GROUP BY mint) b ON a.mint = b.mint")
 statement("shared_template_groups", "SELECT template, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS accounts FROM (SELECT doc_id, source, substr(lower(text), 1, 40) AS template FROM documents) x GROUP BY template HAVING count(DISTINCT doc_id) >= 2")
 statement("descriptive_analogs", "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 2350), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price, t AS a_t FROM calls WHERE t < 86400 * 60) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 3")
-statement("knn_topk", "WITH v AS (SELECT call_id, price, mint, t FROM calls WHERE caller = 3), c AS (SELECT call_id AS a_id, price AS a_price, mint AS a_mint, t AS a_t FROM calls WHERE caller = 4) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price) / 1000 + abs(mint - a_mint), a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 5")
+
+
+_KNN = "WITH v AS (SELECT call_id, price, mint, t FROM calls WHERE call_id % 20 = 0), c AS (SELECT call_id AS a_id, price AS a_price, mint AS a_mint, t AS a_t FROM calls) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price) / 1000 + abs(mint - a_mint), a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 5"
+
+
+@query("knn_topk", oracle(_KNN))
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all earlier calls, for the calls whose call_id is divisible by 20."""
+    calls = run(spark, sf_dir, "SELECT call_id, price, mint, t FROM calls")
+    queries = blocks(calls.where("call_id % 20 = 0"), "call_id", 1024, "q")
+    candidates = blocks(calls.toDF("a_id", "a_price", "a_mint", "a_t"), "a_id", 8192, "c")
+    found = in_cells(queries, candidates, lambda q, c: nearest_calls(q, c, 5), "call_id long, a_id long, far double")
+    rank = F.row_number().over(Window.partitionBy("call_id").orderBy("far", "a_id")).cast("long")
+    return found.withColumn("rank_", rank).where("rank_ <= 5").select("call_id", "a_id", "rank_")
+
+
 statement("cell_model", "WITH c AS (SELECT mint % 4 AS cell, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM trades WHERE d < 1200 GROUP BY 1), g AS (SELECT CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / nullif(count(*), 0) AS p FROM trades WHERE d < 1200) SELECT cell, (k + 20 * p) / (n + 20) AS shrunk FROM c, g")
 statement("sign_test", "SELECT owner, count(*) FILTER (WHERE delta > 0) AS positive, count(*) FILTER (WHERE delta < 0) AS negative FROM trades GROUP BY owner")
 statement("find_rip", "SELECT mint, min(d) AS ripped FROM (SELECT mint, d, px, max(px) OVER (PARTITION BY mint ORDER BY d, slot, txi, owner, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high, max(px) OVER (PARTITION BY mint ORDER BY d, slot, txi, owner, cents ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS after FROM trades) x WHERE after < 0.9999 * high GROUP BY mint")
