@@ -66,3 +66,19 @@ def test_knn_takes_all_earlier_calls(spark, tmp_path):
         near = sorted((abs(p - q) / 1000 + abs(m - n), j) for j, n, e, q in calls if e < d)[:5]
         want |= {(i, k + 1): j for k, (_, j) in enumerate(near)}
     assert got == want
+
+
+def test_crew_matches_every_slot_by_its_whole_owner_set(spark, tape):
+    at, trades = tape
+    owners, day = defaultdict(set), {}
+    for _, o, s, _, d, _, _ in trades:
+        owners[s].add(o)
+        day[s] = min(d, day.get(s, d))
+
+    def jaccard(a, b):
+        return len(owners[a] & owners[b]) / len(owners[a] | owners[b])
+
+    best = {q: min((-jaccard(q, m), -len(owners[q] & owners[m]), m) for m in owners if m != q and len(owners[q] & owners[m]) >= 2) for q in owners if any(m != q and len(owners[q] & owners[m]) >= 2 for m in owners)}
+    assert {r.q: (-r.jaccard, -r.overlap, r.m) for r in rows(spark, "crew_best_jaccard_join", at)} == best
+    earlier = {q: [x for m in owners if day[m] < day[q] and (x := jaccard(q, m))] for q in owners}
+    assert {r.q: r.best for r in rows(spark, "crew_best_match", at)} == {q: max(x) for q, x in earlier.items() if x}

@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import asof_join, range_join
+from tidemark.functions.nearest import best_sets, blocks, in_cells
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
+from tidemark.sources.scratch import written
 
 statement("inner_equi_join_using", "SELECT b.mint, b.owner, count(*) AS n FROM trades b JOIN (SELECT mint, owner, max(d) AS last FROM trades GROUP BY mint, owner) s USING (mint, owner) WHERE b.d = s.last GROUP BY b.mint, b.owner")
 statement("left_outer_join", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000")
@@ -22,13 +24,31 @@ statement("birth_event_key_join", "SELECT l.mint, l.owner, l.delta FROM trades l
 statement("dictionary_join", "SELECT p_name, s_name, count(*) AS n FROM trades JOIN part ON p_partkey = mint JOIN supplier ON s_suppkey = owner GROUP BY p_name, s_name")
 statement("outcome_join_by_event", "SELECT call_id, CASE WHEN o.known IS NULL THEN 'missing' WHEN o.known > 86400 * 1500 THEN 'not_yet_known' ELSE 'resolved' END AS label_status FROM calls c LEFT JOIN (SELECT slot, max(t) + 86400 AS known FROM trades GROUP BY slot) o ON o.slot = c.call_id")
 statement("hunch_outcome_join", "SELECT call_id, caller, n, flow FROM calls JOIN (SELECT slot, count(*) AS n, CAST(sum(delta) AS BIGINT) AS flow FROM trades GROUP BY slot) o ON o.slot = call_id")
-statement("crew_best_jaccard_join", """WITH s AS (SELECT DISTINCT slot, owner FROM trades), n AS (SELECT slot, count(*) AS n FROM s GROUP BY slot),
- o AS (SELECT a.slot AS q, b.slot AS m, count(*) AS overlap FROM s a JOIN s b ON a.owner = b.owner AND a.slot <> b.slot WHERE a.slot % 50 = 1 GROUP BY a.slot, b.slot),
+_SETS = "SELECT slot, min(d) AS d, collect_set(owner) AS owners FROM trades GROUP BY slot"
+
+
+def _best_sets(spark: SparkSession, sf_dir: str, least: int, earlier: bool) -> DataFrame:
+    """The best match of every slot in each block of slots; a set of fewer than `least` owners cannot match."""
+    sets = written(run(spark, sf_dir, _SETS).where(F.size("owners") >= least), "owner-sets")
+    return in_cells(blocks(sets, "slot", 4096, "q"), blocks(sets, "slot", 16384, "c"), lambda q, c: best_sets(q, c, least, earlier), "q long, m long, overlap long, jaccard double")
+
+
+@query("crew_best_jaccard_join", oracle("""WITH s AS (SELECT DISTINCT slot, owner FROM trades), n AS (SELECT slot, count(*) AS n FROM s GROUP BY slot),
+ o AS (SELECT a.slot AS q, b.slot AS m, count(*) AS overlap FROM s a JOIN s b ON a.owner = b.owner AND a.slot <> b.slot GROUP BY a.slot, b.slot),
  j AS (SELECT q, m, overlap, CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) AS jaccard FROM o JOIN n x ON x.slot = q JOIN n y ON y.slot = m WHERE overlap >= 2)
-SELECT q, m, overlap, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, overlap DESC, m) AS rn FROM j) z WHERE rn = 1""")
-statement("crew_best_match", """WITH s AS (SELECT DISTINCT slot, owner, d FROM trades WHERE txi <= 2), n AS (SELECT slot, count(DISTINCT owner) AS n, min(d) AS d FROM s GROUP BY slot),
+SELECT q, m, overlap, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, overlap DESC, m) AS rn FROM j) z WHERE rn = 1"""))
+def crew_best_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.max(F.struct("jaccard", "overlap", (-F.col("m")).alias("m"))).alias("x")
+    return _best_sets(spark, sf_dir, 2, False).groupBy("q").agg(best).select("q", (-F.col("x.m")).alias("m"), "x.overlap", "x.jaccard")
+
+
+@query("crew_best_match", oracle("""WITH s AS (SELECT DISTINCT slot, owner, d FROM trades), n AS (SELECT slot, count(DISTINCT owner) AS n, min(d) AS d FROM s GROUP BY slot),
  o AS (SELECT a.slot AS q, b.slot AS m, count(DISTINCT a.owner) AS overlap FROM s a JOIN s b ON a.owner = b.owner GROUP BY a.slot, b.slot)
-SELECT q, max(CAST(overlap AS DOUBLE) / (x.n + y.n - overlap)) AS best FROM o JOIN n x ON x.slot = q JOIN n y ON y.slot = m WHERE y.d < x.d GROUP BY q""")
+SELECT q, max(CAST(overlap AS DOUBLE) / (x.n + y.n - overlap)) AS best FROM o JOIN n x ON x.slot = q JOIN n y ON y.slot = m WHERE y.d < x.d GROUP BY q"""))
+def crew_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best_sets(spark, sf_dir, 1, True).groupBy("q").agg(F.max("jaccard").alias("best"))
+
+
 statement("crew_persistence_membership", "SELECT count(*) AS n, count(b.owner) AS seen FROM (SELECT DISTINCT owner FROM trades WHERE d >= 1300 AND qty > 40) a LEFT JOIN (SELECT DISTINCT owner FROM trades WHERE d < 1300 AND qty > 45 AND discount > 0.08) b ON b.owner = a.owner")
 statement("co_trade_slot_window_join", "SELECT least(a.owner, b.owner) AS w1, greatest(a.owner, b.owner) AS w2, count(*) AS n FROM trades a JOIN trades b ON a.mint = b.mint AND abs(a.d - b.d) <= 3 AND a.owner < b.owner GROUP BY 1, 2")
 statement("prebuyers", "SELECT l.owner, count(DISTINCT c.call_id) AS n FROM calls c JOIN trades l ON l.mint = c.mint AND l.t < c.t AND l.t >= c.t - 86400 * 10 AND l.side = 1 GROUP BY l.owner")
