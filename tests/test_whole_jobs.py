@@ -82,3 +82,14 @@ def test_crew_matches_every_slot_by_its_whole_owner_set(spark, tape):
     assert {r.q: (-r.jaccard, -r.overlap, r.m) for r in rows(spark, "crew_best_jaccard_join", at)} == best
     earlier = {q: [x for m in owners if day[m] < day[q] and (x := jaccard(q, m))] for q in owners}
     assert {r.q: r.best for r in rows(spark, "crew_best_match", at)} == {q: max(x) for q, x in earlier.items() if x}
+
+
+def test_cycles_over_all_nodes(spark, tmp_path):
+    r = random.Random(4)
+    trades = [(r.randrange(55, 75), r.randrange(55, 75), i, 1, 5, 1, 3) for i in range(120)]
+    legs = {(m, o) for m, o, *_ in trades if m != o}
+    edges = {frozenset(x) for x in legs}
+    nodes = sorted({x for e in legs for x in e})
+    want = [(a, b, c) for a in nodes for b in nodes for c in nodes if a < b < c and {frozenset((a, b)), frozenset((b, c)), frozenset((a, c))} <= edges]
+    want += [(a, b, None) for a, b in legs if a < b and (b, a) in legs]
+    assert Counter(tuple(x) for x in rows(spark, "circuit_cycles", write_trades(tmp_path, trades))) == Counter(want)

@@ -92,6 +92,12 @@ statement("entity_mint_resolution", "SELECT n_regionkey, CASE WHEN count(*) = 1
 statement("archive_outcomes", "SELECT c.call_id, max(CASE WHEN l.t <= c.t + 86400 * 7 THEN l.px END) AS week_high, max(l.px) AS high, min(l.px) AS low, count(*) = 0 AS dead FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t AND l.t <= c.t + 86400 * 90 GROUP BY c.call_id")
 statement("removal_inference", "SELECT user_id, CASE WHEN count(*) >= 3 AND max(t) - min(t) >= 86400 AND count(DISTINCT kind) >= 2 THEN 'removed' ELSE 'unknown' END AS state FROM ev WHERE kind IN ('error', 'view') GROUP BY user_id")
 statement("selection_outcomes", "SELECT c.call_id, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS px FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t + 86400 * 5 GROUP BY c.call_id")
-statement("circuit_cycles", "WITH e AS (SELECT DISTINCT least(mint, owner) AS a, greatest(mint, owner) AS b FROM trades WHERE mint <= 60 AND owner <= 60 AND mint <> owner) SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b")
+_TWO = "SELECT DISTINCT x.mint AS a, x.owner AS b, CAST(NULL AS BIGINT) AS c FROM trades x JOIN trades y ON y.mint = x.owner AND y.owner = x.mint WHERE x.mint < x.owner"
+statement("circuit_cycles", f"""WITH p AS (SELECT DISTINCT mint, owner FROM trades WHERE mint <> owner), e AS (SELECT DISTINCT least(mint, owner) AS a, greatest(mint, owner) AS b FROM p),
+ n AS (SELECT v, count(*) AS degree FROM (SELECT a AS v FROM e UNION ALL SELECT b FROM e) u GROUP BY v),
+ o AS (SELECT CASE WHEN x.degree <= y.degree THEN a ELSE b END AS low, CASE WHEN x.degree <= y.degree THEN b ELSE a END AS high FROM e JOIN n x ON x.v = a JOIN n y ON y.v = b),
+ w AS (SELECT x.low AS u, x.high AS v, y.high AS w FROM o x JOIN o y ON x.low = y.low AND x.high < y.high)
+SELECT least(u, v, w) AS a, u + v + w - least(u, v, w) - greatest(u, v, w) AS b, greatest(u, v, w) AS c FROM w JOIN e ON e.a = v AND e.b = w.w
+UNION ALL {_TWO.replace("trades", "p")}""", f"WITH e AS (SELECT DISTINCT least(mint, owner) AS a, greatest(mint, owner) AS b FROM trades WHERE mint <> owner) SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b UNION ALL {_TWO}")
 statement("pool_tape_aggregate", "SELECT mint, count(*) AS n, CAST(sum(delta) AS BIGINT) AS flow, count(DISTINCT d) AS active_days, min(d) AS first_d, max(d) AS last_d FROM trades GROUP BY mint")
 statement("activity_feasibility", "WITH b AS (SELECT CAST(count(DISTINCT mint) AS BIGINT) AS tokens FROM trades), g AS (SELECT explode(sequence(1, 2000)) AS n FROM b) SELECT max(CAST(n AS BIGINT)) AS feasible FROM g, b WHERE CAST(n AS BIGINT) * (n - 1) * 20 * 50 <= 2 * tokens * (tokens - 1) div 2")
