@@ -93,3 +93,14 @@ def test_cycles_over_all_nodes(spark, tmp_path):
     want = [(a, b, c) for a in nodes for b in nodes for c in nodes if a < b < c and {frozenset((a, b)), frozenset((b, c)), frozenset((a, c))} <= edges]
     want += [(a, b, None) for a, b in legs if a < b and (b, a) in legs]
     assert Counter(tuple(x) for x in rows(spark, "circuit_cycles", write_trades(tmp_path, trades))) == Counter(want)
+
+
+def test_components_over_the_links_of_all_trades(spark, tape, tmp_path):
+    at, trades = tape
+    label = {x: x for m, o, *_ in trades for x in (o, 100000 + m)}
+    for _ in label:
+        for m, o, *_ in trades:
+            label[o] = label[100000 + m] = min(label[o], label[100000 + m])
+    assert {r.node: r.component for r in rows(spark, "union_find_components", at)} == label
+    split = write_trades(tmp_path, [(1, 7, 1, 1, 5, 1, 3), (2, 7, 1, 2, 5, 1, 3), (3, 8, 2, 1, 5, 1, 3)])
+    assert [tuple(r) for r in rows(spark, "largest_component", split)] == [(7, 3)]

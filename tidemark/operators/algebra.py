@@ -52,7 +52,7 @@ _put("threshold_prune", f"SELECT row, col, val FROM ({_A}) a WHERE val >= 30", l
 _put("mean_jaccard_pairs", f"SELECT floor(sum(v) / max(n) * 1e7 + 0.5) / 1e7 AS mean FROM (SELECT coalesce(o.val / (p.degree + q.degree - o.val), 0) AS v, count(*) OVER () AS n FROM {_DEG} p JOIN {_DEG} q ON q.key = p.key + 1 LEFT JOIN ({_CO}) o ON o.row = p.key AND o.col = q.key) z",
      lambda s, d: assoc.degree(_a(s, d)).alias("p").join(assoc.degree(_a(s, d)).select((F.col("key") - 1).alias("key")), "key").select(F.col("key").alias("row"), (F.col("key") + 1).alias("col")).join(assoc.similarity(assoc.co_occurrence(_a(s, d)), assoc.degree(_a(s, d))), ["row", "col"], "left").agg((F.floor(F.avg(F.coalesce("val", F.lit(0.0))) * 1e7 + 0.5) / 1e7).alias("mean")))
 
-_EDGES = "SELECT DISTINCT owner AS a, 100000 + mint AS b FROM trades WHERE discount > 0.099 AND qty > 40"
+_EDGES = "SELECT DISTINCT owner AS a, 100000 + mint AS b FROM trades"
 
 
 @query("union_find_components", oracle(f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node").replace("WITH trades", "WITH RECURSIVE trades").replace(", RECURSIVE e", ", e").replace(",  RECURSIVE e", ", e"))
