@@ -104,3 +104,26 @@ def test_components_over_the_links_of_all_trades(spark, tape, tmp_path):
     assert {r.node: r.component for r in rows(spark, "union_find_components", at)} == label
     split = write_trades(tmp_path, [(1, 7, 1, 1, 5, 1, 3), (2, 7, 1, 2, 5, 1, 3), (3, 8, 2, 1, 5, 1, 3)])
     assert [tuple(r) for r in rows(spark, "largest_component", split)] == [(7, 3)]
+
+
+def test_circular_shift_takes_every_shift_of_the_whole_series(spark, tape):
+    at, trades = tape
+    total = Counter()
+    for _, _, _, _, d, side, q in trades:
+        total[d] += side * q
+    x = [total[d] for d in sorted(total)]
+    mean = sum(x) / len(x)
+    var = sum((v - mean) ** 2 for v in x)
+    want = {k: sum((v - mean) * (x[(i + k) % len(x)] - mean) for i, v in enumerate(x)) / var for k in range(1, len(x))}
+    assert {r.shift: float(r.r) for r in rows(spark, "circular_shift_null", at)} == pytest.approx(want, abs=2e-6)
+
+
+def test_analogs_take_all_of_train_and_validation(spark, tmp_path):
+    r = random.Random(7)
+    calls = [(i, r.randrange(1, 400), r.choice((30, 900, 1199, 1200, 1259, 1260, 1800)), float(r.randrange(1, 30))) for i in range(1, 300)]
+    want = {}
+    for i, m, d, p in calls:
+        if d >= 1260:
+            near = sorted((abs(p - q), m % 97 != n % 97, j) for j, n, e, q in calls if e < 1200)[:3]
+            want |= {(i, k + 1): x[2] for k, x in enumerate(near)}
+    assert {(x.call_id, x.rank_): x.a_id for x in rows(spark, "descriptive_analogs", write_calls(tmp_path, calls))} == want

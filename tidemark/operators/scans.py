@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.nearest import blocks, in_cells, nearest_calls
+from tidemark.functions.nearest import blocks, in_cells, nearest_calls, nearest_prices
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
@@ -95,7 +95,20 @@ statement("wallet_core_stats", "SELECT owner, count(*) AS legs, count(DISTINCT m
 statement("iceberg_candidates", "SELECT owner, mint, count(*) AS slices, CAST(sum(qty) AS BIGINT) AS sold, max(qty) AS largest FROM trades WHERE side = -1 GROUP BY owner, mint HAVING count(*) >= 2 AND max(qty) * 10 <= CAST(sum(qty) AS BIGINT) * 9")
 statement("censoring_check", "SELECT a.mint, a.px AS by_last, b.px AS by_best, b.px - a.px AS diff FROM (SELECT mint, max_by(px, struct(t, slot, txi, owner, cents)) AS px FROM trades GROUP BY mint) a JOIN (SELECT mint, max(px) AS px FROM trades GROUP BY mint) b ON a.mint = b.mint")
 statement("shared_template_groups", "SELECT template, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS accounts FROM (SELECT doc_id, source, substr(lower(text), 1, 40) AS template FROM documents) x GROUP BY template HAVING count(DISTINCT doc_id) >= 2")
-statement("descriptive_analogs", "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 2350), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price, t AS a_t FROM calls WHERE t < 86400 * 60) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 3")
+_ANALOGS = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 1260), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price, t AS a_t FROM calls WHERE t < 86400 * 1200) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 3"
+
+
+@query("descriptive_analogs", oracle(_ANALOGS))
+def descriptive_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3 nearest train calls of every validation call, by the parts of temporal_partition."""
+    calls = run(spark, sf_dir, "SELECT call_id, caller, price, t FROM calls")
+    queries = blocks(calls.where("t >= 86400 * 1260").drop("t"), "call_id", 4096, "q")
+    candidates = blocks(calls.where("t < 86400 * 1200").select(F.col("call_id").alias("a_id"), F.col("caller").alias("a_caller"), F.col("price").alias("a_price")), "a_id", 16384, "c", "a_price")
+    found = in_cells(queries, candidates, lambda q, c: nearest_prices(q, c, 3), "call_id long, a_id long, far double, other int")
+    rank = F.row_number().over(Window.partitionBy("call_id").orderBy("far", "other", "a_id")).cast("long")
+    return found.withColumn("rank_", rank).where("rank_ <= 3").select("call_id", "a_id", "rank_")
+
+
 
 
 _KNN = "WITH v AS (SELECT call_id, price, mint, t FROM calls WHERE call_id % 20 = 0), c AS (SELECT call_id AS a_id, price AS a_price, mint AS a_mint, t AS a_t FROM calls) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price) / 1000 + abs(mint - a_mint), a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 5"

@@ -37,7 +37,7 @@ statement("one_minus_km", (f"WITH {_AJ} SELECT time_to, " + q("1 - exp(sum(ln(CA
 statement("verdict_survival_km", _AJ_OUT.replace(*_FIX).replace("FROM orders)", "FROM orders WHERE o_orderpriority = '1-URGENT')"))
 statement("desk_survival", _AJ_OUT.replace(*_FIX).replace("FROM orders)", "FROM orders WHERE o_totalprice > 150000)"))
 statement("rotation_null", "WITH s AS (SELECT d, CAST(sum(delta) AS BIGINT) AS x, row_number() OVER (ORDER BY d) - 1 AS rn, count(*) OVER () AS n FROM trades GROUP BY d) SELECT a.d, a.x, b.x AS rotated FROM s a JOIN s b ON b.rn = (a.rn + 37) % a.n")
-statement("circular_shift_null", f"WITH s AS (SELECT d, CAST(sum(delta) AS DOUBLE) AS x, row_number() OVER (ORDER BY d) - 1 AS rn, count(*) OVER () AS n FROM trades WHERE d < 400 GROUP BY d), k AS (SELECT explode(sequence(0, 20)) AS shift) SELECT CAST(shift AS BIGINT) AS shift, {q('corr(a.x, b.x)', 6)} AS r FROM s a CROSS JOIN k JOIN s b ON b.rn = (a.rn + shift) % a.n GROUP BY shift")
+statement("circular_shift_null", f"WITH s AS (SELECT d, CAST(sum(delta) AS DOUBLE) AS x, row_number() OVER (ORDER BY d) - 1 AS rn, count(*) OVER () AS n FROM trades GROUP BY d), k AS (SELECT explode(sequence(CAST(1 AS BIGINT), n - 1)) AS shift FROM (SELECT max(n) AS n FROM s) z WHERE n > 1) SELECT CAST(shift AS BIGINT) AS shift, {q('corr(a.x, b.x)', 6)} AS r FROM s a CROSS JOIN k JOIN s b ON b.rn = (a.rn + shift) % a.n GROUP BY shift")
 _CUM = "z AS (SELECT owner, d, slot, txi, mint, cents, (CAST(delta AS DOUBLE) - 10) / 16 AS z FROM trades), h AS (SELECT *, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down FROM z WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), m AS (SELECT *, up - least(0, min(up) OVER w) AS hi, down - least(0, min(down) OVER w) AS lo FROM h WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 statement("cusum", f"WITH {_CUM} SELECT owner, {q('max(greatest(hi, lo))', 6)} AS cusum FROM m GROUP BY owner")
 statement("lomb_scargle", f"WITH s AS (SELECT CAST(d AS DOUBLE) AS x, CAST(sum(delta) AS DOUBLE) AS y FROM trades GROUP BY d), m AS (SELECT avg(y) AS my, var_samp(y) AS v FROM s), p AS (SELECT f, x, y - my AS y, v FROM s, m, (VALUES (7.0), (30.0), (91.0), (365.0)) AS fs(f)), k AS (SELECT f, atan2(sum(sin(2 * 2 * pi() * x / f)), sum(cos(2 * 2 * pi() * x / f))) / 2 AS tau FROM p GROUP BY f), g AS (SELECT p.f, sum(y * cos(2 * pi() * x / p.f - tau)) AS c, sum(y * sin(2 * pi() * x / p.f - tau)) AS s, sum(cos(2 * pi() * x / p.f - tau) * cos(2 * pi() * x / p.f - tau)) AS cc, sum(sin(2 * pi() * x / p.f - tau) * sin(2 * pi() * x / p.f - tau)) AS ss, max(v) AS v FROM p JOIN k ON p.f = k.f GROUP BY p.f) SELECT CAST(f AS DOUBLE) AS period, {q('(c * c / cc + s * s / ss) / (2 * v)', 5)} AS power FROM g")
