@@ -127,3 +127,17 @@ def test_analogs_take_all_of_train_and_validation(spark, tmp_path):
             near = sorted((abs(p - q), m % 97 != n % 97, j) for j, n, e, q in calls if e < 1200)[:3]
             want |= {(i, k + 1): x[2] for k, x in enumerate(near)}
     assert {(x.call_id, x.rank_): x.a_id for x in rows(spark, "descriptive_analogs", write_calls(tmp_path, calls))} == want
+
+
+def test_gaps_and_snapshots_of_every_mint(spark, tape):
+    at, trades = tape
+    days, snaps = defaultdict(set), defaultdict(set)
+    for m, _, _, _, d, _, _ in trades:
+        days[m].add(d)
+        snaps[m].add(d // 100)
+    gaps = {(m, a, b) for m, x in days.items() for a, b in zip(sorted(x), sorted(x)[1:]) if b - a > 3}
+    assert {(r.mint, r.d, r.nxt) for r in rows(spark, "gap_detect_lead", at)} == gaps
+    absent = {(m, d) for m, x in days.items() for d in range(min(x), max(x)) if d not in x}
+    assert {(r.mint, r.d) for r in rows(spark, "anti_join_via_null", at)} == absent
+    board = {(m, s, s - 1 not in x, s + 1 not in x) for m, x in snaps.items() for s in x}
+    assert {(r.mint, r.snap, r.enters, r.leaves) for r in rows(spark, "board_watcher", at)} == board

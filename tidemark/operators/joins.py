@@ -12,7 +12,7 @@ from tidemark.sources.scratch import written
 
 statement("inner_equi_join_using", "SELECT b.mint, b.owner, count(*) AS n FROM trades b JOIN (SELECT mint, owner, max(d) AS last FROM trades GROUP BY mint, owner) s USING (mint, owner) WHERE b.d = s.last GROUP BY b.mint, b.owner")
 statement("left_outer_join", "SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000")
-statement("anti_join_via_null", "WITH b AS (SELECT min(d) AS lo, max(d) AS hi FROM trades WHERE mint < 20), g AS (SELECT explode(sequence(lo, hi)) AS d FROM b), m AS (SELECT DISTINCT d FROM trades WHERE mint < 20) SELECT g.d FROM g LEFT JOIN m ON g.d = m.d WHERE m.d IS NULL")
+statement("anti_join_via_null", "WITH b AS (SELECT mint, min(d) AS lo, max(d) AS hi FROM trades GROUP BY mint), g AS (SELECT mint, explode(sequence(lo, hi)) AS d FROM b), m AS (SELECT DISTINCT mint, d FROM trades) SELECT g.mint, g.d FROM g LEFT JOIN m ON g.mint = m.mint AND g.d = m.d WHERE m.d IS NULL")
 statement("not_exists_latest", "SELECT mint, call_id, t FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY t DESC, call_id DESC) AS rn FROM calls) x WHERE rn = 1", "SELECT a.mint, a.call_id, a.t FROM calls a WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE b.mint = a.mint AND (b.t > a.t OR b.t = a.t AND b.call_id > a.call_id))")
 statement("exists_semi", "SELECT doc_id FROM documents WHERE exists(split(text, ' '), w -> length(w) > 20)", "SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, ' '), lambda w: length(w) > 20)) > 0")
 statement("semi_join", "SELECT mint, owner, slot, txi, delta FROM trades l LEFT SEMI JOIN calls c ON c.mint = l.mint", "SELECT mint, owner, slot, txi, delta FROM trades l WHERE EXISTS (SELECT 1 FROM calls c WHERE c.mint = l.mint)")

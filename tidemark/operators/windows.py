@@ -7,7 +7,7 @@ statement("row_number_topn", "SELECT mint, owner, n FROM (SELECT mint, owner, co
 statement("row_number_sequence", f"SELECT mint, slot, txi, owner, cents, row_number() OVER (PARTITION BY mint ORDER BY {_ORDER}) AS rn FROM trades".replace("row_number() OVER", "CAST(row_number() OVER").replace("cents) AS rn", "cents) AS BIGINT) AS rn"))
 statement("rank_ties", "SELECT mint, CAST(rank() OVER (ORDER BY v) AS BIGINT) AS r FROM (SELECT mint, CAST(sum(qty) AS BIGINT) AS v FROM trades GROUP BY mint) x")
 statement("lag_lead", f"SELECT mint, slot, txi, owner, cents, lag(px) OVER (PARTITION BY mint ORDER BY {_ORDER}) AS before, (lead(px, 8) OVER (PARTITION BY mint ORDER BY {_ORDER})) - px AS e8 FROM trades")
-statement("gap_detect_lead", "SELECT d, nxt FROM (SELECT d, lead(d) OVER (ORDER BY d) AS nxt FROM (SELECT DISTINCT d FROM trades WHERE mint < 40) y) x WHERE nxt - d > 3")
+statement("gap_detect_lead", "SELECT mint, d, nxt FROM (SELECT mint, d, lead(d) OVER (PARTITION BY mint ORDER BY d) AS nxt FROM (SELECT DISTINCT mint, d FROM trades) y) x WHERE nxt - d > 3")
 statement("running_sum", f"SELECT owner, mint, slot, txi, cents, CAST(sum(delta) OVER (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS after FROM trades")
 statement("running_max_drawdown", f"SELECT mint, max(m - px) AS drawdown FROM (SELECT mint, px, max(px) OVER (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM trades) x GROUP BY mint")
 statement("suffix_max", f"SELECT mint, slot, txi, owner, cents, max(px) OVER (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sufmax FROM trades")
@@ -67,7 +67,7 @@ SELECT s.owner, s.mint, s.slot, s.txi, CAST(sum(least(s.hi, b.hi) - greatest(s.l
 statement("avg_cost_basis_recursion", f"SELECT owner, mint, CAST(sum(qty) AS BIGINT) AS bought, {q('sum(CAST(cents AS DOUBLE)) / sum(qty)', 6)} AS average_cost FROM trades WHERE side = 1 GROUP BY owner, mint")
 statement("digest_window", f"SELECT t div 3600 * 3600 AS hour, count(*) AS n, max(value) AS top FROM ev GROUP BY 1")
 statement("tumbling_minute", "SELECT t div 60 * 60 AS minute, count(*) AS n FROM ev GROUP BY 1")
-statement("board_watcher", "WITH s AS (SELECT DISTINCT d div 100 AS snap, mint FROM trades WHERE mint < 60), p AS (SELECT snap, mint, lag(snap) OVER (PARTITION BY mint ORDER BY snap) AS before, lead(snap) OVER (PARTITION BY mint ORDER BY snap) AS next_ FROM s) SELECT mint, snap, before IS NULL OR before < snap - 1 AS enters, next_ IS NULL OR next_ > snap + 1 AS leaves FROM p")
+statement("board_watcher", "WITH s AS (SELECT DISTINCT d div 100 AS snap, mint FROM trades), p AS (SELECT snap, mint, lag(snap) OVER (PARTITION BY mint ORDER BY snap) AS before, lead(snap) OVER (PARTITION BY mint ORDER BY snap) AS next_ FROM s) SELECT mint, snap, before IS NULL OR before < snap - 1 AS enters, next_ IS NULL OR next_ > snap + 1 AS leaves FROM p")
 statement("rug_detection", f"SELECT mint, slot, txi, owner, cents, px < 0.7 * high AS drop_, px < 0.7 * high AND before < 0.7 * high AS confirmed FROM (SELECT mint, slot, txi, owner, cents, px, max(px) OVER w AS high, lag(px) OVER (PARTITION BY mint ORDER BY {_ORDER}) AS before FROM trades WINDOW w AS (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x")
 statement("crime_features", f"SELECT mint, slot, txi, owner, cents, count(*) OVER w AS n, max(qty) OVER w AS largest, CAST(sum(delta) OVER w AS BIGINT) AS flow FROM trades WINDOW w AS (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)")
 statement("early_flow_features", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) SELECT l.mint, count(*) AS n, CAST(sum(delta) AS DOUBLE) / CAST(sum(qty) AS DOUBLE) AS imbalance, count(DISTINCT owner) AS owners FROM trades l JOIN b ON b.mint = l.mint AND l.d < d0 + 300 GROUP BY l.mint")
