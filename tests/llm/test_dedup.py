@@ -13,7 +13,7 @@ from tidemark.llm.cover_tree import Search, top_k
 from tidemark.llm.html_main_text import extract, main_text
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.quality_rules import DecisionList, apply_rules, keep_good, learn
-from tidemark.llm.substring_dedup import substring_dedup
+from tidemark.llm.substring_dedup import _without, substring_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
 
 SCHEMA = "doc_id long, text string, block long, n_removed int"
@@ -40,15 +40,23 @@ def test_substring_dedup_equals_brute_force(spark):
     texts = [(t or "").encode().split() for _, t, *_ in rows]
     seen = collections.Counter(tuple(w[i : i + k]) for w in texts for i in range(len(w) - k + 1))
     want = collections.Counter()
-    for (key, *_), w in zip(rows, texts, strict=True):
+    for (key, raw, *_), w in zip(rows, texts, strict=True):
         gone = {j for i in range(len(w) - k + 1) if seen[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}
-        want[key, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()] += 1
+        want[key, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode(), None if gone else raw] += 1
     got = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), "text", k)
     assert got.columns == ["doc_id", "text", "block", "n_words", "n_removed"]
-    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in got.collect()) == want
+    # White space stays: a text that loses nothing is as before, and between kept words stands what stood there.
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, b" ".join((r.text or "").encode().split()).decode(), None if r.n_removed else r.text) for r in got.collect()) == want
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_cut_keeps_line_ends_and_indentation():
+    cut = lambda text, gone: _without(text.encode(), np.array([c == "x" for c in gone])).decode()
+    assert cut("  a\n\tb  c\nd ", ".xx.") == "  a\n\td "
+    assert cut("a b\n\nc\n", "..x") == "a b\n\n\n"
+    assert cut("a b", "xx") == "" and cut("é\nb\tc", "x.x") == "b\t"
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     rows, k = corpus(2), 200
     texts = [(t or "").encode() for _, t, *_ in rows]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -13,7 +14,8 @@ from tidemark.llm.byte_bpe import bpe_decode, bpe_encode, matrix_encoder, read_r
 from tidemark.llm.packing import cuts, pack
 from tidemark.llm.storage import scratch_path
 from tidemark.llm.token_store import Segment, encode, read_tokens, write_tokens
-from tidemark.llm.units import library_encoder
+from tidemark.llm import units
+from tidemark.llm.units import UnitEncoder, library_encoder
 from tidemark.llm.wordpiece import Automaton, token_counts
 
 ODD = ["", " ", "a  b", "a\n\nb", "a \n b", "\n", "\t\tx", " lead", "trail  ", "a\n\n\n", "it's 's 'll", "é é ́x", "日本語 テスト\n次", "a" * 3000, "\r\nf\r\n b", "<|endoftext|> a", "3\x1c4 \x1c5", "İ ΑΣ Σ", " " * 700 + "x", "z" + "\n" * 300]
@@ -21,20 +23,52 @@ rng = random.Random(1)
 ODD += ["".join(rng.choice(" \n\t aab's1é. \x1c日") for _ in range(rng.randint(1, 40))) for _ in range(800)]
 
 
+ADDED = ["Hello <|endoftext|> x", "a  <|endoftext|>  b\n<|startoftext|>\nc", "<|ENDOFTEXT|>\n<|endoftext|>", "x<|endoftext|><|endoftext|>", "\x01 a\x01b \x01", "a < b <|", None]
+ADDED += ["".join(rng.choice([" ", "\n", "  ", "a", "<|endoftext|>", "b's", "\x85", "<"]) for _ in range(rng.randint(0, 12))) for _ in range(800)]
+
+
+def encoded(encoder, texts, group):
+    out = []
+    for lo, hi, ids, bounds in encoder.documents(pa.array(texts), group):
+        assert lo == len(out)
+        out += [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(hi - lo)]
+    assert len(out) == len(texts)
+    return out
+
+
+@pytest.mark.parametrize("group", [1 << 20, 50, 7])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_units_equal_whole_texts(name):
+def test_units_equal_whole_texts(name, group):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    for text, ids in zip(ODD, library_encoder(P.path(name)).documents(ODD), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = [*ODD, *ADDED, " ".join(ODD) * 3]
+    for text, ids in zip(texts, encoded(library_encoder(P.path(name)), texts, group), strict=True):
+        assert ids == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_cache_of_units_drops_and_keeps():
+    calls = []
+
+    def encode(units):
+        calls.extend(units)
+        return [np.array([len(u)], "<u4").tobytes() for u in units]
+
+    e = UnitEncoder(encode)
+    texts = [f"a w{'x' * (i % 50)}{i}" for i in range(2000)]
+    old, units.CACHE_UNITS = units.CACHE_UNITS, 100
+    try:
+        assert encoded(e, texts, 100) == [[1, len(t) - 1] for t in texts]
+    finally:
+        units.CACHE_UNITS = old
+    assert calls.count("a") == 1 and len(e._young) + len(e._old) < 200
 
 
-def test_matrix_bpe_equals_tiktoken():
+@pytest.mark.parametrize("group", [1 << 20, 64])
+def test_matrix_bpe_equals_tiktoken(group):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-    texts = [*ODD, "ab" * 700, "q" * 5000 + "xyz" * 300]
-    for text, ids in zip(texts, matrix_encoder(path, P.PATTERN).documents(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode_ordinary(text), repr(text)[:80]
+    texts = [*ODD, *ADDED, "ab" * 700, "q" * 5000 + "xyz" * 300]
+    for text, ids in zip(texts, encoded(matrix_encoder(path, P.PATTERN), texts, group), strict=True):
+        assert ids == t.encode_ordinary(text or ""), repr(text)[:80]
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
@@ -66,10 +100,13 @@ def test_automaton_equals_greedy_longest_match():
 
 
 def test_cuts_are_powers_of_two():
-    for n in range(1, 9000, 7):
-        c = cuts(n)
-        assert sum(length for _, length in c) == n and all(length & (length - 1) == 0 and length <= 4096 for _, length in c)
-        assert [s for s, _ in c] == [0, *np.cumsum([length for _, length in c])[:-1]]
+    n = np.arange(1, 9000, 7)
+    owner, length = cuts(n)
+    assert (np.bincount(owner, length) == n).all() and (length & (length - 1) == 0).all() and length.max() == 4096
+    assert (np.diff(length)[np.diff(owner) == 0] <= 0).all()
+    owner, length = cuts([0, 3, 2], 1)
+    assert owner.tolist() == [1, 1, 1, 2, 2] and set(length.tolist()) == {1}
+    assert cuts([], 8)[0].tolist() == []
 
 
 def test_store_pack_count_encode_on_nulls_ties_and_clashes(spark):
@@ -85,6 +122,8 @@ def test_store_pack_count_encode_on_nulls_ties_and_clashes(spark):
     write_tokens(docs.where("false"), tokenizer, 0, empty := scratch_path(spark, "test-empty"))
     assert read_tokens(spark, empty).count() == 0
     packed = pack(docs, P.path("word_bpe_49k.json"), 2).collect()
+    assert pack(docs.where("false"), P.path("word_bpe_49k.json"), 2).count() == 0
+    assert all(r.sequence_id >> 57 == r.bucket and 1 << r.bucket == r.length == len(r.ids) // 4 for r in packed)
     assert len({r.sequence_id for r in packed}) == len(packed) and {r.doc_tokens for r in packed if r.doc_id == 1} == {1}
     counted = token_counts(docs, P.path("byte_bpe_50k.tiktoken"))
     assert counted.columns.count("n_words") == 1 and {(r.doc_id, r.n_words) for r in counted.collect()} == {(2, 2), (1, 0), (None, 1), (3, 0)}

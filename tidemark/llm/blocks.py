@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import hashing as H
-from tidemark.llm.storage import map_arrow, partitions, scratch_table
+from tidemark.llm.storage import give_back, map_arrow, partitions, scratch_table
 
 BLOCK_BYTES = 8 << 20
 BUCKET_ROWS = 4_000_000
 #: Bytes that are hashed together inside a block; bounds the working arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 BLOCK_SCHEMA = "block long, n_rows int, n_bytes long, n_words long, payload binary"
 SENT_SCHEMA = "bucket int, block long, n int, data binary"
@@ -92,6 +92,14 @@ def to_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Blo
     return Blocks(table, docs.schema, text, size[0] or 0, size[1] or 0, size[2] or 0)
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one, so that a worker holds one block's copies at a time; memory that a block took goes back after it."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+            give_back()
+
+
 def unpack(payload: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(pa.py_buffer(payload)) as r:
         return r.read_next_batch()
@@ -150,7 +158,7 @@ class Order:
         self.starts = np.searchsorted(b[first], np.arange(buckets + 1))
 
     def rows(self, block: int, width: int = 8) -> pa.RecordBatch:
-        buckets = [b for b in range(len(self.starts) - 1) if self.starts[b] < self.starts[b + 1]]
+        buckets = np.flatnonzero(np.diff(self.starts)).tolist()
         out: dict[str, list] = {"bucket": buckets, "block": [block] * len(buckets), "n": [], "data": []}
         for b in buckets:
             lo, hi = self.starts[b], self.starts[b + 1]
@@ -171,9 +179,8 @@ def send(blocks: DataFrame, emit: Callable[[dict], Iterator[pa.RecordBatch]]) ->
     """Rows of SENT_SCHEMA from each row of blocks; emit gets the row as a dict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from emit(row)
+        for row in each_row(batches):
+            yield from emit(row)
 
     return map_arrow(blocks, run, SENT_SCHEMA)
 
@@ -206,6 +213,8 @@ def reply(sent: DataFrame, buckets: int, many: bool = False, width: int = 8) ->
                     out["block"].append(block)
                     out["bucket"].append(bucket)
                     out["data"].append(count_pack(got) if many else np.packbits(got > 1).tobytes())
+            del values, counts, order, v, each, first, total
+            give_back()
             yield pa.RecordBatch.from_pydict(out, schema=_REPLY)
 
     answered = map_arrow(sent.repartitionById(buckets, "bucket"), run, REPLY_SCHEMA)

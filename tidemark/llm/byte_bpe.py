@@ -189,11 +189,9 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = matrix_encoder(path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = list(encoder.documents(part.column(at).to_pylist()))
-                offsets = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            for lo, hi, ids, bounds in encoder.documents(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                lists = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at] + [lists], names=[n for i, n in enumerate(part.schema.names) if i != at] + ["token_ids"])
 
     return map_arrow(docs, run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import hashing as H
-from tidemark.llm.blocks import Blocks, Order, delta_pack, delta_unpack, pieces, reply, send, to_blocks, unpack, with_replies
+from tidemark.llm.blocks import Blocks, Order, delta_pack, delta_unpack, each_row, pieces, reply, send, to_blocks, unpack, with_replies
 from tidemark.llm.cells import Cell
 from tidemark.llm.components import components
 from tidemark.llm.storage import map_arrow, written
@@ -36,6 +36,8 @@ THRESHOLD = 0.8
 DAMPING = 0.25
 #: Frequencies are counted by 40 bits of a term; a few collisions change a few frequencies a little.
 TERM_BITS = 40
+#: A block's terms and their samples take some 60 times its bytes.
+BLOCK_BYTES = 4 << 20
 #: Texts, and terms of texts, that a cell's side holds about.
 CELL_TEXTS = 1024
 CELL_TERMS = 2_000_000
@@ -87,7 +89,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     of docs named class_uid or keeps are replaced; no row is added or dropped.
     """
     docs = docs.drop("class_uid", "keeps")
-    b = to_blocks(docs, text)
+    b = to_blocks(docs, text, BLOCK_BYTES)
     at = docs.columns.index(text)
     buckets = b.buckets(b.n_words)
     table = b.table.select("block", "payload")
@@ -101,21 +103,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     weigh = _weigher(b, at, k, buckets)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in batches:
-            for row in blocks.to_pylist():
-                rows, hashes, weights, _, n = weigh(row)
-                every = uid(row["block"], np.arange(n))
-                same1, same2 = H.mix(every.astype(np.uint64)).view(np.int64), every.copy()
-                bands: list = [None] * n
-                starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-                if len(starts):
-                    w = weights.view(np.uint64)
-                    has = rows[starts]
-                    same1[has] = np.add.reduceat(H.mix(hashes ^ H.mix(w)), starts).view(np.int64)
-                    same2[has] = np.add.reduceat(H.mix(H.mix(hashes + np.uint64(H.SECOND_BASE)) + w), starts).view(np.int64)
-                    for i, x in zip(has, band_keys(hashes, weights, starts).view(np.int64).tolist(), strict=True):
-                        bands[i] = x
-                yield pa.RecordBatch.from_pydict({"uid": every, "same1": same1, "same2": same2, "bands": bands}, schema=_SIGNED)
+        for row in each_row(batches):
+            rows, hashes, weights, _, n = weigh(row)
+            every = uid(row["block"], np.arange(n))
+            same1, same2 = H.mix(every.astype(np.uint64)).view(np.int64), every.copy()
+            bands: list = [None] * n
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+            if len(starts):
+                w = weights.view(np.uint64)
+                has = rows[starts]
+                same1[has] = np.add.reduceat(H.mix(hashes ^ H.mix(w)), starts).view(np.int64)
+                same2[has] = np.add.reduceat(H.mix(H.mix(hashes + np.uint64(H.SECOND_BASE)) + w), starts).view(np.int64)
+                for i, x in zip(has, band_keys(hashes, weights, starts).view(np.int64).tolist(), strict=True):
+                    bands[i] = x
+            yield pa.RecordBatch.from_pydict({"uid": every, "same1": same1, "same2": same2, "bands": bands}, schema=_SIGNED)
 
     signed = written(map_arrow(table, sign, "uid long, same1 long, same2 long, bands array<long>"), "signed")
     # One text of each set of equal ones stands for all.
@@ -127,20 +128,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdCompressor(1)
-        for blocks in batches:
-            for row in blocks.to_pylist():
-                rows, hashes, weights, shared, n = weigh(row)
-                bounds = np.searchsorted(rows, np.arange(n + 1))
-                out: dict[str, list] = {"uid": [], "n": [], "total": [], "vector": []}
-                for u in row["wanted"]:
-                    i = u & 0xFFFFF
-                    lo, hi = bounds[i], bounds[i + 1]
-                    w, common = weights[lo:hi].astype("<f4"), shared[lo:hi]
-                    out["uid"].append(u)
-                    out["n"].append(int(common.sum()))
-                    out["total"].append(float(w.sum(dtype=np.float64)))
-                    out["vector"].append(codec.compress(delta_pack(hashes[lo:hi][common] >> np.uint64(24), 5) + w[common].tobytes()))
-                yield pa.RecordBatch.from_pydict(out, schema=_VECTOR)
+        for row in each_row(batches):
+            rows, hashes, weights, shared, n = weigh(row)
+            bounds = np.searchsorted(rows, np.arange(n + 1))
+            out: dict[str, list] = {"uid": [], "n": [], "total": [], "vector": []}
+            for u in row["wanted"]:
+                i = u & 0xFFFFF
+                lo, hi = bounds[i], bounds[i + 1]
+                w, common = weights[lo:hi].astype("<f4"), shared[lo:hi]
+                out["uid"].append(u)
+                out["n"].append(int(common.sum()))
+                out["total"].append(float(w.sum(dtype=np.float64)))
+                out["vector"].append(codec.compress(delta_pack(hashes[lo:hi][common] >> np.uint64(24), 5) + w[common].tobytes()))
+            yield pa.RecordBatch.from_pydict(out, schema=_VECTOR)
 
     block = (F.shiftright("uid", 40) * (1 << 32) + F.shiftright("uid", 20).bitwiseAND(0xFFFFF)).alias("block")
     # A vector holds the terms that other documents have too, and the total weight of all.
@@ -152,14 +152,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     labels = labels.groupBy(block).agg(F.collect_list(F.struct("uid", "class_uid")).alias("labels"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in batches:
-            for row in blocks.to_pylist():
-                batch = unpack(row["payload"])
-                label = np.zeros(batch.num_rows, np.int64)
-                for x in row["labels"]:
-                    label[x["uid"] & 0xFFFFF] = x["class_uid"]
-                keeps = label == uid(row["block"], np.arange(batch.num_rows))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(keeps)], names=[*batch.schema.names, "class_uid", "keeps"])
+        for row in each_row(batches):
+            batch = unpack(row["payload"])
+            label = np.zeros(batch.num_rows, np.int64)
+            for x in row["labels"]:
+                label[x["uid"] & 0xFFFFF] = x["class_uid"]
+            keeps = label == uid(row["block"], np.arange(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(keeps)], names=[*batch.schema.names, "class_uid", "keeps"])
 
     schema = T.StructType(docs.schema.fields + [T.StructField("class_uid", T.LongType()), T.StructField("keeps", T.BooleanType())])
     return map_arrow(b.table.select("block", "payload").join(labels, "block"), finish, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -10,8 +11,14 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # no glibc here: its allocator needs no trimming
+    _libc = None
+
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
 
@@ -63,6 +70,13 @@ def _drop(spark: SparkSession, table: str) -> None:
         pass
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system: large arrays of many sizes otherwise stay with the allocator."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

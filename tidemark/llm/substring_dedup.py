@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm import hashing as H
-from tidemark.llm.blocks import Blocks, Order, covered, pieces, reply, send, to_blocks, unpack, with_replies
+from tidemark.llm.blocks import Blocks, Order, covered, each_row, pieces, reply, send, to_blocks, unpack, with_replies
 from tidemark.llm.storage import map_arrow
 
 WINDOW = 35
@@ -39,12 +39,12 @@ def _fingerprints(batch: pa.RecordBatch, at: int, k: int) -> tuple[np.ndarray, n
 def substring_dedup(docs: DataFrame, text: str = "text", k: int = WINDOW) -> DataFrame:
     """docs with `text` cut, and n_words and n_removed (long) beside it.
 
-    A word is a maximal run of bytes other than ASCII white space. A text that keeps
-    all words keeps its white space in `kept_text` only as one space between words, as
-    every other text does; `text` itself is replaced by that. Null text: no words, and
-    an empty text comes out. Texts of fewer than k words have no window and lose nothing.
-    Repeated rows are separate documents, so both lose all their windows. Columns of
-    docs named n_words or n_removed are replaced. Rows are neither added nor dropped.
+    A word is a maximal run of bytes other than ASCII white space. A run of removed words
+    goes with the white space behind it; all other white space stays, so a text that
+    keeps all its words stays as it is. Null text: no words, and null comes out. Texts of
+    fewer than k words have no window and lose nothing. Repeated rows are separate
+    documents, so both lose all their windows. Columns of docs named n_words or n_removed
+    are replaced. Rows are neither added nor dropped; an empty table gives an empty one.
     """
     docs = docs.drop("n_words", "n_removed")
     b = to_blocks(docs, text)
@@ -59,14 +59,13 @@ def cut(b: Blocks, k: int) -> DataFrame:
         yield Order(h1, h2, buckets).rows(row["block"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in rows.to_pylist():
-                batch = unpack(row["payload"])
-                h1, h2, starts, first = _fingerprints(batch, at, k)
-                order = Order(h1, h2, buckets)
-                seen = (order.answers(row["replies"], False) | (order.counts > 1))[order.rank]
-                gone = covered(starts[seen], k, int(first[-1]))
-                yield from _outputs(batch, at, gone, first)
+        for row in each_row(batches):
+            batch = unpack(row["payload"])
+            h1, h2, starts, first = _fingerprints(batch, at, k)
+            order = Order(h1, h2, buckets)
+            seen = (order.answers(row["replies"], False) | (order.counts > 1))[order.rank]
+            gone = covered(starts[seen], k, int(first[-1]))
+            yield from _outputs(batch, at, gone, first)
 
     sent = send(b.table.select("block", "payload"), emit)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in b.schema] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -79,12 +78,24 @@ def _outputs(batch: pa.RecordBatch, at: int, gone: np.ndarray, first: np.ndarray
     removed = total[first[1:]] - total[first[:-1]]
     for lo in range(0, batch.num_rows, rows):
         part = batch.slice(lo, rows)
-        kept = []
-        for i, text in enumerate(part.column(at).to_pylist(), lo):
-            words = (text or "").encode().split()
-            if removed[i]:
-                words = [words[j] for j in np.flatnonzero(~gone[first[i] : first[i + 1]])]
-            kept.append(b" ".join(words).decode())
+        column = part.column(at)
+        cut = removed[lo : lo + rows] > 0
+        if cut.any():
+            texts = column.to_pylist()
+            for i in np.flatnonzero(cut):
+                texts[i] = _without(texts[i].encode(), gone[first[lo + i] : first[lo + i + 1]]).decode()
+            column = pa.array(texts, column.type)
         columns = part.columns
-        columns[at] = pa.array(kept, part.schema.field(at).type)
+        columns[at] = column
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n[lo : lo + rows], pa.int64()), pa.array(removed[lo : lo + rows], pa.int64())], names=[*part.schema.names, "n_words", "n_removed"])
+
+
+def _without(text: bytes, gone: np.ndarray) -> bytes:
+    """text without its words that are gone and the white space behind each run of them (the last word: none)."""
+    begin, end, _ = H.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+    kept, at = [], 0
+    for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        kept.append(text[at : begin[a]])
+        at = int(begin[z]) if z < len(begin) else int(end[z - 1])
+    return b"".join([*kept, text[at:]])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm import hashing as H
-from tidemark.llm.blocks import Order, covered, pieces, reply, send, to_blocks, unpack, with_replies
+from tidemark.llm.blocks import Order, covered, each_row, pieces, reply, send, to_blocks, unpack, with_replies
 from tidemark.llm.storage import map_arrow, written
 
 LENGTH = 200
@@ -108,13 +108,12 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         yield Order(h1, h2, buckets).rows(row["block"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in rows.to_pylist():
-                batch = unpack(row["payload"])
-                h1, h2, where, n = candidates(row, batch)
-                order = Order(h1, h2, buckets)
-                repeated = (order.answers(row["replies"], False) | (order.counts > 1))[order.rank]
-                yield from _outputs(batch, at, covered(where[repeated], length, n))
+        for row in each_row(batches):
+            batch = unpack(row["payload"])
+            h1, h2, where, n = candidates(row, batch)
+            order = Order(h1, h2, buckets)
+            repeated = (order.answers(row["replies"], False) | (order.counts > 1))[order.rank]
+            yield from _outputs(batch, at, covered(where[repeated], length, n))
 
     table = b.table.select("block", "payload")
     names = written(reply(send(table, emit_names), name_buckets, width=width), "names")

@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import map_arrow, partitions
-from tidemark.llm.units import library_encoder
+from tidemark.llm.units import library_encoder, with_end
 
 MAGIC = b"PFR1"
 BLOCK = 128
 PERCENTILE = 90.0
 #: A segment is closed once it has so many ids; a longer document makes a longer segment.
 SEGMENT_IDS = 1 << 16
+#: Up to so many writing tasks their first ids are broadcast to the readers (16 bytes for each); beyond, they are joined by shuffle.
+BROADCAST_TASKS = 500_000
 
 SEGMENT_SCHEMA = "task int, segment int, before long, n_ids long, doc_ids array<long>, doc_lengths array<long>, data binary"
 _SEGMENT = pa.schema([("task", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -72,8 +74,8 @@ def encode(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE)
 class Segment:
     """Reads a segment, whole or by block."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, data: bytes | pa.Buffer):
+        if bytes(data[:4]) != MAGIC:
             raise ValueError("not a segment")
         self.n, self.block, self.blocks = struct.unpack_from("<III", data, 4)
         at = 16
@@ -118,33 +120,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, text: str
     doc_id with very many rows is spread over tasks.
     """
     spark = docs.sparkSession
-    tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, task = library_encoder(tokenizer), TaskContext.get().partitionId()
         keys: list[int | None] = []
-        lengths: list[int] = []
-        held: list[bytes] = []
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         size = before = number = 0
 
         def close() -> pa.RecordBatch:
             nonlocal keys, lengths, held, size, before, number
-            data = encode(np.frombuffer(b"".join(held), "<u4"))
-            out = pa.RecordBatch.from_pydict({"task": [task], "segment": [number], "before": [before], "n_ids": [size], "doc_ids": [keys], "doc_lengths": [lengths], "data": [data]}, schema=_SEGMENT)
+            out = pa.RecordBatch.from_pydict({"task": [task], "segment": [number], "before": [before], "n_ids": [size], "doc_ids": [keys], "doc_lengths": [np.concatenate(lengths)], "data": [encode(np.concatenate(held))]}, schema=_SEGMENT)
             before, number = before + size, number + 1
             keys, lengths, held, size = [], [], [], 0
             return out
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                for key, ids in zip(part.column(0).to_pylist(), encoder.documents(part.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    lengths.append(len(ids) // 4 + 1)
-                    held += [ids, tail]
-                    size += len(ids) // 4 + 1
+            for lo, hi, ids, bounds in encoder.documents(batch.column(1)):
+                ids, bounds = with_end(ids, bounds, end)
+                names = batch.column(0).slice(lo, hi - lo).to_pylist()
+                at = 0
+                while at < hi - lo:  # documents up to the one that fills the segment
+                    to = min(int(np.searchsorted(bounds, bounds[at] + SEGMENT_IDS - size)), hi - lo)
+                    keys += names[at:to]
+                    lengths.append(np.diff(bounds[at : to + 1]))
+                    held.append(ids[bounds[at] : bounds[to]])
+                    size += int(bounds[to] - bounds[at])
+                    at = to
                     if size >= SEGMENT_IDS:
                         yield close()
         if keys:
@@ -161,13 +165,19 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = Segment(row["data"]).read().astype("<u4").tobytes()
-                ends = np.cumsum(row["doc_lengths"])
-                starts = ends - row["doc_lengths"]
-                yield pa.RecordBatch.from_pydict({"task": [row["task"]] * len(ends), "doc_id": row["doc_ids"], "local_start": starts + row["before"], "n_tokens": row["doc_lengths"], "ids": [ids[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]}, schema=_DOC)
-
-    # One row for each writing task, so small however large the corpus; Spark broadcasts it if it is under its threshold.
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                task, before, data = (row.column(c)[0] for c in ("task", "before", "data"))
+                ids = Segment(data.as_buffer()).read().astype("<u4")
+                lengths = row.column("doc_lengths").flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                texts = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
+                tasks, starts = np.full(len(lengths), task.as_py(), np.int32), ends[:-1] + before.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(tasks), row.column("doc_ids").flatten(), pa.array(starts), pa.array(lengths), texts], schema=_DOC)
+
+    # One row for each writing task: the window below takes one task, over no more rows than that.
     each = segments.groupBy("task").agg(F.sum("n_ids").alias("n"))
     base = each.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("base"))
-    return map_arrow(segments.drop("n_ids", "segment"), run, DOC_SCHEMA).join(F.broadcast(base), "task").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    tasks = segments.agg(F.max("task")).first()[0] or 0
+    documents = map_arrow(segments.drop("n_ids", "segment"), run, DOC_SCHEMA)
+    return documents.join(F.broadcast(base) if tasks < BROADCAST_TASKS else base, "task").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")

@@ -1,97 +1,181 @@
 """Encoding whole texts unit by unit: a unit is cut where every supported pre-tokenizer cuts too.
 
-The pre-tokenizers split a text so that no pre-token runs over a space that is
-followed by something other than white space (the space opens a new pre-token). Texts
-are cut there, each distinct unit is encoded once in a worker's cache, and the text's
-ids are its units' ids in a row: the same ids as encoding the text whole.
+The pre-tokenizers split a text so that no pre-token runs over a space that is followed
+by something other than white space (the space opens a new pre-token), and so that a
+lone line end between other characters is a pre-token of its own. Texts are cut there,
+as byte offsets over an Arrow column; Arrow dictionary-encodes the units of a group of
+texts, each distinct unit is encoded once in a worker's cache, and the ids of all units
+are gathered by offset: the same ids as encoding each text whole.
+
+No unit begins where a string of the vocabulary's added tokens may begin, so such a
+string stays with what stands before it, and the library finds it as in the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_CUT = re.compile(r" (?=\S)")
-#: Units kept in a worker's cache before it starts anew; bounds its memory.
-CACHE_UNITS = 800_000
-#: Characters of text whose unknown units are encoded together.
-GROUP_CHARS = 4 << 20
+import numpy as np
+import pyarrow as pa
+
+from tidemark.llm import hashing as H
+from tidemark.llm.blocks import texts
+
+#: Units kept in a worker's cache; bounds its memory.
+CACHE_UNITS = 500_000
+#: Bytes of text that are cut and encoded together; a longer text is taken in such steps.
+GROUP_BYTES = 4 << 20
+
+#: Units that are encoded by one call, the sign between them, and what keeps a unit out: white space but for one leading space, or the sign.
+JOINED, MARK = 64, "\x01"
+_ODD = re.compile(r"^$|^ $|(?!^ )\s|[\x01\x1c-\x1f]")
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: First bytes of the characters among which there is white space outside ASCII, and last bytes of such white space.
+_MAY_OPEN_BLANK = [0xC2, 0xE1, 0xE2, 0xE3]
+_MAY_CLOSE_BLANK = [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
 
 
 class UnitEncoder:
-    """encode(units) gives each unit's ids as little-endian uint32 bytes; documents() gives whole texts'."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self._encode = encode
-        self._bare: dict[str, bytes] = {}
-        self._spaced: dict[str, bytes] = {}
-        self._newline = encode(["\n"])[0]
-
-    def documents(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Each text's ids (null: as an empty text), as little-endian uint32 bytes."""
-        group, size = [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(t or "")
-            if size >= GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        bare, spaced, cut = set(), set(), []
-        for t in texts:
-            lines = [x.split(" ") for x in t.split("\n")] if plain(t) else [_CUT.split(t)]
-            for x in lines:
-                bare.add(x[0])
-                spaced.update(x[1:])
-            cut.append(lines)
-        self._learn(bare, spaced)
-        first, rest, newline = self._bare, self._spaced, self._newline
-        out = []
-        for lines in cut:
-            ids: list[bytes] = []
-            for x in lines:
-                if ids:
-                    ids.append(newline)
-                ids.append(first[x[0]])
-                ids.extend(map(rest.__getitem__, x[1:]))
-            out.append(b"".join(ids))
-        return out
-
-    def _learn(self, bare: set[str], spaced: set[str]) -> None:
-        if len(self._bare) + len(self._spaced) > CACHE_UNITS:
-            self._bare, self._spaced = {}, {}
-        for new, have, lead in ((bare, self._bare, ""), (spaced, self._spaced, " ")):
-            units = [u for u in new if u not in have]
-            have.update(zip(units, self._encode([lead + u for u in units]), strict=True))
-
-
-def plain(text: str) -> bool:
-    """Only single spaces and line ends between words: then a line end is a pre-token of its own."""
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith((" ", "\n")) or text.startswith("\n") or _ODD_SPACE.search(text))
-
-
-_library: dict[tuple[str, bool], UnitEncoder] = {}
+    """encode(units) gives each unit's ids as little-endian uint32 bytes; documents() gives those of whole texts.
+
+    added: first bytes of strings that stand for a token wherever they occur; whole: never cut.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], added: bytes = b"", whole: bool = False):
+        self._encode, self._whole = encode, whole
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._opens, self._closes = ~_BLANK, ~_BLANK
+        self._opens[[*_MAY_OPEN_BLANK, *added]] = False
+        self._closes[_MAY_CLOSE_BLANK] = False
+
+    def documents(self, column: pa.Array, group: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """first, last + 1, ids (uint32) and offsets in them of runs of the column's texts (null: an empty text)."""
+        data, offsets = texts(column)
+        for lo, hi in H.chunks(offsets, group):
+            begin, end = int(offsets[lo]), int(offsets[hi])
+            ids, bounds, done, at = [], np.zeros(hi - lo + 1, np.int64), 0, begin
+            while at < end:
+                stop = self._stop(data, at, end, group)
+                got, ends, starts = self._encoded(data[at:stop], offsets[lo : hi + 1] - at)
+                inside = (offsets[lo : hi + 1] > at) & (offsets[lo : hi + 1] <= stop)
+                bounds[inside] = done + ends[np.searchsorted(starts, offsets[lo : hi + 1][inside] - at)]
+                ids.append(got)
+                done, at = done + len(got), stop
+            bounds = np.maximum.accumulate(bounds)
+            yield lo, hi, np.concatenate(ids) if ids else np.zeros(0, np.uint32), bounds
+
+    def _stop(self, data: np.ndarray, at: int, end: int, group: int) -> int:
+        """Where a step from `at` ends: at the end, or for one long text before the first unit after a step's length."""
+        if end - at <= 2 * group or self._whole:
+            return end
+        lo = at + group
+        while lo < end:
+            cut = np.flatnonzero(self._cuts(data[lo - 1 : min(lo + group, end)], np.zeros(0, np.int64))[1:])
+            if len(cut):
+                return lo + int(cut[0])
+            lo += group
+        return end
+
+    def _cuts(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where units begin in data, a run of texts that begin at edges too."""
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data) > 1 and not self._whole:
+            edge = np.zeros(len(data) + 1, bool)
+            edge[edges] = edge[0] = True
+            opens = self._opens[data[1:]] & ~edge[1:-1]
+            cut[:-2] = (data[:-1] == 0x20) & opens
+            line = np.flatnonzero((data[:-1] == 0x0A) & opens)
+            line = line[~edge[line]]
+            line = line[self._closes[data[line - 1]]]
+            cut[line] = cut[line + 1] = True
+        cut[edges] = True
+        return cut[:-1]
+
+    def _encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units, the ids before each unit (one longer), and the units' first bytes."""
+        cut = self._cuts(data, offsets[(offsets > 0) & (offsets < len(data))])
+        cut[:1] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        have = self._known(units.dictionary.to_pylist())
+        size = np.fromiter(map(len, have), np.int64, len(have)) // 4
+        flat = np.frombuffer(b"".join(have), "<u4")
+        which = units.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n)
+        place += np.arange(len(place))
+        return flat[place], ends, starts
+
+    def _known(self, units: list[bytes]) -> list[bytes]:
+        # Two generations: when the young one is full it becomes the old one, so units in use outlive the rest.
+        if len(self._young) > CACHE_UNITS // 2:
+            self._young, self._old = {}, self._young
+        young, old = self._young, self._old
+        new = []
+        for u in units:
+            if u not in young:
+                if (ids := old.get(u)) is None:
+                    new.append(u)
+                else:
+                    young[u] = ids
+        young.update(zip(new, self._encode([u.decode() for u in new]), strict=True))
+        return [young[u] for u in units]
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with `end` after each text's, and the offsets of the longer texts."""
+    longer = bounds + np.arange(len(bounds))
+    out = np.full(int(longer[-1]), end, np.uint32)
+    own = np.ones(len(out), bool)
+    own[longer[1:] - 1] = False
+    out[own] = ids
+    return out, longer
+
+
+_library: dict[str, UnitEncoder] = {}
 
 
 def library_encoder(path: str) -> UnitEncoder:
-    """A worker's encoder by the tokenizers library and the file at path, without special tokens: their strings are ordinary text."""
-    have = _library.get((path, True))
+    """A worker's encoder by the tokenizers library and the file at path, add_special_tokens=False and nothing else: the strings of added tokens in a text become those tokens."""
+    have = _library.get(path)
     if have is None:
         import os
 
-        import numpy as np
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        whole = any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or any(c.isspace() for c in x["content"]) for x in added)
 
-        def encode(units: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
+        have_added = tuple(x["content"] for x in added)
+
+        def each(strings: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, "<u4") for e in t.encode_batch_fast(strings, add_special_tokens=False)]
 
-        have = _library[path, True] = UnitEncoder(encode)
+        # Calls cost more than most units: units are joined by a line of a sign that is one token, where the library keeps them apart.
+        line, sign, probe = each(["\n", MARK, f"a\n{MARK}\na"])
+        joins = len(line) < 2 and len(sign) == 1 and probe.tolist() == [*each(["a"])[0], *line, *sign, *line, *each(["a"])[0]]
+
+        def encode(units: list[str]) -> list[bytes]:
+            plain = [joins and not _ODD.search(u) and not any(c in u for c in have_added) for u in units]
+            single = iter(x.tobytes() for x in each([u for u, p in zip(units, plain, strict=True) if not p]))
+            rest = [u for u, p in zip(units, plain, strict=True) if p]
+            joined: list[bytes] = []
+            for x in each([f"\n{MARK}\n".join(rest[i : i + JOINED]) for i in range(0, len(rest), JOINED)]):
+                raw, at = x.tobytes(), np.flatnonzero(x == sign[0])
+                starts, ends = 4 * np.concatenate([[0], at + 1 + len(line)]), 4 * np.append(at - len(line), len(x))
+                joined += [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+            plains = iter(joined)
+            return [next(plains) if p else next(single) for p in plain]
+
+        have = _library[path] = UnitEncoder(encode, bytes(x["content"].encode()[0] for x in added), whole)
     return have
