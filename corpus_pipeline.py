@@ -33,7 +33,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages of 35 words or more from the texts; n_chars follows. A document that loses all its text stays, empty."""
+    """Cuts repeated passages of 35 words or more from the texts; n_chars follows; white space elsewhere stays as it is. A document that loses all its words stays."""
     cut = substring_dedup(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else cut.select(docs.columns)
 
