@@ -3,11 +3,12 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 
-from tidemark.llm import near_dup
+from tidemark.llm import html_main_text, near_dup
 from tidemark.llm.cells import common
 from tidemark.llm.cover_tree import Search, top_k
 from tidemark.llm.html_main_text import extract, main_text
@@ -134,6 +135,46 @@ def test_extract_drops_what_is_not_the_article():
         assert isinstance(extract(odd, None), str)
 
 
+ARTICLE = "The article that the page is about, with a few words more."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content with-sidebar'><p>{ARTICLE}</p></div><div>other box</div>", ARTICLE),
+        (f"<form id='aspnetForm'><div><p>{ARTICLE}</p></div></form><p>tail</p>", ARTICLE),
+        (f"<div class='share-price-news'><p>{ARTICLE}</p></div><div>side</div>", ARTICLE),
+        (f"<p>{ARTICLE} <span class='ad'>BUY <span>NOW</span></span>end</p>", f"{ARTICLE} end"),
+        (f"<div><p>{ARTICLE}</p><p style='display: none'>unseen</p><p hidden>unseen</p><div aria-hidden=true>x</div></div>", ARTICLE),
+        (f"<article class='entry-post'><div class='entry-header'><h1>Head</h1></div><p>{ARTICLE}</p><article class='comment'>{ARTICLE * 3}</article></article>", f"Head {ARTICLE}"),
+        (f"<div class='sidebar'><main><p>{ARTICLE}</p></main></div><div class='sidebar'>{ARTICLE[:20]}</div>", ARTICLE),
+        (f"<div id=searchBox>find</div><div class='paywall'><p>{ARTICLE}</p></div><a class='ad'><div>buy</div></a><div class='site-header'>Site</div>", ARTICLE),
+        (f"<p>{ARTICLE}<p>a <b", f"{ARTICLE} a <b"),
+        ("<p>1 < 2 &lt;b&gt; &amp;amp; x&nbsp;y</p>", "1 < 2 <b> &amp; x y"),
+    ],
+)
+def test_names_are_weighed(page, text):
+    assert extract(page, None) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "x ', "<a \"'> ", "<!-- ", "<button>", "<x-y>", "<p><table>", "<script", "</", "<li><p>", "<div class='" + "b" * 50 + "'>"])
+def test_time_is_linear_in_the_page(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    extract(page, None)
+    assert time.process_time() - began < 20
+
+
+def test_pages_repeat_are_empty_and_have_clashing_columns(spark, monkeypatch):
+    rows = [(1, "http://h.example/1", PAGE, "own", 5)] * 2 + [(None, None, PAGE, None, None), (2, "no host", "", "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    want = [("T & x onetwo three four link i1 i2", 34)] * 3 + [("", 0)]
+    assert sorted((r.text, r.n_chars) for r in main_text(df).collect()) == sorted(want)
+    monkeypatch.setattr(html_main_text, "BROADCAST_CHARS", 0)
+    assert sorted((r.text, r.n_chars) for r in main_text(df).collect()) == sorted(want)
+    assert main_text(df.where("false")).count() == 0
+
+
 def test_main_text_follows_the_hosts_votes(spark):
     page = lambda main, side: f"<body><div class='x1'><p>{main}</p></div><div class='y'><p>{side}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page("long article text " * 9, "short")) for i in range(5)] + [(5, "http://h.example/5", page("tiny", "a much longer side box " * 9)), (6, None, None), (7, "http://k.example", "")]
