@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from tidemark.llm import html_main_text, near_dup
+from tidemark.llm import cover_tree, html_main_text, near_dup
 from tidemark.llm.cells import common
 from tidemark.llm.cover_tree import Search, top_k
 from tidemark.llm.html_main_text import extract, main_text
@@ -103,25 +103,72 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sum(r.keeps for r in got) == len(set(classes.values()))
 
 
+def exact_top(data, ids, queries, rows, k=20):
+    for q, row in zip(queries, rows, strict=True):
+        scores = data @ q
+        yield sorted((x for x in range(len(data)) if x != row), key=lambda x: (-scores[x], ids[x], x))[:k]
+
+
 @pytest.mark.parametrize("spread", [0, 3, 1000])
 def test_cover_tree_search_is_exact(spread):
     r = np.random.default_rng(spread)
     data = r.integers(-spread, spread + 1, (900, 6)) + 20 * r.integers(0, 3, (900, 1))
-    queries, ids = data[::20], r.permutation(900) // 2
-    s = Search(np.arange(0, 900, 20), queries, np.arange(900), ids, data, 20)
-    s.run()
-    for q, row in enumerate(range(0, 900, 20)):
-        scores = data @ queries[q]
-        best = sorted((x for x in range(900) if x != row), key=lambda x: (-scores[x], ids[x], x))[:20]
-        assert s.found[q].tolist() == best
+    rows, ids = np.arange(0, 900, 20), r.permutation(900) // 2
+    s = Search(np.arange(900), ids, data, 20)
+    _, found = s.run(rows, data[rows])
+    assert [f.tolist() for f in found] == list(exact_top(data, ids, data[rows], rows))
+    # Starting scores cut what is below them, not ties.
+    kth = np.array([(data @ data[q])[f[4]] for q, f in zip(rows, found, strict=True)])
+    scores, _ = s.run(rows, data[rows], kth)
+    assert all(len(x) >= 5 and x[min(len(x), 20) - 1] >= t for x, t in zip(scores, kth, strict=True))
+
+
+@pytest.mark.parametrize("apart", [0, 400])
+def test_top_k_equals_brute_force_over_blocks(spark, monkeypatch, apart):
+    monkeypatch.setattr(cover_tree, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(cover_tree, "GROUP_ROWS", 7)
+    monkeypatch.setattr(cover_tree, "GROUPS", 3)
+    r = np.random.default_rng(apart)
+    data = r.integers(-60, 61, (1500, 5)) + apart * r.integers(-1, 2, (1500, 5))
+    data[::7] = data[3]
+    ids = [int(x) if x % 31 else None for x in r.permutation(1500)]
+    rows = [(i, [float(y) / 64 for y in x], "own") for i, x in zip(ids, data, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string").repartition(3)
+    tie = np.array([2**60 if i is None else i for i in ids])
+    asks = [x for x in range(1500) if ids[x] is not None and ids[x] % 20 == 0]
+    want = {(ids[x], n): (ids[y], int(data[x] @ data[y])) for x, top in zip(asks, exact_top(data, tie, data[asks], asks), strict=True) for n, y in enumerate(top, 1)}
+    got = top_k(df, df.vec_id % 20 == 0).collect()
+    assert len(got) == len(want) and {(g.query_id, g.rank): (g.vec_id, g.score) for g in got} == want
+
+
+def test_cells_are_skipped_where_vectors_form_groups():
+    r = np.random.default_rng(5)
+    sample = (r.integers(-20, 21, (900, 8)) + 3000 * np.eye(8, dtype=int)[r.integers(0, 8, 900)]).astype(np.int64)
+    m2 = float((sample.astype(float) ** 2).sum(axis=1).max())
+    p = cover_tree.Pivots(sample, m2, 8)
+    norms = (sample.astype(float) ** 2).sum(axis=1)
+    cell, far = p.nearest(sample, np.sqrt(m2 - norms))
+    qcell, near = p.nearest(sample, np.zeros(900))
+    size = range(len(p.centers))
+    p.data_rows, p.data_radius = np.bincount(cell, minlength=len(size)), np.array([far[cell == c].max(initial=0) for c in size])
+    p.asks_rows, p.asks_radius, p.top = np.bincount(qcell, minlength=len(size)), np.array([near[qcell == c].max(initial=0) for c in size]), np.array([norms[qcell == c].max(initial=0) for c in size])
+    opened = 0
+    for c in np.flatnonzero(p.asks_rows):
+        scores = sample[qcell == c] @ sample.T
+        worst = np.sort(scores, axis=1)[:, -21].min()
+        may = p.open(c, worst)
+        assert set(cell[(scores >= worst).any(axis=0)]) <= set(may)
+        opened += len(may)
+    assert opened <= len(np.flatnonzero(p.asks_rows)) * (p.data_rows > 0).sum() / 2
 
 
 def test_top_k_leaves_out_bad_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (20, [1.0, 2.0]), (None, [9.0, 9.0]), (6, [1.0])]
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (20, [1.0, 2.0]), (None, [0.5, 0.5]), (6, [1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = top_k(df, df.vec_id % 20 == 0).collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r.rank))] == [(0, 1, 20, 20480), (0, 2, 1, 6144), (0, 3, 6, 4096), (20, 1, 0, 20480), (20, 2, 1, 6144), (20, 3, 6, 4096)]
-    assert top_k(df.where("false"), df.vec_id % 20 == 0).count() == 0
+    rest = [(2, 1, 6144), (3, None, 6144), (4, 6, 4096), (5, 7, 0)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r.rank))] == [(0, 1, 20, 20480), *((0, *x) for x in rest), (20, 1, 0, 20480), *((20, *x) for x in rest)]
+    assert top_k(df.where("false"), df.vec_id % 20 == 0).count() == 0 and top_k(df, df.vec_id < 0).count() == 0
 
 
 PAGE = """<html><body><header class="site"><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="wrap row12"><div class="content"><h1>T &amp; x</h1><p>one<b>two</b>

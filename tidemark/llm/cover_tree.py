@@ -4,6 +4,17 @@ Data points y get one more coordinate, sqrt(M^2 - |y|^2), and queries get 0 ther
 that a larger inner product is a smaller distance. Both sides are indexed; a pair of
 nodes is skipped when the bound from its centres' distance and covering radii is below
 the worst kth score of the queries under the query node.
+
+The top of both trees is shared: the centres of a cover tree over a bounded sample of
+rows are pivots, and every row, query or not, goes under its nearest one, so a pivot's
+cell is a node over real rows with their covering radius. Cells are cut into blocks of
+bounded size, in which the tree goes on.
+
+1. Every group of queries of one cell searches one block of the nearest data cell: this
+   gives each query a kth score to start from, and each group its worst one.
+2. Groups meet the cells: a cell whose bound is below the group's worst kth score is
+   skipped, and its rows are not sent there. The blocks of the others get the group's
+   queries, with their kth scores, and are searched by the rest of the trees.
 """
 
 from __future__ import annotations
@@ -21,8 +32,14 @@ from tidemark.llm.storage import map_arrow, written
 SCALE = 64
 K = 20
 LEAF = 128
-#: Rows of one cell of the query-by-data grid; a cell is one unit of work and bounds its memory.
-CELL_DATA, CELL_QUERIES = 4096, 2048
+#: Rows of a block of data and of a group of queries, fewer where vectors are long (NUMBERS in all): they bound a task's memory.
+BLOCK_ROWS, GROUP_ROWS, NUMBERS = 4096, 2048, 1 << 22
+#: Groups of queries that a copy of a data block serves.
+GROUPS = 16
+#: Rows on which the shared top of the trees is fitted, and pivots that it has, at most.
+SAMPLE, PIVOTS = 4096, 1024
+#: Tasks among which pairs of blocks and groups are dealt at most.
+TASKS = 20_000
 
 
 class _Node:
@@ -78,45 +95,54 @@ def build(x: np.ndarray) -> _Node:
 
 
 class Search:
-    """Top-k of every query against the data, by (score descending, id ascending), without the query's own row."""
-
-    def __init__(self, query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int):
-        self.k, self.rows, self.ids, self.query_rows = k, rows, ids, query_rows
-        exact = max(np.abs(queries).max(initial=0), np.abs(data).max(initial=0)) ** 2 * max(1, data.shape[1]) < 2**53
-        self.q, self.d = (queries.astype(np.float64), data.astype(np.float64)) if exact else (queries, data)
-        norms = np.einsum("ij,ij->i", data.astype(np.float64), data.astype(np.float64))
-        self.m2 = float(norms.max(initial=0))
-        self.far = np.hstack([data.astype(np.float64), np.sqrt(self.m2 - norms)[:, None]])
+    """Top-k of queries against blocks of data, by (score descending, id ascending), without the query's own row.
+
+    kth: scores below which nothing is wanted, one for each query; m2: the largest squared norm of all data.
+    """
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int, m2: float | None = None):
+        self.k, self.rows, self.ids, self.d = k, rows, ids, data
+        plain = data.astype(np.float64)
+        norms = np.einsum("ij,ij->i", plain, plain)
+        self.m2 = float(norms.max(initial=0)) if m2 is None else m2
+        self.far = np.hstack([plain, np.sqrt(np.maximum(self.m2 - norms, 0))[:, None]])
+        self.tree = build(self.far) if len(data) else None
+        self.pairs = self.skipped = 0
+
+    def run(self, query_rows: np.ndarray, queries: np.ndarray, kth: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scores and places in data of what each query finds, best first."""
+        exact = max(np.abs(queries).max(initial=0), np.abs(self.d).max(initial=0)) ** 2 * max(1, self.d.shape[1]) < 2**53
+        self.query_rows, self.q = query_rows, queries.astype(np.float64) if exact else queries
+        self.data = self.far[:, :-1] if exact else self.d
         self.near = np.hstack([queries.astype(np.float64), np.zeros((len(queries), 1))])
         self.q2 = np.einsum("ij,ij->i", self.near, self.near)
         self.slack = 1e-9 * (self.m2 + float(self.q2.max(initial=0)) + 1)
         self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         self.found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-        self.kth = np.full(len(queries), -np.inf)
-
-    def run(self) -> None:
-        if len(self.q) and len(self.d):
-            self._pair(build(self.near), build(self.far))
+        self.kth = np.full(len(queries), -np.inf) if kth is None else kth.astype(np.float64)
+        if len(queries) and self.tree is not None:
+            self._pair(build(self.near), self.tree)
+        return self.scores, self.found
 
     def _bounds(self, centers: np.ndarray, radii: np.ndarray, far: np.ndarray, far_radii: np.ndarray, top: np.ndarray) -> np.ndarray:
         """Upper bounds of the inner products under pairs of nodes; top: the largest squared norm of the queries."""
-        gap = np.sqrt(np.square(self.near[centers] - self.far[far]).sum(axis=1)) - radii - far_radii
-        gap = np.maximum(gap - 1e-7 * (1 + np.abs(gap)), 0.0)
-        return (top + self.m2 - gap * gap) / 2 + self.slack
+        return upper_bound(np.sqrt(np.square(self.near[centers] - self.far[far]).sum(axis=1)) - radii - far_radii, top, self.m2) + self.slack
 
     def _pair(self, a: _Node, b: _Node) -> None:
         stack = [(np.inf, a, b)]
         while stack:
             bound, a, b = stack.pop()
+            self.pairs += 1
             worst = self.kth[a.points].min()
             if bound < worst:
+                self.skipped += 1
                 continue
             if not a.children and not b.children:
                 self._leaves(a.points, b.points)
                 continue
             if b.children and (not a.children or b.radius >= a.radius):
                 bounds = self._bounds(np.full(len(b.children), a.center), a.radius, b.centers, b.radii, self.q2[a.points].max())
-                pairs = [(x, a, c) for x, c in zip(bounds.tolist(), b.children, strict=True) if x >= worst]
+                pairs = [(x, a, c) for x, c in zip(bounds.tolist(), b.children, strict=True)]
             else:
                 top = np.array([self.q2[c.points].max() for c in a.children])
                 bounds = self._bounds(a.centers, a.radii, np.full(len(a.children), b.center), b.radius, top)
@@ -124,7 +150,7 @@ class Search:
             stack += sorted(pairs, key=lambda x: x[0])
 
     def _leaves(self, qs: np.ndarray, ds: np.ndarray) -> None:
-        scores = self.q[qs] @ self.d[ds].T
+        scores = self.q[qs] @ self.data[ds].T
         own = self.query_rows[qs][:, None] == self.rows[ds]
         hit = (scores >= self.kth[qs][:, None]) & ~own
         for i in np.flatnonzero(hit.any(axis=1)):
@@ -134,18 +160,67 @@ class Search:
             order = np.lexsort((self.rows[f], self.ids[f], -s))[: self.k]
             self.scores[q], self.found[q] = s[order], f[order]
             if len(order) == self.k:
-                self.kth[q] = s[order[-1]]
+                self.kth[q] = max(self.kth[q], s[order[-1]])
+
 
+def upper_bound(gap: np.ndarray, top: np.ndarray | float, m2: float) -> np.ndarray:
+    """The largest inner product at a distance of gap or more, of queries of squared norm top or less."""
+    gap = np.maximum(gap - 1e-7 * (1 + np.abs(gap)), 0.0)
+    return (top + m2 - gap * gap) / 2
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.int64())])
 
+class Pivots:
+    """The shared top of the trees: centres, and what lies under them. data and asks: rows, and covering radius of each cell's; top: largest squared norm of each cell's queries."""
 
-def _matrix(column: pa.Array) -> np.ndarray:
+    def __init__(self, sample: np.ndarray, m2: float, wanted: int):
+        plain = sample.astype(np.float64)
+        norms = np.einsum("ij,ij->i", plain, plain)
+        far = np.hstack([plain, np.sqrt(np.maximum(m2 - norms, 0))[:, None]])
+        nodes = [build(far)]
+        centers = {nodes[0].center}
+        while len(centers) < min(wanted, PIVOTS):  # the widest node gives way to its children
+            node = max((x for x in nodes if x.children), key=lambda x: (x.radius, -x.center), default=None)
+            if node is None:
+                break
+            nodes.remove(node)
+            nodes += node.children
+            centers |= {x.center for x in node.children}
+        self.m2 = m2
+        self.centers = far[sorted(centers)[:PIVOTS]]
+        self.squares = np.einsum("ij,ij->i", self.centers, self.centers)
+        self.asks_rows = self.data_rows = np.zeros(len(self.centers), np.int64)
+        self.asks_radius = self.data_radius = self.top = np.zeros(len(self.centers))
+
+    def nearest(self, x: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and distance of each row's nearest pivot."""
+        x = np.hstack([x.astype(np.float64), extra[:, None]])
+        at = (self.squares - 2 * (x @ self.centers.T)).argmin(axis=1)
+        return at, np.sqrt(np.square(x - self.centers[at]).sum(axis=1))
+
+    def first(self) -> np.ndarray:
+        """The nearest cell with data of each cell's queries."""
+        far = np.array([np.sqrt(np.square(self.centers - c).sum(axis=1)) for c in self.centers])
+        far[:, self.data_rows == 0] = np.inf
+        return far.argmin(axis=1)
+
+    def open(self, cell: int, worst: float) -> np.ndarray:
+        """The cells that may hold a score of `worst` or more for some query of the cell."""
+        gap = np.sqrt(np.square(self.centers - self.centers[cell]).sum(axis=1)) - self.asks_radius[cell] - self.data_radius
+        slack = 1e-9 * (self.m2 + self.top[cell] + 1)
+        return np.flatnonzero((upper_bound(gap, self.top[cell], self.m2) + slack >= worst) & (self.data_rows > 0))
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("qcell", pa.int32()), ("qgroup", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND_SCHEMA = "query_id long, query_row long, qcell int, qgroup int, vec_id long, score long"
+_NO_ID = np.int64(2**63 - 1)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Vectors as rows; a shorter one is filled up with zeros."""
-    lists = column.to_pylist()
-    out = np.zeros((len(lists), max(map(len, lists), default=0)), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().to_numpy()
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width) < size[:, None]] = column.flatten().to_numpy()
     return out
 
 
@@ -153,48 +228,129 @@ def top_k(vectors: DataFrame, is_query, k: int = K, vector: str = "embedding", v
     """query_id, rank (int, from 1), vec_id, score (long): the k rows of largest integer inner product with each row for which is_query (a Column) is true, its own row left out.
 
     A component x becomes floor(scale * x), computed as double; it must stay within
-    2**31. Vectors that are null, or hold null or non-finite components, take no part;
-    nor do null ids. A shorter vector counts as filled up with zeros. Ties go to the
-    smaller vec_id. Rows with equal ids are separate rows, queries and candidates alike.
+    2**31. Vectors that are null, or hold null or non-finite components, take no part. A
+    shorter vector counts as filled up with zeros. Ties go to the smaller vec_id, null
+    ones last. Rows with equal ids are separate rows, queries and candidates alike. No
+    rows or no queries: no result; other columns of vectors are not read.
     """
     spark = vectors.sparkSession
     v, finite = F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    ints = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"), is_query.alias("is_query")).where(v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, finite))
+    ints = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"), is_query.alias("is_query")).where(v.isNotNull() & F.forall(v, finite))
     rows = written(ints.select("vec_id", F.transform(v, lambda x: F.floor(x * scale)).alias("v"), F.coalesce("is_query", F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row")), "vectors")
-    n, q = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    data_parts, query_parts = max(1, math.ceil(n / CELL_DATA)), max(1, math.ceil(q / CELL_QUERIES))
-    part = lambda parts, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts))
-    data = rows.select(F.lit(False).alias("asks"), "row", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("qp"), part(data_parts, 1).alias("dp"))
-    asks = rows.where("is_query").select(F.lit(True).alias("asks"), "row", "vec_id", "v", part(query_parts, 2).alias("qp"), F.explode(F.sequence(F.lit(0), F.lit(data_parts - 1))).alias("dp"))
-    cells = data.unionByName(asks).select((F.col("dp").cast("long") * query_parts + F.col("qp")).cast("int").alias("cell"), "asks", "row", "vec_id", "v")
+    norm = F.expr("aggregate(v, 0D, (s, x) -> s + cast(x AS double) * x)")
+    n, q, m2, width = rows.agg(F.count("*"), F.count_if("is_query"), F.max(norm), F.max(F.size("v"))).first()
+    if not n or not q:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    most = max(1, NUMBERS // max(width, 1))
+    block_rows, group_rows = min(BLOCK_ROWS, most), min(GROUP_ROWS, most)
+    sample = rows.select("v", "row").orderBy(F.xxhash64("row"), "row").limit(min(SAMPLE, most)).toArrow()
+    pivots = Pivots(_matrix(sample.column("v"), width), m2, math.ceil(n / block_rows))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                x = _matrix(part.column("v"), width).astype(np.float64)
+                norms = np.einsum("ij,ij->i", x, x)
+                asks = part.column("is_query").to_numpy(zero_copy_only=False)
+                cell, far = pivots.nearest(x, np.sqrt(np.maximum(m2 - norms, 0)))
+                qcell, near = np.zeros(len(x), np.int64), np.zeros(len(x))
+                if asks.any():
+                    qcell[asks], near[asks] = pivots.nearest(x[asks], np.zeros(asks.sum()))
+                new = [pa.array(cell.astype(np.int32)), pa.array(far), pa.array(qcell.astype(np.int32)), pa.array(near), pa.array(norms)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "cell", "far", "qcell", "near", "norm"])
+
+    dealt = written(map_arrow(rows, assign, "vec_id long, v array<long>, is_query boolean, row long, cell int, far double, qcell int, near double, norm double"), "vectors")
+    # At most PIVOTS rows each.
+    under = dealt.groupBy("cell").agg(F.count("*"), F.max("far")).collect()
+    asking = dealt.where("is_query").groupBy("qcell").agg(F.count("*"), F.max("near"), F.max("norm")).collect()
+    size = len(pivots.centers)
+    count = lambda got, i: np.array([dict((r[0], r[i]) for r in got).get(c, 0) for c in range(size)])
+    pivots.data_rows, pivots.data_radius = count(under, 1), count(under, 2).astype(float)
+    pivots.asks_rows, pivots.asks_radius, pivots.top = count(asking, 1), count(asking, 2).astype(float), count(asking, 3).astype(float)
+    blocks, groups = (np.maximum(1, -(-x // y)) for x, y in ((pivots.data_rows, block_rows), (pivots.asks_rows, group_rows)))
+    before = np.cumsum(blocks) - blocks
+    of = lambda values, c: F.element_at(F.array(*map(F.lit, values.tolist())), F.col(c) + 1)
+    part = lambda parts, c, seed: F.pmod(F.xxhash64("row", F.lit(seed)), of(parts, c)).cast("int")
+    data = dealt.select("row", "vec_id", "v", "cell", part(blocks, "cell", 1).alias("block"))
+    asks = dealt.where("is_query").select("row", "vec_id", "v", "qcell", part(groups, "qcell", 2).alias("qgroup"))
+
+    def search(data: DataFrame, asks: DataFrame, chunks: int) -> DataFrame:
+        unit = (((of(before, "cell") + F.col("block")) * chunks + F.col("chunk")) % F.lit(TASKS)).cast("int").alias("unit")
+        none = lambda kind: F.lit(None).cast(kind)
+        both = data.select(unit, "cell", "block", "chunk", F.lit(False).alias("asks"), none("int").alias("qcell"), none("int").alias("qgroup"), "row", "vec_id", "v", none("double").alias("kth"))
+        both = both.unionByName(asks.select(unit, "cell", "block", "chunk", F.lit(True).alias("asks"), "qcell", "qgroup", "row", "vec_id", "v", "kth"))
+        both = both.repartitionById(min(int(blocks.sum()) * chunks, TASKS), "unit").sortWithinPartitions("cell", "block", "chunk", "asks", "qcell", "qgroup")
+        return map_arrow(both, lambda batches: _searched(batches, k, m2, width), _FOUND_SCHEMA)
+
+    # One block for each group to start from.
+    first = pivots.first()
+    start = written(search(data.where("block = 0").withColumn("chunk", F.lit(0)), asks.select("*", of(first, "qcell").cast("int").alias("cell"), F.lit(0).alias("block"), F.lit(0).alias("chunk"), F.lit(float("-inf")).alias("kth")), 1), "found")
+    kth = start.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).cast("double").alias("kth"))
+    asks = written(asks.join(kth, F.col("row") == F.col("query_row"), "left").select("row", "vec_id", "v", "qcell", "qgroup", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")), "asks")
+    chunks = math.ceil(int(groups[pivots.asks_rows > 0].sum()) / GROUPS)
+    pairs = written(surviving(asks, pivots, blocks, chunks), "pairs")
+    wanted = pairs.select("cell", "block", "chunk").distinct()
+    rest = search(data.join(wanted, ["cell", "block"]), asks.join(pairs, ["qcell", "qgroup"]), chunks)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    return start.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def surviving(asks: DataFrame, pivots: Pivots, blocks: np.ndarray, chunks: int) -> DataFrame:
+    """qcell, qgroup, chunk, cell, block: the blocks, but for that of the start, which may hold something for some query of the group."""
+    first = pivots.first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
         for batch in batches:
-            cell = batch.column(0).to_numpy()
-            for lo, hi in zip(edges := [0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)], edges[1:]):
-                if hi > lo:
-                    if at is not None and cell[lo] != at:
-                        yield _cell(held, k)
-                        held = []
-                    at = cell[lo]
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield _cell(held, k)
-
-    dealt = cells.repartitionById(data_parts * query_parts, "cell").sortWithinPartitions("cell")
-    found = map_arrow(dealt, run, "query_id long, query_row long, vec_id long, row long, score long")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _cell(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
-    t = pa.Table.from_batches(held).combine_chunks()
-    asks = t.column("asks").to_numpy().astype(bool)
-    row, ids, v = t.column("row").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("v").combine_chunks())
-    s = Search(row[asks], v[asks], row[~asks], ids[~asks], v[~asks], k)
-    s.run()
-    n = [len(x) for x in s.found]
-    f = np.concatenate([*s.found, np.zeros(0, np.int64)]).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(np.repeat(row[asks], n)), pa.array(ids[~asks][f]), pa.array(row[~asks][f]), pa.array(np.concatenate([*s.scores, np.zeros(0, np.int64)]).astype(np.int64))], schema=_FOUND)
+            for qcell, qgroup, worst in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cells = pivots.open(qcell, worst)
+                cell = np.repeat(cells, blocks[cells])
+                block = np.arange(len(cell)) - np.repeat(np.cumsum(blocks[cells]) - blocks[cells], blocks[cells])
+                fresh = (cell != first[qcell]) | (block != 0)
+                cell, block = cell[fresh].astype(np.int32), block[fresh].astype(np.int32)
+                same = np.ones(len(cell), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(qcell * same), pa.array(qgroup * same), pa.array((qcell * 7919 + qgroup) % chunks * same), pa.array(cell), pa.array(block)], names=["qcell", "qgroup", "chunk", "cell", "block"])
+
+    worst = asks.groupBy("qcell", "qgroup").agg(F.min("kth").alias("worst"))
+    return map_arrow(worst, run, "qcell int, qgroup int, chunk int, cell int, block int")
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, m2: float, width: int) -> Iterator[pa.RecordBatch]:
+    """What the groups of each block find there. Rows come by block, its data first, then its groups."""
+    at, held, search = None, [], None
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        nonlocal search
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        row, x = t.column("row").to_numpy(), _matrix(t.column("v"), width)
+        ids = t.column("vec_id").combine_chunks()
+        if not at[3]:
+            search = Search(row, ids.fill_null(_NO_ID).to_numpy(), x, k, m2)
+            search.names = ids
+        elif search is not None:
+            scores, found = search.run(row, x, t.column("kth").to_numpy())
+            n = [len(f) for f in found]
+            if sum(n):
+                again = pa.array(np.repeat(np.arange(len(row)), n))
+                yield pa.RecordBatch.from_arrays([ids.take(again), pa.array(np.repeat(row, n)), *(t.column(c).combine_chunks().take(again) for c in ("qcell", "qgroup")), search.names.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], schema=_FOUND)
+
+    for batch in batches:
+        keys = [batch.column(c) for c in ("cell", "block", "chunk", "asks", "qcell", "qgroup")]
+        new = np.zeros(batch.num_rows, bool)
+        for c in keys:
+            c = c.cast(pa.int32()).fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi == lo:
+                continue
+            key = tuple(c[lo].as_py() for c in keys)
+            if key != at:
+                yield from ended()
+                if at is not None and key[:3] != at[:3]:
+                    search = None
+                at, held = key, []
+            held.append(batch.slice(lo, hi - lo))
+    yield from ended()
