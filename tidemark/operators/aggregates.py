@@ -78,8 +78,6 @@ statement("chain_hourly_activity", f"SELECT (t div 3600) % 24 AS hour, count(*)
 statement("claim_decay", f"SELECT owner, {q('regr_slope(ln(n), CAST(d AS DOUBLE))', 8)} AS slope FROM (SELECT owner, d, count(*) AS n FROM trades GROUP BY owner, d) x GROUP BY owner HAVING count(*) >= 3")
 statement("size_impact_within", f"WITH m AS (SELECT mint, avg(CAST(qty AS DOUBLE)) AS mq, avg(px) AS mp FROM trades GROUP BY mint) SELECT {q('sum((qty - mq) * (px - mp)) / nullif(sum((qty - mq) * (qty - mq)), 0)', 7)} AS gamma FROM trades JOIN m USING (mint)")
 statement("linear_detrend", f"WITH r AS (SELECT mint, regr_slope(px, CAST(d AS DOUBLE)) AS b, avg(px) AS mp, avg(CAST(d AS DOUBLE)) AS md FROM trades GROUP BY mint) SELECT mint, slot, txi, owner, {q('px - mp - b * (d - md)', 3)} AS residual FROM trades JOIN r USING (mint)")
-statement("risk_ratio_bootstrap", "SELECT (CAST(count(*) FILTER (WHERE discount > 0.05 AND side = 1) AS DOUBLE) / nullif(count(*) FILTER (WHERE discount > 0.05), 0)) / nullif(CAST(count(*) FILTER (WHERE discount <= 0.05 AND side = 1) AS DOUBLE) / nullif(count(*) FILTER (WHERE discount <= 0.05), 0), 0) AS risk_ratio FROM trades")
-statement("stratified_discrimination", f"SELECT {q('sum(w * diff) / sum(w)', 7)} AS effect FROM (SELECT mint % 11 AS stratum, CAST(count(*) AS DOUBLE) AS w, avg(CASE WHEN discount > 0.05 THEN CAST(qty AS DOUBLE) END) - avg(CASE WHEN discount <= 0.05 THEN CAST(qty AS DOUBLE) END) AS diff FROM trades GROUP BY 1) x WHERE diff IS NOT NULL")
 statement("stratified_sample_weights", "SELECT p.status, CAST(n AS DOUBLE) / k AS weight FROM (SELECT status, count(*) AS n FROM trades GROUP BY status) p JOIN (SELECT status, count(*) AS k FROM trades WHERE slot % 3 = 0 GROUP BY status) s ON p.status = s.status")
 statement("slot_contention", "SELECT n AS shared, count(*) AS trades_n, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS success FROM (SELECT side, count(*) OVER (PARTITION BY slot) AS n FROM trades) x GROUP BY n")
 statement("edge_flow_classes", "SELECT CASE WHEN pools = 1 THEN 'single' WHEN pools = 2 THEN 'pair' ELSE 'route' END AS class, count(*) AS n FROM (SELECT slot, count(DISTINCT mint) AS pools FROM trades GROUP BY slot) x GROUP BY 1")
@@ -88,7 +86,6 @@ statement("toll_gate", f"SELECT mint, avg(discount) * 10 > coalesce(var_samp(px)
 statement("conditional_surface", "SELECT CAST(floor(discount * 50) AS BIGINT) AS d_bin, txi AS remaining, count(*) AS n, count(*) FILTER (WHERE side = 1) AS up FROM trades GROUP BY 1, 2")
 statement("surface_predict_fallback", "WITH c AS (SELECT mint % 50 AS b, txi, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS r FROM trades WHERE d < 400 GROUP BY 1, 2), m AS (SELECT mint % 50 AS b, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS r FROM trades WHERE d < 400 GROUP BY 1), g AS (SELECT CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / nullif(count(*), 0) AS r FROM trades WHERE d < 1000) SELECT l.slot, l.txi, l.owner, coalesce(c.r, m.r, g.r) AS p FROM trades l LEFT JOIN c ON c.b = l.mint % 50 AND c.txi = l.txi LEFT JOIN m ON m.b = l.mint % 50 CROSS JOIN g WHERE l.d >= 2000")
 statement("venue_participation", "SELECT o.mint, owner, CAST(n AS DOUBLE) / total AS share, n * 2 >= total AS is_venue FROM (SELECT mint, owner, count(DISTINCT slot) AS n FROM trades GROUP BY mint, owner) o JOIN (SELECT mint, count(DISTINCT slot) AS total FROM trades GROUP BY mint) m ON o.mint = m.mint")
-statement("off_policy_eval", f"WITH w AS (SELECT CAST(side AS DOUBLE) AS r, (CASE WHEN discount > 0.05 THEN 0.7 ELSE 0.3 END) / (0.2 + 0.1 * txi) AS w FROM trades) SELECT {q('sum(w * r) / count(*)', 6)} AS ips, {q('sum(w * r) / sum(w)', 6)} AS snips, {q('sum(w) * sum(w) / sum(w * w)', 2)} AS ess, {q('max(w)', 6)} AS max_w FROM w", f"WITH w AS (SELECT CAST(side AS DOUBLE) AS r, CAST(CASE WHEN discount > 0.05 THEN 0.7 ELSE 0.3 END AS DOUBLE) / (CAST(0.2 AS DOUBLE) + CAST(0.1 AS DOUBLE) * txi) AS w FROM trades) SELECT {q('sum(w * r) / count(*)', 6)} AS ips, {q('sum(w * r) / sum(w)', 6)} AS snips, {q('sum(w) * sum(w) / sum(w * w)', 2)} AS ess, {q('max(w)', 6)} AS max_w FROM w")
 statement("policy_sweep_ips", f"SELECT CAST(tau AS DOUBLE) AS tau, {q('sum(CASE WHEN discount >= tau THEN side / (CAST(txi AS DOUBLE) + 1) END) / count(*)', 6)} AS ips, count(*) FILTER (WHERE discount >= tau) AS n FROM trades, (VALUES (0.02), (0.05), (0.08)) AS taus(tau) GROUP BY tau")
 statement("overlap_check", "SELECT count(*) AS missing FROM (SELECT DISTINCT txi FROM trades WHERE d >= 1000) a LEFT JOIN (SELECT DISTINCT txi FROM trades WHERE d < 1000 AND txi < 6) b ON a.txi = b.txi WHERE b.txi IS NULL")
 statement("competing_states", "SELECT state, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM (SELECT CASE WHEN o_totalprice > 250000 THEN 'ran' WHEN o_orderstatus = 'F' THEN 'dead' WHEN o_orderstatus = 'P' THEN 'censored' ELSE 'alive' END AS state FROM orders) x GROUP BY state")

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.operators import aggregates, algebra, bars, joins, kernels, projections, scans, sets, streams, windows  # noqa: F401
+from tidemark.operators import accounts, aggregates, algebra, bars, joins, kernels, projections, resampling, scans, sets, streams, windows  # noqa: F401

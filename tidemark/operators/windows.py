@@ -36,7 +36,6 @@ statement("kernel_aalen_johansen", _AJ_OUT.replace(*_FIX).replace("o_custkey % 2
 statement("one_minus_km", (f"WITH {_AJ} SELECT time_to, " + q("1 - exp(sum(ln(CASE WHEN d1 < at_risk THEN 1 - CAST(d1 AS DOUBLE) / at_risk ELSE 1e-300 END)) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))", 8) + " AS cif FROM k").replace(*_FIX))
 statement("verdict_survival_km", _AJ_OUT.replace(*_FIX).replace("FROM orders)", "FROM orders WHERE o_orderpriority = '1-URGENT')"))
 statement("desk_survival", _AJ_OUT.replace(*_FIX).replace("FROM orders)", "FROM orders WHERE o_totalprice > 150000)"))
-statement("rotation_null", "WITH s AS (SELECT d, CAST(sum(delta) AS BIGINT) AS x, row_number() OVER (ORDER BY d) - 1 AS rn, count(*) OVER () AS n FROM trades GROUP BY d) SELECT a.d, a.x, b.x AS rotated FROM s a JOIN s b ON b.rn = (a.rn + 37) % a.n")
 statement("circular_shift_null", f"WITH s AS (SELECT d, CAST(sum(delta) AS DOUBLE) AS x, row_number() OVER (ORDER BY d) - 1 AS rn, count(*) OVER () AS n FROM trades GROUP BY d), k AS (SELECT explode(sequence(CAST(1 AS BIGINT), n - 1)) AS shift FROM (SELECT max(n) AS n FROM s) z WHERE n > 1) SELECT CAST(shift AS BIGINT) AS shift, {q('corr(a.x, b.x)', 6)} AS r FROM s a CROSS JOIN k JOIN s b ON b.rn = (a.rn + shift) % a.n GROUP BY shift")
 _CUM = "z AS (SELECT owner, d, slot, txi, mint, cents, (CAST(delta AS DOUBLE) - 10) / 16 AS z FROM trades), h AS (SELECT *, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down FROM z WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), m AS (SELECT *, up - least(0, min(up) OVER w) AS hi, down - least(0, min(down) OVER w) AS lo FROM h WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 statement("cusum", f"WITH {_CUM} SELECT owner, {q('max(greatest(hi, lo))', 6)} AS cusum FROM m GROUP BY owner")
@@ -46,7 +45,6 @@ statement("signature_volatility_event", f"WITH {_E}, w AS (SELECT a.mint, lag_,
 statement("signature_volatility_wall", f"WITH g AS (SELECT mint, t, max(px) AS px FROM trades GROUP BY mint, t), m AS (SELECT mint, avg(px) AS p FROM g GROUP BY mint) SELECT a.mint, {q('avg((b.px - a.px) * (b.px - a.px)) / (100 * max(p) * max(p))', 8)} AS sigma2 FROM g a JOIN g b ON a.mint = b.mint AND b.t - a.t BETWEEN 86400 * 90 AND 86400 * 110 JOIN m ON m.mint = a.mint GROUP BY a.mint")
 statement("realized_vol_pair", f"WITH s AS (SELECT mint % 2 AS side_, d, ln(max(px)) AS l FROM trades GROUP BY 1, 2), r AS (SELECT a.d, a.l - b.l AS x FROM s a JOIN s b ON a.d = b.d AND a.side_ = 0 AND b.side_ = 1), g AS (SELECT x - lag(x) OVER (ORDER BY d) AS dx FROM r) SELECT {q('stddev_samp(dx)', 7)} AS vol, {q('avg(dx)', 7)} AS drift FROM g")
 statement("sigma2_from_path", f"WITH g AS (SELECT mint, d, ln(px) - lag(ln(px)) OVER (PARTITION BY mint ORDER BY {_ORDER}) AS r FROM trades) SELECT mint, {q('sum(r * r) / nullif(max(d) - min(d), 0)', 8)} AS sigma2_day FROM g GROUP BY mint")
-statement("order_flow_features", "SELECT event_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING), 0) * 0 + count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING) AS n_week, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS n_day FROM ev".replace("coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING), 0) * 0 + ", ""))
 statement("caller_track_record", f"SELECT call_id, count(*) OVER w AS resolved, max(price) OVER w AS best FROM calls WINDOW w AS (PARTITION BY caller ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 2592000 PRECEDING)")
 statement("first_bursts", "SELECT mint, min(d) + 1 AS at FROM (SELECT mint, d div 30 * 30 AS d, count(DISTINCT owner) AS n FROM trades WHERE side = 1 GROUP BY 1, 2) x WHERE n >= 2 GROUP BY mint")
 statement("burst_statistic", f"SELECT a.mint, {q('avg(CAST(n AS DOUBLE))', 6)} AS burst FROM (SELECT a.mint, a.slot, a.txi, a.owner, a.cents, count(DISTINCT b.owner) AS n FROM trades a JOIN trades b ON a.mint = b.mint AND abs(a.d - b.d) <= 20 AND a.owner <> b.owner GROUP BY a.mint, a.slot, a.txi, a.owner, a.cents) a GROUP BY a.mint")
@@ -61,10 +59,6 @@ statement("step_series", f"WITH s AS (SELECT mint, d, max(px) AS px FROM trades
 statement("prediction_base_rates", "WITH c AS (SELECT d, max_by(px, struct(slot, txi, mint, owner, cents)) AS c FROM trades GROUP BY d), b AS (SELECT min(d) AS lo, max(d) AS hi FROM c), g AS (SELECT explode(sequence(lo, hi, 5)) AS d FROM b) SELECT CAST(h AS BIGINT) AS horizon, count(*) AS n, count(*) FILTER (WHERE y.c > x.c) AS up FROM g JOIN c x ON x.d = g.d CROSS JOIN (VALUES (5), (20)) AS hs(h) JOIN c y ON y.d = g.d + h GROUP BY h")
 statement("block_excursion_census", "WITH a AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) SELECT l.mint, (l.d - d0) div 200 AS block, count(*) AS n, max(px) / min(px) - 1 AS excursion FROM trades l JOIN a ON a.mint = l.mint GROUP BY 1, 2")
 statement("excursion_summary", "WITH a AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint), b AS (SELECT l.mint, (l.d - d0) div 200 AS block, count(*) AS n, max(px) / min(px) - 1 AS excursion FROM trades l JOIN a ON a.mint = l.mint GROUP BY 1, 2) SELECT count(*) AS blocks, count(*) FILTER (WHERE n >= 3) AS workable, count(*) FILTER (WHERE n >= 3 AND excursion >= 0.05) AS qualifying FROM b")
-statement("fifo_pnl", """WITH l AS (SELECT owner, mint, side, qty, cents, sum(qty) OVER (PARTITION BY owner, mint, side ORDER BY d, slot, txi, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, d, slot, txi FROM trades),
- b AS (SELECT owner, mint, hi - qty AS lo, hi, cents, qty FROM l WHERE side = 1), s AS (SELECT owner, mint, slot, txi, hi - qty AS lo, hi, cents, qty FROM l WHERE side = -1)
-SELECT s.owner, s.mint, s.slot, s.txi, CAST(sum(least(s.hi, b.hi) - greatest(s.lo, b.lo)) AS BIGINT) AS matched FROM s JOIN b ON s.owner = b.owner AND s.mint = b.mint AND b.lo < s.hi AND b.hi > s.lo GROUP BY s.owner, s.mint, s.slot, s.txi""")
-statement("avg_cost_basis_recursion", f"SELECT owner, mint, CAST(sum(qty) AS BIGINT) AS bought, {q('sum(CAST(cents AS DOUBLE)) / sum(qty)', 6)} AS average_cost FROM trades WHERE side = 1 GROUP BY owner, mint")
 statement("digest_window", f"SELECT t div 3600 * 3600 AS hour, count(*) AS n, max(value) AS top FROM ev GROUP BY 1")
 statement("tumbling_minute", "SELECT t div 60 * 60 AS minute, count(*) AS n FROM ev GROUP BY 1")
 statement("board_watcher", "WITH s AS (SELECT DISTINCT d div 100 AS snap, mint FROM trades), p AS (SELECT snap, mint, lag(snap) OVER (PARTITION BY mint ORDER BY snap) AS before, lead(snap) OVER (PARTITION BY mint ORDER BY snap) AS next_ FROM s) SELECT mint, snap, before IS NULL OR before < snap - 1 AS enters, next_ IS NULL OR next_ > snap + 1 AS leaves FROM p")
@@ -78,7 +72,6 @@ statement("birth_aligned_events", "WITH b AS (SELECT mint, min(t) AS t0 FROM tra
 statement("mint_meta", "SELECT mint, min(d) AS first_d, max(d) AS last_d, count(*) AS n, min(d) <= 5 AS left_censored, max(d) >= 2500 AS right_censored FROM trades GROUP BY mint")
 statement("omori_decay", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint), a AS (SELECT lo, hi, count(*) AS n FROM trades l JOIN b ON b.mint = l.mint JOIN (VALUES (1, 30), (30, 90), (90, 270), (270, 810), (810, 2430)) AS k(lo, hi) ON l.d - d0 >= lo AND l.d - d0 < hi GROUP BY lo, hi) SELECT {q('regr_slope(ln(CAST(n AS DOUBLE) / (hi - lo)), ln((hi + lo) / CAST(2 AS DOUBLE)))', 6)} AS slope FROM a")
 statement("temporal_partition", "SELECT call_id, CASE WHEN t < 86400 * 1200 THEN 'train' WHEN t < 86400 * 1260 THEN 'excluded_embargo' ELSE 'validation' END AS partition_ FROM calls")
-statement("walk_forward_split", "WITH s AS (SELECT call_id, mint, t, (row_number() OVER (ORDER BY t, call_id) - 1) * 5 div count(*) OVER () AS block FROM calls), e AS (SELECT block, min(t) AS start FROM s GROUP BY block) SELECT fold, count(*) FILTER (WHERE s.block = fold) AS test, count(*) FILTER (WHERE s.block < fold AND s.t + 86400 * 30 < e.start) AS train, count(*) FILTER (WHERE s.block < fold AND s.t + 86400 * 30 >= e.start) AS purged FROM s JOIN (VALUES (1), (2), (3), (4)) AS f(fold) ON true JOIN e ON e.block = fold GROUP BY fold")
 statement("leakage_assert", "WITH s AS (SELECT mint, t, CASE WHEN t < 86400 * 1200 THEN 'train' ELSE 'test' END AS part FROM calls) SELECT count(*) AS violations FROM (SELECT mint FROM s WHERE part = 'train' AND t + 86400 * 30 >= 86400 * 1200) x")
 statement("entity_temporal_split", "SELECT mint, CASE WHEN min(t) < 86400 * 900 THEN 'train' ELSE 'test' END AS side_ FROM calls GROUP BY mint")
 statement("current_transaction_version", "SELECT slot, txi, owner, cents FROM (SELECT slot, txi, owner, cents, row_number() OVER (PARTITION BY slot, txi ORDER BY d DESC, owner DESC, mint DESC, cents DESC) AS rn FROM trades WHERE d <= 1800) x WHERE rn = 1")
@@ -89,7 +82,6 @@ statement("catalog_invariants", "SELECT 'order without customer' AS rule, count(
 statement("retention_prune", "SELECT event_id FROM ev LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) k ON k.o_custkey = ev.user_id WHERE t >= 1704800000 OR k.o_custkey IS NOT NULL")
 statement("resolve_cashtag", "SELECT p_brand, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS part, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM part WHERE p_size < 3 GROUP BY p_brand")
 statement("entity_mint_resolution", "SELECT n_regionkey, CASE WHEN count(*) = 1 THEN min(n_name) END AS name, count(*) AS n FROM nation WHERE n_name LIKE '%A' OR n_name LIKE 'N%' GROUP BY n_regionkey")
-statement("archive_outcomes", "SELECT c.call_id, max(CASE WHEN l.t <= c.t + 86400 * 7 THEN l.px END) AS week_high, max(l.px) AS high, min(l.px) AS low, count(*) = 0 AS dead FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t AND l.t <= c.t + 86400 * 90 GROUP BY c.call_id")
 statement("removal_inference", "SELECT user_id, CASE WHEN count(*) >= 3 AND max(t) - min(t) >= 86400 AND count(DISTINCT kind) >= 2 THEN 'removed' ELSE 'unknown' END AS state FROM ev WHERE kind IN ('error', 'view') GROUP BY user_id")
 statement("selection_outcomes", "SELECT c.call_id, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS px FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t + 86400 * 5 GROUP BY c.call_id")
 _TWO = "SELECT DISTINCT x.mint AS a, x.owner AS b, CAST(NULL AS BIGINT) AS c FROM trades x JOIN trades y ON y.mint = x.owner AND y.owner = x.mint WHERE x.mint < x.owner"

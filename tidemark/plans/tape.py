@@ -52,6 +52,7 @@ def oracle(text: str) -> str:
     for a, b in (("struct(", "row("), ("percentile(", "quantile_cont("), (" div ", " // ")):
         text = text.replace(a, b)
     text = re.sub(r"explode\(sequence\(", "unnest(generate_series(", text)
+    text = re.sub(r"(first|last)_value\(([^()]*)\) IGNORE NULLS", r"\1_value(\2 IGNORE NULLS)", text)
     words = set(re.findall(r"\w+", text))
     front = ", ".join(f"{name} AS ({sql})" for name, sql in DUCKDB.items() if name in words)
     if not front:
