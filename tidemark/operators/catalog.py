@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidemark.operators import accounts, aggregates, algebra, bars, joins, kernels, market, projections, resampling, scans, sets, streams, windows  # noqa: F401
+from tidemark.operators import accounts, aggregates, algebra, bars, decoding, joins, kernels, machines, market, models, projections, resampling, scans, sets, streams, windows  # noqa: F401
