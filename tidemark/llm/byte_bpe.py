@@ -167,8 +167,8 @@ def matrix_encoder(path: str, pattern: str) -> UnitEncoder:
 
         bpe, match = MatrixBPE(read_ranks(path)), regex.compile(pattern)
 
-        def encode(units: list[str]) -> list[bytes]:
-            pieces = [[x.encode() for x in match.findall(u)] for u in units]
+        def encode(units: list[bytes]) -> list[bytes]:
+            pieces = [[x.encode() for x in match.findall(u.decode())] for u in units]
             known = list({x for p in pieces for x in p})
             ids = {x: i.astype("<u4").tobytes() for x, i in zip(known, bpe.encode(known), strict=True)}
             return [b"".join(map(ids.__getitem__, p)) for p in pieces]

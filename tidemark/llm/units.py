@@ -9,12 +9,13 @@ are gathered by offset: the same ids as encoding each text whole.
 
 No unit begins where a string of the vocabulary's added tokens may begin, so such a
 string stays with what stands before it, and the library finds it as in the whole text.
+Units also end between an ASCII letter and an ASCII mark other than an apostrophe, where
+letters and marks are pre-tokens apart; not in a run of texts that holds such a string.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,29 +29,37 @@ CACHE_UNITS = 500_000
 #: Bytes of text that are cut and encoded together; a longer text is taken in such steps.
 GROUP_BYTES = 4 << 20
 
-#: Units that are encoded by one call, the sign between them, and what keeps a unit out: white space but for one leading space, or the sign.
-JOINED, MARK = 64, "\x01"
-_ODD = re.compile(r"^$|^ $|(?!^ )\s|[\x01\x1c-\x1f]")
-
+#: Units that are encoded by one call, and the sign between them.
+JOINED, MARK = 64, b"\x01"
+#: Letters 1, marks 2, all else 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
+_KIND[0x27] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 #: First bytes of the characters among which there is white space outside ASCII, and last bytes of such white space.
 _MAY_OPEN_BLANK = [0xC2, 0xE1, 0xE2, 0xE3]
 _MAY_CLOSE_BLANK = [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
 
+_ODD = _BLANK.copy()
+_ODD[[*_MAY_OPEN_BLANK, MARK[0], ord("<")]] = True
+
 
 class UnitEncoder:
     """encode(units) gives each unit's ids as little-endian uint32 bytes; documents() gives those of whole texts.
 
-    added: first bytes of strings that stand for a token wherever they occur; whole: never cut.
+    added: strings that stand for a token wherever they occur; whole: never cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], added: bytes = b"", whole: bool = False):
-        self._encode, self._whole = encode, whole
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], added: tuple[bytes, ...] = (), whole: bool = False):
+        self._encode, self._whole, self._added = encode, whole, added
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
         self._opens, self._closes = ~_BLANK, ~_BLANK
-        self._opens[[*_MAY_OPEN_BLANK, *added]] = False
+        self._opens[[*_MAY_OPEN_BLANK, *(x[0] for x in added)]] = False
+        self._marks = _KIND.copy()
+        self._marks[[x[0] for x in added]] = 0
         self._closes[_MAY_CLOSE_BLANK] = False
 
     def documents(self, column: pa.Array, group: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -75,14 +84,14 @@ class UnitEncoder:
             return end
         lo = at + group
         while lo < end:
-            cut = np.flatnonzero(self._cuts(data[lo - 1 : min(lo + group, end)], np.zeros(0, np.int64))[1:])
+            cut = np.flatnonzero(self._cuts(data[lo - 1 : min(lo + group, end)], np.zeros(0, np.int64), False)[1:])
             if len(cut):
                 return lo + int(cut[0])
             lo += group
         return end
 
-    def _cuts(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Where units begin in data, a run of texts that begin at edges too."""
+    def _cuts(self, data: np.ndarray, edges: np.ndarray, marks: bool = True) -> np.ndarray:
+        """Where units begin in data, a run of texts that begin at edges too. marks: also between letters and marks."""
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1 and not self._whole:
             edge = np.zeros(len(data) + 1, bool)
@@ -93,6 +102,9 @@ class UnitEncoder:
             line = line[~edge[line]]
             line = line[self._closes[data[line - 1]]]
             cut[line] = cut[line + 1] = True
+            if marks and not (self._added and any(x in raw for raw in [data.tobytes()] for x in self._added)):
+                kind = self._marks[data]
+                cut[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         cut[edges] = True
         return cut[:-1]
 
@@ -125,7 +137,7 @@ class UnitEncoder:
                     new.append(u)
                 else:
                     young[u] = ids
-        young.update(zip(new, self._encode([u.decode() for u in new]), strict=True))
+        young.update(zip(new, self._encode(new), strict=True))
         return [young[u] for u in units]
 
 
@@ -139,6 +151,18 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, longer
 
 
+def _alone(units: list[bytes]) -> np.ndarray:
+    """Which units are not joined with others: those with (what may be) white space but for one leading space, nothing else, the sign between units, or what may begin an added token."""
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    data = np.frombuffer(b"".join(units), np.uint8)
+    first = np.cumsum(size) - size
+    odd = _ODD[data]
+    lead = first[size > 1]
+    odd[lead[data[lead] == 0x20]] = False
+    n = np.concatenate([[0], np.cumsum(odd)])
+    return (n[first + size] > n[first]) | (size == 0)
+
+
 _library: dict[str, UnitEncoder] = {}
 
 
@@ -156,26 +180,25 @@ def library_encoder(path: str) -> UnitEncoder:
             added = json.load(f)["added_tokens"]
         whole = any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or any(c.isspace() for c in x["content"]) for x in added)
 
-        have_added = tuple(x["content"] for x in added)
-
-        def each(strings: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, "<u4") for e in t.encode_batch_fast(strings, add_special_tokens=False)]
+        def each(strings: list[bytes]) -> list[np.ndarray]:
+            return [np.array(e.ids, "<u4") for e in t.encode_batch_fast([x.decode() for x in strings], add_special_tokens=False)]
 
         # Calls cost more than most units: units are joined by a line of a sign that is one token, where the library keeps them apart.
-        line, sign, probe = each(["\n", MARK, f"a\n{MARK}\na"])
-        joins = len(line) < 2 and len(sign) == 1 and probe.tolist() == [*each(["a"])[0], *line, *sign, *line, *each(["a"])[0]]
-
-        def encode(units: list[str]) -> list[bytes]:
-            plain = [joins and not _ODD.search(u) and not any(c in u for c in have_added) for u in units]
-            single = iter(x.tobytes() for x in each([u for u, p in zip(units, plain, strict=True) if not p]))
-            rest = [u for u, p in zip(units, plain, strict=True) if p]
+        line, sign, letter, probe = each([b"\n", MARK, b"a", b"a\n" + MARK + b"\na"])
+        joins = len(line) < 2 and len(sign) == 1 and probe.tolist() == [*letter, *line, *sign, *line, *letter]
+
+        def encode(units: list[bytes]) -> list[bytes]:
+            alone = _alone(units) if joins else np.ones(len(units), bool)
+            out = np.empty(len(units), object)
+            out[alone] = [x.tobytes() for x in each([units[i] for i in np.flatnonzero(alone)])]
+            rest = [units[i] for i in np.flatnonzero(~alone)]
             joined: list[bytes] = []
-            for x in each([f"\n{MARK}\n".join(rest[i : i + JOINED]) for i in range(0, len(rest), JOINED)]):
+            for x in each([(b"\n" + MARK + b"\n").join(rest[i : i + JOINED]) for i in range(0, len(rest), JOINED)]):
                 raw, at = x.tobytes(), np.flatnonzero(x == sign[0])
                 starts, ends = 4 * np.concatenate([[0], at + 1 + len(line)]), 4 * np.append(at - len(line), len(x))
                 joined += [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-            plains = iter(joined)
-            return [next(plains) if p else next(single) for p in plain]
+            out[~alone] = joined
+            return out.tolist()
 
-        have = _library[path] = UnitEncoder(encode, bytes(x["content"].encode()[0] for x in added), whole)
+        have = _library[path] = UnitEncoder(encode, tuple(x["content"].encode() for x in added), whole)
     return have
