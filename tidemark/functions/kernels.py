@@ -36,8 +36,8 @@ def e_detector(x: np.ndarray, p0: float = 0.5, cap: float = 1e12) -> float:
     return best
 
 
-def bocpd(x: np.ndarray, hazard: float = 0.01, keep: int = 200) -> np.ndarray:
-    """Most likely run length after each value: Bayesian online change points, normal values of unknown mean and unit variance."""
+def bocpd(x: np.ndarray, hazard: float = 0.01, keep: int | None = None) -> np.ndarray:
+    """Most likely run length after each value: Bayesian online change points, normal values of unknown mean and unit variance. keep: run lengths kept (all, if None: then the work grows with the square of the series)."""
     out = np.zeros(len(x), np.int64)
     probability, total, count = np.ones(1), np.zeros(1), np.zeros(1)
     for i, v in enumerate(x):
