@@ -10,6 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
+_replanned: set[str] = set()
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -26,6 +27,19 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def replanned(name: str) -> Callable[[Query], Query]:
+    """Give a registered operator a plan of its own; its statement stays as the oracle that the plan must equal."""
+
+    def put(f: Query) -> Query:
+        if name not in _queries or name in _replanned:
+            raise ValueError(f"{name} is not registered, or has a plan of its own already")
+        _queries[name] = f
+        _replanned.add(name)
+        return f
+
+    return put
+
+
 def queries() -> dict[str, Query]:
     _load()
     return _queries
