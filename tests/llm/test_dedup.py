@@ -8,7 +8,8 @@ import time
 import numpy as np
 import pytest
 
-from tidemark.llm import cover_tree, html_main_text, near_dup
+from tidemark.llm import cover_tree, hashing, html_main_text, near_dup
+from tidemark.llm import suffix_dedup as suffix
 from tidemark.llm.cells import common
 from tidemark.llm.cover_tree import Search, top_k
 from tidemark.llm.html_main_text import extract, main_text
@@ -58,6 +59,26 @@ def test_cut_keeps_line_ends_and_indentation():
     assert cut("a b", "xx") == "" and cut("é\nb\tc", "x.x") == "b\t"
 
 
+@pytest.mark.parametrize("step", [1 << 20, 7])
+def test_hashes_do_not_depend_on_steps(monkeypatch, step):
+    monkeypatch.setattr(hashing, "STEP", step)
+    text = np.frombuffer(b"aa bb aa bb aa  longer-word-than-a-step aa bb" * 3, np.uint8)
+    start, end, _ = hashing.words(text, np.array([0, len(text)]))
+    words = [bytes(text[a:z]) for a, z in zip(start, end, strict=True)]
+    h = hashing.word_hashes(text, start, end)
+    assert len({(w, int(x)) for w, x in zip(words, h, strict=True)}) == len(set(words)) == len(set(h.tolist()))
+    at = np.arange(len(text) - 4)
+    r = hashing.rolling(text, at, 5, hashing.BYTE_BASE)
+    assert len({(bytes(text[i : i + 5]), int(x)) for i, x in zip(at, r, strict=True)}) == len(set(r.tolist())) == len({bytes(text[i : i + 5]) for i in at})
+
+
+def test_cover_positions():
+    offsets = np.cumsum([0, 5, 300, 0, 68, 67, 1000])
+    for depth in (1, 68):
+        want = [a + i for a, z in zip(offsets, offsets[1:]) for i in range(z - a) if i % suffix.PERIOD in suffix.COVER and z - a - i >= depth]
+        assert suffix._cover(offsets, depth).tolist() == want
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     rows, k = corpus(2), 200
     texts = [(t or "").encode() for _, t, *_ in rows]

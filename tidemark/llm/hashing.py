@@ -13,6 +13,8 @@ _MASK = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 SECOND_BASE = 0xA0761D6478BD642F | 1
+#: Bytes or words whose prefix sums are held at once.
+STEP = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -79,9 +81,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes and length."""
-    sums = prefix(data.astype(np.uint64) + np.uint64(1), BYTE_BASE)
-    return mix(slices(sums, BYTE_BASE, start, end) + (end - start).astype(np.uint64))
+    """A 64-bit hash of each word's bytes and length; a long text's words are hashed in steps."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        first = start[lo]
+        hi = max(int(np.searchsorted(end, first + STEP, side="right")), lo + 1)
+        sums = prefix(data[first : end[hi - 1]].astype(np.uint64) + np.uint64(1), BYTE_BASE)
+        out[lo:hi] = slices(sums, BYTE_BASE, start[lo:hi] - first, end[lo:hi] - first)
+        lo = hi
+    return mix(out + (end - start).astype(np.uint64))
 
 
 def windows(values: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
@@ -95,8 +104,18 @@ def windows(values: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 
 
 def rolling(values: np.ndarray, at: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
-    """Rabin-Karp hashes of values[i:i+k] for each i of at."""
-    return mix(slices(prefix(values, base), base, at, at + k))
+    """Rabin-Karp hashes of values[i:i+k] for each i of at (ascending), in steps. Bytes count as one more than they are."""
+    out = np.empty(len(at), np.uint64)
+    lo = 0
+    while lo < len(at):
+        first = at[lo]
+        hi = int(np.searchsorted(at, first + STEP))
+        part = values[first : at[hi - 1] + k]
+        sums = prefix(part.astype(np.uint64) + np.uint64(1) if part.dtype == np.uint8 else part, base)
+        place = at[lo:hi] - first
+        out[lo:hi] = slices(sums, base, place, place + k)
+        lo = hi
+    return mix(out)
 
 
 def chunks(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:

@@ -37,25 +37,29 @@ COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 NAME_BITS = 40
 BLOCK_BYTES = 4 << 20
 
-_IN_COVER = np.zeros(PERIOD, bool)
-_IN_COVER[list(COVER)] = True
-
 
 def _samples(batch: pa.RecordBatch, at: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints and positions (in the block's bytes) of all sample suffixes of at least `depth` bytes."""
     h1, h2, where, base = [], [], [], 0
     for _, _, data, offsets in pieces(batch, at):
-        place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-        p = np.flatnonzero(_IN_COVER[place % PERIOD] & (left >= depth))
-        values = data.astype(np.uint64) + np.uint64(1)
-        h1.append(H.rolling(values, p, depth, H.BYTE_BASE))
+        p = _cover(offsets, depth)
+        h1.append(H.rolling(data, p, depth, H.BYTE_BASE))
         h2.append(H.mix(h1[-1] ^ np.uint64(H.SECOND_BASE)))
         where.append(p + base)
         base += len(data)
     return np.concatenate(h1), np.concatenate(h2), np.concatenate(where)
 
 
+def _cover(offsets: np.ndarray, depth: int) -> np.ndarray:
+    """The positions of all texts whose distance from their text's start is in the cover, and which have `depth` bytes left."""
+    n = np.maximum(np.diff(offsets) - depth + 1, 0)  # positions of each text that have them
+    full, rest = n // PERIOD, n % PERIOD
+    many = full * len(COVER) + np.searchsorted(COVER, rest)
+    first = np.repeat(offsets[:-1], many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return first + place // len(COVER) * PERIOD + np.array(COVER)[place % len(COVER)]
+
+
 def _suffixes(batch: pa.RecordBatch, at: int, length: int, repeated: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both fingerprints and the positions of the suffixes that hold a repeated sample within their first PERIOD positions."""
     mark = np.zeros(n + PERIOD + 1, np.int32)
@@ -65,9 +69,8 @@ def _suffixes(batch: pa.RecordBatch, at: int, length: int, repeated: np.ndarray,
     for _, _, data, offsets in pieces(batch, at):
         w = H.windows(data, offsets, length)
         w = w[total[np.minimum(base + w + PERIOD, n)] > total[base + w]]
-        values = data.astype(np.uint64) + np.uint64(1)
-        h1.append(H.rolling(values, w, length, H.BYTE_BASE))
-        h2.append(H.rolling(values, w, length, H.SECOND_BASE))
+        h1.append(H.rolling(data, w, length, H.BYTE_BASE))
+        h2.append(H.rolling(data, w, length, H.SECOND_BASE))
         where.append(w + base)
         base += len(data)
     return np.concatenate(h1), np.concatenate(h2), np.concatenate(where)
