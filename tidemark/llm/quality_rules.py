@@ -165,9 +165,16 @@ def _best(rows: list[dict], cuts: int) -> Condition | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
-    """Learn from the documents that labels call good (quality 1) or bad (0), at most max_labelled of them; those that fail the base rule teach nothing."""
-    some = labels.select(labels[doc_id].alias("_tm_id"), labels[quality].cast("int").alias("_tm_good")).where("_tm_id IS NOT NULL AND _tm_good IS NOT NULL").orderBy(F.xxhash64("_tm_id"), "_tm_id", "_tm_good").limit(max_labelled)
+    """Learn from the documents that labels call good (quality 1) or bad (0), at most max_labelled of them; those that fail the base rule teach nothing.
+
+    Null labels and ids, labels of unknown documents and ids with labels of both kinds
+    teach nothing; of documents with one id the one with the least text hash does. Without
+    any bad document the list is empty and keeps all.
+    """
+    ids = labels.select(labels[doc_id].alias("_tm_id"), labels[quality].cast("int").alias("_tm_good")).where("_tm_id IS NOT NULL AND _tm_good IS NOT NULL")
+    some = ids.groupBy("_tm_id").agg(F.min("_tm_good").alias("_tm_good"), F.max("_tm_good").alias("_tm_most")).where("_tm_good = _tm_most").drop("_tm_most").orderBy(F.xxhash64("_tm_id"), "_tm_id").limit(max_labelled)
     labelled = docs.select(docs[doc_id].alias("_tm_id"), docs[text].alias("_tm_raw")).join(F.broadcast(some), "_tm_id")
+    labelled = labelled.groupBy("_tm_id", "_tm_good").agg(F.min_by("_tm_raw", F.xxhash64("_tm_raw")).alias("_tm_raw"))
     # Rows that fail the base rule are left out after collecting: a filter here would be pushed below the statistics and compute them again.
     rows = with_statistics(labelled, "_tm_raw").selectExpr(*(f"CASE WHEN word_chars > 0 THEN {e} END AS {f}" for f, e in FEATURES.items()), "_tm_good = 0 AS bad", "pmod(xxhash64(_tm_id, 7), 3) = 0 AS prune", "base_failed")
     return learn(sorted((r.asDict() for r in rows.collect() if not r["base_failed"]), key=lambda r: sorted(r.items())))
@@ -181,5 +188,5 @@ def apply_rules(docs: DataFrame, rules: DecisionList, text: str = "text") -> Dat
 def keep_good(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """The rows of docs that apply_rules keeps, with their own columns."""
     judged = apply_rules(docs, rules, text).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("kept").alias("_tm_kept"), F.monotonically_increasing_id().alias("_tm_row"))
-    # The row number is no deterministic expression, so the filter stays above the statistics instead of being pushed into them.
+    # The row number is no deterministic expression, so the filter stays above the statistics instead of being pushed into them, where they would be computed twice; the rows are the same either way.
     return judged.where("_tm_kept AND _tm_row >= 0").drop("_tm_kept", "_tm_row")
