@@ -127,3 +127,9 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     log = lambda x: math.lgamma(r + 1) - math.lgamma(x + 1) - math.lgamma(r - x + 1) + math.lgamma(s + 1) - math.lgamma(k - x + 1) - math.lgamma(s - k + x + 1) - (math.lgamma(r + s + 1) - math.lgamma(k + 1) - math.lgamma(r + s - k + 1))
     seen = log(a)
     return min(1.0, sum(math.exp(log(x)) for x in range(max(0, k - s), min(k, r) + 1) if log(x) <= seen + 1e-7))
+
+
+def sign_test(positive: int, negative: int) -> float:
+    """Two-sided p value of as uneven a split of signs."""
+    n, k = positive + negative, min(positive, negative)
+    return min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1)))

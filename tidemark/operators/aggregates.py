@@ -11,7 +11,6 @@ statement("count_distinct_conditional", "SELECT day, count(DISTINCT CASE WHEN si
 statement("quantile_exact", f"SELECT status, {q('percentile(px, 0.25)')} AS p25, {q('percentile(px, 0.5)')} AS p50, {q('percentile(px, 0.95)')} AS p95 FROM trades GROUP BY status")
 statement("median", f"SELECT mint, {q('median(px)')} AS mid, {q('median(px) FILTER (WHERE side = 1)')} AS buy_mid FROM trades GROUP BY mint")
 statement("mode_deterministic", "SELECT mint, owner FROM (SELECT mint, owner, row_number() OVER (PARTITION BY mint ORDER BY count(*) DESC, owner) AS rn FROM trades GROUP BY mint, owner) x WHERE rn = 1")
-statement("any_value", "SELECT slot, max(day) AS any_day, max(status) AS any_status FROM trades GROUP BY slot")
 statement("regression_slope_r2", f"SELECT status, {q('regr_slope(ln(px), ln(qty))')} AS slope, {q('regr_r2(ln(px), ln(qty))')} AS r2 FROM trades GROUP BY status")
 statement("correlation", f"SELECT status, {q('corr(px, CAST(qty AS DOUBLE))')} AS r FROM trades GROUP BY status")
 statement("stddev_sample", f"SELECT mint, {q('coalesce(stddev_samp(px), 0)')} AS vol FROM trades GROUP BY mint")
@@ -91,13 +90,10 @@ statement("overlap_check", "SELECT count(*) AS missing FROM (SELECT DISTINCT txi
 statement("competing_states", "SELECT state, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM (SELECT CASE WHEN o_totalprice > 250000 THEN 'ran' WHEN o_orderstatus = 'F' THEN 'dead' WHEN o_orderstatus = 'P' THEN 'censored' ELSE 'alive' END AS state FROM orders) x GROUP BY state")
 statement("outcome_vocabulary", "SELECT outcome, count(*) AS n FROM (SELECT mint, CASE WHEN count(*) < 5 THEN 'stillborn' WHEN max(px) >= 1.4 * min_by(px, struct(t, slot, txi, owner, cents)) THEN 'ran' WHEN max(d) < 2400 THEN 'died' ELSE 'alive' END AS outcome FROM trades GROUP BY mint) x GROUP BY outcome")
 statement("hour_matrix", "SELECT day, " + ", ".join(f"count(*) FILTER (WHERE (t div 3600) % 24 = {h}) AS h{h:02d}" for h in range(24)) + " FROM trades GROUP BY day")
-statement("diurnal_profile", f"WITH h AS (SELECT d, (t div 3600) % 24 AS hour, CAST(sum(qty) AS DOUBLE) AS v FROM trades GROUP BY 1, 2), m AS (SELECT d, avg(v) AS m FROM h GROUP BY d) SELECT hour, {q('avg(v / m)', 6)} AS profile FROM h JOIN m USING (d) GROUP BY hour")
 statement("dose_response_bins", f"WITH b AS (SELECT ntile(10) OVER (ORDER BY discount, slot, txi, owner, cents) AS bin, side, discount FROM trades) SELECT CAST(bin AS BIGINT) AS bin, {q('avg(discount)', 6)} AS dose, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS rate FROM b GROUP BY bin")
 statement("decile_contrast", f"WITH b AS (SELECT ntile(10) OVER (ORDER BY v, mint) AS bin, v, p FROM (SELECT mint, CAST(sum(qty) AS BIGINT) AS v, max(px) AS p FROM trades GROUP BY mint) x) SELECT {q('median(CASE WHEN bin = 10 THEN p END) - median(CASE WHEN bin = 1 THEN p END)')} AS contrast FROM b")
 statement("epistemic_brier_exact", "SELECT y, CAST(sum((1000 * y - p) * (1000 * y - p)) AS BIGINT) AS brier_millionths, count(*) AS n FROM (SELECT quality AS y, CAST(doc_id % 1000 AS BIGINT) AS p FROM labels) x GROUP BY y")
 statement("normalised_rank_power", "SELECT slot, (k + 1) / (12 * (k - 1)) AS variance FROM (SELECT slot, CAST(count(*) AS DOUBLE) AS k FROM trades GROUP BY slot) x WHERE k > 1")
 statement("tape_health", "SELECT count(*) AS reference, count(*) FILTER (WHERE status = 'F') AS observed, CAST(count(*) FILTER (WHERE status = 'F') AS DOUBLE) / count(*) AS coverage FROM trades")
 statement("tape_audit", "SELECT kind, count(*) AS n, count(*) - count(DISTINCT event_id) AS duplicates, count(*) FILTER (WHERE get_json_object(props, '$.k') IS NULL) AS malformed FROM ev GROUP BY kind", "SELECT kind, count(*) AS n, count(*) - count(DISTINCT event_id) AS duplicates, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL) AS malformed FROM ev GROUP BY kind")
-statement("source_watermarks", "SELECT caller, max(t) AS delivered_through FROM calls GROUP BY caller")
 statement("capital_recovery", "SELECT owner, CAST(sum(CASE WHEN side = -1 THEN cents ELSE 0 END) AS BIGINT) AS recovered, CAST(sum(CASE WHEN side = 1 THEN cents ELSE 0 END) AS BIGINT) AS invested FROM trades GROUP BY owner")
-statement("caller_record", f"SELECT caller, count(*) AS n, count(DISTINCT mint) AS mints, {q('median(price)')} AS median_price, max(price) AS best FROM calls GROUP BY caller")

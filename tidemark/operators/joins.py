@@ -49,7 +49,6 @@ def crew_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best_sets(spark, sf_dir, 1, True).groupBy("q").agg(F.max("jaccard").alias("best"))
 
 
-statement("crew_persistence_membership", "SELECT count(*) AS n, count(b.owner) AS seen FROM (SELECT DISTINCT owner FROM trades WHERE d >= 1300 AND qty > 40) a LEFT JOIN (SELECT DISTINCT owner FROM trades WHERE d < 1300 AND qty > 45 AND discount > 0.08) b ON b.owner = a.owner")
 statement("co_trade_slot_window_join", "SELECT least(a.owner, b.owner) AS w1, greatest(a.owner, b.owner) AS w2, count(*) AS n FROM trades a JOIN trades b ON a.mint = b.mint AND abs(a.d - b.d) <= 3 AND a.owner < b.owner GROUP BY 1, 2")
 statement("prebuyers", "SELECT l.owner, count(DISTINCT c.call_id) AS n FROM calls c JOIN trades l ON l.mint = c.mint AND l.t < c.t AND l.t >= c.t - 86400 * 10 AND l.side = 1 GROUP BY l.owner")
 statement("arrival_count_window", "SELECT c.call_id, count(l.mint) AS n FROM calls c LEFT JOIN trades l ON l.mint = c.mint AND l.t >= c.t AND l.t < c.t + 86400 * 20 GROUP BY c.call_id")

@@ -53,7 +53,6 @@ SELECT w.source, CAST(count(*) FILTER (WHERE df >= 0.2 * n.n) AS DOUBLE) / count
 statement("referral_share", "SELECT source, CAST(count(*) FILTER (WHERE text RLIKE 'https?://') AS DOUBLE) / count(*) AS share FROM documents GROUP BY source", "SELECT source, CAST(count(*) FILTER (WHERE regexp_matches(text, 'https?://')) AS DOUBLE) / count(*) AS share FROM documents GROUP BY source")
 statement("extract_mints_regex", "SELECT doc_id, explode(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', 0)) AS address FROM documents", "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS address FROM documents")
 statement("score_mention_quality", "SELECT doc_id, CASE WHEN length(text) >= 400 THEN 2 WHEN length(text) >= 100 THEN 1 ELSE 0 END + CASE WHEN source IN ('src0', 'src1') THEN 1 ELSE 0 END - CASE WHEN text LIKE '%!!%' THEN 2 ELSE 0 END AS score FROM documents")
-statement("digit_fold_content_hash", "SELECT doc_id, sha2(coalesce(text, ''), 256) AS content_hash FROM documents", "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
 statement("mul_div_floor", "SELECT slot, txi, owner, CAST((CAST(cents AS DECIMAL(18,0)) * CAST(qty AS DECIMAL(18,0))) AS BIGINT) div (mint + 1) AS lo FROM trades")
 statement("cp_sell_out", "SELECT slot, txi, owner, (y * qty) div (x + qty) AS out FROM (SELECT slot, txi, owner, qty, mint * 100 + 1000 AS x, cents + 1 AS y FROM trades) r")
 statement("min_out_slippage", "SELECT slot, txi, owner, ((y * qty) div (x + qty)) * (10000 - 150) div 10000 AS min_out FROM (SELECT slot, txi, owner, qty, mint * 100 + 1000 AS x, cents + 1 AS y FROM trades) r")

@@ -140,8 +140,6 @@ _statement("prebuyers", "SELECT l.owner, count(DISTINCT c.call_id) AS n FROM (SE
 _statement("arrival_count_window", "SELECT c.call_id, count(l.mint) AS n FROM (SELECT call_id, mint, t, explode(sequence(t div 1728000, t div 1728000 + 1)) AS at FROM calls) c LEFT JOIN (SELECT mint, t, t div 1728000 AS at FROM trades) l ON l.mint = c.mint AND l.at = c.at AND l.t >= c.t AND l.t < c.t + 1728000 GROUP BY c.call_id")
 _SIXTY = "(SELECT *, explode(sequence(t div 5184000, t div 5184000 + 1)) AS at FROM calls) c JOIN (SELECT *, t div 5184000 AS at FROM trades) l ON l.mint = c.mint AND l.at = c.at"
 _statement("entry_window_measure", f"SELECT c.call_id, count(*) AS n, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS first, max(l.px) AS high, min(l.px) AS low FROM {_SIXTY} AND l.t >= c.t AND l.t < c.t + 86400 * 60 GROUP BY c.call_id")
-_statement("entry_score", f"SELECT c.call_id, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS entry, max_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS exit_ FROM {_SIXTY.replace('5184000', '10368000')} AND l.t >= c.t AND l.t <= c.t + 86400 * 120 GROUP BY c.call_id")
-_statement("bandit_exit_paths", f"SELECT c.call_id, min(CASE WHEN l.px >= 1.0 THEN l.t END) AS take, min(CASE WHEN l.discount >= 0.09 THEN l.t END) AS stop_, max(l.t) AS last FROM {_SIXTY.replace('5184000', '17280000')} AND l.t > c.t AND l.t <= c.t + 86400 * 200 GROUP BY c.call_id")
 _statement("burst_statistic", "WITH p AS (SELECT a.mint, a.slot, a.txi, a.owner, a.cents, count(DISTINCT b.owner) AS n FROM (SELECT *, d div 20 AS at FROM trades) a JOIN (SELECT mint, owner, d, explode(sequence(d div 20 - 1, d div 20 + 1)) AS at FROM trades) b ON a.mint = b.mint AND a.at = b.at AND abs(a.d - b.d) <= 20 AND a.owner <> b.owner GROUP BY a.mint, a.slot, a.txi, a.owner, a.cents) SELECT mint, floor((avg(CAST(n AS DOUBLE))) * 1e6 + 0.5) / 1e6 AS burst FROM p GROUP BY mint")
 # What a call knows of its mint so far, or finds from then on, is a running window over trades and calls together.
 _BOTH = "b AS (SELECT mint, t, CAST(NULL AS BIGINT) AS call_id, px, delta, owner, slot, txi, cents FROM trades UNION ALL SELECT mint, {t}, call_id, NULL, NULL, NULL, NULL, NULL, NULL FROM calls)"

@@ -21,11 +21,6 @@ def dedupe_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(deduplicated(event_stream(spark, sf_dir), "event_id", "1 day"), "dedupe").select("event_id", "user_id", "event_type")
 
 
-@query("jsonl_tail", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def jsonl_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(event_stream(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "tail")
-
-
 @query("cursor_tail", "SELECT user_id, max(event_id) AS cursor, count(*) AS n FROM events GROUP BY user_id")
 def cursor_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(event_stream(spark, sf_dir).groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.count("*").alias("n")), "cursor", "complete")

@@ -21,7 +21,6 @@ statement("tumbling_event_windows", f"WITH {_E} SELECT mint, CAST((rn - 1) div 8
 statement("conservative_silence_hazard", "WITH g AS (SELECT mint, lead(d) OVER (PARTITION BY mint ORDER BY d) - d AS gap FROM (SELECT DISTINCT mint, d FROM trades) x) SELECT silence, count(*) FILTER (WHERE gap > silence OR gap IS NULL) AS silent, count(*) FILTER (WHERE gap > silence) AS came_back FROM g, (VALUES (10), (30), (90), (180)) AS s(silence) GROUP BY silence")
 statement("survival_curve_censored", "WITH l AS (SELECT mint, max(d) - min(d) AS age, 2600 - min(d) AS span FROM trades GROUP BY mint) SELECT a, count(*) FILTER (WHERE span >= a) AS denominator, count(*) FILTER (WHERE span >= a AND age >= a) AS alive FROM l, (VALUES (100), (500), (1000), (2000), (2400)) AS ages(a) GROUP BY a")
 statement("order_by_limit", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
-statement("keyset_pagination", "SELECT event_id, t FROM ev WHERE t < 1704500000 OR t = 1704500000 AND event_id < 500 ORDER BY t DESC, event_id DESC LIMIT 50")
 statement("top_k_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) x WHERE rn <= 2")
 statement("rank_cards", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS BIGINT) AS card FROM orders ORDER BY card LIMIT 100")
 statement("leaderboard", f"SELECT caller, n, mid FROM (SELECT caller, count(*) AS n, {q('median(price)')} AS mid FROM calls GROUP BY caller HAVING count(*) >= 5) x ORDER BY mid DESC, caller LIMIT 20")
@@ -32,10 +31,7 @@ _AJ = "r AS (SELECT o_custkey % 200 + 1 AS time_to, CASE o_orderstatus WHEN 'F'
 _AJ_OUT = f"WITH {_AJ} SELECT time_to, {q('surv', 8)} AS surv, {q('sum(step) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 8)} AS cif FROM b"
 _FIX = ("lag(surv, 1, 1.0)", "lag(surv, 1, CAST(1 AS DOUBLE))")
 statement("kaplan_aalen_johansen", _AJ_OUT.replace(*_FIX))
-statement("kernel_aalen_johansen", _AJ_OUT.replace(*_FIX).replace("o_custkey % 200 + 1", "o_orderkey % 60 + 1"))
 statement("one_minus_km", (f"WITH {_AJ} SELECT time_to, " + q("1 - exp(sum(ln(CASE WHEN d1 < at_risk THEN 1 - CAST(d1 AS DOUBLE) / at_risk ELSE 1e-300 END)) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))", 8) + " AS cif FROM k").replace(*_FIX))
-statement("verdict_survival_km", _AJ_OUT.replace(*_FIX).replace("FROM orders)", "FROM orders WHERE o_orderpriority = '1-URGENT')"))
-statement("desk_survival", _AJ_OUT.replace(*_FIX).replace("FROM orders)", "FROM orders WHERE o_totalprice > 150000)"))
 statement("circular_shift_null", f"WITH s AS (SELECT d, CAST(sum(delta) AS DOUBLE) AS x, row_number() OVER (ORDER BY d) - 1 AS rn, count(*) OVER () AS n FROM trades GROUP BY d), k AS (SELECT explode(sequence(CAST(1 AS BIGINT), n - 1)) AS shift FROM (SELECT max(n) AS n FROM s) z WHERE n > 1) SELECT CAST(shift AS BIGINT) AS shift, {q('corr(a.x, b.x)', 6)} AS r FROM s a CROSS JOIN k JOIN s b ON b.rn = (a.rn + shift) % a.n GROUP BY shift")
 _CUM = "z AS (SELECT owner, d, slot, txi, mint, cents, (CAST(delta AS DOUBLE) - 10) / 16 AS z FROM trades), h AS (SELECT *, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down FROM z WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), m AS (SELECT *, up - least(0, min(up) OVER w) AS hi, down - least(0, min(down) OVER w) AS lo FROM h WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 statement("cusum", f"WITH {_CUM} SELECT owner, {q('max(greatest(hi, lo))', 6)} AS cusum FROM m GROUP BY owner")
@@ -63,7 +59,6 @@ statement("digest_window", f"SELECT t div 3600 * 3600 AS hour, count(*) AS n, ma
 statement("tumbling_minute", "SELECT t div 60 * 60 AS minute, count(*) AS n FROM ev GROUP BY 1")
 statement("board_watcher", "WITH s AS (SELECT DISTINCT d div 100 AS snap, mint FROM trades), p AS (SELECT snap, mint, lag(snap) OVER (PARTITION BY mint ORDER BY snap) AS before, lead(snap) OVER (PARTITION BY mint ORDER BY snap) AS next_ FROM s) SELECT mint, snap, before IS NULL OR before < snap - 1 AS enters, next_ IS NULL OR next_ > snap + 1 AS leaves FROM p")
 statement("rug_detection", f"SELECT mint, slot, txi, owner, cents, px < 0.7 * high AS drop_, px < 0.7 * high AND before < 0.7 * high AS confirmed FROM (SELECT mint, slot, txi, owner, cents, px, max(px) OVER w AS high, lag(px) OVER (PARTITION BY mint ORDER BY {_ORDER}) AS before FROM trades WINDOW w AS (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x")
-statement("crime_features", f"SELECT mint, slot, txi, owner, cents, count(*) OVER w AS n, max(qty) OVER w AS largest, CAST(sum(delta) OVER w AS BIGINT) AS flow FROM trades WINDOW w AS (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)")
 statement("early_flow_features", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) SELECT l.mint, count(*) AS n, CAST(sum(delta) AS DOUBLE) / CAST(sum(qty) AS DOUBLE) AS imbalance, count(DISTINCT owner) AS owners FROM trades l JOIN b ON b.mint = l.mint AND l.d < d0 + 300 GROUP BY l.mint")
 statement("early_coin_features", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) SELECT l.mint, count(*) FILTER (WHERE side = 1) AS buys, count(*) FILTER (WHERE side = -1) AS sells, max(qty) AS largest, min(px) AS low, max(px) AS high FROM trades l JOIN b ON b.mint = l.mint AND l.d < d0 + 120 GROUP BY l.mint")
 statement("candle_features", f"WITH c AS (SELECT mint, d, max_by(px, struct(slot, txi, owner, cents)) AS c FROM trades GROUP BY mint, d), g AS (SELECT mint, c, c - lag(c) OVER (PARTITION BY mint ORDER BY d) AS move FROM c) SELECT mint, count(*) AS bars, count(*) FILTER (WHERE move > 0) AS up, {q('coalesce(stddev_samp(move), 0)', 6)} AS vol FROM g GROUP BY mint")
@@ -81,7 +76,6 @@ statement("late_data_policy", "SELECT slot, txi, owner, d AS event_d, d + txi *
 statement("catalog_invariants", "SELECT 'order without customer' AS rule, count(*) AS violations FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL UNION ALL SELECT 'line without order', count(*) FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL")
 statement("retention_prune", "SELECT event_id FROM ev LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) k ON k.o_custkey = ev.user_id WHERE t >= 1704800000 OR k.o_custkey IS NOT NULL")
 statement("resolve_cashtag", "SELECT p_brand, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS part, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM part WHERE p_size < 3 GROUP BY p_brand")
-statement("entity_mint_resolution", "SELECT n_regionkey, CASE WHEN count(*) = 1 THEN min(n_name) END AS name, count(*) AS n FROM nation WHERE n_name LIKE '%A' OR n_name LIKE 'N%' GROUP BY n_regionkey")
 statement("removal_inference", "SELECT user_id, CASE WHEN count(*) >= 3 AND max(t) - min(t) >= 86400 AND count(DISTINCT kind) >= 2 THEN 'removed' ELSE 'unknown' END AS state FROM ev WHERE kind IN ('error', 'view') GROUP BY user_id")
 statement("selection_outcomes", "SELECT c.call_id, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS px FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t + 86400 * 5 GROUP BY c.call_id")
 _TWO = "SELECT DISTINCT x.mint AS a, x.owner AS b, CAST(NULL AS BIGINT) AS c FROM trades x JOIN trades y ON y.mint = x.owner AND y.owner = x.mint WHERE x.mint < x.owner"
