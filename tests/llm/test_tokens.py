@@ -132,3 +132,11 @@ def test_store_pack_count_encode_on_nulls_ties_and_clashes(spark):
     back = bpe_decode(bpe_encode(docs, ranks, P.PATTERN), ranks).collect()
     assert sorted(bytes(r.decoded) for r in back) == [b"", b"", b"b b", b"b b", b"x"]
     assert zlib.crc32(got[2][4]) == zlib.crc32(got[3][4])
+    odd = spark.createDataFrame([(1, [0, 1], "own"), (2, None, "x"), (3, [], None)], "id int, token_ids array<int>, decoded string")
+    first = {v: k for k, v in read_ranks(ranks).items()}
+    assert {r.id: r.decoded if r.decoded is None else bytes(r.decoded) for r in bpe_decode(odd, ranks).collect()} == {1: first[0] + first[1], 2: None, 3: b""}
+    assert bpe_decode(odd.where("false"), ranks).count() == bpe_encode(docs.where("false"), ranks, P.PATTERN).count() == 0
+    with pytest.raises(Exception, match="vocabulary"):
+        bpe_decode(odd.selectExpr("id", "array(60000) AS token_ids"), ranks).collect()
+    clash = spark.createDataFrame([(1, "a b", [5], "z")], "doc_id long, text string, token_ids array<int>, decoded string")
+    assert bpe_decode(bpe_encode(clash, ranks, P.PATTERN), ranks).columns == ["doc_id", "token_ids", "decoded"]

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.storage import map_arrow
+from tidemark.llm.storage import give_back, map_arrow
 from tidemark.llm.units import UnitEncoder
 
 _NONE = np.int32(2**31 - 1)
@@ -193,15 +194,41 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                 part = batch.slice(lo, hi - lo)
                 lists = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at] + [lists], names=[n for i, n in enumerate(part.schema.names) if i != at] + ["token_ids"])
+            give_back()
 
     return map_arrow(docs, run, schema)
 
 
-_tokens: dict[str, list[bytes]] = {}
+class TokenBytes:
+    """Every token's bytes in one array, to gather the bytes of many ids at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by = dict(zip(ranks.values(), ranks, strict=True))
+        self._known = np.zeros(max(by) + 1, bool)
+        self._known[list(by)] = True
+        tokens = [by.get(i, b"") for i in range(max(by) + 1)]
+        self._size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self._first = np.cumsum(self._size) - self._size
+        self._data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids in a row, and the bytes before each id (one longer)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._known) or not self._known[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        size = self._size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(self._first[ids] - ends[:-1], size)
+        place += np.arange(len(place))
+        return self._data[place], ends
+
+
+_tokens: dict[str, TokenBytes] = {}
+#: Rows that are decoded at once.
+DECODED_ROWS = 200
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
-    """encoded with decoded (binary): the bytes of the ids in a row; null ids: null. A column named decoded is replaced. Unknown ids raise."""
+    """encoded with decoded (binary): the bytes of the ids in a row; null ids: null. A column named decoded is replaced. Unknown ids raise; an empty table gives an empty one."""
     encoded = encoded.drop("decoded")
     at = encoded.columns.index(ids)
     schema = T.StructType(encoded.schema.fields + [T.StructField("decoded", T.BinaryType())])
@@ -209,14 +236,16 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _tokens.get(path)
         if table is None:
-            ranks = read_ranks(path)
-            table = _tokens[path] = [b""] * (max(ranks.values()) + 1)
-            for token, rank in ranks.items():
-                table[rank] = token
+            table = _tokens[path] = TokenBytes(read_ranks(path))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                out = [None if x is None else b"".join(map(table.__getitem__, x)) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+            for lo in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(lo, DECODED_ROWS)
+                lists = part.column(at)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                data, ends = table.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                bounds = ends[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+                out = pa.Array.from_buffers(pa.binary(), len(lists), [lists.is_valid().buffers()[1], pa.py_buffer(bounds), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, "decoded"])
+            give_back()
 
     return map_arrow(encoded, run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import map_arrow, partitions
+from tidemark.llm.storage import give_back, map_arrow, partitions
 from tidemark.llm.units import library_encoder, with_end
 
 MAX_LENGTH = 4096
@@ -76,6 +76,7 @@ def pack(docs: DataFrame, path: str, end: int, text: str = "text", doc_id: str =
                         ],
                         schema=_PACKED,
                     )
+            give_back()
 
     packed = map_arrow(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")), run, PACKED_SCHEMA)
     return packed.repartition(partitions(docs.sparkSession), "bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 16))).sortWithinPartitions("bucket")

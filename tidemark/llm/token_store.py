@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import map_arrow, partitions
+from tidemark.llm.storage import give_back, map_arrow, partitions
 from tidemark.llm.units import library_encoder, with_end
 
 MAGIC = b"PFR1"
@@ -151,6 +151,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, text: str
                     at = to
                     if size >= SEGMENT_IDS:
                         yield close()
+            give_back()
         if keys:
             yield close()
 

@@ -25,9 +25,9 @@ from tidemark.llm import hashing as H
 from tidemark.llm.blocks import texts
 
 #: Units kept in a worker's cache; bounds its memory.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 300_000
 #: Bytes of text that are cut and encoded together; a longer text is taken in such steps.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 #: Units that are encoded by one call, and the sign between them.
 JOINED, MARK = 64, b"\x01"
