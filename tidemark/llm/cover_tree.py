@@ -31,7 +31,8 @@ from tidemark.llm.storage import map_arrow, written
 
 SCALE = 64
 K = 20
-LEAF = 128
+#: Points of a leaf, about, and of a node that is no more divided.
+LEAF, SMALL = 128, 32
 #: Rows of a block of data and of a group of queries, fewer where vectors are long (NUMBERS in all): they bound a task's memory.
 BLOCK_ROWS, GROUP_ROWS, NUMBERS = 4096, 2048, 1 << 22
 #: Groups of queries that a copy of a data block serves.
@@ -43,18 +44,23 @@ TASKS = 20_000
 
 
 class _Node:
-    __slots__ = ("center", "radius", "points", "children", "centers", "radii")
+    """A node over points around a centre. A leaf may bind several small nodes: parts are where each one's points begin, with its own centre and radius."""
 
-    def __init__(self, center: int, radius: float, points: np.ndarray, children: list[_Node]):
+    __slots__ = ("center", "radius", "points", "children", "centers", "radii", "parts", "part_centers", "part_radii")
+
+    def __init__(self, center: int, radius: float, points: np.ndarray, children: list[_Node], parts: list[tuple[int, int, float]] | None = None):
         self.center, self.radius, self.points, self.children = center, radius, points, children
         self.centers, self.radii = np.array([c.center for c in children], np.int64), np.array([c.radius for c in children])
+        sizes, centers, radii = zip(*(parts or [(len(points), center, radius)]), strict=True)
+        self.parts, self.part_centers, self.part_radii = np.cumsum([0, *sizes])[:-1], np.array(centers), np.array(radii)
 
 
 def build(x: np.ndarray) -> _Node:
     """A cover tree over the rows of x: a node at scale i has children at scale i - 1 whose centres are more than 2**(i-1) apart and cover its points to within that; a child holds the point of its parent.
 
     Children of few points, of which there are many where all points are far apart, are
-    bound together by LEAF into leaves under their parent's own centre, nearest first.
+    bound together into leaves of about LEAF points; a leaf keeps their centres and radii,
+    so that a search still skips them one by one.
     """
     squares = np.einsum("ij,ij->i", x, x)
 
@@ -63,30 +69,30 @@ def build(x: np.ndarray) -> _Node:
 
     def node(points: np.ndarray, c: int, d: np.ndarray) -> _Node:
         radius = float(d.max())
-        if len(points) <= LEAF or radius == 0:
+        if len(points) <= SMALL or radius == 0:
             return _Node(c, radius, points, [])
         reach = 2.0 ** (math.ceil(math.log2(radius)) - 1)
-        children, few, far = [], [], []
+        children, small = [], []
         rest, center, near, own = points, c, d, d
         while True:
             inside = near <= reach
-            if inside.sum() * 4 > LEAF:
+            if inside.sum() > SMALL:
                 children.append(node(rest[inside], center, near[inside]))
             else:
-                few.append(rest[inside])
-                far.append(own[inside])
+                small.append((rest[inside], center, float(near[inside].max()), float(own[inside].max())))
             rest, own = rest[~inside], own[~inside]
             if not len(rest):
                 break
             center = int(rest[0])
             near = distances(rest, center)
             near[0] = 0.0
-        if few:
-            small, distance = np.concatenate(few), np.concatenate(far)
-            order = np.argsort(distance, kind="stable")
-            for lo in range(0, len(small), LEAF):
-                part = order[lo : lo + LEAF]
-                children.append(_Node(c, float(distance[part].max()), small[part], []))
+        small.sort(key=lambda s: s[3])
+        held: list[tuple] = []
+        for i, part in enumerate(small):
+            held.append(part)
+            if sum(len(p[0]) for p in held) >= LEAF or i == len(small) - 1:
+                children.append(_Node(c, max(p[3] for p in held), np.concatenate([p[0] for p in held]), [], [(len(p[0]), p[1], p[2]) for p in held]))
+                held = []
         return _Node(c, radius, points, children)
 
     every = np.arange(len(x))
@@ -138,7 +144,7 @@ class Search:
                 self.skipped += 1
                 continue
             if not a.children and not b.children:
-                self._leaves(a.points, b.points)
+                self._leaves(a, b)
                 continue
             if b.children and (not a.children or b.radius >= a.radius):
                 bounds = self._bounds(np.full(len(b.children), a.center), a.radius, b.centers, b.radii, self.q2[a.points].max())
@@ -149,7 +155,19 @@ class Search:
                 pairs = [(x, c, b) for x, c in zip(bounds.tolist(), a.children, strict=True)]
             stack += sorted(pairs, key=lambda x: x[0])
 
-    def _leaves(self, qs: np.ndarray, ds: np.ndarray) -> None:
+    def _leaves(self, a: _Node, b: _Node) -> None:
+        qs, ds = a.points, b.points
+        if (len(a.parts) > 1 or len(b.parts) > 1) and (a.part_radii.any() or b.part_radii.any()):
+            # The same bound for every pair of parts at once; between single points it would be the score itself.
+            x, y = self.near[a.part_centers], self.far[b.part_centers]
+            gap = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y) - 2 * (x @ y.T), 0)) - a.part_radii[:, None] - b.part_radii
+            may = upper_bound(gap, np.maximum.reduceat(self.q2[qs], a.parts)[:, None], self.m2) + self.slack >= np.minimum.reduceat(self.kth[qs], a.parts)[:, None]
+            self.pairs += may.size
+            self.skipped += may.size - int(may.sum())
+            qs = qs[np.repeat(may.any(axis=1), np.diff(a.parts, append=len(qs)))]
+            ds = ds[np.repeat(may.any(axis=0), np.diff(b.parts, append=len(ds)))]
+            if not len(qs) or not len(ds):
+                return
         scores = self.q[qs] @ self.data[ds].T
         own = self.query_rows[qs][:, None] == self.rows[ds]
         hit = (scores >= self.kth[qs][:, None]) & ~own
