@@ -72,7 +72,6 @@ def quantile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, "SELECT status, approx_percentile(px, array(0.25D, 0.5D, 0.75D), 1000) AS quartiles FROM trades GROUP BY status")
 
 
-statement("tape_event_decode", "SELECT event_id, CASE WHEN kind IN ('click', 'view') THEN 'watch' WHEN kind = 'purchase' THEN 'trade' ELSE 'callout' END AS body, CASE WHEN from_json(props, 'k BIGINT').k IS NULL THEN 'quarantine' ELSE 'ok' END AS status FROM ev", "SELECT event_id, CASE WHEN kind IN ('click', 'view') THEN 'watch' WHEN kind = 'purchase' THEN 'trade' ELSE 'callout' END AS body, CASE WHEN try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'quarantine' ELSE 'ok' END AS status FROM ev")
 statement("frame_classify", "SELECT event_id, CASE WHEN kind = 'error' THEN 'defect' WHEN kind = 'signup' THEN 'control' ELSE 'row' END AS class FROM ev")
 statement("wallet_tx_import", "SELECT call_id, caller AS wallet, leg.side AS side, leg.amount AS amount FROM (SELECT call_id, caller, explode(array(named_struct('side', 'in', 'amount', call_id), named_struct('side', 'out', 'amount', mint))) AS leg FROM calls) x", "SELECT call_id, caller AS wallet, leg.side AS side, leg.amount AS amount FROM (SELECT call_id, caller, unnest([{'side': 'in', 'amount': call_id}, {'side': 'out', 'amount': mint}]) AS leg FROM calls) x")
 statement("board_snapshot_flatten", "SELECT DISTINCT mint, d, side FROM (SELECT m.mint AS mint, m.side AS side, d FROM (SELECT d, explode(members) AS m FROM (SELECT d, collect_list(struct(mint, side)) AS members FROM trades GROUP BY d) a) b) c", "SELECT DISTINCT mint, d, side FROM trades")
@@ -83,7 +82,6 @@ statement("build_stream_merge", "SELECT mint, t, src FROM (SELECT mint, t, src,
 _FLOW = "SELECT slot, owner, mint, CAST(sum(CASE WHEN side = -1 THEN qty ELSE 0 END) AS DECIMAL(38,0)) AS pre_raw, CAST(sum(CASE WHEN side = 1 THEN qty ELSE 0 END) AS DECIMAL(38,0)) AS post_raw, CAST(sum(delta) AS DECIMAL(38,0)) AS delta_raw, count(*) AS n_accounts FROM trades GROUP BY slot, owner, mint"
 statement("signed_flow_build", f"SELECT f.*, n_owners FROM ({_FLOW}) f JOIN (SELECT slot, count(DISTINCT owner) AS n_owners FROM trades GROUP BY slot) s ON s.slot = f.slot", f"SELECT f.*, n_owners FROM ({_FLOW}) f JOIN (SELECT slot AS z, count(DISTINCT owner) AS n_owners FROM trades GROUP BY slot) s ON s.z = f.slot")
 statement("trade_collapse", "SELECT slot, mint, max_by(owner, struct(qty, owner, txi)) AS venue, CASE WHEN sum(delta) > 0 THEN 1 WHEN sum(delta) < 0 THEN -1 ELSE 0 END AS trade_sign, count(DISTINCT owner) AS n_parties, CASE WHEN count(DISTINCT owner) = 1 THEN 'exact' ELSE 'ambiguous' END AS quality FROM trades GROUP BY slot, mint")
-statement("iceberg_candidates", "SELECT owner, mint, count(*) AS slices, CAST(sum(qty) AS BIGINT) AS sold, max(qty) AS largest FROM trades WHERE side = -1 GROUP BY owner, mint HAVING count(*) >= 2 AND max(qty) * 10 <= CAST(sum(qty) AS BIGINT) * 9")
 statement("censoring_check", "SELECT a.mint, a.px AS by_last, b.px AS by_best, b.px - a.px AS diff FROM (SELECT mint, max_by(px, struct(t, slot, txi, owner, cents)) AS px FROM trades GROUP BY mint) a JOIN (SELECT mint, max(px) AS px FROM trades GROUP BY mint) b ON a.mint = b.mint")
 _ANALOGS = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 1260), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price, t AS a_t FROM calls WHERE t < 86400 * 1200) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 3"
 
@@ -115,12 +113,9 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank_", rank).where("rank_ <= 5").select("call_id", "a_id", "rank_")
 
 
-statement("cell_model", "WITH c AS (SELECT mint % 4 AS cell, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM trades WHERE d < 1200 GROUP BY 1), g AS (SELECT CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / nullif(count(*), 0) AS p FROM trades WHERE d < 1200) SELECT cell, (k + 20 * p) / (n + 20) AS shrunk FROM c, g")
 statement("find_rip", "SELECT mint, min(d) AS ripped FROM (SELECT mint, d, px, max(px) OVER (PARTITION BY mint ORDER BY d, slot, txi, owner, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high, max(px) OVER (PARTITION BY mint ORDER BY d, slot, txi, owner, cents ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS after FROM trades) x WHERE after < 0.9999 * high GROUP BY mint")
-statement("dataset_materialize", "SELECT c.call_id, c.mint, count(l.mint) AS known, CASE WHEN c.t < 86400 * 1200 THEN 'train' ELSE 'validation' END AS part FROM calls c LEFT JOIN trades l ON l.mint = c.mint AND l.t <= c.t GROUP BY c.call_id, c.mint, c.t")
 statement("prediction_eval", "SELECT c.call_id, CASE WHEN o.o_orderkey IS NULL THEN 'unknown' WHEN o.o_totalprice > 200000 THEN 'hit' ELSE 'miss' END AS verdict FROM calls c LEFT JOIN orders o ON o.o_orderkey = c.call_id AND o.o_orderstatus <> 'P'")
 statement("workability_census", "SELECT tier, count(*) AS n FROM (SELECT mint, CASE WHEN count(*) >= 40 THEN 'deep' WHEN count(*) >= 20 THEN 'thin' ELSE 'none' END AS tier FROM trades GROUP BY mint) x GROUP BY tier")
-statement("crime_ledger_build", "SELECT owner, count(DISTINCT mint) AS coins, count(*) FILTER (WHERE side = -1) AS dumps FROM trades WHERE d < 1500 GROUP BY owner HAVING count(DISTINCT mint) >= 2")
 statement("birth_features", "SELECT l.mint, count(DISTINCT l.owner) AS snipers, max(CASE WHEN side = 1 THEN qty END) AS dev_buy FROM trades l JOIN (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) b ON b.mint = l.mint AND l.d = b.d0 GROUP BY l.mint")
 statement("trade_prints_from_tx", "SELECT slot, owner, mint, CASE WHEN sum(delta) > 0 THEN 'buy' ELSE 'sell' END AS side_, CAST(abs(sum(delta)) AS BIGINT) AS size FROM trades GROUP BY slot, owner, mint HAVING sum(delta) <> 0")
 statement("value_attribution", "SELECT owner, CAST(sum(CASE WHEN side = 1 THEN -cents ELSE 0 END) AS BIGINT) AS bought, CAST(sum(CASE WHEN side = -1 THEN cents ELSE 0 END) AS BIGINT) AS sold, CAST(sum(-side * cents) AS BIGINT) AS total FROM trades GROUP BY owner")

@@ -16,7 +16,6 @@ statement("episode_sessionize", f"WITH {_EPISODE} SELECT owner, slot, txi, mint,
 statement("episode_observe_inventory", f"WITH {_EPISODE}, e AS (SELECT owner, d, delta, sum(opens) OVER (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM o) SELECT owner, CAST(episode AS BIGINT) AS episode, min(d) AS opened, max(d) AS last, CAST(sum(delta) AS BIGINT) AS inventory FROM e GROUP BY owner, episode")
 statement("named_window", f"SELECT mint, slot, txi, owner, cents, max(px) OVER w AS m FROM trades WINDOW w AS (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 _E = f"e AS (SELECT mint, px, row_number() OVER (PARTITION BY mint ORDER BY {_ORDER}) AS rn, count(*) OVER (PARTITION BY mint) AS n FROM trades)"
-statement("moving_block_halves", f"WITH {_E} SELECT mint, max(CASE WHEN rn * 2 <= n THEN px END) AS first_half, max(CASE WHEN rn * 2 > n THEN px END) AS second_half FROM e GROUP BY mint")
 statement("tumbling_event_windows", f"WITH {_E} SELECT mint, CAST((rn - 1) div 8 AS BIGINT) AS w, min(px) AS low, max(px) AS high FROM e GROUP BY 1, 2 HAVING count(*) = 8")
 statement("conservative_silence_hazard", "WITH g AS (SELECT mint, lead(d) OVER (PARTITION BY mint ORDER BY d) - d AS gap FROM (SELECT DISTINCT mint, d FROM trades) x) SELECT silence, count(*) FILTER (WHERE gap > silence OR gap IS NULL) AS silent, count(*) FILTER (WHERE gap > silence) AS came_back FROM g, (VALUES (10), (30), (90), (180)) AS s(silence) GROUP BY silence")
 statement("survival_curve_censored", "WITH l AS (SELECT mint, max(d) - min(d) AS age, 2600 - min(d) AS span FROM trades GROUP BY mint) SELECT a, count(*) FILTER (WHERE span >= a) AS denominator, count(*) FILTER (WHERE span >= a AND age >= a) AS alive FROM l, (VALUES (100), (500), (1000), (2000), (2400)) AS ages(a) GROUP BY a")
@@ -62,21 +61,15 @@ statement("rug_detection", f"SELECT mint, slot, txi, owner, cents, px < 0.7 * hi
 statement("early_flow_features", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) SELECT l.mint, count(*) AS n, CAST(sum(delta) AS DOUBLE) / CAST(sum(qty) AS DOUBLE) AS imbalance, count(DISTINCT owner) AS owners FROM trades l JOIN b ON b.mint = l.mint AND l.d < d0 + 300 GROUP BY l.mint")
 statement("early_coin_features", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) SELECT l.mint, count(*) FILTER (WHERE side = 1) AS buys, count(*) FILTER (WHERE side = -1) AS sells, max(qty) AS largest, min(px) AS low, max(px) AS high FROM trades l JOIN b ON b.mint = l.mint AND l.d < d0 + 120 GROUP BY l.mint")
 statement("candle_features", f"WITH c AS (SELECT mint, d, max_by(px, struct(slot, txi, owner, cents)) AS c FROM trades GROUP BY mint, d), g AS (SELECT mint, c, c - lag(c) OVER (PARTITION BY mint ORDER BY d) AS move FROM c) SELECT mint, count(*) AS bars, count(*) FILTER (WHERE move > 0) AS up, {q('coalesce(stddev_samp(move), 0)', 6)} AS vol FROM g GROUP BY mint")
-statement("birth_cohort", "SELECT mint, min(d) AS born, min_by(owner, struct(d, slot, txi, owner)) AS seed_owner, count(*) >= 20 AS curve_ok, min(d) < 2000 AS uncensored FROM trades GROUP BY mint")
 statement("birth_aligned_events", "WITH b AS (SELECT mint, min(t) AS t0 FROM trades GROUP BY mint) SELECT l.mint, l.slot, l.txi, l.owner, l.cents, l.t - t0 AS dt FROM trades l JOIN b ON b.mint = l.mint")
 statement("mint_meta", "SELECT mint, min(d) AS first_d, max(d) AS last_d, count(*) AS n, min(d) <= 5 AS left_censored, max(d) >= 2500 AS right_censored FROM trades GROUP BY mint")
 statement("omori_decay", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint), a AS (SELECT lo, hi, count(*) AS n FROM trades l JOIN b ON b.mint = l.mint JOIN (VALUES (1, 30), (30, 90), (90, 270), (270, 810), (810, 2430)) AS k(lo, hi) ON l.d - d0 >= lo AND l.d - d0 < hi GROUP BY lo, hi) SELECT {q('regr_slope(ln(CAST(n AS DOUBLE) / (hi - lo)), ln((hi + lo) / CAST(2 AS DOUBLE)))', 6)} AS slope FROM a")
 statement("temporal_partition", "SELECT call_id, CASE WHEN t < 86400 * 1200 THEN 'train' WHEN t < 86400 * 1260 THEN 'excluded_embargo' ELSE 'validation' END AS partition_ FROM calls")
 statement("leakage_assert", "WITH s AS (SELECT mint, t, CASE WHEN t < 86400 * 1200 THEN 'train' ELSE 'test' END AS part FROM calls) SELECT count(*) AS violations FROM (SELECT mint FROM s WHERE part = 'train' AND t + 86400 * 30 >= 86400 * 1200) x")
 statement("entity_temporal_split", "SELECT mint, CASE WHEN min(t) < 86400 * 900 THEN 'train' ELSE 'test' END AS side_ FROM calls GROUP BY mint")
-statement("current_transaction_version", "SELECT slot, txi, owner, cents FROM (SELECT slot, txi, owner, cents, row_number() OVER (PARTITION BY slot, txi ORDER BY d DESC, owner DESC, mint DESC, cents DESC) AS rn FROM trades WHERE d <= 1800) x WHERE rn = 1")
-statement("effective_fact_reduce", "SELECT slot, txi, CASE WHEN count(*) = 1 THEN min(cents) END AS value, CASE WHEN count(*) = 1 THEN 'accepted' ELSE 'ambiguous' END AS status FROM trades GROUP BY slot, txi")
 statement("as_known_catalog", "SELECT l.slot, count(*) AS n FROM trades l JOIN calls c ON c.call_id = l.slot WHERE c.t <= 86400 * 1500 AND l.t <= 86400 * 1500 GROUP BY l.slot")
 statement("late_data_policy", "SELECT slot, txi, owner, d AS event_d, d + txi * 5 AS known_d, txi * 5 > 20 AS late FROM trades WHERE d + txi * 5 <= 1500")
-statement("catalog_invariants", "SELECT 'order without customer' AS rule, count(*) AS violations FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL UNION ALL SELECT 'line without order', count(*) FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL")
-statement("retention_prune", "SELECT event_id FROM ev LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) k ON k.o_custkey = ev.user_id WHERE t >= 1704800000 OR k.o_custkey IS NOT NULL")
 statement("resolve_cashtag", "SELECT p_brand, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS part, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM part WHERE p_size < 3 GROUP BY p_brand")
-statement("removal_inference", "SELECT user_id, CASE WHEN count(*) >= 3 AND max(t) - min(t) >= 86400 AND count(DISTINCT kind) >= 2 THEN 'removed' ELSE 'unknown' END AS state FROM ev WHERE kind IN ('error', 'view') GROUP BY user_id")
 statement("selection_outcomes", "SELECT c.call_id, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS px FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t + 86400 * 5 GROUP BY c.call_id")
 _TWO = "SELECT DISTINCT x.mint AS a, x.owner AS b, CAST(NULL AS BIGINT) AS c FROM trades x JOIN trades y ON y.mint = x.owner AND y.owner = x.mint WHERE x.mint < x.owner"
 statement("circuit_cycles", f"""WITH p AS (SELECT DISTINCT mint, owner FROM trades WHERE mint <> owner), e AS (SELECT DISTINCT least(mint, owner) AS a, greatest(mint, owner) AS b FROM p),
@@ -85,5 +78,4 @@ statement("circuit_cycles", f"""WITH p AS (SELECT DISTINCT mint, owner FROM trad
  w AS (SELECT x.low AS u, x.high AS v, y.high AS w FROM o x JOIN o y ON x.low = y.low AND x.high < y.high)
 SELECT least(u, v, w) AS a, u + v + w - least(u, v, w) - greatest(u, v, w) AS b, greatest(u, v, w) AS c FROM w JOIN e ON e.a = v AND e.b = w.w
 UNION ALL {_TWO.replace("trades", "p")}""", f"WITH e AS (SELECT DISTINCT least(mint, owner) AS a, greatest(mint, owner) AS b FROM trades WHERE mint <> owner) SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b UNION ALL {_TWO}")
-statement("pool_tape_aggregate", "SELECT mint, count(*) AS n, CAST(sum(delta) AS BIGINT) AS flow, count(DISTINCT d) AS active_days, min(d) AS first_d, max(d) AS last_d FROM trades GROUP BY mint")
 statement("activity_feasibility", "WITH b AS (SELECT CAST(count(DISTINCT mint) AS BIGINT) AS tokens FROM trades), g AS (SELECT explode(sequence(1, 2000)) AS n FROM b) SELECT max(CAST(n AS BIGINT)) AS feasible FROM g, b WHERE CAST(n AS BIGINT) * (n - 1) * 20 * 50 <= 2 * tokens * (tokens - 1) div 2")
