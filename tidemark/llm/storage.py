@@ -1,43 +1,26 @@
-"""Where the operators of this package keep what they write between stages."""
+"""Where the operators of this package keep what they write between stages, and how their code and memory go to and fro."""
 
 from __future__ import annotations
 
 import atexit
 import ctypes
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.code import ship
+from tidemark.sources.scratch import path as scratch_path
+from tidemark.sources.scratch import written
+
+__all__ = ["give_back", "map_arrow", "partitions", "scratch_path", "scratch_table", "written"]
+
 try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # no glibc here: its allocator needs no trimming
     _libc = None
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default if it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = DEFAULT_CHECKPOINT_DIR
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the Python process ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
 
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh table name; the table is dropped when the Python process ends."""
@@ -46,23 +29,6 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return table
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended before
-        pass
-
-
 def _drop(spark: SparkSession, table: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -83,13 +49,5 @@ def partitions(spark: SparkSession) -> int:
 
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """df.mapInArrow(f, schema), with this package sent to the executors, which may not have it installed."""
-    sc = df.sparkSession.sparkContext
-    if getattr(sc, "_tidemark_shipped", None) is None:
-        root = Path(__file__).resolve().parents[1]
-        archive = os.path.join(tempfile.mkdtemp(), "tidemark.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(archive)
-        sc._tidemark_shipped = archive
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
