@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_whole_jobs import rows, write_calls, write_trades
 from tidemark.functions import fitting, kernels
-from tidemark.functions.machines import Breaker, PaperBook, alerts, recentered
+from tidemark.functions.machines import Breaker, PaperBook, alerts, bandit, recentered
 from tidemark.operators import registry
 from tidemark.operators.decoding import base58_bytes, base58_text, borsh_event
 
@@ -226,3 +226,34 @@ def test_kernels_equal_plain_versions():
 
 def test_every_registered_query_names_itself_once():
     assert len(registry.queries()) >= 430 and set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_hodge_splits_known_flows():
+    assert fitting.hodge([(0, 1, 2.0), (1, 2, 3.0), (0, 2, 5.0)]) == pytest.approx((1, 0, 0))
+    assert fitting.hodge([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0)]) == pytest.approx((0, 1, 0))
+    assert fitting.hodge([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 0, 1.0)]) == pytest.approx((0, 0, 1))
+    assert fitting.hodge([]) == (0.0, 0.0, 0.0) and fitting.hodge([(1, 1, 4.0), (0, 1, 2.0), (1, 0, 2.0)]) == (0.0, 0.0, 0.0)
+
+
+def test_bandit_learns_from_matching_rounds_only():
+    arms, rewards = [0, 1, 0, 1, 1, 0, 1], [0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0]
+    # Arm 0 first, then arm 1 (untried), then arm 1 by its mean.
+    assert bandit(arms, rewards, [0.9] * 7, 2) == (5, pytest.approx(3 / 5))
+    assert bandit([1], [1.0], [0.0], 2) == (0, 0.0) and bandit([], [], [], 3) == (0, 0.0)
+
+
+def test_boosting_splits_where_the_gain_is_largest(spark):
+    r = np.random.default_rng(7)
+    x = r.integers(0, 12, (4000, 2)).astype(float)
+    y = (r.random(4000) < np.where(x[:, 0] > 6, 0.8, 0.2)).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y int").repartition(3)
+    trees = fitting.boosted(df, ["a", "b"], "y", trees=3, depth=1)
+    g, h = y - 0.5, np.full(4000, 0.25)
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max(((gain(x[:, f] <= e) + gain(x[:, f] > e), "ab"[f], float(e)) for f in (0, 1) for e in range(11)))
+    assert trees[0][1] == best[1:] == ("a", 6.0)
+    left = x[:, 0] <= 6
+    assert trees[0][2] == pytest.approx(0.3 * g[left].sum() / (h[left].sum() + 1)) and trees[0][3] == pytest.approx(0.3 * g[~left].sum() / (h[~left].sum() + 1))
+    got = df.select(F.avg(F.when(F.col("a") > 6, fitting.boosted_score(trees))).alias("hi"), F.avg(F.when(F.col("a") <= 6, fitting.boosted_score(trees))).alias("lo")).first()
+    assert got.hi > 0.3 and got.lo < -0.3
+    assert fitting.boosted(df.where("a > 100"), ["a"], "y", trees=1)[0] == {1: 0.0}

@@ -163,3 +163,100 @@ def hawkes_shares(events: DataFrame, beta: float, rounds: int = 30, tolerance: f
         if moved < tolerance:
             break
     return {"mu_buy": mu[0], "mu_sell": mu[1], "buy_by_buy": a[0][0], "buy_by_sell": a[0][1], "sell_by_buy": a[1][0], "sell_by_sell": a[1][1]}
+
+
+def boosted(df: DataFrame, names: list[str], label: str, trees: int = 5, depth: int = 2, bins: int = 16, rate: float = 0.3, l2: float = 1.0, least: float = 20.0) -> list[dict[int, tuple | float]]:
+    """Histogram gradient boosting of log odds. A tree is {node: (column, edge) or a leaf's value}; node n has children 2n (up to the edge) and 2n + 1.
+
+    A level of a tree is one aggregate: gradients and Hessians by node, column and bin,
+    which is what the driver sees; bins are cut at quantiles of each column, to 0.1 %.
+    """
+    from tidemark.sources.scratch import written
+
+    edges = [sorted(set(e)) for e in df.approxQuantile(names, [i / bins for i in range(1, bins)], 0.001)]
+    bin_of = [sum(((F.col(c) > e).cast("int") for e in es), F.lit(0)) for c, es in zip(names, edges, strict=True)]
+    rows = written(df.select(*names, F.col(label).cast("double").alias("_y"), *(b.alias(f"_b{i}") for i, b in enumerate(bin_of)), F.lit(0.0).alias("_score")), "boost")
+    out = []
+    for _ in range(trees):
+        tree: dict[int, tuple | float] = {}
+        live, p = {1}, 1 / (1 + F.exp(-F.col("_score")))
+        for level in range(depth + 1):
+            node = _node(tree)
+            cells = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(f"_b{i}").alias("b")) for i in range(len(names))))).alias("c")
+            sums = rows.select(node.alias("node"), (F.col("_y") - p).alias("g"), (p * (1 - p)).alias("h"), cells).groupBy("node", "c.f", "c.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            for n in sorted(live):
+                mine = [r for r in sums if r["node"] == n]
+                best = _split(mine, edges, l2, least) if level < depth else None
+                g, h = sum(r["g"] for r in mine if r["f"] == 0), sum(r["h"] for r in mine if r["f"] == 0)
+                tree[n] = (names[best[1]], edges[best[1]][best[2]]) if best else rate * g / (h + l2)
+            live = {2 * n + side for n in live if isinstance(tree[n], tuple) for side in (0, 1)}
+            if not live:
+                break
+        out.append(tree)
+        rows = written(rows.withColumn("_score", F.col("_score") + _leaf(tree)), "boost")
+    return out
+
+
+def _split(cells: list, edges: list[list[float]], l2: float, least: float) -> tuple[float, int, int] | None:
+    """The largest gain over all columns and edges, with the column's and the edge's number."""
+    best = None
+    for f, es in enumerate(edges):
+        by = {r["b"]: (r["g"], r["h"]) for r in cells if r["f"] == f}
+        g, h = sum(x for x, _ in by.values()), sum(x for _, x in by.values())
+        left_g = left_h = 0.0
+        for e in range(len(es)):
+            left_g, left_h = left_g + by.get(e, (0, 0))[0], left_h + by.get(e, (0, 0))[1]
+            if min(left_h, h - left_h) * 4 < least:  # a row's Hessian is a quarter at most
+                continue
+            gain = left_g**2 / (left_h + l2) + (g - left_g) ** 2 / (h - left_h + l2) - g**2 / (h + l2)
+            if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                best = (gain, f, e)
+    return best
+
+
+def _node(tree: dict[int, tuple | float], n: int = 1) -> Column:
+    at = tree.get(n)
+    return F.when(F.col(at[0]) > at[1], _node(tree, 2 * n + 1)).otherwise(_node(tree, 2 * n)) if isinstance(at, tuple) else F.lit(n)
+
+
+def _leaf(tree: dict[int, tuple | float], n: int = 1) -> Column:
+    at = tree[n]
+    return F.when(F.col(at[0]) > at[1], _leaf(tree, 2 * n + 1)).otherwise(_leaf(tree, 2 * n)) if isinstance(at, tuple) else F.lit(float(at))
+
+
+def boosted_score(trees: list[dict[int, tuple | float]]) -> Column:
+    """Log odds of a row."""
+    return sum((_leaf(t) for t in trees), F.lit(0.0))
+
+
+def hodge(edges: list[tuple[int, int, float]]) -> tuple[float, float, float]:
+    """Shares of a net flow's energy that are a gradient of node potentials, that turn around triangles, and that are neither.
+
+    edges: (a, b, flow from a to b), one for each pair of a graph of venues, which the driver holds.
+    """
+    flow: dict[tuple[int, int], float] = {}
+    for a, b, v in edges:
+        if a != b:
+            k = (min(a, b), max(a, b))
+            flow[k] = flow.get(k, 0.0) + (v if a < b else -v)
+    keys = sorted(flow)
+    x = np.array([flow[k] for k in keys])
+    energy = float(x @ x)
+    if not keys or energy == 0:
+        return 0.0, 0.0, 0.0
+    nodes, place = sorted({n for k in keys for n in k}), {k: i for i, k in enumerate(keys)}
+    at = {n: i for i, n in enumerate(nodes)}
+    d = np.zeros((len(keys), len(nodes)))
+    for i, (a, b) in enumerate(keys):
+        d[i, at[a]], d[i, at[b]] = -1, 1
+    gradient = d @ np.linalg.lstsq(d, x, rcond=None)[0]
+    triangles = [(a, b, c) for a, b in keys for c in nodes if c > b and (b, c) in place and (a, c) in place]
+    curl = np.zeros(len(keys))
+    if triangles:
+        t = np.zeros((len(keys), len(triangles)))
+        for j, (a, b, c) in enumerate(triangles):
+            t[place[a, b], j] = t[place[b, c], j] = 1
+            t[place[a, c], j] = -1
+        curl = t @ np.linalg.lstsq(t, x, rcond=None)[0]
+    rest = x - gradient - curl
+    return float(gradient @ gradient) / energy, float(curl @ curl) / energy, float(rest @ rest) / energy

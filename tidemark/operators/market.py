@@ -195,3 +195,11 @@ _HAWKES = f"""WITH e AS (SELECT mint, d, slot, txi, owner, cents, side, d div {_
 SELECT mint, slot, txi, owner, cents, {q('buys', 6)} AS excited_by_buys, {q('sells', 6)} AS excited_by_sells FROM s WHERE own"""
 _HAWKES_PAIRS = f"SELECT x.mint, x.slot, x.txi, x.owner, x.cents, {q(f'coalesce(sum(CASE WHEN y.side = 1 THEN exp(-{_DECAY} * (x.d - y.d)) END), 0)', 6)} AS excited_by_buys, {q(f'coalesce(sum(CASE WHEN y.side = -1 THEN exp(-{_DECAY} * (x.d - y.d)) END), 0)', 6)} AS excited_by_sells FROM trades x LEFT JOIN trades y ON y.mint = x.mint AND y.d < x.d AND y.d // {_PERIOD} >= x.d // {_PERIOD} - 1 GROUP BY x.mint, x.slot, x.txi, x.owner, x.cents"
 statement("hawkes_intensity", _HAWKES, _HAWKES_PAIRS)
+
+# Pages of five events, newest first, are walked back to a user's mark or for three pages: what is new, what was seen twice, and whether the walk ended before the mark.
+_WALK = "w AS (SELECT user_id, event_id, t, (row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) - 1) div 5 AS page FROM ev), m AS (SELECT user_id, max(t) - 86400 * 3 AS mark FROM ev GROUP BY user_id), r AS (SELECT w.user_id, min(CASE WHEN t <= mark THEN page END) AS reached, max(page) AS last_page FROM w JOIN m ON m.user_id = w.user_id GROUP BY w.user_id)"
+statement("http_page_walk", f"WITH {_WALK} SELECT w.user_id, CAST(least(coalesce(max(reached), max(last_page)) + 1, 3) AS BIGINT) AS pages, count(*) FILTER (WHERE t > mark AND page < least(coalesce(reached, last_page) + 1, 3)) AS fresh, count(*) FILTER (WHERE t <= mark AND page < least(coalesce(reached, last_page) + 1, 3)) AS overlap, coalesce(max(reached), max(last_page) + 1) > 2 AS truncated FROM w JOIN m ON m.user_id = w.user_id JOIN r ON r.user_id = w.user_id GROUP BY w.user_id")
+
+# Log prices between nations as a circuit: the sum around each triangle, largest first. As many edges as pairs of nations.
+_VENUES = "p AS (SELECT c_nationkey AS a, s_nationkey AS b, avg(ln(px)) AS l FROM trades JOIN orders ON o_orderkey = slot JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = owner GROUP BY c_nationkey, s_nationkey), e AS (SELECT x.a, x.b, (x.l - y.l) / 2 AS l FROM p x JOIN p y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b)"
+statement("circuit_snapshot", f"WITH {_VENUES} SELECT x.a, x.b, y.b AS c, {q('x.l + y.l - z.l', 6)} AS curl, {q('abs(x.l + y.l - z.l) / (abs(x.l) + abs(y.l) + abs(z.l))', 6)} AS share FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b")

@@ -80,3 +80,19 @@ SELECT side, buys, sells, reach, span FROM (SELECT own, side, down * coalesce(su
     )
     return _table(spark, [(k, float(v)) for k, v in fitting.hawkes_shares(events, b).items()], "parameter string, value double")
 
+
+
+@query("gbm_hist")
+def gbm_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted before day 1200, scored from there on: trades of each tenth of the score, and how many were sales."""
+    rows = _rows(spark, sf_dir)
+    trees = fitting.boosted(rows.where("d < 1200"), FEATURES, "y")
+    score = 1 / (1 + F.exp(-fitting.boosted_score(trees)))
+    return rows.where("d >= 1200").groupBy(F.floor(score * 10).alias("tenth")).agg(F.count("*").alias("n"), F.sum("y").alias("positive"), F.round(F.avg(score), 6).alias("mean_score"))
+
+
+@query("hodge_decompose")
+def hodge_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the money that goes from customers' to suppliers' nations: the shares that flow down potentials, around triangles, and neither. As many edges as pairs of nations."""
+    edges = run(spark, sf_dir, "SELECT c_nationkey AS a, s_nationkey AS b, CAST(sum(cents) AS DOUBLE) AS v FROM trades JOIN orders ON o_orderkey = slot JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = owner WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey")
+    return _table(spark, [fitting.hodge([tuple(r) for r in edges.collect()])], "gradient double, curl double, harmonic double")

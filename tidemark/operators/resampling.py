@@ -157,3 +157,19 @@ def against_null(h, draws: int = 3, rounds: int = 2) -> str:
 
 for _f in (entity_bootstrap, cluster_bootstrap_auc, risk_ratio_bootstrap, block_permute, rotation_null, spearman_permutation, stratified_discrimination, placebo_windows, burst_null, curveball_null, against_null):
     resampled(_f.__name__, _f)
+
+
+def regime_tag(h, draws: int = 20, block: int = 6) -> str:
+    """Slope of a mint's signature curve from lag 1 to lag 4, with its interval over replicates of blocks of 6 events, and a label; a mint of few events is refused."""
+    u = h("concat('regime', CAST(b AS STRING), '-', CAST(mint AS STRING), '-', CAST(block AS STRING))")
+    slope = "CASE WHEN {a} > 0 AND {b} > 0 THEN ln({b} / {m} / 4 / ({a} / {n})) / ln(CAST(4 AS DOUBLE)) END"
+    return f"""WITH e AS (SELECT mint, ln(px) AS l, row_number() OVER w AS rn, ln(px) - lag(ln(px), 1) OVER w AS r1, ln(px) - lag(ln(px), 4) OVER w AS r4 FROM trades WINDOW w AS (PARTITION BY mint ORDER BY d, slot, txi, owner, cents)),
+ c AS (SELECT mint, (rn - 1) div {block} AS block, count(*) AS n, sum(r1 * r1) AS s1, count(r1) AS n1, coalesce(sum(r4 * r4), 0) AS s4, count(r4) AS n4 FROM e GROUP BY 1, 2),
+ o AS (SELECT mint, CAST(sum(n) AS BIGINT) AS n, {slope.format(a='sum(s1)', b='sum(s4)', n='sum(n1)', m='sum(n4)')} AS slope FROM c GROUP BY mint),
+ g AS (SELECT mint, block, s1, n1, s4, n4, explode(sequence(1, {draws})) AS b FROM c), v AS (SELECT *, {u} AS u FROM g), w AS (SELECT *, {poisson('u')} AS w FROM v),
+ t AS (SELECT mint, b, sum(w * s1) AS s1, sum(w * n1) AS n1, sum(w * s4) AS s4, sum(w * n4) AS n4 FROM w GROUP BY mint, b), r AS (SELECT mint, {slope.format(a='s1', b='s4', n='n1', m='n4')} AS slope FROM t WHERE n1 > 0 AND n4 > 0),
+ i AS (SELECT mint, percentile(slope, 0.1) AS lo, percentile(slope, 0.9) AS hi FROM r GROUP BY mint)
+SELECT o.mint, o.n, CASE WHEN o.n >= 16 THEN {q('o.slope', 5)} END AS slope, CASE WHEN o.n < 16 THEN 'too_few_events' WHEN o.slope IS NULL OR lo IS NULL THEN 'no_variance' WHEN hi < 0 THEN 'reverting' WHEN lo > 0 THEN 'trending' ELSE 'undecided' END AS label FROM o LEFT JOIN i ON i.mint = o.mint"""
+
+
+resampled("regime_tag", regime_tag)

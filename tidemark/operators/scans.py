@@ -86,17 +86,29 @@ statement("censoring_check", "SELECT a.mint, a.px AS by_last, b.px AS by_best, b
 _ANALOGS = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 1260), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price, t AS a_t FROM calls WHERE t < 86400 * 1200) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 3"
 
 
-@query("descriptive_analogs", oracle(_ANALOGS))
-def descriptive_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 3 nearest train calls of every validation call, by the parts of temporal_partition."""
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """call_id, a_id, rank_: the k nearest train calls of every validation call, by the parts of temporal_partition."""
     calls = run(spark, sf_dir, "SELECT call_id, caller, price, t FROM calls")
     queries = blocks(calls.where("t >= 86400 * 1260").drop("t"), "call_id", 4096, "q")
     candidates = blocks(calls.where("t < 86400 * 1200").select(F.col("call_id").alias("a_id"), F.col("caller").alias("a_caller"), F.col("price").alias("a_price")), "a_id", 16384, "c", "a_price")
-    found = in_cells(queries, candidates, lambda q, c: nearest_prices(q, c, 3), "call_id long, a_id long, far double, other int")
+    found = in_cells(queries, candidates, lambda q, c: nearest_prices(q, c, k), "call_id long, a_id long, far double, other int")
     rank = F.row_number().over(Window.partitionBy("call_id").orderBy("far", "other", "a_id")).cast("long")
-    return found.withColumn("rank_", rank).where("rank_ <= 3").select("call_id", "a_id", "rank_")
+    return found.withColumn("rank_", rank).where(F.col("rank_") <= k).select("call_id", "a_id", "rank_")
+
+
+@query("descriptive_analogs", oracle(_ANALOGS))
+def descriptive_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, 3)
+
+
+_MODEL = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 1260), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price FROM calls WHERE t < 86400 * 1200), n AS (SELECT call_id, a_id, row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS rn FROM v, c) SELECT call_id, count(*) AS k, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) / count(*) AS p FROM n JOIN orders ON o_orderkey = a_id WHERE rn <= 20 GROUP BY call_id"
 
 
+@query("analog_knn_model", oracle(_MODEL))
+def analog_knn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a validation call ends well: the share of its 20 nearest train calls that did."""
+    found = _nearest(spark, sf_dir, 20).join(run(spark, sf_dir, "SELECT o_orderkey AS a_id, o_orderstatus FROM orders"), "a_id")
+    return found.groupBy("call_id").agg(F.count("*").alias("k"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("p"))
 
 
 _KNN = "WITH v AS (SELECT call_id, price, mint, t FROM calls WHERE call_id % 20 = 0), c AS (SELECT call_id AS a_id, price AS a_price, mint AS a_mint, t AS a_t FROM calls) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price) / 1000 + abs(mint - a_mint), a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 5"
