@@ -5,16 +5,20 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import assoc
 from tidemark.functions.graph import components, hop_levels
 from tidemark.functions.intervals import interval_subtract, interval_union
 from tidemark.functions.joins import asof_join, range_join
+from tidemark.functions.ranks import numbered, ranks, running, tiles
 from tidemark.operators import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["minute_bars", "asof_join_backward", "temporal_prebuy_join", "interval_subtract", "auc_rank", "kaplan_aalen_johansen", "matmul_max_plus", "union_find_components", "fifo_pnl", "watch_ledger", "benjamini_yekutieli", "crew_best_jaccard_join"]
+#: Queries whose SQL has another form than their plan.
+SOME += ["walk_forward_split", "archive_outcomes", "deadline_heap", "quality_priced_panel", "hawkes_intensity", "evaluate_position_rules", "slot_chain_order", "moving_block_halves", "pool_tape_aggregate", "dataset_materialize", "crime_features", "shared_template_groups", "sign_test", "hop_levels", "keyset_pagination", "jsonl_tail", "base58_decode", "borsh_decode", "canonical_json_digest", "sqlite_scan", "midrank", "rank_ties", "operator_iceberg_fdr", "decile_contrast", "top10_delta", "co_trade_slot_window_join", "selection_outcomes", "callout_peak_multiple", "onchain_features_at_call", "burst_statistic", "analog_knn_model", "verdict_survival_km"]
 
 
 def same(v):
@@ -39,6 +43,28 @@ def test_query_equals_sql(spark, name):
     assert have == want
 
 
+def test_running_totals_and_tiles_span_ranges(spark):
+    rows = [(v, i) for i, v in enumerate([5, 1, 5, 3, 3, 9, 0, 5, 2, 7] * 20)]
+    df = spark.createDataFrame(rows, "v int, i int").repartition(3)
+    order = sorted(range(len(rows)), key=lambda k: rows[k])
+    upto, total, low = {}, 0, {}
+    for n, k in enumerate(order, 1):
+        total += rows[k][0]
+        upto[k] = (n, total)
+    least = None
+    for k in reversed(order):
+        least = rows[k][1] if least is None else min(least, rows[k][1])
+        low[k] = least
+    assert {r.i: r.rn for r in numbered(df, ["v", "i"]).collect()} == {rows[k][1]: n for k, (n, _) in upto.items()}
+    assert {r.i: r.s for r in running(df, ["v", "i"], F.col("v"), "s").collect()} == {rows[k][1]: t for k, (_, t) in upto.items()}
+    assert {r.i: r.m for r in running(df, [F.desc("v"), F.desc("i")], F.col("i"), "m", "min").collect()} == {rows[k][1]: v for k, v in low.items()}
+    by = {r.v: (r.n, r["first"], r.mid) for r in ranks(df, "v").collect()}
+    assert by[0] == (20, 1, 10.5) and by[1] == (20, 21, 30.5) and by[5] == (60, 101, 130.5)
+    got = [r.t for r in tiles(df.where("i < 23"), ["v", "i"], 5, "t").orderBy("v", "i").collect()]
+    assert got == [1] * 5 + [2] * 5 + [3] * 5 + [4] * 4 + [5] * 4
+    assert tiles(df.where("i < 2"), ["v", "i"], 5, "t").count() == 2 and numbered(df.where("false"), ["v"]).count() == 0
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
