@@ -148,15 +148,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     vector = written(map_arrow(table.join(wanted, "block"), vectors, "uid long, n int, total double, vector binary"), "vectors")
     roots = _classes(members, vector, threshold)
     text_class = first.join(roots, first["uid"] == roots["node"], "left").select("same1", "same2", F.coalesce("root", "uid").alias("class_uid"))
-    labels = signed.select("uid", "same1", "same2").join(text_class, ["same1", "same2"]).select("uid", "class_uid")
-    labels = labels.groupBy(block).agg(F.collect_list(F.struct("uid", "class_uid")).alias("labels"))
+    # A block's copies of a text are one row before they meet its class, so a text of very many copies has as many rows as blocks.
+    copies = signed.groupBy(block, "same1", "same2").agg(F.collect_list(F.col("uid").bitwiseAND(0xFFFFF).cast("int")).alias("at"))
+    labels = copies.join(text_class, ["same1", "same2"]).groupBy("block").agg(F.collect_list(F.struct("at", "class_uid")).alias("labels"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
             batch = unpack(row["payload"])
             label = np.zeros(batch.num_rows, np.int64)
             for x in row["labels"]:
-                label[x["uid"] & 0xFFFFF] = x["class_uid"]
+                label[x["at"]] = x["class_uid"]
             keeps = label == uid(row["block"], np.arange(batch.num_rows))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(keeps)], names=[*batch.schema.names, "class_uid", "keeps"])
 
