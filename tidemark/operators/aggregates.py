@@ -81,7 +81,6 @@ statement("stratified_sample_weights", "SELECT p.status, CAST(n AS DOUBLE) / k A
 statement("slot_contention", "SELECT n AS shared, count(*) AS trades_n, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS success FROM (SELECT side, count(*) OVER (PARTITION BY slot) AS n FROM trades) x GROUP BY n")
 statement("edge_flow_classes", "SELECT CASE WHEN pools = 1 THEN 'single' WHEN pools = 2 THEN 'pair' ELSE 'route' END AS class, count(*) AS n FROM (SELECT slot, count(DISTINCT mint) AS pools FROM trades GROUP BY slot) x GROUP BY 1")
 statement("wallet_markout_summary", "SELECT owner, CAST(sum(side * cents) AS BIGINT) AS net, CAST(sum(CAST(floor(cents * discount) AS BIGINT)) AS BIGINT) AS fees, count(DISTINCT mint) AS mints FROM trades GROUP BY owner")
-statement("toll_gate", f"SELECT mint, avg(discount) * 10 > coalesce(var_samp(px) / nullif(avg(px), 0), 0) AS open_ FROM trades GROUP BY mint")
 statement("conditional_surface", "SELECT CAST(floor(discount * 50) AS BIGINT) AS d_bin, txi AS remaining, count(*) AS n, count(*) FILTER (WHERE side = 1) AS up FROM trades GROUP BY 1, 2")
 statement("surface_predict_fallback", "WITH c AS (SELECT mint % 50 AS b, txi, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS r FROM trades WHERE d < 400 GROUP BY 1, 2), m AS (SELECT mint % 50 AS b, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS r FROM trades WHERE d < 400 GROUP BY 1), g AS (SELECT CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / nullif(count(*), 0) AS r FROM trades WHERE d < 1000) SELECT l.slot, l.txi, l.owner, coalesce(c.r, m.r, g.r) AS p FROM trades l LEFT JOIN c ON c.b = l.mint % 50 AND c.txi = l.txi LEFT JOIN m ON m.b = l.mint % 50 CROSS JOIN g WHERE l.d >= 2000")
 statement("venue_participation", "SELECT o.mint, owner, CAST(n AS DOUBLE) / total AS share, n * 2 >= total AS is_venue FROM (SELECT mint, owner, count(DISTINCT slot) AS n FROM trades GROUP BY mint, owner) o JOIN (SELECT mint, count(DISTINCT slot) AS total FROM trades GROUP BY mint) m ON o.mint = m.mint")

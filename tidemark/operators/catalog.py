@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from tidemark.operators import accounts, aggregates, algebra, bars, decoding, evidence, joins, kernels, known, machines, market, models, projections, resampling, scans, sets, streams, windows  # noqa: F401
+from tidemark.operators import accounts, aggregates, algebra, bars, decoding, evidence, joins, judgements, kernels, known, machines, market, models, projections, resampling, scans, sets, streams, windows  # noqa: F401
 from tidemark.operators import replans  # noqa: F401, E402  after the statements that it gives other plans

@@ -58,7 +58,6 @@ statement("mint_leg_netting", "SELECT slot, coalesce(a.owner, b.owner) AS owner,
 statement("effect_between", "SELECT coalesce(a.owner, b.owner) AS owner, coalesce(b.q, 0) - coalesce(a.q, 0) AS effect FROM (SELECT owner, CAST(sum(delta) AS BIGINT) AS q FROM trades WHERE d < 1000 GROUP BY owner) a FULL OUTER JOIN (SELECT owner, CAST(sum(delta) AS BIGINT) AS q FROM trades WHERE d < 1600 AND d % 3 > 0 GROUP BY owner) b ON a.owner = b.owner")
 statement("feature_bag_merge", "SELECT coalesce(a.mint, b.mint) AS mint, greatest(a.n, b.n) AS n, coalesce(a.top, b.top) AS top FROM (SELECT mint, count(*) AS n, max(CASE WHEN side = -1 THEN px END) AS top FROM trades WHERE d < 1200 GROUP BY mint) a FULL OUTER JOIN (SELECT mint, count(*) AS n, max(px) AS top FROM trades WHERE d >= 1200 GROUP BY mint) b ON a.mint = b.mint")
 statement("live_closes_filter", "SELECT slot, txi, owner, cents FROM trades l LEFT ANTI JOIN (SELECT call_id FROM calls WHERE caller = 5) r ON r.call_id = l.slot", "SELECT slot, txi, owner, cents FROM trades l WHERE NOT EXISTS (SELECT 1 FROM calls r WHERE caller = 5 AND r.call_id = l.slot)")
-statement("subscription_match", "SELECT event_id, sub FROM ev JOIN (VALUES ('big', 'purchase', 100.0), ('any', 'error', 0.0)) AS subs(sub, wanted, floor_value) ON kind = wanted AND value >= floor_value")
 statement("insert_or_ignore", "SELECT mint, call_id FROM (SELECT mint, call_id, row_number() OVER (PARTITION BY mint ORDER BY t, call_id) AS rn FROM calls) x WHERE rn = 1")
 statement("upsert_on_conflict", "SELECT caller, call_id, price FROM (SELECT caller, call_id, price, row_number() OVER (PARTITION BY caller ORDER BY t DESC, call_id DESC) AS rn FROM calls) x WHERE rn = 1")
 statement("conflict_detect", "SELECT mint, d, count(DISTINCT px) AS versions FROM trades GROUP BY mint, d HAVING count(DISTINCT px) > 1")

@@ -22,7 +22,6 @@ statement("scalar_subquery_projection", "SELECT (SELECT count(*) FROM customer)
 statement("correlated_count_subquery", "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000) > 0 AS has_large FROM customer c")
 statement("null_fill_update", "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(top, 0.0) AS top FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
 statement("plain_filter_as_known", "SELECT call_id, caller, mint FROM calls WHERE t <= 86400 * 1500 AND t + 86400 * (call_id % 7) <= 86400 * 1500 AND caller = 11")
-statement("redacting_projection", "SELECT c_custkey, c_mktsegment, left(c_name, 12) AS c_name FROM customer")
 statement("floor_bucket_time", "SELECT event_id, CAST(floor(t / 60) AS BIGINT) * 60 AS minute FROM ev")
 statement("epoch_to_utc", "SELECT event_id, date_format(timestamp_seconds(t), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS iso FROM ev", "SELECT event_id, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM ev")
 statement("utc_day_partition", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
@@ -52,12 +51,10 @@ SELECT w.source, CAST(count(*) FILTER (WHERE df >= 0.2 * n.n) AS DOUBLE) / count
 )
 statement("referral_share", "SELECT source, CAST(count(*) FILTER (WHERE text RLIKE 'https?://') AS DOUBLE) / count(*) AS share FROM documents GROUP BY source", "SELECT source, CAST(count(*) FILTER (WHERE regexp_matches(text, 'https?://')) AS DOUBLE) / count(*) AS share FROM documents GROUP BY source")
 statement("extract_mints_regex", "SELECT doc_id, explode(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', 0)) AS address FROM documents", "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS address FROM documents")
-statement("score_mention_quality", "SELECT doc_id, CASE WHEN length(text) >= 400 THEN 2 WHEN length(text) >= 100 THEN 1 ELSE 0 END + CASE WHEN source IN ('src0', 'src1') THEN 1 ELSE 0 END - CASE WHEN text LIKE '%!!%' THEN 2 ELSE 0 END AS score FROM documents")
 statement("mul_div_floor", "SELECT slot, txi, owner, CAST((CAST(cents AS DECIMAL(18,0)) * CAST(qty AS DECIMAL(18,0))) AS BIGINT) div (mint + 1) AS lo FROM trades")
 statement("cp_sell_out", "SELECT slot, txi, owner, (y * qty) div (x + qty) AS out FROM (SELECT slot, txi, owner, qty, mint * 100 + 1000 AS x, cents + 1 AS y FROM trades) r")
 statement("min_out_slippage", "SELECT slot, txi, owner, ((y * qty) div (x + qty)) * (10000 - 150) div 10000 AS min_out FROM (SELECT slot, txi, owner, qty, mint * 100 + 1000 AS x, cents + 1 AS y FROM trades) r")
 statement("curve_buy_sell", "SELECT slot, txi, owner, spend - (spend * 100) div 10000 AS net, (y * (spend - (spend * 100) div 10000)) div (x + spend - (spend * 100) div 10000) AS tokens FROM (SELECT slot, txi, owner, cents AS spend, mint * 1000 + 30000 AS x, CAST(1000000 AS BIGINT) AS y FROM trades) r")
-statement("pump_quote", "SELECT slot, txi, owner, CASE WHEN qty <= 0 THEN 'refused_zero' WHEN qty > x div 50 THEN 'refused_depth' ELSE 'ok' END AS status, CASE WHEN qty > 0 AND qty <= x div 50 THEN (y * qty) div (x + qty) END AS out FROM (SELECT slot, txi, owner, qty, mint + 1000 AS x, cents + 1 AS y FROM trades) r")
 statement("fee_schedule", "SELECT slot, txi, owner, tier, (cents * bps + 9999) div 10000 AS fee FROM trades JOIN (VALUES (1, 0, 500000, 100), (2, 500000, 2000000, 60), (3, 2000000, 9000000000, 30)) AS tiers(tier, lo, hi, bps) ON cents >= lo AND cents < hi")
 statement("dlmm_fee_rate", "SELECT slot, txi, owner, base + variable AS total FROM (SELECT slot, txi, owner, 25 * (mint % 10 + 1) AS base, (qty * qty * 7 + 99) div 100 AS variable FROM trades) x")
 statement("bin_price", f"SELECT DISTINCT p_size, {q('power(1 + p_size / 10000.0, p_size - 25)', 9)} AS price FROM part", f"SELECT DISTINCT p_size, {q('power(1 + p_size / 10000.0, p_size - 25)', 9)} AS price FROM part")
@@ -69,12 +66,5 @@ statement("constant_product_exact_out", "SELECT slot, txi, owner, CASE WHEN qty
 statement("basis_allocate", "SELECT slot, txi, owner, (cents * qty) div (qty + txi) AS basis, CASE WHEN status = 'F' THEN 'exact' ELSE 'estimated' END AS quality FROM trades")
 statement("pool_depth_share", "SELECT mint, owner, CAST(sum(qty) * 10000 AS BIGINT) div CAST(max(total) AS BIGINT) AS share_bps FROM (SELECT mint, owner, qty, sum(qty) OVER (PARTITION BY mint) AS total FROM trades) x GROUP BY mint, owner")
 statement("in_range_flag", "SELECT slot, txi, owner, txi BETWEEN 2 AND 5 AS in_range FROM trades")
-statement("fee_rate_annualised", "SELECT slot, txi, owner, tax / nullif(px, 0) / (txi + 1) AS per_day, tax / nullif(px, 0) / (txi + 1) * 365 AS per_year FROM trades")
 statement("fee_tier_lookup", "SELECT call_id, rate FROM calls JOIN (VALUES (0.0, 50000.0, 95), (50000.0, 150000.0, 60), (150000.0, 1e12, 30)) AS tiers(lo, hi, rate) ON price >= lo AND price < hi")
-statement("venue_fee_floor", "SELECT call_id, CASE WHEN caller % 2 = 0 THEN 100 ELSE rate END AS floor_bps FROM calls JOIN (VALUES (0.0, 100000.0, 95), (100000.0, 1e12, 25)) AS tiers(lo, hi, rate) ON price >= lo AND price < hi")
-statement("turnover_model", "SELECT p_partkey, p_size * sqrt(p_retailprice) / (1 + p_size / 10.0D) AS turnover FROM part", "SELECT p_partkey, p_size * sqrt(p_retailprice) / (1 + p_size / CAST(10 AS DOUBLE)) AS turnover FROM part")
-statement("effective_fee_bps", "SELECT slot, txi, owner, 10000 * (1 - px / (px * (1 + discount))) AS fee_bps FROM trades")
-statement("caller_class", "SELECT caller, CASE WHEN n < 100 THEN 'sparse' WHEN big * 2 > n THEN 'template' ELSE 'human' END AS class FROM (SELECT caller, count(*) AS n, count(*) FILTER (WHERE price > 200000) AS big FROM calls GROUP BY caller) x")
-statement("evidence_tier", "SELECT call_id, CASE WHEN price > 300000 THEN 'direct' WHEN price > 100000 THEN 'inferred' ELSE 'weak' END AS tier FROM calls")
-statement("organic_holder_deployer_verdicts", "SELECT mint, CASE WHEN top > 0.5 THEN 'concentrated' WHEN holders < 5 THEN 'thin' ELSE 'organic' END AS verdict FROM (SELECT mint, count(DISTINCT owner) AS holders, max(qty) / CAST(sum(qty) AS DOUBLE) AS top FROM trades GROUP BY mint) x")
 statement("tx_classify", "SELECT slot, CASE WHEN count(DISTINCT side) = 2 THEN 'swap' WHEN max(side) = 1 THEN 'deposit' ELSE 'withdraw' END AS kind, min(owner) AS counterparty FROM trades GROUP BY slot")

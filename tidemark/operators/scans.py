@@ -81,7 +81,6 @@ statement("mover_page_parse", "SELECT event_id, user_id, value FROM ev WHERE val
 statement("build_stream_merge", "SELECT mint, t, src FROM (SELECT mint, t, src, row_number() OVER (PARTITION BY mint ORDER BY t, src) AS rn FROM (SELECT mint, t, 'tape' AS src FROM trades UNION ALL SELECT mint, t, 'call' AS src FROM calls) x) y WHERE rn = 1")
 _FLOW = "SELECT slot, owner, mint, CAST(sum(CASE WHEN side = -1 THEN qty ELSE 0 END) AS DECIMAL(38,0)) AS pre_raw, CAST(sum(CASE WHEN side = 1 THEN qty ELSE 0 END) AS DECIMAL(38,0)) AS post_raw, CAST(sum(delta) AS DECIMAL(38,0)) AS delta_raw, count(*) AS n_accounts FROM trades GROUP BY slot, owner, mint"
 statement("signed_flow_build", f"SELECT f.*, n_owners FROM ({_FLOW}) f JOIN (SELECT slot, count(DISTINCT owner) AS n_owners FROM trades GROUP BY slot) s ON s.slot = f.slot", f"SELECT f.*, n_owners FROM ({_FLOW}) f JOIN (SELECT slot AS z, count(DISTINCT owner) AS n_owners FROM trades GROUP BY slot) s ON s.z = f.slot")
-statement("trade_collapse", "SELECT slot, mint, max_by(owner, struct(qty, owner, txi)) AS venue, CASE WHEN sum(delta) > 0 THEN 1 WHEN sum(delta) < 0 THEN -1 ELSE 0 END AS trade_sign, count(DISTINCT owner) AS n_parties, CASE WHEN count(DISTINCT owner) = 1 THEN 'exact' ELSE 'ambiguous' END AS quality FROM trades GROUP BY slot, mint")
 statement("censoring_check", "SELECT a.mint, a.px AS by_last, b.px AS by_best, b.px - a.px AS diff FROM (SELECT mint, max_by(px, struct(t, slot, txi, owner, cents)) AS px FROM trades GROUP BY mint) a JOIN (SELECT mint, max(px) AS px FROM trades GROUP BY mint) b ON a.mint = b.mint")
 _ANALOGS = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 1260), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price, t AS a_t FROM calls WHERE t < 86400 * 1200) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 3"
 
@@ -126,7 +125,6 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 statement("find_rip", "SELECT mint, min(d) AS ripped FROM (SELECT mint, d, px, max(px) OVER (PARTITION BY mint ORDER BY d, slot, txi, owner, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high, max(px) OVER (PARTITION BY mint ORDER BY d, slot, txi, owner, cents ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS after FROM trades) x WHERE after < 0.9999 * high GROUP BY mint")
-statement("prediction_eval", "SELECT c.call_id, CASE WHEN o.o_orderkey IS NULL THEN 'unknown' WHEN o.o_totalprice > 200000 THEN 'hit' ELSE 'miss' END AS verdict FROM calls c LEFT JOIN orders o ON o.o_orderkey = c.call_id AND o.o_orderstatus <> 'P'")
 statement("workability_census", "SELECT tier, count(*) AS n FROM (SELECT mint, CASE WHEN count(*) >= 40 THEN 'deep' WHEN count(*) >= 20 THEN 'thin' ELSE 'none' END AS tier FROM trades GROUP BY mint) x GROUP BY tier")
 statement("birth_features", "SELECT l.mint, count(DISTINCT l.owner) AS snipers, max(CASE WHEN side = 1 THEN qty END) AS dev_buy FROM trades l JOIN (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) b ON b.mint = l.mint AND l.d = b.d0 GROUP BY l.mint")
 statement("trade_prints_from_tx", "SELECT slot, owner, mint, CASE WHEN sum(delta) > 0 THEN 'buy' ELSE 'sell' END AS side_, CAST(abs(sum(delta)) AS BIGINT) AS size FROM trades GROUP BY slot, owner, mint HAVING sum(delta) <> 0")

@@ -21,11 +21,6 @@ def dedupe_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(deduplicated(event_stream(spark, sf_dir), "event_id", "1 day"), "dedupe").select("event_id", "user_id", "event_type")
 
 
-@query("cursor_tail", "SELECT user_id, max(event_id) AS cursor, count(*) AS n FROM events GROUP BY user_id")
-def cursor_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(event_stream(spark, sf_dir).groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.count("*").alias("n")), "cursor", "complete")
-
-
 @query("watch_ledger", f"WITH g AS (SELECT user_id, {_SECONDS} AS t, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 21600000000 THEN 0 ELSE 1 END AS opens, event_id FROM events), k AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS opened, count(*) AS n FROM k GROUP BY user_id, k")
 def watch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watch windows: a user's events with gaps under six hours, as session windows."""

@@ -38,7 +38,6 @@ statement("lomb_scargle", f"WITH s AS (SELECT CAST(d AS DOUBLE) AS x, CAST(sum(d
 statement("floor_clearing_labels", f"SELECT mint, slot, txi, owner, cents, CASE WHEN later IS NULL THEN NULL WHEN best >= entry * 1.02 THEN 1 ELSE 0 END AS label FROM (SELECT mint, slot, txi, owner, cents, lead(px, 1) OVER w AS entry, lead(px, 6) OVER w AS later, max(px) OVER (PARTITION BY mint ORDER BY {_ORDER} ROWS BETWEEN 2 FOLLOWING AND 6 FOLLOWING) AS best FROM trades WINDOW w AS (PARTITION BY mint ORDER BY {_ORDER})) x")
 statement("signature_volatility_event", f"WITH {_E}, w AS (SELECT a.mint, lag_, avg((b.px - a.px) * (b.px - a.px)) AS v FROM e a JOIN (VALUES (1), (2), (4)) AS lags(lag_) ON true JOIN e b ON b.mint = a.mint AND b.rn = a.rn + lag_ GROUP BY a.mint, lag_), m AS (SELECT mint, avg(px) AS p FROM trades GROUP BY mint) SELECT w.mint, lag_, {q('v / (lag_ * p * p)', 8)} AS sigma2 FROM w JOIN m ON w.mint = m.mint")
 statement("signature_volatility_wall", f"WITH g AS (SELECT mint, t, max(px) AS px FROM trades GROUP BY mint, t), m AS (SELECT mint, avg(px) AS p FROM g GROUP BY mint) SELECT a.mint, {q('avg((b.px - a.px) * (b.px - a.px)) / (100 * max(p) * max(p))', 8)} AS sigma2 FROM g a JOIN g b ON a.mint = b.mint AND b.t - a.t BETWEEN 86400 * 90 AND 86400 * 110 JOIN m ON m.mint = a.mint GROUP BY a.mint")
-statement("realized_vol_pair", f"WITH s AS (SELECT mint % 2 AS side_, d, ln(max(px)) AS l FROM trades GROUP BY 1, 2), r AS (SELECT a.d, a.l - b.l AS x FROM s a JOIN s b ON a.d = b.d AND a.side_ = 0 AND b.side_ = 1), g AS (SELECT x - lag(x) OVER (ORDER BY d) AS dx FROM r) SELECT {q('stddev_samp(dx)', 7)} AS vol, {q('avg(dx)', 7)} AS drift FROM g")
 statement("sigma2_from_path", f"WITH g AS (SELECT mint, d, ln(px) - lag(ln(px)) OVER (PARTITION BY mint ORDER BY {_ORDER}) AS r FROM trades) SELECT mint, {q('sum(r * r) / nullif(max(d) - min(d), 0)', 8)} AS sigma2_day FROM g GROUP BY mint")
 statement("caller_track_record", f"SELECT call_id, count(*) OVER w AS resolved, max(price) OVER w AS best FROM calls WINDOW w AS (PARTITION BY caller ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 2592000 PRECEDING)")
 statement("first_bursts", "SELECT mint, min(d) + 1 AS at FROM (SELECT mint, d div 30 * 30 AS d, count(DISTINCT owner) AS n FROM trades WHERE side = 1 GROUP BY 1, 2) x WHERE n >= 2 GROUP BY mint")
