@@ -11,7 +11,7 @@ from tidemark.functions import assoc
 from tidemark.functions.graph import components, hop_levels
 from tidemark.functions.intervals import interval_subtract, interval_union
 from tidemark.functions.joins import asof_join, range_join
-from tidemark.functions.ranks import numbered, ranks, running, tiles
+from tidemark.functions.ranks import numbered, quantiles, ranks, running, tiles
 from tidemark.operators import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -60,6 +60,8 @@ def test_running_totals_and_tiles_span_ranges(spark):
     assert {r.i: r.m for r in running(df, [F.desc("v"), F.desc("i")], F.col("i"), "m", "min").collect()} == {rows[k][1]: v for k, v in low.items()}
     by = {r.v: (r.n, r["first"], r.mid) for r in ranks(df, "v").collect()}
     assert by[0] == (20, 1, 10.5) and by[1] == (20, 21, 30.5) and by[5] == (60, 101, 130.5)
+    some = spark.createDataFrame([("a", float(v)) for v in (3, 1, 1, 8)] + [("b", 7.0), ("c", None)], "g string, v double")
+    assert {r.g: (r.lo, r.mid) for r in quantiles(some, "g", "v", {"lo": 0.1, "mid": 0.5}).collect()} == {"a": (1.0, 2.0), "b": (7.0, 7.0)}
     got = [r.t for r in tiles(df.where("i < 23"), ["v", "i"], 5, "t").orderBy("v", "i").collect()]
     assert got == [1] * 5 + [2] * 5 + [3] * 5 + [4] * 4 + [5] * 4
     assert tiles(df.where("i < 2"), ["v", "i"], 5, "t").count() == 2 and numbered(df.where("false"), ["v"]).count() == 0

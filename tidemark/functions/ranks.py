@@ -45,3 +45,20 @@ def tiles(df: DataFrame, order: list[Column | str], k: int, name: str) -> DataFr
     edge = more * (size + 1)
     tile = F.when(at < edge, F.floor(at / (size + 1)) + 1).otherwise(more + F.floor((at - edge) / max(size, 1)) + 1)
     return numbered(df, order, "_rn").withColumn(name, tile.cast("long")).drop("_rn")
+
+
+def quantiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of value by group, halfway values interpolated, as columns named by `at`; nulls take no part. A group of any size is spread over ranges of its values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    placed = written(running(counts, [group, value], F.col("n"), "_upto"), "quantiles")
+    sizes = placed.groupBy(group).agg(F.min(F.col("_upto") - F.col("n")).alias("_base"), F.sum("n").alias("_n"))
+    rows = placed.join(sizes, group)
+    first, last = F.col("_upto") - F.col("n") - F.col("_base"), F.col("_upto") - F.col("_base") - 1
+    picked = []
+    for name, p in at.items():
+        place = F.lit(p) * (F.col("_n") - 1)
+        for i, k in enumerate((F.floor(place), F.ceil(place))):
+            picked.append(F.max(F.when((first <= k) & (k <= last), F.col(value))).alias(f"{name}_{i}"))
+    out = rows.groupBy(group).agg(F.first("_n").alias("_n"), *picked)
+    part = {name: F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1)) for name, p in at.items()}
+    return out.select(group, *((F.col(f"{n}_0") + (F.col(f"{n}_1") - F.col(f"{n}_0")) * part[n]).alias(n) for n in at))

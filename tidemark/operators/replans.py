@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranks import numbered, ranks, running, tiles
+from tidemark.functions.ranks import numbered, quantiles, ranks, running, tiles
 from tidemark.operators.registry import replanned
 from tidemark.operators.sql import run
 from tidemark.sources.scratch import written
@@ -116,6 +116,20 @@ def decile_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.agg(_q(F.median(F.when(F.col("bin") == 10, F.col("p"))) - F.median(F.when(F.col("bin") == 1, F.col("p")))).alias("contrast"))
 
 
+@replanned("quantile_exact")
+def quantile_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantiles(run(spark, sf_dir, "SELECT status, px FROM trades"), "status", "px", {"p25": 0.25, "p50": 0.5, "p95": 0.95})
+    return found.select("status", *(_q(F.col(c)).alias(c) for c in ("p25", "p50", "p95")))
+
+
+@replanned("distribution_summary")
+def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(spark, sf_dir, "SELECT status, px FROM trades")
+    found = quantiles(rows, "status", "px", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    counts = rows.groupBy("status").agg(F.count("px").alias("n"), (F.count("*") - F.count("px")).alias("absent"))
+    return counts.join(found, "status", "left").select("status", "n", *(_q(F.col(c)).alias(c) for c in ("p25", "p50", "p75")), "absent")
+
+
 def _statement(name: str, text: str) -> None:
     @replanned(name)
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
