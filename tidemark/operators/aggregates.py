@@ -25,16 +25,16 @@ statement("nakamoto", "SELECT mint, CAST(min(rn) AS BIGINT) AS nakamoto FROM (SE
 _CONCENTRATION = "SELECT mint, count(*) AS holders, CAST(max(g) AS DOUBLE) / CAST(sum(g) AS DOUBLE) AS top1, CAST(sum(CASE WHEN rn <= 10 THEN g END) AS DOUBLE) / CAST(sum(g) AS DOUBLE) AS top10, CAST(sum(g * g) AS DOUBLE) / (CAST(sum(g) AS DOUBLE) * CAST(sum(g) AS DOUBLE)) AS hhi, CAST(sum(g) AS DOUBLE) / count(*) AS mean FROM (SELECT mint, owner, g, row_number() OVER (PARTITION BY mint ORDER BY g DESC, owner) AS rn FROM (SELECT mint, owner, CAST(sum(qty) AS BIGINT) AS g FROM trades GROUP BY mint, owner) x WHERE g > 0) y GROUP BY mint"
 statement("concentration_bundle", _CONCENTRATION)
 statement("holder_features", _CONCENTRATION.replace("SELECT mint, owner, CAST(sum(qty) AS BIGINT) AS g FROM trades GROUP", "SELECT mint, owner, CAST(sum(delta) AS BIGINT) AS g FROM trades GROUP"))
-statement("midrank", "SELECT doc_id, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS midrank FROM documents".replace("2.0", "CAST(2 AS DOUBLE)"))
+statement("midrank", "SELECT doc_id, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / CAST(2 AS DOUBLE) AS midrank FROM documents")
 _SCORED = "s AS (SELECT l.quality AS y, CAST(length(d.text) AS DOUBLE) AS score, l.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id), r AS (SELECT y, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / CAST(2 AS DOUBLE) AS rk FROM s)"
 statement("auc_rank", f"WITH {_SCORED} SELECT (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / CAST(2 AS DOUBLE)) / nullif(CAST(sum(y) * (count(*) - sum(y)) AS DOUBLE), 0) AS auc FROM r")
 _P = "p AS (SELECT l.quality AS y, CAST(least(length(d.text), 9999) AS DOUBLE) / 10000 AS p, l.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
 statement("brier", f"WITH {_P} SELECT {q('avg((y - p) * (y - p))', 8)} AS brier, count(*) AS n FROM p")
 statement("calibration_bins", f"WITH {_P} SELECT CAST(floor(p * 10) AS BIGINT) AS bin, count(*) AS n, {q('avg(p)', 8)} AS predicted, {q('avg(y)', 8)} AS observed FROM p GROUP BY 1")
-statement("calibration_deciles", f"WITH {_P}, b AS (SELECT ntile(10) OVER (ORDER BY p, doc_id) AS decile, y, p FROM p) SELECT decile, count(*) AS n, {q('avg(p)', 8)} AS predicted, {q('avg(y)', 8)} AS observed FROM b GROUP BY decile".replace("SELECT decile, count", "SELECT CAST(decile AS BIGINT) AS decile, count"))
+statement("calibration_deciles", f"WITH {_P}, b AS (SELECT ntile(10) OVER (ORDER BY p, doc_id) AS decile, y, p FROM p) SELECT CAST(decile AS BIGINT) AS decile, count(*) AS n, {q('avg(p)', 8)} AS predicted, {q('avg(y)', 8)} AS observed FROM b GROUP BY decile")
 statement("ece_reliability", f"WITH {_P}, b AS (SELECT floor(p * 10) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM p GROUP BY 1) SELECT {q('sum(n * abs(mp - my)) / sum(n)', 8)} AS ece FROM b")
 statement("log_loss_bits", f"WITH {_P} SELECT {q('avg(-(CASE WHEN y = 1 THEN ln(greatest(p, 1e-6)) ELSE ln(greatest(1 - p, 1e-6)) END) / ln(2))', 8)} AS bits FROM p")
-statement("threshold_cells", f"WITH {_P} SELECT tau, count(*) FILTER (WHERE p >= tau) AS fired, count(*) FILTER (WHERE p >= tau AND y = 1) AS hits FROM p, (VALUES (0.05), (0.2), (0.5), (0.9)) AS taus(tau) GROUP BY tau".replace("SELECT tau,", "SELECT CAST(tau AS DOUBLE) AS tau,"))
+statement("threshold_cells", f"WITH {_P} SELECT CAST(tau AS DOUBLE) AS tau, count(*) FILTER (WHERE p >= tau) AS fired, count(*) FILTER (WHERE p >= tau AND y = 1) AS hits FROM p, (VALUES (0.05), (0.2), (0.5), (0.9)) AS taus(tau) GROUP BY tau")
 _WILSON = "(k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)"
 _WILSON_HI = _WILSON.replace("- 1.96", "+ 1.96")
 statement("wilson_interval", f"SELECT source, {q(_WILSON, 9)} AS lo, {q(_WILSON_HI, 9)} AS hi FROM (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE lang = 'en') AS DOUBLE) AS k FROM documents GROUP BY source) x")

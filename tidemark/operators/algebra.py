@@ -55,12 +55,12 @@ _put("mean_jaccard_pairs", f"SELECT floor(sum(v) / max(n) * 1e7 + 0.5) / 1e7 AS
 _EDGES = "SELECT DISTINCT owner AS a, 100000 + mint AS b FROM trades"
 
 
-@query("union_find_components", oracle(f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node").replace("WITH trades", "WITH RECURSIVE trades").replace(", RECURSIVE e", ", e").replace(",  RECURSIVE e", ", e"))
+@query("union_find_components", oracle(f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node"))
 def union_find_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(run(spark, sf_dir, _EDGES))
 
 
-@query("largest_component", oracle(f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node) SELECT component, count(*) AS size FROM c GROUP BY component ORDER BY size DESC, component LIMIT 1").replace("WITH trades", "WITH RECURSIVE trades").replace(", RECURSIVE e", ", e").replace(",  RECURSIVE e", ", e"))
+@query("largest_component", oracle(f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node) SELECT component, count(*) AS size FROM c GROUP BY component ORDER BY size DESC, component LIMIT 1"))
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(run(spark, sf_dir, _EDGES)).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)
 
@@ -71,7 +71,7 @@ statement("first_funders", _FIRST)
 statement("funder_fanout", f"SELECT funder, count(DISTINCT funded) AS fanout FROM ({_FIRST}) x GROUP BY funder")
 statement("hub_exclusion", f"SELECT funded, funder FROM ({_FIRST}) x WHERE funder NOT IN (SELECT funder FROM ({_FIRST}) y GROUP BY funder HAVING count(*) > 40)")
 statement("funding_links", f"SELECT funded AS a, hub AS b FROM (SELECT funded, min(funded) OVER (PARTITION BY funder) AS hub FROM ({_FIRST}) x) y WHERE funded <> hub")
-statement("cosigning_links", "SELECT least(a.owner, b.owner) AS a, greatest(a.owner, b.owner) AS b, count(DISTINCT a.slot) AS n FROM trades a JOIN trades b ON a.slot = b.slot AND a.owner < b.owner WHERE a.slot % 5 = 0 GROUP BY 1, 2".replace(" WHERE a.slot % 5 = 0", ""))
+statement("cosigning_links", "SELECT least(a.owner, b.owner) AS a, greatest(a.owner, b.owner) AS b, count(DISTINCT a.slot) AS n FROM trades a JOIN trades b ON a.slot = b.slot AND a.owner < b.owner GROUP BY 1, 2")
 statement("bundle_links", "SELECT DISTINCT owner AS a, hub AS b FROM (SELECT owner, min(owner) OVER (PARTITION BY slot) AS hub, count(*) OVER (PARTITION BY slot) AS n FROM trades) x WHERE owner <> hub AND n <= 5")
 statement("top10_delta", "WITH h AS (SELECT owner, CAST(sum(qty) AS BIGINT) AS q FROM trades GROUP BY owner), e AS (SELECT owner % 20 AS entity, CAST(sum(q) AS BIGINT) AS q FROM h GROUP BY 1), a AS (SELECT CAST(sum(CASE WHEN rn <= 10 THEN q ELSE 0 END) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS naive FROM (SELECT q, row_number() OVER (ORDER BY q DESC, owner) AS rn FROM h) x), b AS (SELECT CAST(sum(CASE WHEN rn <= 10 THEN q ELSE 0 END) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS adjusted FROM (SELECT q, row_number() OVER (ORDER BY q DESC, entity) AS rn FROM e) x) SELECT naive, adjusted, adjusted - naive AS delta FROM a, b")
 statement("pairwise_scores", "WITH x AS (SELECT c_nationkey AS truth, c_custkey % 30 AS assigned, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 AS both_ FROM x), p AS (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 AS pred FROM (SELECT CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY assigned) y), r AS (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 AS actual FROM (SELECT CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY truth) z) SELECT both_ / nullif(pred, 0) AS precision_, both_ / nullif(actual, 0) AS recall FROM t, p, r")

@@ -93,7 +93,7 @@ _by_counts("sign_test", _SIGNS, "owner", lambda a, b: (a, b, round(kernels.sign_
 _DIRECTED = "SELECT DISTINCT owner AS a, 100000000 + mint AS b FROM trades WHERE side = 1 UNION SELECT DISTINCT 100000000 + mint AS a, owner AS b FROM trades WHERE side = -1"
 
 
-@query("hop_levels", oracle(f"WITH RECURSIVE_ e AS ({_DIRECTED}), r(node, hop) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT e.b, hop + 1 FROM r JOIN e ON e.a = r.node WHERE hop < 4), n AS (SELECT a AS node FROM e UNION SELECT b FROM e UNION SELECT 3) SELECT n.node, coalesce(min(hop), -1) AS hop FROM n LEFT JOIN r ON r.node = n.node GROUP BY n.node").replace("WITH trades", "WITH RECURSIVE trades").replace(" RECURSIVE_ e", " e"))
+@query("hop_levels", oracle(f"WITH RECURSIVE e AS ({_DIRECTED}), r(node, hop) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT e.b, hop + 1 FROM r JOIN e ON e.a = r.node WHERE hop < 4), n AS (SELECT a AS node FROM e UNION SELECT b FROM e UNION SELECT 3) SELECT n.node, coalesce(min(hop), -1) AS hop FROM n LEFT JOIN r ON r.node = n.node GROUP BY n.node"))
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops along all flows from wallet 3, up to 4."""
     return hop_levels(run(spark, sf_dir, _DIRECTED), spark.range(3, 4).select(F.col("id").alias("node")), 4)
@@ -101,8 +101,7 @@ def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- wallets and calls with what was measured of them ---------------------------------------------------------------
 
-_STATS = """ SELECT owner, count(*) AS sales, count(*) FILTER (WHERE realized_cents > 0) AS wins, count(*) FILTER (WHERE basis_quality = 'tainted') AS tainted, {q} AS realized_cents FROM f GROUP BY owner"""
-_STATS = _STATS.replace("{q}", q("sum(realized_cents)", 1))
+_STATS = f""" SELECT owner, count(*) AS sales, count(*) FILTER (WHERE realized_cents > 0) AS wins, count(*) FILTER (WHERE basis_quality = 'tainted') AS tainted, {q('sum(realized_cents)', 1)} AS realized_cents FROM f GROUP BY owner"""
 statement(
     "wallet_core_stats",
     f"WITH f AS ({_FIFO}), w AS ({_STATS}), a AS (SELECT owner, count(*) AS legs, count(DISTINCT mint) AS mints, CAST(sum(-side * cents) AS BIGINT) AS cash, max(d) - min(d) AS active_days FROM trades GROUP BY owner) SELECT a.owner, legs, mints, cash, active_days, coalesce(sales, 0) AS sales, coalesce(wins, 0) AS wins, coalesce(tainted, 0) AS tainted, realized_cents FROM a LEFT JOIN w ON w.owner = a.owner",
@@ -114,8 +113,7 @@ _BARRIERS = f", p AS (SELECT call_id, d, close, first_value(close) OVER (PARTITI
 _PATHS = "SELECT call_id, take_d, stop_d, last_d, CASE WHEN take_d < coalesce(stop_d, 1000000) THEN 'take' WHEN stop_d IS NOT NULL THEN 'stop' ELSE 'time' END AS first_ FROM t"
 statement("bandit_exit_paths", f"WITH {_POSITIONS}{_BARRIERS} {_PATHS}", f"WITH {_POSITIONS_PAIRS}{_BARRIERS} {_PATHS}")
 # An entry scores what its first barrier pays; one whose window the tape does not reach to the end of, and which touched none, is censored.
-_ENTRY = ", z AS (SELECT max(d) AS now_ FROM trades), e AS (SELECT t.*, c.d AS called FROM t JOIN c ON c.call_id = t.call_id) SELECT call_id, CASE WHEN take_d < coalesce(stop_d, 1000000) THEN 0.5 WHEN stop_d IS NOT NULL THEN -0.3 WHEN called + 120 <= now_ THEN held END AS score, take_d IS NULL AND stop_d IS NULL AND called + 120 > now_ AS censored FROM e, z"
-_ENTRY = _ENTRY.replace("0.5 WHEN", "CAST(0.5 AS DOUBLE) WHEN").replace("-0.3 WHEN", "CAST(-0.3 AS DOUBLE) WHEN")
+_ENTRY = ", z AS (SELECT max(d) AS now_ FROM trades), e AS (SELECT t.*, c.d AS called FROM t JOIN c ON c.call_id = t.call_id) SELECT call_id, CASE WHEN take_d < coalesce(stop_d, 1000000) THEN CAST(0.5 AS DOUBLE) WHEN stop_d IS NOT NULL THEN CAST(-0.3 AS DOUBLE) WHEN called + 120 <= now_ THEN held END AS score, take_d IS NULL AND stop_d IS NULL AND called + 120 > now_ AS censored FROM e, z"
 statement("entry_score", f"WITH {_POSITIONS}{_BARRIERS}{_ENTRY}", f"WITH {_POSITIONS_PAIRS}{_BARRIERS}{_ENTRY}")
 # What a caller claimed (a price on the call) against what its closes reached.
 _RECORD = f"{_BARRIERS}, m AS (SELECT call_id, max(close) / max(entry) AS multiple FROM p GROUP BY call_id) SELECT calls.caller, count(*) AS n, count(multiple) AS measured, count(*) FILTER (WHERE multiple >= 2) AS doubled, {q('median(multiple)')} AS median_multiple, {cut('median(price)', 2)} AS median_claim, count(*) FILTER (WHERE multiple < 1.1) AS flat FROM calls LEFT JOIN m ON m.call_id = calls.call_id GROUP BY calls.caller"

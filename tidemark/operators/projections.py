@@ -25,7 +25,7 @@ statement("plain_filter_as_known", "SELECT call_id, caller, mint FROM calls WHER
 statement("floor_bucket_time", "SELECT event_id, CAST(floor(t / 60) AS BIGINT) * 60 AS minute FROM ev")
 statement("epoch_to_utc", "SELECT event_id, date_format(timestamp_seconds(t), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS iso FROM ev", "SELECT event_id, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM ev")
 statement("utc_day_partition", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
-statement("log_exp_pow", "SELECT mint, slot, txi, owner, -2.0 * ln(px + 1) AS logp, sqrt(px) AS root, power(px, 2) AS square, abs(delta) AS size FROM trades WHERE slot % 10 = 0" .replace(" WHERE slot % 10 = 0", ""))
+statement("log_exp_pow", "SELECT mint, slot, txi, owner, -2.0 * ln(px + 1) AS logp, sqrt(px) AS root, power(px, 2) AS square, abs(delta) AS size FROM trades")
 statement("round_half_up_ppm", "SELECT call_id, CAST(CASE WHEN num < 0 THEN -((2 * -num * 1000000 + den) div (2 * den)) ELSE (2 * num * 1000000 + den) div (2 * den) END AS BIGINT) AS ppm FROM (SELECT call_id, caller - 48 AS num, mint + 1 AS den FROM calls) x")
 statement("ratio_compare_cross", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN (a.n_nationkey + 1) * (b.n_regionkey + 2) < (b.n_nationkey + 1) * (a.n_regionkey + 2) THEN -1 WHEN (a.n_nationkey + 1) * (b.n_regionkey + 2) > (b.n_nationkey + 1) * (a.n_regionkey + 2) THEN 1 ELSE 0 END AS cmp FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 statement("greatest_least", "SELECT mint, greatest(max(px), max(cents / 100.0D)) AS h, least(min(px), min(cents / 100.0D)) AS l FROM trades GROUP BY mint", "SELECT mint, greatest(max(px), max(cents / 100.0)) AS h, least(min(px), min(cents / 100.0)) AS l FROM trades GROUP BY mint")

@@ -4,7 +4,7 @@ from tidemark.operators.sql import q, statement
 
 _ORDER = "d, slot, txi, owner, cents"
 statement("row_number_topn", "SELECT mint, owner, n FROM (SELECT mint, owner, count(*) AS n, row_number() OVER (PARTITION BY mint ORDER BY count(*) DESC, owner) AS rk FROM trades GROUP BY mint, owner) x WHERE rk = 1")
-statement("row_number_sequence", f"SELECT mint, slot, txi, owner, cents, row_number() OVER (PARTITION BY mint ORDER BY {_ORDER}) AS rn FROM trades".replace("row_number() OVER", "CAST(row_number() OVER").replace("cents) AS rn", "cents) AS BIGINT) AS rn"))
+statement("row_number_sequence", f"SELECT mint, slot, txi, owner, cents, CAST(row_number() OVER (PARTITION BY mint ORDER BY {_ORDER}) AS BIGINT) AS rn FROM trades")
 statement("rank_ties", "SELECT mint, CAST(rank() OVER (ORDER BY v) AS BIGINT) AS r FROM (SELECT mint, CAST(sum(qty) AS BIGINT) AS v FROM trades GROUP BY mint) x")
 statement("lag_lead", f"SELECT mint, slot, txi, owner, cents, lag(px) OVER (PARTITION BY mint ORDER BY {_ORDER}) AS before, (lead(px, 8) OVER (PARTITION BY mint ORDER BY {_ORDER})) - px AS e8 FROM trades")
 statement("gap_detect_lead", "SELECT mint, d, nxt FROM (SELECT mint, d, lead(d) OVER (PARTITION BY mint ORDER BY d) AS nxt FROM (SELECT DISTINCT mint, d FROM trades) y) x WHERE nxt - d > 3")
@@ -26,11 +26,10 @@ statement("leaderboard", f"SELECT caller, n, mid FROM (SELECT caller, count(*) A
 statement("candidate_ranking", "SELECT mint, n, top FROM (SELECT mint, count(*) AS n, max(px) AS top FROM trades WHERE side = 1 GROUP BY mint) x ORDER BY n DESC, top DESC, mint LIMIT 40")
 statement("qualify_top_per_group", "SELECT mint, owner, n FROM (SELECT mint, owner, count(DISTINCT slot) AS n, row_number() OVER (PARTITION BY mint ORDER BY count(DISTINCT slot) DESC, owner) AS rk FROM trades GROUP BY mint, owner HAVING count(*) >= 1) x WHERE rk <= 3")
 statement("hash_order_sample", "SELECT c_custkey FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR(20))), c_custkey LIMIT 50")
-_AJ = "r AS (SELECT o_custkey % 200 + 1 AS time_to, CASE o_orderstatus WHEN 'F' THEN 'died' WHEN 'P' THEN 'moved' END AS mode FROM orders), c AS (SELECT time_to, count(*) AS n, count(mode) AS d, count(*) FILTER (WHERE mode = 'died') AS d1 FROM r GROUP BY time_to), k AS (SELECT time_to, d, d1, sum(n) OVER (ORDER BY time_to DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk FROM c), s AS (SELECT time_to, d1, at_risk, exp(sum(ln(CASE WHEN d < at_risk THEN 1 - CAST(d AS DOUBLE) / at_risk ELSE 1e-300 END)) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS surv FROM k), b AS (SELECT time_to, surv, CAST(d1 AS DOUBLE) / at_risk * lag(surv, 1, 1.0) OVER (ORDER BY time_to) AS step FROM s)"
+_AJ = "r AS (SELECT o_custkey % 200 + 1 AS time_to, CASE o_orderstatus WHEN 'F' THEN 'died' WHEN 'P' THEN 'moved' END AS mode FROM orders), c AS (SELECT time_to, count(*) AS n, count(mode) AS d, count(*) FILTER (WHERE mode = 'died') AS d1 FROM r GROUP BY time_to), k AS (SELECT time_to, d, d1, sum(n) OVER (ORDER BY time_to DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_risk FROM c), s AS (SELECT time_to, d1, at_risk, exp(sum(ln(CASE WHEN d < at_risk THEN 1 - CAST(d AS DOUBLE) / at_risk ELSE 1e-300 END)) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS surv FROM k), b AS (SELECT time_to, surv, CAST(d1 AS DOUBLE) / at_risk * lag(surv, 1, CAST(1 AS DOUBLE)) OVER (ORDER BY time_to) AS step FROM s)"
 _AJ_OUT = f"WITH {_AJ} SELECT time_to, {q('surv', 8)} AS surv, {q('sum(step) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 8)} AS cif FROM b"
-_FIX = ("lag(surv, 1, 1.0)", "lag(surv, 1, CAST(1 AS DOUBLE))")
-statement("kaplan_aalen_johansen", _AJ_OUT.replace(*_FIX))
-statement("one_minus_km", (f"WITH {_AJ} SELECT time_to, " + q("1 - exp(sum(ln(CASE WHEN d1 < at_risk THEN 1 - CAST(d1 AS DOUBLE) / at_risk ELSE 1e-300 END)) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))", 8) + " AS cif FROM k").replace(*_FIX))
+statement("kaplan_aalen_johansen", _AJ_OUT)
+statement("one_minus_km", f"WITH {_AJ} SELECT time_to, " + q("1 - exp(sum(ln(CASE WHEN d1 < at_risk THEN 1 - CAST(d1 AS DOUBLE) / at_risk ELSE 1e-300 END)) OVER (ORDER BY time_to ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))", 8) + " AS cif FROM k")
 statement("circular_shift_null", f"WITH s AS (SELECT d, CAST(sum(delta) AS DOUBLE) AS x, row_number() OVER (ORDER BY d) - 1 AS rn, count(*) OVER () AS n FROM trades GROUP BY d), k AS (SELECT explode(sequence(CAST(1 AS BIGINT), n - 1)) AS shift FROM (SELECT max(n) AS n FROM s) z WHERE n > 1) SELECT CAST(shift AS BIGINT) AS shift, {q('corr(a.x, b.x)', 6)} AS r FROM s a CROSS JOIN k JOIN s b ON b.rn = (a.rn + shift) % a.n GROUP BY shift")
 _CUM = "z AS (SELECT owner, d, slot, txi, mint, cents, (CAST(delta AS DOUBLE) - 10) / 16 AS z FROM trades), h AS (SELECT *, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS down FROM z WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), m AS (SELECT *, up - least(0, min(up) OVER w) AS hi, down - least(0, min(down) OVER w) AS lo FROM h WINDOW w AS (PARTITION BY owner ORDER BY d, slot, txi, mint, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 statement("cusum", f"WITH {_CUM} SELECT owner, {q('max(greatest(hi, lo))', 6)} AS cusum FROM m GROUP BY owner")
@@ -47,7 +46,7 @@ statement("onchain_features_at_call", "SELECT c.call_id, count(*) AS n, count(DI
 statement("callout_peak_multiple", "SELECT c.call_id, greatest(1.0D, max(l.px) / min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents))) AS multiple FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t GROUP BY c.call_id", "SELECT c.call_id, greatest(CAST(1 AS DOUBLE), max(l.px) / min_by(l.px, row(l.t, l.slot, l.txi, l.owner, l.cents))) AS multiple FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t GROUP BY c.call_id")
 statement("entry_window_measure", "SELECT c.call_id, count(*) AS n, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS first, max(l.px) AS high, min(l.px) AS low FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t AND l.t < c.t + 86400 * 60 GROUP BY c.call_id")
 statement("buy_call_sell_choreography", "SELECT call_id, CASE WHEN bought > 0 AND sold > 0 THEN 'buy_call_sell' WHEN bought > 0 THEN 'buy_call' WHEN sold > 0 THEN 'call_sell' ELSE 'none' END AS shape FROM (SELECT c.call_id, count(*) FILTER (WHERE side = 1 AND l.t < c.t) AS bought, count(*) FILTER (WHERE side = -1 AND l.t > c.t) AS sold FROM calls c JOIN trades l ON l.mint = c.mint AND l.t BETWEEN c.t - 86400 * 40 AND c.t + 86400 * 40 GROUP BY c.call_id) x")
-statement("both_edges_touch", "SELECT w, count(*) AS n, count(*) FILTER (WHERE hi >= px + w AND lo <= px - w) AS both_edges FROM (SELECT a.mint, a.px, max(b.px) AS hi, min(b.px) AS lo FROM (SELECT mint, d, max(px) AS px FROM trades GROUP BY mint, d) a JOIN trades b ON b.mint = a.mint AND b.d > a.d AND b.d <= a.d + 120 GROUP BY a.mint, a.d, a.px) x, (VALUES (0.0), (0.05), (0.5)) AS ws(w) GROUP BY w".replace("SELECT w, count(*) AS n", "SELECT CAST(w AS DOUBLE) AS w, count(*) AS n"))
+statement("both_edges_touch", "SELECT CAST(w AS DOUBLE) AS w, count(*) AS n, count(*) FILTER (WHERE hi >= px + w AND lo <= px - w) AS both_edges FROM (SELECT a.mint, a.px, max(b.px) AS hi, min(b.px) AS lo FROM (SELECT mint, d, max(px) AS px FROM trades GROUP BY mint, d) a JOIN trades b ON b.mint = a.mint AND b.d > a.d AND b.d <= a.d + 120 GROUP BY a.mint, a.d, a.px) x, (VALUES (0.0), (0.05), (0.5)) AS ws(w) GROUP BY w")
 statement("window_twap", "SELECT mint, d div 100 AS w, CASE WHEN count(*) >= 2 THEN max(c) END AS high, CASE WHEN count(*) >= 2 THEN CAST(sum(c) AS DOUBLE) / count(*) END AS twap FROM (SELECT mint, d, CAST(floor(max_by(px, struct(slot, txi, owner, cents)) * 100 + 0.25) AS BIGINT) AS c FROM trades GROUP BY mint, d) x GROUP BY 1, 2")
 statement("step_series", f"WITH s AS (SELECT mint, d, max(px) AS px FROM trades GROUP BY mint, d), g AS (SELECT mint, px, lead(d) OVER (PARTITION BY mint ORDER BY d) - d AS held FROM s) SELECT mint, {q('sum(px * held) / nullif(sum(held), 0)', 3)} AS twap FROM g GROUP BY mint")
 statement("prediction_base_rates", "WITH c AS (SELECT d, max_by(px, struct(slot, txi, mint, owner, cents)) AS c FROM trades GROUP BY d), b AS (SELECT min(d) AS lo, max(d) AS hi FROM c), g AS (SELECT explode(sequence(lo, hi, 5)) AS d FROM b) SELECT CAST(h AS BIGINT) AS horizon, count(*) AS n, count(*) FILTER (WHERE y.c > x.c) AS up FROM g JOIN c x ON x.d = g.d CROSS JOIN (VALUES (5), (20)) AS hs(h) JOIN c y ON y.d = g.d + h GROUP BY h")

@@ -58,4 +58,6 @@ def oracle(text: str) -> str:
     if not front:
         return text
     body = text.lstrip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {front}, {body[14:]}"
     return f"WITH {front}, {body[4:]}" if body[:4].upper() == "WITH" else f"WITH {front} {body}"
