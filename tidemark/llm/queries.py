@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import bpe_decode, bpe_encode
+from tidemark.llm.collocations import collocations
+from tidemark.llm.collocations_sql import OP11_SQL
 from tidemark.llm.cover_tree import top_k
 from tidemark.llm.html_main_text import main_text
 from tidemark.llm.importance import resample
 from tidemark.llm.importance_sql import OP13_SQL
+from tidemark.llm.language_id import fit as fit_languages
+from tidemark.llm.language_id import held_out, identify
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import BASE, apply_rules, fit
@@ -153,6 +157,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_decode(encoded, path).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of 2 to 4 words."""
+    return collocations(_table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = fit_languages(docs.where(~held_out("doc_id")))
+    return identify(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model)
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn by how much their n-grams look like those of the benchmark texts."""
     return resample(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text"))
@@ -170,9 +186,11 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_dup": op9_near_dup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_collocations": op11_collocations,
+        "op12_language_id": op12_language_id,
         "op13_importance": op13_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_exact_top_k": OP7_SQL, "op13_importance": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_exact_top_k": OP7_SQL, "op11_collocations": OP11_SQL, "op13_importance": OP13_SQL}
