@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_whole_jobs import rows, write_calls, write_trades
 from tidemark.functions import fitting, kernels
-from tidemark.functions.machines import Breaker, PaperBook, alerts, bandit, recentered
+from tidemark.functions.machines import Breaker, PaperBook, bandit, recentered
 from tidemark.operators import registry
 from tidemark.operators.decoding import base58_bytes, base58_text, borsh_event
 
@@ -186,9 +186,6 @@ def test_machines():
     b = Breaker(window=3, most=10, pause=100)
     assert [b.close(p, t) for p, t in ((-4, 0), (-4, 1), (-4, 2), (-4, 3), (9, 4), (-20, 5))] == [False, False, True, False, False, True]
     assert b.until == 105 and b.paused(104) and not b.paused(105)
-    # Mint 1 waits for its cooldown; the room of a span goes to the largest volumes.
-    polls = [(1, 90, 1), (1, 80, 2), (1, 70, 3), (2, 60, 4), (5, 99, 1), (6, 50, 4), (7, 40, 1)]
-    assert alerts(polls) == [True, True, False, False, False, True, True]
     book, got = PaperBook(), []
     for day, price in enumerate([10, 11, 11, 14, 14, 20, 20, 19, 17, 30, 30, 30, 30, 30, 40, 41, 20]):
         got.append(book.observe(day, float(price)))

@@ -27,24 +27,51 @@ class Breaker:
         return now < self.until
 
 
-def alerts(candidates: list[tuple[int, int, int]], cooldown: int = 3, room: int = 2, span: int = 5) -> list[bool]:
-    """Which of the candidates (poll, v5, mint; sorted by poll, then v5 descending, then mint) are sent: none of a mint within `cooldown` polls of its last one, and at most `room` in any `span` polls, the largest v5 first."""
-    last: dict[int, int] = {}
-    sent: list[int] = []
-    out, i = [False] * len(candidates), 0
-    while i < len(candidates):
-        poll, j = candidates[i][0], i
-        while j < len(candidates) and candidates[j][0] == poll:
-            j += 1
-        left = room - sum(p > poll - span for p in sent)
-        # Cooldowns look at what was sent before this poll, and take no room.
-        for k in [k for k in range(i, j) if candidates[k][2] not in last or last[candidates[k][2]] < poll - cooldown][: max(left, 0)]:
-            out[k] = True
-            last[candidates[k][2]] = poll
-            sent.append(poll)
-        i = j
-        sent = [p for p in sent if p > poll - span]
-    return out
+@dataclass(frozen=True)
+class Movers:
+    """When a mint on a page of volumes is worth an alert, from what was seen of it before; numbers of polls for all times."""
+
+    least: int = 40
+    ratio: int = 3
+    top_least: int = 30
+    fresh: int = 5
+    cooldown: int = 3
+    room: int = 2
+    span: int = 5
+
+    def poll(self, now: int, page: list[tuple[int, int]], seen: dict[int, tuple], sent: list[int]) -> tuple[list[tuple[int, int, str]], dict[int, tuple], list[int]]:
+        """Alerts (mint, v5, reason) of a page of (mint, v5), largest first; what is known of its mints from now on (v5, poll, among the five largest, last alert or None); polls of recent alerts.
+
+        A mint whose volume grew `ratio`-fold since its last poll (no older than `fresh`), or
+        that is newly among the five largest; not within `cooldown` polls of its last alert;
+        `room` alerts in any `span` polls, the largest first.
+        """
+        known, candidates = {}, []
+        for i, (mint, v5) in enumerate(page):
+            before, at, was_top, alerted = seen.get(mint, (None, None, None, None))
+            known[mint] = (v5, now, i < 5, alerted)
+            if at is None or at < now - self.fresh:
+                continue
+            if before > 0 and v5 >= self.least and v5 >= self.ratio * before:
+                why = "accel"
+            elif i < 5 and not was_top and v5 >= self.top_least:
+                why = "top5_entry"
+            else:
+                continue
+            if alerted is None or alerted < now - self.cooldown:
+                candidates.append((mint, v5, why))
+        sent = [p for p in sent if p > now - self.span]
+        alerts = candidates[: max(self.room - len(sent), 0)]
+        for mint, v5, _ in alerts:
+            known[mint] = (v5, now, known[mint][2], now)
+        return alerts, known, sent + [now] * len(alerts)
+
+    def memory(self) -> int:
+        """Polls after which nothing that was seen matters."""
+        return max(self.fresh, self.cooldown, self.span) + 1
+
+    def forgets(self, now: int, at: int, alerted: int | None) -> bool:
+        return at < now - self.fresh and (alerted is None or alerted < now - self.cooldown)
 
 
 @dataclass
