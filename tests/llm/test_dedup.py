@@ -192,6 +192,19 @@ def test_top_k_leaves_out_bad_vectors(spark):
     assert top_k(df.where("false"), df.vec_id % 20 == 0).count() == 0 and top_k(df, df.vec_id < 0).count() == 0
 
 
+def test_top_k_is_exact_up_to_its_bound_and_says_where_it_is_not(spark):
+    for large in (1e300, float(2**31), -float(2**31)):
+        df = spark.createDataFrame([(1, [1.0, 2.0]), (20, [2.0, 1.0]), (33, [large, 2.0]), (40, [0.0, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="vec_id 33"):
+            top_k(df, df.vec_id % 20 == 0)
+    rows = [(i, [float((2**23 - i * 7) * (-1) ** i), float(i), 2.0**23 - i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: [math.floor(64 * c) for c in v] for i, v in rows}
+    for r in top_k(df, df.vec_id % 20 == 0, 5).collect():
+        best = sorted((-sum(a * b for a, b in zip(x[r.query_id], x[j], strict=True)), j) for j in x if j != r.query_id)
+        assert (-r.score, r.vec_id) == best[r.rank - 1]
+
+
 PAGE = """<html><body><header class="site"><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="wrap row12"><div class="content"><h1>T &amp; x</h1><p>one<b>two</b>
  three<p>four <a href=x>link</a><div class="ad-box">buy</div><ul><li>i1<li>i2</ul><form><p>mail</form><script>var a="</p>"</script></div><aside>side</aside>
 <section class="comments"><p>nice post</p></section></div><footer>f</footer>"""

@@ -31,6 +31,8 @@ from tidemark.llm.storage import map_arrow, written
 
 SCALE = 64
 K = 20
+#: The largest square of a vector's length: scores, their sums on the way and components then fit their integers.
+MOST_NORM = 2.0**61
 #: Points of a leaf, about, and of a node that is no more divided.
 LEAF, SMALL = 128, 32
 #: Rows of a block of data and of a group of queries, fewer where vectors are long (NUMBERS in all): they bound a task's memory.
@@ -245,8 +247,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query, k: int = K, vector: str = "embedding", vec_id: str = "vec_id", scale: int = SCALE) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score (long): the k rows of largest integer inner product with each row for which is_query (a Column) is true, its own row left out.
 
-    A component x becomes floor(scale * x), computed as double; it must stay within
-    2**31. Vectors that are null, or hold null or non-finite components, take no part. A
+    A component x becomes floor(scale * x), computed as double. Where the square of a
+    vector's length passes MOST_NORM a score could pass what is exact: that raises and
+    names the vec_id. Vectors that are null, or hold null or non-finite components, take no part. A
     shorter vector counts as filled up with zeros. Ties go to the smaller vec_id, null
     ones last. Rows with equal ids are separate rows, queries and candidates alike. No
     rows or no queries: no result; other columns of vectors are not read.
@@ -259,6 +262,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, vector: str = "embedding", v
     n, q, m2, width = rows.agg(F.count("*"), F.count_if("is_query"), F.max(norm), F.max(F.size("v"))).first()
     if not n or not q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if m2 > MOST_NORM:
+        raise ValueError(f"vec_id {rows.where(norm > MOST_NORM).first()['vec_id']}: components so large that scores would not be exact")
     most = max(1, NUMBERS // max(width, 1))
     block_rows, group_rows = min(BLOCK_ROWS, most), min(GROUP_ROWS, most)
     sample = rows.select("v", "row").orderBy(F.xxhash64("row"), "row").limit(min(SAMPLE, most)).toArrow()
@@ -276,9 +281,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K, vector: str = "embedding", v
                 if asks.any():
                     qcell[asks], near[asks] = pivots.nearest(x[asks], np.zeros(asks.sum()))
                 new = [pa.array(cell.astype(np.int32)), pa.array(far), pa.array(qcell.astype(np.int32)), pa.array(near), pa.array(norms)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "cell", "far", "qcell", "near", "norm"])
+                # No component is larger than the square root of MOST_NORM.
+                same = [c.cast(pa.list_(pa.int32())) if name == "v" else c for name, c in zip(part.schema.names, part.columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, *new], names=[*part.schema.names, "cell", "far", "qcell", "near", "norm"])
 
-    dealt = written(map_arrow(rows, assign, "vec_id long, v array<long>, is_query boolean, row long, cell int, far double, qcell int, near double, norm double"), "vectors")
+    dealt = written(map_arrow(rows, assign, "vec_id long, v array<int>, is_query boolean, row long, cell int, far double, qcell int, near double, norm double"), "vectors")
     # At most PIVOTS rows each.
     under = dealt.groupBy("cell").agg(F.count("*"), F.max("far")).collect()
     asking = dealt.where("is_query").groupBy("qcell").agg(F.count("*"), F.max("near"), F.max("norm")).collect()
