@@ -26,12 +26,12 @@ from tidemark.llm.storage import give_back, map_arrow, partitions, written
 CUTS, SPACES, NO_LANGUAGE = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09", "und"
 LONGEST = 4
 #: Bytes of text that are taken apart at once, and the words of a cut-off piece that are seen again with what follows.
-STEP, OVERLAP = 4 << 20, LONGEST - 1
+STEP, OVERLAP = 2 << 20, LONGEST - 1
 #: Buckets: a quarter of the bytes of text, between these powers of two (the bitmaps have a bit for each, 64 MB at most).
 LEAST_BITS, MOST_BITS = 16, 29
 PAGE = 1 << 16
 #: Rows of counts, and buckets, that a task holds before it merges or sends them.
-HELD_ROWS, HELD_BUCKETS = 300_000, 6_000_000
+HELD_ROWS, HELD_BUCKETS = 200_000, 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
