@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_whole_jobs import rows, write_calls, write_trades
 from tidemark.functions import fitting, kernels
-from tidemark.functions.machines import Breaker, PaperBook, bandit, recentered
+from tidemark.functions.machines import Breaker, PaperBook, recentered
 from tidemark.operators import registry
 from tidemark.operators.decoding import base58_bytes, base58_text, borsh_event
 
@@ -166,7 +166,7 @@ def test_cox_equals_numpy(spark):
     assert np.allclose(got, beta, atol=1e-6) and np.allclose(errors, np.sqrt(np.diag(np.linalg.inv(hess))), rtol=1e-4)
 
 
-def test_pooling_and_hawkes_shares(spark):
+def test_pooling(spark):
     r = np.random.default_rng(4)
     v = r.uniform(0.05, 0.5, 400)
     t = r.normal(1.0, 0.7, 400) + r.normal(size=400) * np.sqrt(v)
@@ -176,10 +176,6 @@ def test_pooling_and_hawkes_shares(spark):
         mu, tau2 = s.mean(), ((s - s.mean()) ** 2).mean() + left.mean()
     got = fitting.partial_pool(spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, v, strict=True)], "t double, v double"), "t", "v")
     assert got[0] == pytest.approx(mu, abs=1e-4) and got[2] == pytest.approx(math.sqrt(tau2), abs=1e-3)
-    # Without excitation all of the rate is the base rate.
-    events = [(1, 0.0, 0.0, 1.0, 100.0)] + [(1 if i % 3 else -1, 0.0, 0.0, 1.0, 0.0) for i in range(59)]
-    fit = fitting.hawkes_shares(spark.createDataFrame(events, "side int, buys double, sells double, reach double, span double"), 0.1)
-    assert fit["mu_buy"] == pytest.approx(sum(e[0] == 1 for e in events) / 100) and fit["buy_by_sell"] == 0
 
 
 def test_machines():
@@ -232,13 +228,6 @@ def test_hodge_splits_known_flows():
     assert fitting.hodge([]) == (0.0, 0.0, 0.0) and fitting.hodge([(1, 1, 4.0), (0, 1, 2.0), (1, 0, 2.0)]) == (0.0, 0.0, 0.0)
 
 
-def test_bandit_learns_from_matching_rounds_only():
-    arms, rewards = [0, 1, 0, 1, 1, 0, 1], [0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0]
-    # Arm 0 first, then arm 1 (untried), then arm 1 by its mean.
-    assert bandit(arms, rewards, [0.9] * 7, 2) == (5, pytest.approx(3 / 5))
-    assert bandit([1], [1.0], [0.0], 2) == (0, 0.0) and bandit([], [], [], 3) == (0, 0.0)
-
-
 def test_boosting_splits_where_the_gain_is_largest(spark):
     r = np.random.default_rng(7)
     x = r.integers(0, 12, (4000, 2)).astype(float)

@@ -140,31 +140,6 @@ def partial_pool(effects: DataFrame, effect: str, variance: str, rounds: int = 2
     return mu, math.sqrt(1 / _sums(effects, [1 / (v + tau2)])[0]), math.sqrt(tau2)
 
 
-def hawkes_shares(events: DataFrame, beta: float, rounds: int = 30, tolerance: float = 1e-6) -> dict[str, float]:
-    """Base rates and branching of a two-sided Hawkes process of a given decay, shared by all sequences, by expectation maximisation.
-
-    events: side (1 or -1), buys and sells (each event's excitation by earlier ones), reach
-    (the share of its own excitation that falls before the sequence ends) and span (of the
-    sequence, on its first event only, else 0).
-    """
-    total = events.agg(F.sum("span"), F.sum(F.when(F.col("side") == 1, F.col("reach"))), F.sum(F.when(F.col("side") == -1, F.col("reach"))), F.count_if(F.col("side") == 1), F.count_if(F.col("side") == -1)).first()
-    span, reach, n = max(float(total[0] or 0), 1e-9), [max(float(x or 0), 1e-9) for x in total[1:3]], [float(x) for x in total[3:5]]
-    mu, a = [x / 2 / span for x in n], [[0.25, 0.25], [0.25, 0.25]]
-    for _ in range(rounds):
-        sums = []
-        for i, side in enumerate((1, -1)):
-            parts = [F.lit(mu[i]), beta * a[i][0] * F.col("buys"), beta * a[i][1] * F.col("sells")]
-            rate = parts[0] + parts[1] + parts[2]
-            sums += [F.when(F.col("side") == side, p / rate) for p in parts]
-        got = _sums(events, sums)
-        new_mu, new_a = [got[0] / span, got[3] / span], [[got[1] / reach[0], got[2] / reach[1]], [got[4] / reach[0], got[5] / reach[1]]]
-        moved = max(abs(x - y) for x, y in zip([*new_mu, *new_a[0], *new_a[1]], [*mu, *a[0], *a[1]], strict=True))
-        mu, a = new_mu, new_a
-        if moved < tolerance:
-            break
-    return {"mu_buy": mu[0], "mu_sell": mu[1], "buy_by_buy": a[0][0], "buy_by_sell": a[0][1], "sell_by_buy": a[1][0], "sell_by_sell": a[1][1]}
-
-
 def boosted(df: DataFrame, names: list[str], label: str, trees: int = 5, depth: int = 2, bins: int = 16, rate: float = 0.3, l2: float = 1.0, least: float = 20.0) -> list[dict[int, tuple | float]]:
     """Histogram gradient boosting of log odds. A tree is {node: (column, edge) or a leaf's value}; node n has children 2n (up to the edge) and 2n + 1.
 

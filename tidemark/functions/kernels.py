@@ -91,17 +91,6 @@ def reversals(x: np.ndarray, friction: float) -> int:
     return n
 
 
-def replay(deltas: np.ndarray, prices: np.ndarray, start: float = 1000.0, share: float = 0.1) -> float:
-    """Final cash of a policy that spends `share` of its cash after each sale seen and sells all after each purchase seen."""
-    cash, held = start, 0.0
-    for d, p in zip(deltas, prices, strict=True):
-        if d < 0 and cash > 0:
-            held, cash = held + cash * share / p, cash * (1 - share)
-        elif d > 0 and held > 0:
-            cash, held = cash + held * p, 0.0
-    return cash + held * (prices[-1] if len(prices) else 0.0)
-
-
 def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
     """Exact binomial interval, by bisection on the binomial tail."""
     def tail(p: float, lo: int, hi: int) -> float:

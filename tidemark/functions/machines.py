@@ -119,17 +119,3 @@ def recentered(days: list[int], prices: list[float], width: float, dwell: int) -
         if out_since is not None and day - out_since >= dwell:
             center, out_since, moves = x, None, moves + 1
     return moves, inside
-
-
-def bandit(arms: list[int], rewards: list[float], explore: list[float], n_arms: int, epsilon: float = 0.1) -> tuple[int, float]:
-    """An epsilon-greedy policy replayed over logged choices: rounds in which it chose the logged arm, and their mean reward. Only those teach it.
-
-    explore: a number in 0..1 for each round; below epsilon the arm is drawn by it, else the best mean so far is taken (an untried arm first, the least number on ties).
-    """
-    n, total, used, gained = [0] * n_arms, [0.0] * n_arms, 0, 0.0
-    for arm, reward, u in zip(arms, rewards, explore, strict=True):
-        chosen = int(u / epsilon * n_arms) if u < epsilon else max(range(n_arms), key=lambda a: (float("inf") if not n[a] else total[a] / n[a], -a))
-        if chosen == arm:
-            n[arm], total[arm] = n[arm] + 1, total[arm] + reward
-            used, gained = used + 1, gained + reward
-    return used, gained / used if used else 0.0

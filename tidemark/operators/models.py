@@ -12,7 +12,6 @@ from tidemark.sources.scratch import written
 
 FEATURES = ["discount", "tax", "qty", "log_px"]
 _ROWS = "SELECT mint, owner, d, CASE WHEN side = -1 THEN 1 ELSE 0 END AS y, discount, tax, qty, ln(px) AS log_px, 2 * discount AS twice, 1 AS same FROM trades"
-HAWKES_DECAY = 0.02
 
 
 def _rows(spark: SparkSession, sf_dir: str, text: str = _ROWS) -> DataFrame:
@@ -67,21 +66,6 @@ def empirical_bayes_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, [tuple(map(float, fitting.partial_pool(effects, "effect", "variance")))], "mean double, se double, spread double")
 
 
-@query("hawkes_bivariate")
-def hawkes_bivariate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fit over the trades of all mints; excitation comes from windows over periods of 400 days and their predecessors."""
-    b, period = HAWKES_DECAY, 400
-    events = _rows(
-        spark,
-        sf_dir,
-        f"""WITH e AS (SELECT mint, d, side, d div {period} AS p, min(d) OVER (PARTITION BY mint) AS lo, max(d) OVER (PARTITION BY mint) AS hi, row_number() OVER (PARTITION BY mint ORDER BY d, slot, txi, owner, cents) AS rn FROM trades),
- h AS (SELECT *, true AS own FROM e UNION ALL SELECT mint, d, side, p + 1, lo, hi, rn, false FROM e), x AS (SELECT *, exp({b}D * (d - p * {period})) AS up, exp(-{b}D * (d - p * {period})) AS down FROM h)
-SELECT side, buys, sells, reach, span FROM (SELECT own, side, down * coalesce(sum(CASE WHEN side = 1 THEN up END) OVER w, 0) AS buys, down * coalesce(sum(CASE WHEN side = -1 THEN up END) OVER w, 0) AS sells, 1 - exp(-{b}D * (hi - d)) AS reach, CASE WHEN rn = 1 THEN hi - lo ELSE 0 END AS span FROM x WINDOW w AS (PARTITION BY mint, p ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) z WHERE own""",
-    )
-    return _table(spark, [(k, float(v)) for k, v in fitting.hawkes_shares(events, b).items()], "parameter string, value double")
-
-
-
 @query("gbm_hist")
 def gbm_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted before day 1200, scored from there on: trades of each tenth of the score, and how many were sales."""
