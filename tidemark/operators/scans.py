@@ -129,7 +129,4 @@ statement("workability_census", "SELECT tier, count(*) AS n FROM (SELECT mint, C
 statement("birth_features", "SELECT l.mint, count(DISTINCT l.owner) AS snipers, max(CASE WHEN side = 1 THEN qty END) AS dev_buy FROM trades l JOIN (SELECT mint, min(d) AS d0 FROM trades GROUP BY mint) b ON b.mint = l.mint AND l.d = b.d0 GROUP BY l.mint")
 statement("trade_prints_from_tx", "SELECT slot, owner, mint, CASE WHEN sum(delta) > 0 THEN 'buy' ELSE 'sell' END AS side_, CAST(abs(sum(delta)) AS BIGINT) AS size FROM trades GROUP BY slot, owner, mint HAVING sum(delta) <> 0")
 statement("value_attribution", "SELECT owner, CAST(sum(CASE WHEN side = 1 THEN -cents ELSE 0 END) AS BIGINT) AS bought, CAST(sum(CASE WHEN side = -1 THEN cents ELSE 0 END) AS BIGINT) AS sold, CAST(sum(-side * cents) AS BIGINT) AS total FROM trades GROUP BY owner")
-statement("retention_report", "SELECT call_id, CASE WHEN price > 300000 THEN 'held' WHEN t < 86400 * 400 THEN 'deletable' ELSE 'released' END AS state FROM calls")
-statement("lp_add_projection", "SELECT slot, txi, owner, bin, qty div 5 + CASE WHEN bin < qty % 5 THEN 1 ELSE 0 END AS share FROM (SELECT slot, txi, owner, qty, explode(sequence(CAST(0 AS BIGINT), 4)) AS bin FROM trades) x")
-statement("lp_remove_projection", "SELECT slot, txi, owner, bin, (qty * 37) div (100 + bin) AS out FROM (SELECT slot, txi, owner, qty, explode(sequence(CAST(0 AS BIGINT), 2)) AS bin FROM trades) x")
 statement("leave_one_coin_out", "SELECT fold, count(*) FILTER (WHERE mint % 5 = fold) AS test, count(*) FILTER (WHERE mint % 5 <> fold) AS train FROM trades, (VALUES (0), (1), (2), (3), (4)) AS f(fold) GROUP BY fold")
