@@ -106,3 +106,15 @@ def test_components_and_hops(spark):
     assert all(got[i] == 1 for i in range(1, 21)) and got[41] == 40
     hops = {r.node: r.hop for r in hop_levels(edges, spark.createDataFrame([(3,)], "node long"), 2).collect()}
     assert hops[3] == 0 and hops[5] == 2 and hops[6] == -1 and hops[1] == -1
+
+
+def test_products_do_not_depend_on_how_a_hot_inner_key_is_cut(spark, monkeypatch):
+    entries = [(r, c, float(r * 7 % 5 + len(c))) for r in range(60) for c in ("hot", f"c{r % 4}", f"d{r}")]
+    a = spark.createDataFrame(entries, "row long, col string, val double").where("val != 0")
+    whole = {tuple(r) for r in assoc.matmul(a, assoc.transpose(a)).collect()}, {tuple(r) for r in assoc.co_occurrence(a, 2).collect()}
+    assert len(whole[0]) > 3000 and len(whole[1]) > 300
+    monkeypatch.setattr(assoc, "PART", 7)
+    cut = assoc.met(a.select("row", F.col("col").alias("_k")), a.select(F.col("row").alias("_r"), F.col("col").alias("_k")), "row", "_r")
+    assert ({tuple(r) for r in assoc.matmul(a, assoc.transpose(a)).collect()}, {tuple(r) for r in assoc.co_occurrence(a, 2).collect()}) == whole
+    n = a.where("col = 'hot'").count()
+    assert cut.where("_k = 'hot'").count() == n * n

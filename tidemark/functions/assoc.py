@@ -12,6 +12,8 @@ SEMIRINGS = {
     "max_min": (F.least, F.max),
     "or_and": (lambda a, b: F.lit(1.0), F.max),
 }
+#: Entries of an inner key that stay together.
+PART = 2_000
 AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -28,14 +30,26 @@ def transpose(a: DataFrame) -> DataFrame:
 def matmul(a: DataFrame, b: DataFrame, semiring: str = "plus_times") -> DataFrame:
     """The product over a semiring: a join on the inner key, then the semiring's sum; zeros are dropped.
 
-    Partial aggregation runs before the second shuffle; restrict_degree first where an
-    inner key has very many entries on both sides.
+    Partial aggregation runs before the second shuffle. An inner key with many entries
+    is met in parts (see met).
     """
     times, plus = SEMIRINGS[semiring]
-    pairs = a.select("row", F.col("col").alias("_k"), F.col("val").alias("_a")).join(b.select(F.col("row").alias("_k"), "col", F.col("val").alias("_b")), "_k")
+    pairs = met(a.select("row", F.col("col").alias("_k"), F.col("val").alias("_a")), b.select(F.col("row").alias("_k"), "col", F.col("val").alias("_b")), "row", "col")
     return pairs.groupBy("row", "col").agg(plus(times(F.col("_a"), F.col("_b"))).alias("val")).where("val != 0")
 
 
+def met(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
+    """a and b joined on _k. Where a key has over PART entries on a side, each side's are cut into parts by a hash of its other key, and every part of one meets every part of the other in a task of its own: none makes more than about PART squared rows of a key."""
+    count = lambda df, n: df.groupBy("_k").agg(F.ceil(F.count("*") / PART).cast("int").alias(n))
+    cuts = count(a, "_i").join(count(b, "_j"), "_k").where("_i > 1 OR _j > 1")
+    cut = lambda df: df.join(cuts, "_k", "left").fillna(1, ["_i", "_j"])
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cut(a).select("*", every("_j").alias("_y")).withColumn("_x", part(a_key, "_i")).drop("_i", "_j")
+    right = cut(b).select("*", every("_i").alias("_x")).withColumn("_y", part(b_key, "_j")).drop("_i", "_j")
+    return left.join(right, ["_k", "_x", "_y"]).drop("_x", "_y")
+
+
 def degree(a: DataFrame, axis: str = "row") -> DataFrame:
     return a.groupBy(F.col(axis).alias("key")).agg(F.count("*").alias("degree"))
 
@@ -48,7 +62,7 @@ def restrict_degree(a: DataFrame, axis: str, most: int) -> DataFrame:
 def co_occurrence(a: DataFrame, least: int = 1) -> DataFrame:
     """Pairs of rows (row < col) with the number of columns they share, from `least` up."""
     b = a.select("row", "col").distinct()
-    pairs = b.join(b.select(F.col("row").alias("_r"), "col"), "col").where("row < _r")
+    pairs = met(b.withColumnRenamed("col", "_k"), b.select(F.col("row").alias("_r"), F.col("col").alias("_k")), "row", "_r").where("row < _r")
     return pairs.groupBy("row", F.col("_r").alias("col")).agg(F.count("*").cast("double").alias("val")).where(F.col("val") >= least)
 
 

@@ -85,7 +85,7 @@ statement("conditional_surface", "SELECT CAST(floor(discount * 50) AS BIGINT) AS
 statement("surface_predict_fallback", "WITH c AS (SELECT mint % 50 AS b, txi, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS r FROM trades WHERE d < 400 GROUP BY 1, 2), m AS (SELECT mint % 50 AS b, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / count(*) AS r FROM trades WHERE d < 400 GROUP BY 1), g AS (SELECT CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) / nullif(count(*), 0) AS r FROM trades WHERE d < 1000) SELECT l.slot, l.txi, l.owner, coalesce(c.r, m.r, g.r) AS p FROM trades l LEFT JOIN c ON c.b = l.mint % 50 AND c.txi = l.txi LEFT JOIN m ON m.b = l.mint % 50 CROSS JOIN g WHERE l.d >= 2000")
 statement("venue_participation", "SELECT o.mint, owner, CAST(n AS DOUBLE) / total AS share, n * 2 >= total AS is_venue FROM (SELECT mint, owner, count(DISTINCT slot) AS n FROM trades GROUP BY mint, owner) o JOIN (SELECT mint, count(DISTINCT slot) AS total FROM trades GROUP BY mint) m ON o.mint = m.mint")
 statement("policy_sweep_ips", f"SELECT CAST(tau AS DOUBLE) AS tau, {q('sum(CASE WHEN discount >= tau THEN side / (CAST(txi AS DOUBLE) + 1) END) / count(*)', 6)} AS ips, count(*) FILTER (WHERE discount >= tau) AS n FROM trades, (VALUES (0.02), (0.05), (0.08)) AS taus(tau) GROUP BY tau")
-statement("overlap_check", "SELECT count(*) AS missing FROM (SELECT DISTINCT txi FROM trades WHERE d >= 1000) a LEFT JOIN (SELECT DISTINCT txi FROM trades WHERE d < 1000 AND txi < 6) b ON a.txi = b.txi WHERE b.txi IS NULL")
+statement("overlap_check", "SELECT count(*) AS later, count(*) FILTER (WHERE b.mint IS NULL) AS missing FROM (SELECT DISTINCT mint, owner FROM trades WHERE d >= 1000) a LEFT JOIN (SELECT DISTINCT mint, owner FROM trades WHERE d < 1000) b ON a.mint = b.mint AND a.owner = b.owner", "SELECT count(*) AS later, count(*) - (SELECT count(*) FROM (SELECT mint, owner FROM trades WHERE d >= 1000 INTERSECT SELECT mint, owner FROM trades WHERE d < 1000) x) AS missing FROM (SELECT DISTINCT mint, owner FROM trades WHERE d >= 1000) y")
 statement("competing_states", "SELECT state, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM (SELECT CASE WHEN o_totalprice > 250000 THEN 'ran' WHEN o_orderstatus = 'F' THEN 'dead' WHEN o_orderstatus = 'P' THEN 'censored' ELSE 'alive' END AS state FROM orders) x GROUP BY state")
 statement("outcome_vocabulary", "SELECT outcome, count(*) AS n FROM (SELECT mint, CASE WHEN count(*) < 5 THEN 'stillborn' WHEN max(px) >= 1.4 * min_by(px, struct(t, slot, txi, owner, cents)) THEN 'ran' WHEN max(d) < 2400 THEN 'died' ELSE 'alive' END AS outcome FROM trades GROUP BY mint) x GROUP BY outcome")
 statement("hour_matrix", "SELECT day, " + ", ".join(f"count(*) FILTER (WHERE (t div 3600) % 24 = {h}) AS h{h:02d}" for h in range(24)) + " FROM trades GROUP BY day")

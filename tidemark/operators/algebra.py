@@ -32,7 +32,7 @@ _put("assoc_from_tuples", f"SELECT row, col, sum(val) AS total, max(val) AS top,
 _put("assoc_transpose", f"SELECT col AS row, row AS col, val FROM ({_A}) a", lambda s, d: assoc.transpose(_a(s, d)))
 _put("assoc_binarize", f"SELECT row, col, CAST(1 AS DOUBLE) AS val FROM ({_A}) a", lambda s, d: _a(s, d).withColumn("val", F.lit(1.0)))
 _put("assoc_select", f"SELECT row, col, val FROM ({_A}) a WHERE row IN (3, 5, 8) AND col < 20", lambda s, d: _a(s, d).where(F.col("row").isin(3, 5, 8) & (F.col("col") < 20)))
-_put("assoc_restrict_degree", f"SELECT row, col, val FROM ({_A}) a WHERE row IN (SELECT row FROM ({_A}) z GROUP BY row HAVING count(*) <= 39)", lambda s, d: assoc.restrict_degree(_a(s, d), "row", 39))
+_put("assoc_restrict_degree", f"SELECT row, col, val FROM ({_A}) a WHERE col IN (SELECT col FROM ({_A}) z GROUP BY col HAVING count(*) <= 28)", lambda s, d: assoc.restrict_degree(_a(s, d), "col", 28))
 _put("assoc_drop_diagonal", f"SELECT row, col, val FROM ({_A}) a WHERE row <> col", lambda s, d: _a(s, d).where("row != col"))
 _put("assoc_degree", f"SELECT row AS key, count(*) AS degree FROM ({_A}) a GROUP BY row", lambda s, d: assoc.degree(_a(s, d)))
 _put("assoc_rowsum_colsum", f"SELECT 'row' AS axis, row AS key, sum(val) AS total FROM ({_A}) a GROUP BY row UNION ALL SELECT 'col', col, sum(val) FROM ({_A}) a GROUP BY col", lambda s, d: _a(s, d).groupBy(F.lit("row").alias("axis"), F.col("row").alias("key")).agg(F.sum("val").alias("total")).unionByName(_a(s, d).groupBy(F.lit("col").alias("axis"), F.col("col").alias("key")).agg(F.sum("val").alias("total"))))
@@ -69,7 +69,7 @@ _FUND = "SELECT c_nationkey AS funder, o_custkey AS funded, o_totalprice AS amou
 _FIRST = f"SELECT funded, min_by(funder, struct(t, call_id)) AS funder FROM ({_FUND}) f GROUP BY funded"
 statement("first_funders", _FIRST)
 statement("funder_fanout", f"SELECT funder, count(DISTINCT funded) AS fanout FROM ({_FIRST}) x GROUP BY funder")
-statement("hub_exclusion", f"SELECT funded, funder FROM ({_FIRST}) x WHERE funder NOT IN (SELECT funder FROM ({_FIRST}) y GROUP BY funder HAVING count(*) > 40)")
+statement("hub_exclusion", f"SELECT funded, funder FROM ({_FIRST}) x WHERE funder NOT IN (SELECT funder FROM ({_FIRST}) y GROUP BY funder HAVING count(*) > (SELECT count(*) / count(DISTINCT funder) FROM ({_FIRST}) z))")
 statement("funding_links", f"SELECT funded AS a, hub AS b FROM (SELECT funded, min(funded) OVER (PARTITION BY funder) AS hub FROM ({_FIRST}) x) y WHERE funded <> hub")
 statement("cosigning_links", "SELECT least(a.owner, b.owner) AS a, greatest(a.owner, b.owner) AS b, count(DISTINCT a.slot) AS n FROM trades a JOIN trades b ON a.slot = b.slot AND a.owner < b.owner GROUP BY 1, 2")
 statement("bundle_links", "SELECT DISTINCT owner AS a, hub AS b FROM (SELECT owner, min(owner) OVER (PARTITION BY slot) AS hub, count(*) OVER (PARTITION BY slot) AS n FROM trades) x WHERE owner <> hub AND n <= 5")

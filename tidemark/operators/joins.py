@@ -16,7 +16,7 @@ statement("anti_join_via_null", "WITH b AS (SELECT mint, min(d) AS lo, max(d) AS
 statement("not_exists_latest", "SELECT mint, call_id, t FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY t DESC, call_id DESC) AS rn FROM calls) x WHERE rn = 1", "SELECT a.mint, a.call_id, a.t FROM calls a WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE b.mint = a.mint AND (b.t > a.t OR b.t = a.t AND b.call_id > a.call_id))")
 statement("exists_semi", "SELECT doc_id FROM documents WHERE exists(split(text, ' '), w -> length(w) > 20)", "SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, ' '), lambda w: length(w) > 20)) > 0")
 statement("semi_join", "SELECT mint, owner, slot, txi, delta FROM trades l LEFT SEMI JOIN calls c ON c.mint = l.mint", "SELECT mint, owner, slot, txi, delta FROM trades l WHERE EXISTS (SELECT 1 FROM calls c WHERE c.mint = l.mint)")
-statement("not_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT owner FROM trades WHERE delta < -45)")
+statement("not_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT owner FROM trades WHERE delta < -49 AND discount > 0.09)")
 statement("range_bucket_join", "SELECT lo, hi, count(*) AS n, CAST(sum(delta) AS BIGINT) AS flow FROM trades JOIN (VALUES (0, 500), (500, 1500), (1500, 2600)) AS b(lo, hi) ON d >= lo AND d < hi GROUP BY lo, hi")
 statement("cross_join_values", "SELECT n_nationkey, lo FROM nation, (VALUES (0), (30), (60)) AS b(lo)")
 statement("fixed_gap_self_join", "WITH g AS (SELECT mint, d, max(px) AS px FROM trades GROUP BY mint, d), gaps AS (SELECT explode(sequence(CAST(1 AS BIGINT), 5)) AS gap) SELECT gap, count(*) AS n, min(b.px - a.px) AS least FROM g a JOIN gaps ON true JOIN g b ON b.mint = a.mint AND b.d = a.d + gap GROUP BY gap")
@@ -55,7 +55,7 @@ statement("arrival_count_window", "SELECT c.call_id, count(l.mint) AS n FROM cal
 statement("deployer_history", "SELECT o_custkey AS deployer, count(*) AS launches, count(*) FILTER (WHERE o_orderstatus = 'F') AS rips, count(*) FILTER (WHERE o_orderstatus = 'P') AS dumps FROM orders GROUP BY o_custkey")
 statement("sniper_prior_max", "SELECT slot, max(n) AS prior_max FROM trades JOIN (SELECT owner, count(*) AS n FROM trades WHERE d < 800 GROUP BY owner) p USING (owner) WHERE d >= 800 GROUP BY slot")
 statement("mint_leg_netting", "SELECT slot, coalesce(a.owner, b.owner) AS owner, coalesce(b.q, 0) - coalesce(a.q, 0) AS net FROM (SELECT slot, owner, CAST(sum(qty) AS BIGINT) AS q FROM trades WHERE side = -1 GROUP BY slot, owner) a FULL OUTER JOIN (SELECT slot, owner, CAST(sum(qty) AS BIGINT) AS q FROM trades WHERE side = 1 GROUP BY slot, owner) b USING (slot) WHERE a.owner = b.owner OR a.owner IS NULL OR b.owner IS NULL")
-statement("effect_between", "SELECT coalesce(a.owner, b.owner) AS owner, coalesce(b.q, 0) - coalesce(a.q, 0) AS effect FROM (SELECT owner, CAST(sum(delta) AS BIGINT) AS q FROM trades WHERE d < 1000 GROUP BY owner) a FULL OUTER JOIN (SELECT owner, CAST(sum(delta) AS BIGINT) AS q FROM trades WHERE d < 1600 AND d % 3 > 0 GROUP BY owner) b ON a.owner = b.owner")
+statement("effect_between", "SELECT coalesce(a.owner, b.owner) AS owner, coalesce(b.q, 0) - coalesce(a.q, 0) AS effect FROM (SELECT owner, CAST(sum(delta) AS BIGINT) AS q FROM trades WHERE d < 1000 GROUP BY owner) a FULL OUTER JOIN (SELECT owner, CAST(sum(delta) AS BIGINT) AS q FROM trades WHERE d < 1600 GROUP BY owner) b ON a.owner = b.owner")
 statement("feature_bag_merge", "SELECT coalesce(a.mint, b.mint) AS mint, greatest(a.n, b.n) AS n, coalesce(a.top, b.top) AS top FROM (SELECT mint, count(*) AS n, max(CASE WHEN side = -1 THEN px END) AS top FROM trades WHERE d < 1200 GROUP BY mint) a FULL OUTER JOIN (SELECT mint, count(*) AS n, max(px) AS top FROM trades WHERE d >= 1200 GROUP BY mint) b ON a.mint = b.mint")
 statement("live_closes_filter", "SELECT slot, txi, owner, cents FROM trades l LEFT ANTI JOIN (SELECT call_id FROM calls WHERE caller = 5) r ON r.call_id = l.slot", "SELECT slot, txi, owner, cents FROM trades l WHERE NOT EXISTS (SELECT 1 FROM calls r WHERE caller = 5 AND r.call_id = l.slot)")
 statement("insert_or_ignore", "SELECT mint, call_id FROM (SELECT mint, call_id, row_number() OVER (PARTITION BY mint ORDER BY t, call_id) AS rn FROM calls) x WHERE rn = 1")

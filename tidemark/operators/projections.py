@@ -3,7 +3,7 @@
 from tidemark.operators.sql import q, statement
 
 statement("project_cast", "SELECT slot, txi, owner, CAST(qty AS DECIMAL(38,0)) AS qty_raw, CAST(side AS TINYINT) AS sign, CAST(cents AS DECIMAL(38,0)) AS cents_raw FROM trades")
-statement("filter_conjunction", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1' AND p_size <> 10 AND p_retailprice > 1000")
+statement("filter_conjunction", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring' AND p_size <> 10 AND p_retailprice > 950")
 statement("case_banding", "SELECT CASE WHEN discount < 0.02 THEN 'a <2%' WHEN discount < 0.05 THEN 'b 2-5%' WHEN discount < 0.08 THEN 'c 5-8%' ELSE 'd >=8%' END AS band, count(*) AS n FROM trades GROUP BY 1")
 statement("case_classify_price_kind", "SELECT slot, txi, owner, CASE WHEN status = 'F' AND side = 1 THEN 'pool_fill' WHEN status = 'F' THEN 'curve_fill' WHEN status = 'O' AND qty > 10 THEN 'curve_model' ELSE 'unsupported' END AS price_kind FROM trades")
 statement("fixed_bin_map", "SELECT mint, slot, txi, CASE WHEN discount <= 0.01 THEN -2 WHEN discount <= 0.03 THEN -1 WHEN discount <= 0.06 THEN 0 WHEN discount <= 0.08 THEN 1 ELSE 2 END AS d_bin FROM trades")

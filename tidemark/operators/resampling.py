@@ -128,14 +128,14 @@ SELECT z.kind, CAST(max(o.pairs) AS BIGINT) AS observed, {q('avg(CAST(z.pairs AS
 
 
 def _curveball(h, rounds: int, salt: str, end: str = "") -> str:
-    """Tables a0..a<rounds> of (owner, mint), their names ending in end: each round pairs owners at random inside hash buckets, and each pair deals out anew the mints that only one of them has."""
+    """Tables a0..a<rounds> of (owner, mint), their names ending in end: each round pairs owners at random inside hash buckets of about 32, and each pair deals out anew the mints that only one of them has."""
     text = f"a0{end} AS (SELECT DISTINCT owner, mint FROM trades)"
     for i in range(rounds):
         draw = h(f"concat('{salt}{i}-', CAST(owner AS STRING))")
         deal = h(f"concat('{salt}{i}-', CAST(pair AS STRING), '-', CAST(mint AS STRING))")
         at = f"{i}{end}"
         text += f""",
- p{at} AS (SELECT owner, bucket * 1000000 + (row_number() OVER (PARTITION BY bucket ORDER BY u, owner) - 1) div 2 AS pair FROM (SELECT owner, {draw} AS u, {draw} % 16 AS bucket FROM (SELECT DISTINCT owner FROM a0{end}) z) y),
+ p{at} AS (SELECT owner, bucket * 1000000 + (row_number() OVER (PARTITION BY bucket ORDER BY u, owner) - 1) div 2 AS pair FROM (SELECT owner, {draw} AS u, {draw} % (SELECT 1 + count(DISTINCT owner) div 32 FROM a0{end}) AS bucket FROM (SELECT DISTINCT owner FROM a0{end}) z) y),
  e{at} AS (SELECT a.owner, a.mint, pair, count(*) OVER (PARTITION BY pair, mint) AS holders, min(a.owner) OVER (PARTITION BY pair) AS low, max(a.owner) OVER (PARTITION BY pair) AS high FROM a{at} a JOIN p{at} p ON p.owner = a.owner),
  d{at} AS (SELECT mint, low, high, sum(CASE WHEN owner = low THEN 1 ELSE 0 END) OVER (PARTITION BY pair) AS quota, row_number() OVER (PARTITION BY pair ORDER BY {deal}, mint) AS place FROM e{at} WHERE holders = 1),
  a{i + 1}{end} AS (SELECT owner, mint FROM e{at} WHERE holders = 2 UNION ALL SELECT CASE WHEN place <= quota THEN low ELSE high END, mint FROM d{at})"""

@@ -19,7 +19,7 @@ _TRADES = """SELECT l_partkey AS mint, l_suppkey AS owner, l_orderkey AS slot, l
  CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents, l_extendedprice / l_quantity AS px, l_linestatus AS status, l_discount AS discount, l_tax AS tax
  FROM lineitem WHERE l_quantity > 0"""
 _EV = "SELECT event_id, user_id, event_type AS kind, {seconds} AS t, value, props FROM events"
-_CALLS = "SELECT o_orderkey AS call_id, o_custkey % 97 AS caller, o_custkey AS mint, {order_day} * 86400 + 43200 AS t, o_totalprice AS price FROM orders"
+_CALLS = "SELECT o_orderkey AS call_id, CAST(floor(o_orderkey / 40) AS BIGINT) AS caller, o_custkey AS mint, {order_day} * 86400 + 43200 AS t, o_totalprice AS price FROM orders"
 
 SPARK = {
     "trades": _TRADES.format(day_number="CAST(datediff(CAST(l_shipdate AS DATE), DATE'1995-01-01') AS BIGINT)"),
