@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import numbered, running
 from tidemark.sources.code import ship
+from tidemark.sources.scratch import written
 
 
 def blocks(df: DataFrame, key: str, size: int, name: str, order: str | None = None) -> DataFrame:
@@ -57,22 +59,28 @@ def nearest_calls(q: pa.StructArray, c: pa.StructArray, k: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["call_id", "a_id", "far"])
 
 
-def nearest_prices(q: pa.StructArray, c: pa.StructArray, k: int) -> pa.RecordBatch:
-    """The k nearest prices, of equals those of the same caller first, then the least a_id; c is in the order of a_price."""
-    call, price, caller = (column(q, x) for x in ("call_id", "price", "caller"))
-    a_id, a_price, a_caller = (column(c, x) for x in ("a_id", "a_price", "a_caller"))
-    at = np.searchsorted(a_price, price)[:, None] + np.arange(-k, k)
-    near = np.where((at >= 0) & (at < len(a_price)), np.abs(price[:, None] - a_price[at.clip(0, len(a_price) - 1)]), np.inf)
-    reach = np.sort(near, 1)[:, k - 1]
-    reach += 1e-9 * (np.abs(price) + reach)  # rounding must not lose an equal; more than needed does no harm
-    low, high = np.searchsorted(a_price, price - reach, "left"), np.searchsorted(a_price, price + reach, "right")
-    found = []
-    for i in range(len(call)):
-        s = slice(low[i], high[i])
-        d, other = np.abs(price[i] - a_price[s]), a_caller[s] != caller[i]
-        for j in np.lexsort((a_id[s], other, d))[:k]:
-            found.append((call[i], a_id[s][j], d[j], int(other[j])))
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found) if found else [()] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["call_id", "a_id", "far", "other"])
+def nearest_by_value(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """id, a_id, far, rank_: for each query (id, value, kind) the k candidates (a_id, a_value, a_kind) nearest in value, of equals those of its own kind first, then the least a_id.
+
+    Distinct values are numbered in order; k on either side of a query's place hold its k
+    nearest, so queries meet candidates by those numbers and no pairs of tables are made.
+    Of one value the k least ids can matter, of all kinds and of the query's.
+    """
+    pool = written(candidates, "pool")
+    values = numbered(pool.select("a_value").distinct(), ["a_value"], "number").select("a_value", F.col("number").cast("long").alias("number"))
+    asked = written(queries, "asked")
+    line = asked.select("value").distinct().select("value", F.lit(0).alias("there")).unionByName(values.select(F.col("a_value").alias("value"), F.lit(1).alias("there")))
+    # How many of the distinct values lie below each one that is asked for.
+    places = running(line, ["value", "there"], F.col("there"), "below").where("there = 0").select("value", F.col("below").cast("long").alias("below"))
+    near = places.select("value", F.explode(F.sequence(F.col("below") + 1 - k, F.col("below") + k)).alias("number")).join(values, "number").select("value", "a_value")
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("a_id"))
+    first = pool.withColumn("n", least("a_value")).where(F.col("n") <= k).drop("n")
+    first_of_kind = pool.withColumn("n", least("a_value", "a_kind")).where(F.col("n") <= k).drop("n")
+    pairs = written(asked.join(near, "value"), "near")
+    found = pairs.join(first, "a_value").unionByName(pairs.join(first_of_kind.withColumnRenamed("a_kind", "kind"), ["a_value", "kind"]).withColumn("a_kind", F.col("kind"))).select("id", "value", "kind", "a_id", "a_value", "a_kind").distinct()
+    far = found.withColumn("far", F.abs(F.col("value") - F.col("a_value"))).withColumn("other", (F.col("kind") != F.col("a_kind")).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("far", "other", "a_id")).cast("long")
+    return far.withColumn("rank_", rank).where(F.col("rank_") <= k).select("id", "a_id", "far", "rank_")
 
 
 PAIRS = 2_000_000

@@ -164,3 +164,21 @@ _statement(
     f"""WITH {_BOTH.format(t='t')}, f AS (SELECT *, CASE WHEN call_id IS NULL AND row_number() OVER (PARTITION BY mint, owner ORDER BY t, slot, txi, cents) = 1 THEN 1 ELSE 0 END AS opens FROM b),
  n AS (SELECT call_id, count(px) OVER w AS n, CAST(sum(opens) OVER w AS BIGINT) AS owners, CAST(sum(delta) OVER w AS BIGINT) AS flow, max(px) OVER w AS top FROM f WINDOW w AS (PARTITION BY mint ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT call_id, n, owners, flow, top FROM n WHERE call_id IS NOT NULL AND n > 0""",
 )
+# What stands within a bounded time of a row is a window of that range: no pairs are made.
+_statement(
+    "both_edges_touch",
+    "SELECT CAST(w AS DOUBLE) AS w, count(*) AS n, count(*) FILTER (WHERE hi >= px + w AND lo <= px - w) AS both_edges FROM (SELECT mint, px, max(px) OVER v AS hi, min(low) OVER v AS lo FROM (SELECT mint, d, max(px) AS px, min(px) AS low FROM trades GROUP BY mint, d) g WINDOW v AS (PARTITION BY mint ORDER BY d RANGE BETWEEN 1 FOLLOWING AND 120 FOLLOWING)) x, (VALUES (0.0), (0.05), (0.5)) AS ws(w) WHERE hi IS NOT NULL GROUP BY w",
+)
+_statement(
+    "buy_call_sell_choreography",
+    f"""WITH b AS (SELECT mint, t, CAST(NULL AS BIGINT) AS call_id, side FROM trades UNION ALL SELECT mint, t, call_id, NULL FROM calls),
+ n AS (SELECT call_id, count(side) OVER (PARTITION BY mint ORDER BY t RANGE BETWEEN 3456000 PRECEDING AND 3456000 FOLLOWING) AS n,
+  sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY mint ORDER BY t RANGE BETWEEN 3456000 PRECEDING AND 1 PRECEDING) AS bought, sum(CASE WHEN side = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY mint ORDER BY t RANGE BETWEEN 1 FOLLOWING AND 3456000 FOLLOWING) AS sold FROM b)
+SELECT call_id, CASE WHEN bought > 0 AND sold > 0 THEN 'buy_call_sell' WHEN bought > 0 THEN 'buy_call' WHEN sold > 0 THEN 'call_sell' ELSE 'none' END AS shape FROM n WHERE call_id IS NOT NULL AND n > 0""",
+)
+_statement(
+    "signature_volatility_wall",
+    """WITH g AS (SELECT mint, t, max(px) AS px FROM trades GROUP BY mint, t),
+ s AS (SELECT mint, px, count(px) OVER v AS n, sum(px) OVER v AS p, sum(px * px) OVER v AS pp FROM g WINDOW v AS (PARTITION BY mint ORDER BY t RANGE BETWEEN 7776000 FOLLOWING AND 9504000 FOLLOWING))
+SELECT mint, floor((sum(pp - 2 * px * p + n * px * px) / sum(n) / (100 * avg(px) * avg(px))) * 1e8 + 0.5) / 1e8 AS sigma2 FROM s GROUP BY mint HAVING sum(n) > 0""",
+)

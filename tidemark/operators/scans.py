@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.nearest import blocks, in_cells, nearest_calls, nearest_prices
+from tidemark.functions.nearest import blocks, in_cells, nearest_by_value, nearest_calls
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
@@ -88,11 +88,9 @@ _ANALOGS = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86
 def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """call_id, a_id, rank_: the k nearest train calls of every validation call, by the parts of temporal_partition."""
     calls = run(spark, sf_dir, "SELECT call_id, caller, price, t FROM calls")
-    queries = blocks(calls.where("t >= 86400 * 1260").drop("t"), "call_id", 4096, "q")
-    candidates = blocks(calls.where("t < 86400 * 1200").select(F.col("call_id").alias("a_id"), F.col("caller").alias("a_caller"), F.col("price").alias("a_price")), "a_id", 16384, "c", "a_price")
-    found = in_cells(queries, candidates, lambda q, c: nearest_prices(q, c, k), "call_id long, a_id long, far double, other int")
-    rank = F.row_number().over(Window.partitionBy("call_id").orderBy("far", "other", "a_id")).cast("long")
-    return found.withColumn("rank_", rank).where(F.col("rank_") <= k).select("call_id", "a_id", "rank_")
+    queries = calls.where("t >= 86400 * 1260").select(F.col("call_id").alias("id"), F.col("price").alias("value"), F.col("caller").alias("kind"))
+    candidates = calls.where("t < 86400 * 1200").select(F.col("call_id").alias("a_id"), F.col("price").alias("a_value"), F.col("caller").alias("a_kind"))
+    return nearest_by_value(queries, candidates, k).select(F.col("id").alias("call_id"), "a_id", "rank_")
 
 
 @query("descriptive_analogs", oracle(_ANALOGS))
