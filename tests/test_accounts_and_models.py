@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_whole_jobs import rows, write_calls, write_trades
 from tidemark.functions import fitting, kernels
-from tidemark.functions.machines import Breaker, PaperBook, recentered
+from tidemark.functions.machines import Band, Breaker, PaperBook
 from tidemark.operators import registry
 from tidemark.operators.decoding import base58_bytes, base58_text, borsh_event
 
@@ -186,7 +186,10 @@ def test_machines():
     for day, price in enumerate([10, 11, 11, 14, 14, 20, 20, 19, 17, 30, 30, 30, 30, 30, 40, 41, 20]):
         got.append(book.observe(day, float(price)))
     assert [g for g in got if g] == [(2, 3, 11.0, 14.0, "target"), (15, 16, 41.0, 20.0, "stop")]
-    assert recentered([0, 10, 20, 30, 40], [1.0, 1.1, 3.0, 3.0, 3.1], 0.5, 10) == (1, 20)
+    band = Band(0.5, 10)
+    for day, price in zip([0, 10, 20, 30, 40], [1.0, 1.1, 3.0, 3.0, 3.1], strict=True):
+        band.observe(day, price)
+    assert (band.moves, band.inside) == (1, 20)
 
 
 def test_decoders():
@@ -199,7 +202,9 @@ def test_decoders():
 
 def test_kernels_equal_plain_versions():
     x = np.array([1.0, -1, 2, 0, 5, 9, -7, 3, 3, 3])
-    r = kernels.bocpd(x)
+    machine = kernels.RunLengths()
+    r = [machine.step(v) for v in x]
+    assert machine.left_out == 0
     # Every run length kept: the same posterior by an explicit table.
     table = {0: 1.0}
     for i, v in enumerate(x):
@@ -214,7 +219,16 @@ def test_kernels_equal_plain_versions():
         assert r[i] == max(table, key=lambda k: (table[k], -k))
     assert kernels.clopper_pearson(3, 10) == pytest.approx((0.0667395, 0.6524529), abs=1e-6)
     assert kernels.fisher_exact(3, 1, 1, 3) == pytest.approx(0.4857142857)
-    assert kernels.reversals(np.array([1, 1.1, 1.0, 1.2, 1.19]), 0.05) == 3
+    swings = kernels.Swings(0.05)
+    assert [swings.step(v) for v in (1, 1.1, 1.0, 1.2, 1.19)][-1] == 3
+    some = kernels.RunLengths(keep=4)
+    assert [some.step(v) for v in x][:3] == r[:3] and 0 < some.left_out < 1
+    # A binomial tail of any size, against the sum of its terms.
+    for k, n in ((1, 1), (0, 7), (7, 7), (2, 9), (40, 100), (3, 5000)):
+        low, high = kernels.clopper_pearson(k, n)
+        tail = lambda p, ks: sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in ks)
+        assert low == 0 if k == 0 else tail(low, range(k, n + 1)) == pytest.approx(0.025, abs=1e-7)
+        assert high == 1 if k == n else tail(high, range(k + 1)) == pytest.approx(0.025, abs=1e-7)
 
 
 def test_every_registered_query_names_itself_once():

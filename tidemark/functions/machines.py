@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 
@@ -104,18 +105,28 @@ class PaperBook:
         return done
 
 
-def recentered(days: list[int], prices: list[float], width: float, dwell: int) -> tuple[int, int]:
-    """How often a band of a half width in log price is moved to the price, which must have been outside for `dwell` days, and for how many days of the tape the price was inside."""
-    import math
-
-    center, out_since, moves, inside = math.log(prices[0]), None, 0, 0
-    for i, (day, price) in enumerate(zip(days, prices, strict=True)):
+@dataclass
+class Band:
+    """A band of a half width in log price, moved to the price once that has been outside for `dwell` days: how often it is moved, and for how many days the price was inside."""
+
+    width: float
+    dwell: int
+    moves: int = 0
+    inside: int = 0
+    center: float | None = None
+    out_since: int | None = None
+    held_since: int | None = None
+
+    def observe(self, day: int, price: float) -> None:
         x = math.log(price)
-        if abs(x - center) <= width:
-            out_since = None
-            inside += days[i + 1] - day if i + 1 < len(days) else 0
-        elif out_since is None:
-            out_since = day
-        if out_since is not None and day - out_since >= dwell:
-            center, out_since, moves = x, None, moves + 1
-    return moves, inside
+        if self.held_since is not None:
+            self.inside += day - self.held_since
+        if self.center is None:
+            self.center = x
+        self.held_since = None
+        if abs(x - self.center) <= self.width:
+            self.out_since, self.held_since = None, day
+        elif self.out_since is None:
+            self.out_since = day
+        if self.out_since is not None and day - self.out_since >= self.dwell:
+            self.center, self.out_since, self.moves = x, None, self.moves + 1
