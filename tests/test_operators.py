@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["minute_bars", "asof_join_backward", "temporal_prebuy_join", "interval_subtract", "auc_rank", "kaplan_aalen_johansen", "matmul_max_plus", "union_find_components", "fifo_pnl", "watch_ledger", "benjamini_yekutieli", "crew_best_jaccard_join"]
 #: Queries whose SQL has another form than their plan.
-SOME += ["walk_forward_split", "archive_outcomes", "deadline_heap", "quality_priced_panel", "hawkes_intensity", "evaluate_position_rules", "slot_chain_order", "moving_block_halves", "pool_tape_aggregate", "dataset_materialize", "crime_features", "shared_template_groups", "sign_test", "hop_levels", "keyset_pagination", "jsonl_tail", "base58_decode", "borsh_decode", "canonical_json_digest", "sqlite_scan", "midrank", "rank_ties", "operator_iceberg_fdr", "decile_contrast", "top10_delta", "co_trade_slot_window_join", "selection_outcomes", "callout_peak_multiple", "onchain_features_at_call", "burst_statistic", "analog_knn_model", "verdict_survival_km", "swarm_detector", "event_replay", "tape_recorder", "retention_report", "lp_add_projection", "lp_remove_projection", "response_exposure_windows"]
+SOME += ["walk_forward_split", "archive_outcomes", "deadline_heap", "quality_priced_panel", "hawkes_intensity", "evaluate_position_rules", "slot_chain_order", "moving_block_halves", "pool_tape_aggregate", "dataset_materialize", "crime_features", "shared_template_groups", "sign_test", "hop_levels", "keyset_pagination", "jsonl_tail", "base58_decode", "borsh_decode", "canonical_json_digest", "sqlite_scan", "midrank", "rank_ties", "operator_iceberg_fdr", "decile_contrast", "top10_delta", "co_trade_slot_window_join", "selection_outcomes", "callout_peak_multiple", "onchain_features_at_call", "burst_statistic", "analog_knn_model", "verdict_survival_km", "swarm_detector", "event_replay", "tape_recorder", "retention_report", "lp_add_projection", "lp_remove_projection", "response_exposure_windows", "wallet_tx_import", "frame_classify", "mover_page_parse", "parse_candles", "dossier_crew_join", "tape_audit", "as_known_catalog", "overlap_check", "both_edges_touch", "buy_call_sell_choreography", "signature_volatility_wall"]
 
 
 def same(v):

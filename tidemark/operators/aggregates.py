@@ -94,5 +94,4 @@ statement("decile_contrast", f"WITH b AS (SELECT ntile(10) OVER (ORDER BY v, min
 statement("epistemic_brier_exact", "SELECT y, CAST(sum((1000 * y - p) * (1000 * y - p)) AS BIGINT) AS brier_millionths, count(*) AS n FROM (SELECT quality AS y, CAST(doc_id % 1000 AS BIGINT) AS p FROM labels) x GROUP BY y")
 statement("normalised_rank_power", "SELECT slot, (k + 1) / (12 * (k - 1)) AS variance FROM (SELECT slot, CAST(count(*) AS DOUBLE) AS k FROM trades GROUP BY slot) x WHERE k > 1")
 statement("tape_health", "SELECT count(*) AS reference, count(*) FILTER (WHERE status = 'F') AS observed, CAST(count(*) FILTER (WHERE status = 'F') AS DOUBLE) / count(*) AS coverage FROM trades")
-statement("tape_audit", "SELECT kind, count(*) AS n, count(*) - count(DISTINCT event_id) AS duplicates, count(*) FILTER (WHERE get_json_object(props, '$.k') IS NULL) AS malformed FROM ev GROUP BY kind", "SELECT kind, count(*) AS n, count(*) - count(DISTINCT event_id) AS duplicates, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL) AS malformed FROM ev GROUP BY kind")
 statement("capital_recovery", "SELECT owner, CAST(sum(CASE WHEN side = -1 THEN cents ELSE 0 END) AS BIGINT) AS recovered, CAST(sum(CASE WHEN side = 1 THEN cents ELSE 0 END) AS BIGINT) AS invested FROM trades GROUP BY owner")

@@ -73,9 +73,7 @@ statement("hub_exclusion", f"SELECT funded, funder FROM ({_FIRST}) x WHERE funde
 statement("funding_links", f"SELECT funded AS a, hub AS b FROM (SELECT funded, min(funded) OVER (PARTITION BY funder) AS hub FROM ({_FIRST}) x) y WHERE funded <> hub")
 statement("cosigning_links", "SELECT least(a.owner, b.owner) AS a, greatest(a.owner, b.owner) AS b, count(DISTINCT a.slot) AS n FROM trades a JOIN trades b ON a.slot = b.slot AND a.owner < b.owner GROUP BY 1, 2")
 statement("bundle_links", "SELECT DISTINCT owner AS a, hub AS b FROM (SELECT owner, min(owner) OVER (PARTITION BY slot) AS hub, count(*) OVER (PARTITION BY slot) AS n FROM trades) x WHERE owner <> hub AND n <= 5")
-statement("top10_delta", "WITH h AS (SELECT owner, CAST(sum(qty) AS BIGINT) AS q FROM trades GROUP BY owner), e AS (SELECT owner % 20 AS entity, CAST(sum(q) AS BIGINT) AS q FROM h GROUP BY 1), a AS (SELECT CAST(sum(CASE WHEN rn <= 10 THEN q ELSE 0 END) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS naive FROM (SELECT q, row_number() OVER (ORDER BY q DESC, owner) AS rn FROM h) x), b AS (SELECT CAST(sum(CASE WHEN rn <= 10 THEN q ELSE 0 END) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS adjusted FROM (SELECT q, row_number() OVER (ORDER BY q DESC, entity) AS rn FROM e) x) SELECT naive, adjusted, adjusted - naive AS delta FROM a, b")
 statement("pairwise_scores", "WITH x AS (SELECT c_nationkey AS truth, c_custkey % 30 AS assigned, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 AS both_ FROM x), p AS (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 AS pred FROM (SELECT CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY assigned) y), r AS (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 AS actual FROM (SELECT CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY truth) z) SELECT both_ / nullif(pred, 0) AS precision_, both_ / nullif(actual, 0) AS recall FROM t, p, r")
 statement("flow_edges", "SELECT owner AS source, 100000 + mint AS target, 'swap_in' AS kind, qty AS atoms, slot FROM trades WHERE side = 1 UNION ALL SELECT 100000 + mint AS source, owner AS target, 'swap_out' AS kind, qty AS atoms, slot FROM trades WHERE side = -1")
 statement("incidence", "SELECT slot, txi, cents, owner AS node, -1 AS sign_ FROM trades UNION ALL SELECT slot, txi, cents, 100000 + mint AS node, 1 AS sign_ FROM trades")
 statement("route_cycles", "SELECT slot, count(*) AS legs, coalesce(bool_and(nxt = txi + 1 OR nxt IS NULL), true) AS contiguous, min_by(mint, struct(txi, mint)) = max_by(mint, struct(txi, mint)) AS closed FROM (SELECT slot, txi, mint, lead(txi) OVER (PARTITION BY slot ORDER BY txi, mint) AS nxt FROM trades) x GROUP BY slot")
-statement("dossier_crew_join", "SELECT mint, count(DISTINCT owner) AS owners, count(DISTINCT CASE WHEN k.n >= 50 THEN l.owner END) AS repeat_owners FROM trades l JOIN (SELECT owner AS o, count(*) AS n FROM trades GROUP BY owner) k ON k.o = l.owner GROUP BY mint")

@@ -141,13 +141,6 @@ _statement("share_of_total", "WITH o AS (SELECT owner, count(*) AS n FROM trades
 _statement("standardize", "WITH s AS (SELECT mint, CAST(sum(qty) AS DOUBLE) AS v FROM trades GROUP BY mint), m AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM s) SELECT mint, floor(((v - mu) / nullif(sd, 0)) * 1e6 + 0.5) / 1e6 AS z FROM s, m")
 # The first rows by a sort that every task cuts, and only then their numbers.
 _statement("rank_cards", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY k, o_totalprice DESC, o_orderkey) AS BIGINT) AS card FROM (SELECT o_orderkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS k FROM orders ORDER BY k, o_totalprice DESC, o_orderkey LIMIT 100) x")
-_statement(
-    "top10_delta",
-    """WITH h AS (SELECT owner, CAST(sum(qty) AS BIGINT) AS q FROM trades GROUP BY owner), e AS (SELECT owner % 20 AS entity, CAST(sum(q) AS BIGINT) AS q FROM h GROUP BY 1),
- t AS (SELECT CAST(sum(q) AS DOUBLE) AS q FROM h), a AS (SELECT CAST(sum(q) AS DOUBLE) AS q FROM (SELECT q FROM h ORDER BY q DESC, owner LIMIT 10) x), b AS (SELECT CAST(sum(q) AS DOUBLE) AS q FROM (SELECT q FROM e ORDER BY q DESC, entity LIMIT 10) x)
-SELECT a.q / t.q AS naive, b.q / t.q AS adjusted, b.q / t.q - a.q / t.q AS delta FROM a, b, t""",
-)
-
 # Pairs within a bounded time meet by time buckets of the bound.
 _statement("co_trade_slot_window_join", "SELECT least(a.owner, b.owner) AS w1, greatest(a.owner, b.owner) AS w2, count(*) AS n FROM (SELECT owner, mint, d, d div 3 AS at FROM trades) a JOIN (SELECT owner, mint, d, explode(sequence(d div 3 - 1, d div 3 + 1)) AS at FROM trades) b ON a.mint = b.mint AND a.at = b.at AND abs(a.d - b.d) <= 3 AND a.owner < b.owner GROUP BY 1, 2")
 _statement("prebuyers", "SELECT l.owner, count(DISTINCT c.call_id) AS n FROM (SELECT call_id, mint, t, explode(sequence(t div 864000 - 1, t div 864000)) AS at FROM calls) c JOIN (SELECT owner, mint, t, side, t div 864000 AS at FROM trades WHERE side = 1) l ON l.mint = c.mint AND l.at = c.at AND l.t < c.t AND l.t >= c.t - 864000 GROUP BY l.owner")

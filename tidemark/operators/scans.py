@@ -72,12 +72,7 @@ def quantile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, "SELECT status, approx_percentile(px, array(0.25D, 0.5D, 0.75D), 1000) AS quartiles FROM trades GROUP BY status")
 
 
-statement("frame_classify", "SELECT event_id, CASE WHEN kind = 'error' THEN 'defect' WHEN kind = 'signup' THEN 'control' ELSE 'row' END AS class FROM ev")
-statement("wallet_tx_import", "SELECT call_id, caller AS wallet, leg.side AS side, leg.amount AS amount FROM (SELECT call_id, caller, explode(array(named_struct('side', 'in', 'amount', call_id), named_struct('side', 'out', 'amount', mint))) AS leg FROM calls) x", "SELECT call_id, caller AS wallet, leg.side AS side, leg.amount AS amount FROM (SELECT call_id, caller, unnest([{'side': 'in', 'amount': call_id}, {'side': 'out', 'amount': mint}]) AS leg FROM calls) x")
 statement("board_snapshot_flatten", "SELECT DISTINCT mint, d, side FROM (SELECT m.mint AS mint, m.side AS side, d FROM (SELECT d, explode(members) AS m FROM (SELECT d, collect_list(struct(mint, side)) AS members FROM trades GROUP BY d) a) b) c", "SELECT DISTINCT mint, d, side FROM trades")
-statement("listing_census", "SELECT 'orders' AS table_, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events")
-statement("parse_candles", "SELECT event_id, try_cast(get_json_object(props, '$.k') AS DOUBLE) AS close FROM ev WHERE try_cast(get_json_object(props, '$.k') AS DOUBLE) IS NOT NULL", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS close FROM ev WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL")
-statement("mover_page_parse", "SELECT event_id, user_id, value FROM ev WHERE value > 0 AND get_json_object(props, '$.k') IS NOT NULL", "SELECT event_id, user_id, value FROM ev WHERE value > 0 AND json_extract_string(props, '$.k') IS NOT NULL")
 statement("build_stream_merge", "SELECT mint, t, src FROM (SELECT mint, t, src, row_number() OVER (PARTITION BY mint ORDER BY t, src) AS rn FROM (SELECT mint, t, 'tape' AS src FROM trades UNION ALL SELECT mint, t, 'call' AS src FROM calls) x) y WHERE rn = 1")
 _FLOW = "SELECT slot, owner, mint, CAST(sum(CASE WHEN side = -1 THEN qty ELSE 0 END) AS DECIMAL(38,0)) AS pre_raw, CAST(sum(CASE WHEN side = 1 THEN qty ELSE 0 END) AS DECIMAL(38,0)) AS post_raw, CAST(sum(delta) AS DECIMAL(38,0)) AS delta_raw, count(*) AS n_accounts FROM trades GROUP BY slot, owner, mint"
 statement("signed_flow_build", f"SELECT f.*, n_owners FROM ({_FLOW}) f JOIN (SELECT slot, count(DISTINCT owner) AS n_owners FROM trades GROUP BY slot) s ON s.slot = f.slot", f"SELECT f.*, n_owners FROM ({_FLOW}) f JOIN (SELECT slot AS z, count(DISTINCT owner) AS n_owners FROM trades GROUP BY slot) s ON s.z = f.slot")

@@ -65,7 +65,6 @@ statement("omori_decay", f"WITH b AS (SELECT mint, min(d) AS d0 FROM trades GROU
 statement("temporal_partition", "SELECT call_id, CASE WHEN t < 86400 * 1200 THEN 'train' WHEN t < 86400 * 1260 THEN 'excluded_embargo' ELSE 'validation' END AS partition_ FROM calls")
 statement("leakage_assert", "WITH s AS (SELECT mint, t, CASE WHEN t < 86400 * 1200 THEN 'train' ELSE 'test' END AS part FROM calls) SELECT count(*) AS violations FROM (SELECT mint FROM s WHERE part = 'train' AND t + 86400 * 30 >= 86400 * 1200) x")
 statement("entity_temporal_split", "SELECT mint, CASE WHEN min(t) < 86400 * 900 THEN 'train' ELSE 'test' END AS side_ FROM calls GROUP BY mint")
-statement("as_known_catalog", "SELECT l.slot, count(*) AS n FROM trades l JOIN calls c ON c.call_id = l.slot WHERE c.t <= 86400 * 1500 AND l.t <= 86400 * 1500 GROUP BY l.slot")
 statement("late_data_policy", "SELECT slot, txi, owner, d AS event_d, d + txi * 5 AS known_d, txi * 5 > 20 AS late FROM trades WHERE d + txi * 5 <= 1500")
 statement("resolve_cashtag", "SELECT concat(p_brand, '-', p_type, '-', p_size) AS tag, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS part, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM part GROUP BY p_brand, p_type, p_size")
 statement("selection_outcomes", "SELECT c.call_id, min_by(l.px, struct(l.t, l.slot, l.txi, l.owner, l.cents)) AS px FROM calls c JOIN trades l ON l.mint = c.mint AND l.t >= c.t + 86400 * 5 GROUP BY c.call_id")
