@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.assoc import met
 from tidemark.functions.ranks import numbered, running
 from tidemark.sources.code import ship
 from tidemark.sources.scratch import written
@@ -83,33 +84,17 @@ def nearest_by_value(queries: DataFrame, candidates: DataFrame, k: int) -> DataF
     return far.withColumn("rank_", rank).where(F.col("rank_") <= k).select("id", "a_id", "far", "rank_")
 
 
-PAIRS = 2_000_000
-
-
-def best_sets(q: pa.StructArray, c: pa.StructArray, least: int, earlier: bool) -> pa.RecordBatch:
-    """For each slot of q the slot of c with the best Jaccard of owner sets, of equals the largest overlap, then the least slot."""
-    slot, d, m, m_d = column(q, "slot"), column(q, "d"), column(c, "slot"), column(c, "d")
-    (n, owner), (m_n, m_owner) = ((x.field("owners").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), x.field("owners").flatten().to_numpy(zero_copy_only=False)) for x in (q, c))
-    order = np.argsort(m_owner, kind="stable")
-    m_owner, holder = m_owner[order], np.repeat(np.arange(len(m)), m_n)[order]
-    low = np.searchsorted(m_owner, owner, "left")
-    count = np.searchsorted(m_owner, owner, "right") - low
-    line = np.repeat(np.arange(len(slot)), n)
-    per = np.cumsum(np.bincount(line, count, len(slot)))
-    ends = np.concatenate([[0], np.cumsum(n)])
-    found, start = [], 0
-    while start < len(slot):  # as many slots as have PAIRS postings together, one at least
-        stop = max(start + 1, int(np.searchsorted(per, (per[start - 1] if start else 0) + PAIRS, "right")))
-        s = slice(ends[start], ends[stop])
-        k = count[s]
-        at = np.repeat(low[s] - np.cumsum(k) + k, k) + np.arange(k.sum())
-        pair, overlap = np.unique(np.repeat(line[s], k) * len(m) + holder[at], return_counts=True)
-        i, j = pair // len(m), pair % len(m)
-        keep = (overlap >= least) & ((m_d[j] < d[i]) if earlier else (m[j] != slot[i]))
-        i, j, overlap = i[keep], j[keep], overlap[keep]
-        jaccard = overlap / (n[i] + m_n[j] - overlap)
-        rank = np.lexsort((m[j], -overlap, -jaccard, i))
-        rank = rank[np.diff(i[rank], prepend=-1) > 0]
-        found.append((slot[i[rank]], m[j[rank]], overlap[rank], jaccard[rank]))
-        start = stop
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["q", "m", "overlap", "jaccard"])
+def overlaps(sets: DataFrame, earlier: bool) -> DataFrame:
+    """q, m, overlap, jaccard of sets (slot, d, owners) that have two owners or more in common, m being another slot (or one of an earlier day).
+
+    Sets meet by pairs of their owners, which are far rarer than owners, and a pair that
+    very many sets hold is met in parts. Sets that share n owners meet n * (n - 1) / 2
+    times. A set of n owners makes as many pairs.
+    """
+    sized = sets.select("slot", "d", F.sort_array("owners").alias("o")).withColumn("n", F.size("o"))
+    first = sized.select("slot", "d", "n", "o", F.posexplode("o").alias("i", "a")).where("i + 1 < n")
+    keys = first.select("slot", "d", "n", "a", F.explode(F.expr("slice(o, i + 2, n)")).alias("b")).select(F.struct("a", "b").alias("_k"), "slot", "d", "n")
+    met_ = met(keys.withColumnRenamed("slot", "q"), keys.select("_k", F.col("slot").alias("m"), F.col("d").alias("m_d"), F.col("n").alias("m_n")), "q", "m")
+    met_ = met_.where("m_d < d" if earlier else "m <> q").groupBy("q", "m").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("m_n").alias("m_n"))
+    overlap = ((1 + F.sqrt(1 + 8 * F.col("times"))) / 2).cast("long")
+    return met_.withColumn("overlap", overlap).select("q", "m", "overlap", (F.col("overlap") / (F.col("n") + F.col("m_n") - F.col("overlap"))).alias("jaccard"))

@@ -1,10 +1,10 @@
 """Joins: equi, semi and anti, as-of, range and interval joins."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import asof_join, range_join
-from tidemark.functions.nearest import best_sets, blocks, in_cells
+from tidemark.functions.nearest import overlaps
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
@@ -27,10 +27,8 @@ statement("hunch_outcome_join", "SELECT call_id, caller, n, flow FROM calls JOIN
 _SETS = "SELECT slot, min(d) AS d, collect_set(owner) AS owners FROM trades GROUP BY slot"
 
 
-def _best_sets(spark: SparkSession, sf_dir: str, least: int, earlier: bool) -> DataFrame:
-    """The best match of every slot in each block of slots; a set of fewer than `least` owners cannot match."""
-    sets = written(run(spark, sf_dir, _SETS).where(F.size("owners") >= least), "owner-sets")
-    return in_cells(blocks(sets, "slot", 4096, "q"), blocks(sets, "slot", 16384, "c"), lambda q, c: best_sets(q, c, least, earlier), "q long, m long, overlap long, jaccard double")
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(run(spark, sf_dir, _SETS), "owner-sets")
 
 
 @query("crew_best_jaccard_join", oracle("""WITH s AS (SELECT DISTINCT slot, owner FROM trades), n AS (SELECT slot, count(*) AS n FROM s GROUP BY slot),
@@ -39,14 +37,19 @@ def _best_sets(spark: SparkSession, sf_dir: str, least: int, earlier: bool) -> D
 SELECT q, m, overlap, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, overlap DESC, m) AS rn FROM j) z WHERE rn = 1"""))
 def crew_best_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.max(F.struct("jaccard", "overlap", (-F.col("m")).alias("m"))).alias("x")
-    return _best_sets(spark, sf_dir, 2, False).groupBy("q").agg(best).select("q", (-F.col("x.m")).alias("m"), "x.overlap", "x.jaccard")
+    return overlaps(_sets(spark, sf_dir), False).groupBy("q").agg(best).select("q", (-F.col("x.m")).alias("m"), "x.overlap", "x.jaccard")
 
 
 @query("crew_best_match", oracle("""WITH s AS (SELECT DISTINCT slot, owner, d FROM trades), n AS (SELECT slot, count(DISTINCT owner) AS n, min(d) AS d FROM s GROUP BY slot),
  o AS (SELECT a.slot AS q, b.slot AS m, count(DISTINCT a.owner) AS overlap FROM s a JOIN s b ON a.owner = b.owner GROUP BY a.slot, b.slot)
 SELECT q, max(CAST(overlap AS DOUBLE) / (x.n + y.n - overlap)) AS best FROM o JOIN n x ON x.slot = q JOIN n y ON y.slot = m WHERE y.d < x.d GROUP BY q"""))
 def crew_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best_sets(spark, sf_dir, 1, True).groupBy("q").agg(F.max("jaccard").alias("best"))
+    """The best Jaccard of each slot's owners with those of a slot of an earlier day. Of those that share one owner alone the smallest is best, and a running minimum along the owner's days knows its size."""
+    sets = _sets(spark, sf_dir)
+    before = Window.partitionBy("owner").orderBy("d").rangeBetween(Window.unboundedPreceding, -1)
+    holds = sets.select("slot", "d", F.size("owners").alias("n"), F.explode("owners").alias("owner")).withColumn("m_n", F.min("n").over(before))
+    single = holds.where("m_n IS NOT NULL").select(F.col("slot").alias("q"), (1 / (F.col("n") + F.col("m_n") - 1)).alias("jaccard"))
+    return overlaps(sets, True).select("q", "jaccard").unionByName(single).groupBy("q").agg(F.max("jaccard").alias("best"))
 
 
 statement("co_trade_slot_window_join", "SELECT least(a.owner, b.owner) AS w1, greatest(a.owner, b.owner) AS w2, count(*) AS n FROM trades a JOIN trades b ON a.mint = b.mint AND abs(a.d - b.d) <= 3 AND a.owner < b.owner GROUP BY 1, 2")
