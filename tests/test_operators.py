@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -118,3 +119,12 @@ def test_products_do_not_depend_on_how_a_hot_inner_key_is_cut(spark, monkeypatch
     assert ({tuple(r) for r in assoc.matmul(a, assoc.transpose(a)).collect()}, {tuple(r) for r in assoc.co_occurrence(a, 2).collect()}) == whole
     n = a.where("col = 'hot'").count()
     assert cut.where("_k = 'hot'").count() == n * n
+
+
+def test_select_by_list_range_pattern_and_condition(spark):
+    a = spark.createDataFrame([(f"w{i}", i, float(i % 7)) for i in range(40)] + [("x|y", 3, 1.0)], "row string, col long, val double")
+    got = lambda **k: sorted(r.col for r in assoc.select(a, **k).collect())
+    assert got(row=["w3", "w5", "none"]) == [3, 5] and got(col=range(2, 11, 4)) == [2, 6, 10]
+    assert got(row=re.compile("w1|w2.")) == [1, *range(20, 30)] and got(row=re.compile(r"x\|y")) == [3]
+    assert got(row=lambda c: c.startswith("w3"), keep=F.col("val") > 3) == [32, 33, 34, 39]
+    assert got() == sorted([*range(40), 3])

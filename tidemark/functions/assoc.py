@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEMIRINGS = {
@@ -54,6 +56,24 @@ def degree(a: DataFrame, axis: str = "row") -> DataFrame:
     return a.groupBy(F.col(axis).alias("key")).agg(F.count("*").alias("degree"))
 
 
+def select(a: DataFrame, row=None, col=None, keep: Column | None = None) -> DataFrame:
+    """Entries whose row and column are chosen, each by a list, a range, a compiled pattern that its whole text must match, or a function of the column; keep: a condition on the entry."""
+
+    def chosen(key: str, by) -> Column:
+        c = F.col(key)
+        if isinstance(by, range):
+            inside = c.between(by.start, by.stop - 1)
+            return inside if by.step == 1 else inside & ((c - by.start) % by.step == 0)
+        if isinstance(by, re.Pattern):
+            return c.cast("string").rlike(f"^(?:{by.pattern})$")
+        return by(c) if callable(by) else c.isin(list(by))
+
+    for key, by in (("row", row), ("col", col)):
+        if by is not None:
+            a = a.where(chosen(key, by))
+    return a if keep is None else a.where(keep)
+
+
 def restrict_degree(a: DataFrame, axis: str, most: int) -> DataFrame:
     """Entries of keys with at most `most` entries on the axis."""
     return a.join(degree(a, axis).where(F.col("degree") <= most).select(F.col("key").alias(axis)), axis, "left_semi").select("row", "col", "val")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ def _b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assoc.from_tuples(run(spark, sf_dir, "SELECT mint AS row, txi AS col, CAST(qty AS DOUBLE) AS val FROM trades"))
 
 
+def _mean_of_neighbours(a: DataFrame) -> DataFrame:
+    """The mean Jaccard of rows of neighbouring numbers: only those pairs are ever made."""
+    a, n = a.select("row", "col"), assoc.degree(a)
+    both = a.join(a.select((F.col("row") - 1).alias("row"), "col"), ["row", "col"]).groupBy(F.col("row").alias("key")).agg(F.count("*").alias("both"))
+    pairs = n.join(n.select((F.col("key") - 1).alias("key"), F.col("degree").alias("next")), "key").join(both, "key", "left").fillna(0, ["both"])
+    return pairs.agg((F.floor(F.avg(F.col("both") / (F.col("degree") + F.col("next") - F.col("both"))) * 1e7 + 0.5) / 1e7).alias("mean"))
+
+
 def _put(name: str, sql: str, f) -> None:
     query(name, oracle(sql))(f)
 
@@ -31,7 +41,7 @@ def _put(name: str, sql: str, f) -> None:
 _put("assoc_from_tuples", f"SELECT row, col, sum(val) AS total, max(val) AS top, min(val) AS low FROM ({_T}) t GROUP BY row, col", lambda s, d: run(s, d, _T).groupBy("row", "col").agg(F.sum("val").alias("total"), F.max("val").alias("top"), F.min("val").alias("low")))
 _put("assoc_transpose", f"SELECT col AS row, row AS col, val FROM ({_A}) a", lambda s, d: assoc.transpose(_a(s, d)))
 _put("assoc_binarize", f"SELECT row, col, CAST(1 AS DOUBLE) AS val FROM ({_A}) a", lambda s, d: _a(s, d).withColumn("val", F.lit(1.0)))
-_put("assoc_select", f"SELECT row, col, val FROM ({_A}) a WHERE row IN (3, 5, 8) AND col < 20", lambda s, d: _a(s, d).where(F.col("row").isin(3, 5, 8) & (F.col("col") < 20)))
+_put("assoc_select", f"SELECT row, col, val FROM ({_A}) a WHERE regexp_matches(CAST(row AS VARCHAR), '^[0-9]*[05]$') AND col BETWEEN 20 AND 900 AND val > 10", lambda s, d: assoc.select(_a(s, d), row=re.compile("[0-9]*[05]"), col=range(20, 901), keep=F.col("val") > 10))
 _put("assoc_restrict_degree", f"SELECT row, col, val FROM ({_A}) a WHERE col IN (SELECT col FROM ({_A}) z GROUP BY col HAVING count(*) <= 28)", lambda s, d: assoc.restrict_degree(_a(s, d), "col", 28))
 _put("assoc_drop_diagonal", f"SELECT row, col, val FROM ({_A}) a WHERE row <> col", lambda s, d: _a(s, d).where("row != col"))
 _put("assoc_degree", f"SELECT row AS key, count(*) AS degree FROM ({_A}) a GROUP BY row", lambda s, d: assoc.degree(_a(s, d)))
@@ -50,7 +60,7 @@ for _name, _kind, _by in (("jaccard", "jaccard", "p.degree + q.degree - o.val"),
 _put("upper_pairs", f"SELECT row, col, val FROM ({_A}) a WHERE row < col", lambda s, d: _a(s, d).where("row < col"))
 _put("threshold_prune", f"SELECT row, col, val FROM ({_A}) a WHERE val >= 30", lambda s, d: _a(s, d).where("val >= 30"))
 _put("mean_jaccard_pairs", f"SELECT floor(sum(v) / max(n) * 1e7 + 0.5) / 1e7 AS mean FROM (SELECT coalesce(o.val / (p.degree + q.degree - o.val), 0) AS v, count(*) OVER () AS n FROM {_DEG} p JOIN {_DEG} q ON q.key = p.key + 1 LEFT JOIN ({_CO}) o ON o.row = p.key AND o.col = q.key) z",
-     lambda s, d: assoc.degree(_a(s, d)).alias("p").join(assoc.degree(_a(s, d)).select((F.col("key") - 1).alias("key")), "key").select(F.col("key").alias("row"), (F.col("key") + 1).alias("col")).join(assoc.similarity(assoc.co_occurrence(_a(s, d)), assoc.degree(_a(s, d))), ["row", "col"], "left").agg((F.floor(F.avg(F.coalesce("val", F.lit(0.0))) * 1e7 + 0.5) / 1e7).alias("mean")))
+     lambda s, d: _mean_of_neighbours(_a(s, d)))
 
 _EDGES = "SELECT DISTINCT owner AS a, 100000 + mint AS b FROM trades"
 

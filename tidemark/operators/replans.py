@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import assoc
 from tidemark.functions.ranks import numbered, quantiles, ranks, running, tiles
 from tidemark.operators.registry import replanned
 from tidemark.operators.sql import run
@@ -175,3 +176,10 @@ _statement(
  s AS (SELECT mint, px, count(px) OVER v AS n, sum(px) OVER v AS p, sum(px * px) OVER v AS pp FROM g WINDOW v AS (PARTITION BY mint ORDER BY t RANGE BETWEEN 7776000 FOLLOWING AND 9504000 FOLLOWING))
 SELECT mint, floor((sum(pp - 2 * px * p + n * px * px) / sum(n) / (100 * avg(px) * avg(px))) * 1e8 + 0.5) / 1e8 AS sigma2 FROM s GROUP BY mint HAVING sum(n) > 0""",
 )
+
+
+@replanned("cosigning_links")
+def cosigning_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of one slot in pairs; a slot with very many owners is met in parts."""
+    links = assoc.co_occurrence(run(spark, sf_dir, "SELECT DISTINCT owner AS row, slot AS col FROM trades"))
+    return links.select(F.col("row").alias("a"), F.col("col").alias("b"), F.col("val").cast("long").alias("n"))
