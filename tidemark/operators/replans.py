@@ -183,3 +183,42 @@ def cosigning_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners of one slot in pairs; a slot with very many owners is met in parts."""
     links = assoc.co_occurrence(run(spark, sf_dir, "SELECT DISTINCT owner AS row, slot AS col FROM trades"))
     return links.select(F.col("row").alias("a"), F.col("col").alias("b"), F.col("val").cast("long").alias("n"))
+
+
+def _cuts(df: DataFrame, value: str, at: list[float]) -> list[Column]:
+    """Quantiles of a whole column as constants: its distinct values are counted and dealt by range, so no task holds the column."""
+    row = quantiles(df.select(F.lit(0).alias("_g"), value), "_g", value, {f"_{i}": p for i, p in enumerate(at)}).first()
+    return [F.lit(row[f"_{i}"] if row is not None else None).cast("double") for i in range(len(at))]
+
+
+def _quarter(value: str, cuts: list[Column], base: int) -> Column:
+    """Which part of the cuts a value is in, from `base` on."""
+    out = F.when(F.col(value) <= cuts[0], base)
+    for i, c in enumerate(cuts[1:], 1):
+        out = out.when(F.col(value) <= c, base + i)
+    return out.otherwise(base + len(cuts))
+
+
+@replanned("quartile_cell_key")
+def quartile_cell_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = run(spark, sf_dir, "SELECT d, CAST(qty AS DOUBLE) AS qty, CAST(cents AS DOUBLE) AS cents FROM trades")
+    past = t.where("d < 1200")
+    cell = F.concat_ws("|", _quarter("qty", _cuts(past, "qty", [0.25, 0.5, 0.75]), 0).cast("string"), _quarter("cents", _cuts(past, "cents", [0.5]), 0).cast("string"))
+    return t.where("d >= 1200").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+
+
+@replanned("market_atlas")
+def market_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = written(run(spark, sf_dir, "SELECT mint, CAST(sum(qty) AS DOUBLE) AS v FROM trades GROUP BY mint"), "volumes")
+    strata = v.select("mint", _quarter("v", _cuts(v, "v", [0.25, 0.5, 0.75]), 1).alias("stratum"))
+    latest = run(spark, sf_dir, "SELECT call_id, mint, price FROM (SELECT call_id, mint, price, row_number() OVER (PARTITION BY mint ORDER BY t DESC, call_id DESC) AS rn FROM calls WHERE t <= 86400 * 1300) x WHERE rn = 1")
+    return latest.join(strata, "mint", "left").select("call_id", "mint", "price", "stratum")
+
+
+@replanned("cell_model")
+def cell_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = written(run(spark, sf_dir, "SELECT mint, CAST(sum(qty) AS DOUBLE) AS v, CAST(count(DISTINCT owner) AS DOUBLE) AS o, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM trades WHERE d < 1200 GROUP BY mint"), "cells")
+    row = m.agg(F.sum("k") / F.sum("n")).first()
+    p = F.lit(row[0]).cast("double")
+    keys = [_quarter(c, _cuts(m, c, [0.25, 0.5, 0.75]), 1).alias(name) for c, name in (("v", "volume_quartile"), ("o", "owner_quartile"))]
+    return m.groupBy(*keys).agg(F.count("*").alias("mints"), ((F.sum("k") + 20 * p) / (F.sum("n") + 20)).alias("shrunk"))
