@@ -181,7 +181,8 @@ def matrix_encoder(path: str, pattern: str) -> UnitEncoder:
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs without `text`, with token_ids (array of int), as the tiktoken library gives without special tokens.
 
-    Null and empty texts have no ids. A column named token_ids is replaced; repeated rows stay.
+    Null and empty texts have no ids. A column named token_ids is replaced; repeated rows
+    stay; an empty table gives an empty one.
     """
     docs = docs.drop("token_ids")
     at = docs.columns.index(text)

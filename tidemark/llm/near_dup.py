@@ -86,7 +86,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     Words are maximal runs of bytes other than ASCII white space. Classes are the
     connected components of the links of `threshold` or more. Texts without words (null,
     empty, white space) are classes of their own; repeated rows are one class. Columns
-    of docs named class_uid or keeps are replaced; no row is added or dropped.
+    of docs named class_uid or keeps are replaced; no row is added or dropped, and an
+    empty table gives an empty one. Terms are 40-bit hashes and are not compared as text.
     """
     docs = docs.drop("class_uid", "keeps")
     b = to_blocks(docs, text, BLOCK_BYTES)

@@ -38,12 +38,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens through the block store and back."""
     path = scratch_path(spark, "token_store")
     write_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 0, path)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that no repeated window of 35 words covers."""
     cut = substring_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), "text")
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
@@ -74,10 +76,12 @@ FROM d LEFT JOIN kept USING (r)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document and the pieces that they would make."""
     return token_counts(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that no repeated string of 200 bytes covers."""
     cut = suffix_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -112,15 +116,18 @@ FROM d LEFT JOIN parts USING (r)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in power-of-two pieces, each its own sequence."""
     packed = pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of every query vector."""
     return top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
@@ -140,18 +147,21 @@ SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether the base rule and the learned list keep it."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     rules = fit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality"))
     return apply_rules(docs, rules).select("doc_id", *BASE, "base_failed", "kept")
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near copies."""
     found = written(near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_uid"), "classes")
     names = found.groupBy("class_uid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return found.join(names, "class_uid").select("doc_id", "class_id", "class_size")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe_encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
     return bpe_decode(encoded, path).select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -82,8 +82,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     A text is its UTF-8 bytes (null: none); matches never cross documents. A byte goes if
     a string of `length` bytes that covers it also starts anywhere else, its own document
     included. Strings are judged on the input. Texts shorter than that lose nothing;
-    repeated rows are separate documents, so both go. Columns of docs with the new names
-    are replaced.
+    repeated rows are separate documents, so both go; an empty table gives an empty one.
+    Columns of docs with the new names are replaced.
     """
     depth = length - PERIOD + 1
     if depth < 1:

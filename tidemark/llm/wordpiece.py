@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", marker: bytes =
     Words are maximal runs of bytes other than ASCII white space; a word's pieces are
     the greedy longest match of `marker` + word over the byte strings of the vocabulary
     at path; a word that cannot be matched counts one piece. Null and empty texts: 0 and
-    0. Columns named n_words or n_pieces are replaced.
+    0. Columns named n_words or n_pieces are replaced; an empty table gives an empty one.
     """
     docs = docs.drop("n_words", "n_pieces")
     at = docs.columns.index(text)
