@@ -4,12 +4,15 @@ import collections
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from tidemark.llm import cover_tree, hashing, html_main_text, near_dup
+from tidemark.llm import hashing as H
 from tidemark.llm import suffix_dedup as suffix
+from tidemark.llm.blocks import Order
 from tidemark.llm.cells import common
 from tidemark.llm.cover_tree import Search, top_k
 from tidemark.llm.html_main_text import extract, main_text
@@ -339,3 +342,19 @@ def test_near_duplicates_of_one_key_over_many_cells(spark, monkeypatch):
     got = {x.i: x.class_uid for x in near_duplicates(spark.createDataFrame(rows, "i long, text string").repartition(3)).collect()}
     assert len({find(i) for i in range(len(rows))}) > 1
     assert all((got[i] == got[j]) == (find(i) == find(j)) for i in range(len(rows)) for j in range(i))
+
+
+@pytest.mark.parametrize("bits", [40, 64])
+def test_order_of_a_block_takes_few_arrays(bits):
+    r = np.random.default_rng(bits)
+    n, buckets = 200_000, 51
+    h1, h2 = (H.mix(r.integers(0, n // 2, n).astype(np.uint64) + np.uint64(x << 20)) for x in (1, 2))
+    tracemalloc.start()
+    order = Order(h1, h2, buckets, bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * n
+    keys = np.stack([(h2 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), h1 >> np.uint64(64 - bits)])
+    want, rank, counts = np.unique(keys, axis=1, return_inverse=True, return_counts=True)
+    assert (order.values == want[1]).all() and (order.rank == rank.ravel()).all() and (order.counts == counts).all()
+    assert (order.starts == np.searchsorted(want[0], np.arange(buckets + 1))).all()

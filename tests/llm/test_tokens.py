@@ -14,7 +14,7 @@ from tidemark.llm.byte_bpe import bpe_decode, bpe_encode, matrix_encoder, read_r
 from tidemark.llm.packing import cuts, pack
 from tidemark.llm.storage import scratch_path
 from tidemark.llm.token_store import Segment, encode, read_tokens, write_tokens
-from tidemark.llm import units
+from tidemark.llm import storage, units
 from tidemark.llm.units import UnitEncoder, library_encoder
 from tidemark.llm.wordpiece import Automaton, token_counts
 
@@ -140,3 +140,13 @@ def test_store_pack_count_encode_on_nulls_ties_and_clashes(spark):
         bpe_decode(odd.selectExpr("id", "array(60000) AS token_ids"), ranks).collect()
     clash = spark.createDataFrame([(1, "a b", [5], "z")], "doc_id long, text string, token_ids array<int>, decoded string")
     assert bpe_decode(bpe_encode(clash, ranks, P.PATTERN), ranks).columns == ["doc_id", "token_ids", "decoded"]
+
+
+def test_a_worker_drops_its_units_when_other_work_comes():
+    storage.serve("packing")
+    first = library_encoder(P.path("byte_bpe_50k.json"))
+    storage.serve("packing")
+    assert library_encoder(P.path("byte_bpe_50k.json")) is first
+    storage.serve("near_dup")
+    assert not units._library
+    assert encoded(library_encoder(P.path("byte_bpe_50k.json")), ["a b"], 50) == encoded(first, ["a b"], 50)

@@ -32,10 +32,10 @@ from pyspark.sql import types as T
 from tidemark.llm import hashing as H
 from tidemark.llm.storage import give_back, map_arrow, partitions, scratch_table
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_ROWS = 4_000_000
 #: Bytes that are hashed together inside a block; bounds the working arrays.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 BLOCK_SCHEMA = "block long, n_rows int, n_bytes long, n_words long, payload binary"
 SENT_SCHEMA = "bucket int, block long, n int, data binary"
@@ -144,18 +144,22 @@ class Order:
     def __init__(self, h1: np.ndarray, h2: np.ndarray, buckets: int, bits: int = 64):
         if bits < 64:
             h1 = h1 >> np.uint64(64 - bits)
-        bucket = ((h2 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket = h2 >> np.uint64(32)
+        bucket *= np.uint64(buckets)
+        bucket >>= np.uint64(32)
+        bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64)
         order = np.argsort(h1)
         order = order[np.argsort(bucket[order], kind="stable")]
         h, b = h1[order], bucket[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        self.values = h[first]
-        self.counts = np.diff(first, append=len(h))
-        self.rank = np.empty(len(h), np.int64)
-        self.rank[order] = np.cumsum(new) - 1
-        self.starts = np.searchsorted(b[first], np.arange(buckets + 1))
+        self.rank = np.empty(len(h), np.int32)
+        self.rank[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order
+        self.values = h[new]
+        self.starts = np.searchsorted(b[new], np.arange(buckets + 1))
+        del h, b
+        self.counts = np.diff(np.flatnonzero(new), append=len(new)).astype(np.int32)
 
     def rows(self, block: int, width: int = 8) -> pa.RecordBatch:
         buckets = np.flatnonzero(np.diff(self.starts)).tolist()
@@ -195,17 +199,28 @@ def reply(sent: DataFrame, buckets: int, many: bool = False, width: int = 8) ->
                 have.setdefault(bucket, []).append((block, n, data))
         for bucket in list(have):
             rows = have.pop(bucket)
-            values = np.concatenate([delta_unpack(d, n, width) for _, n, d in rows])
-            counts = np.concatenate([count_unpack(d[n * width :], n) for _, n, d in rows])
-            ends = np.cumsum([n for _, n, _ in rows])
             blocks = [b for b, _, _ in rows]
-            del rows
+            ends = np.cumsum([n for _, n, _ in rows])
+            values = np.empty(ends[-1], np.uint64)
+            counts = np.empty(ends[-1], np.int32)
+            for i, (hi, (_, n, d)) in enumerate(zip(ends.tolist(), rows, strict=True)):
+                values[hi - n : hi] = delta_unpack(d, n, width)
+                counts[hi - n : hi] = count_unpack(d[n * width :], n)
+                rows[i] = None
+            del rows, d
             order = np.argsort(values)
-            v = values[order]
-            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            total = np.add.reduceat(counts[order], first)
-            each = np.empty(len(values), np.int64)
-            each[order] = np.repeat(total, np.diff(first, append=len(v)))
+            values = values[order]
+            new = np.ones(len(values), bool)
+            new[1:] = values[1:] != values[:-1]
+            del values
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(counts[order], first, dtype=np.int64)
+            del counts
+            if not many:
+                total = np.minimum(total, 2).astype(np.uint8)
+            each = np.empty(len(new), total.dtype)
+            each[order] = np.repeat(total, np.diff(first, append=len(new)))
+            del order, new, first, total
             out: dict[str, list] = {"block": [], "bucket": [], "data": []}
             for block, lo, hi in zip(blocks, [0, *ends[:-1]], ends, strict=True):
                 got = each[lo:hi]
@@ -213,7 +228,7 @@ def reply(sent: DataFrame, buckets: int, many: bool = False, width: int = 8) ->
                     out["block"].append(block)
                     out["bucket"].append(bucket)
                     out["data"].append(count_pack(got) if many else np.packbits(got > 1).tobytes())
-            del values, counts, order, v, each, first, total
+            del each, got
             give_back()
             yield pa.RecordBatch.from_pydict(out, schema=_REPLY)
 

@@ -14,7 +14,7 @@ BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 SECOND_BASE = 0xA0761D6478BD642F | 1
 #: Bytes or words whose prefix sums are held at once.
-STEP = 1 << 20
+STEP = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 

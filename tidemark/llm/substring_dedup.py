@@ -55,16 +55,18 @@ def cut(b: Blocks, k: int) -> DataFrame:
     at, buckets = b.schema.fieldNames().index(b.text), b.buckets(b.n_words)
 
     def emit(row: dict) -> Iterator[pa.RecordBatch]:
-        h1, h2, _, _ = _fingerprints(unpack(row["payload"]), at, k)
-        yield Order(h1, h2, buckets).rows(row["block"])
+        yield Order(*_fingerprints(unpack(row["payload"]), at, k)[:2], buckets).rows(row["block"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
             batch = unpack(row["payload"])
             h1, h2, starts, first = _fingerprints(batch, at, k)
             order = Order(h1, h2, buckets)
+            del h1, h2
             seen = (order.answers(row["replies"], False) | (order.counts > 1))[order.rank]
+            del order
             gone = covered(starts[seen], k, int(first[-1]))
+            del starts, seen
             yield from _outputs(batch, at, gone, first)
 
     sent = send(b.table.select("block", "payload"), emit)

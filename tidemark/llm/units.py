@@ -23,6 +23,7 @@ import pyarrow as pa
 
 from tidemark.llm import hashing as H
 from tidemark.llm.blocks import texts
+from tidemark.llm.storage import cache
 
 #: Units kept in a worker's cache; bounds its memory.
 CACHE_UNITS = 300_000
@@ -164,6 +165,7 @@ def _alone(units: list[bytes]) -> np.ndarray:
 
 
 _library: dict[str, UnitEncoder] = {}
+cache(_library.clear)
 
 
 def library_encoder(path: str) -> UnitEncoder:
