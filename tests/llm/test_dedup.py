@@ -20,6 +20,7 @@ from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.quality_rules import DecisionList, apply_rules, keep_good, learn
 from tidemark.llm.substring_dedup import _without, substring_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
+from tidemark.llm.weighted_minhash import can_link, similarity
 
 SCHEMA = "doc_id long, text string, block long, n_removed int"
 
@@ -358,3 +359,23 @@ def test_order_of_a_block_takes_few_arrays(bits):
     want, rank, counts = np.unique(keys, axis=1, return_inverse=True, return_counts=True)
     assert (order.values == want[1]).all() and (order.rank == rank.ravel()).all() and (order.counts == counts).all()
     assert (order.starts == np.searchsorted(want[0], np.arange(buckets + 1))).all()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_texts_without_bands_have_no_partner(threshold):
+    r = np.random.default_rng(5)
+    docs = [np.sort(r.choice(400, r.integers(1, 12), replace=False)) for _ in range(300)]
+    docs += [np.unique(np.append(d[: len(d) - i % 3], 1000 + i)) for i, d in enumerate(docs[:60])]  # near copies with a word of their own
+    docs += [np.arange(5000 + 9 * i, 5009 + 9 * i) for i in range(40)]  # nothing shared
+    terms, starts = np.concatenate(docs), np.cumsum([0, *map(len, docs)])[:-1]
+    weights = r.integers(1, 4, len(terms)).astype(float)
+    df = np.bincount(terms)[terms]
+    able = can_link(weights, df > 1, starts, threshold)
+    vectors = [(terms[a:z].astype(np.uint64), weights[a:z]) for a, z in zip(starts, [*starts[1:], len(terms)], strict=True)]
+    linked = set()
+    for i, a in enumerate(vectors):
+        for j, b in enumerate(vectors[:i]):
+            if similarity((*a, a[1].sum()), (*b, b[1].sum())) >= threshold:
+                linked |= {i, j}
+    assert linked and able[list(linked)].all()
+    assert not able[-40:].any()

@@ -5,6 +5,10 @@ a damped inverse document frequency, 1 + ln(N / df) / (4 ln N), with document
 frequencies of all terms over the whole corpus. The damping keeps a large group of
 near copies, whose shared shingles are frequent, as similar as its texts are.
 
+A text shares with another at most its terms that other documents have too. Where these
+weigh less than the threshold's part of the text, no other text is similar enough, and
+the text gets no samples: what is linked stays the same.
+
 Documents with the same weighted terms are one text from the start. In every band, the
 texts of a key are compared with one of them, the key's leader, and those found similar
 are joined. Keys whose other texts are still of several classes are then compared
@@ -29,7 +33,7 @@ from tidemark.llm.blocks import Blocks, Order, delta_pack, delta_unpack, each_ro
 from tidemark.llm.cells import Cell
 from tidemark.llm.components import components
 from tidemark.llm.storage import map_arrow, written
-from tidemark.llm.weighted_minhash import BANDS, band_keys, similarity
+from tidemark.llm.weighted_minhash import BANDS, band_keys, can_link, similarity
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -105,7 +109,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
-            rows, hashes, weights, _, n = weigh(row)
+            rows, hashes, weights, shared, n = weigh(row)
             every = uid(row["block"], np.arange(n))
             same1, same2 = H.mix(every.astype(np.uint64)).view(np.int64), every.copy()
             bands: list = [None] * n
@@ -115,8 +119,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
                 has = rows[starts]
                 same1[has] = np.add.reduceat(H.mix(hashes ^ H.mix(w)), starts).view(np.int64)
                 same2[has] = np.add.reduceat(H.mix(H.mix(hashes + np.uint64(H.SECOND_BASE)) + w), starts).view(np.int64)
-                for i, x in zip(has, band_keys(hashes, weights, starts).view(np.int64).tolist(), strict=True):
-                    bands[i] = x
+                # Texts that cannot reach the threshold with any other need no bands.
+                able = can_link(weights, shared, starts, threshold)
+                size = np.diff(starts, append=len(rows))
+                kept, size = np.repeat(able, size), size[able]
+                if len(size):
+                    for i, x in zip(has[able], band_keys(hashes[kept], weights[kept], np.cumsum(size) - size).view(np.int64).tolist(), strict=True):
+                        bands[i] = x
             yield pa.RecordBatch.from_pydict({"uid": every, "same1": same1, "same2": same2, "bands": bands}, schema=_SIGNED)
 
     signed = written(map_arrow(table, sign, "uid long, same1 long, same2 long, bands array<long>"), "signed")

@@ -44,6 +44,15 @@ def band_keys(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.
     return keys
 
 
+def can_link(weights: np.ndarray, shared: np.ndarray, starts: np.ndarray, threshold: float) -> np.ndarray:
+    """Which documents may have a similarity of `threshold` or more to any other. shared: the terms that other documents have too; layout as for band_keys.
+
+    The common weight of a pair is at most that of a document's shared terms, and the
+    weight of both together at least that of the document. The margin is for rounding.
+    """
+    return np.add.reduceat(weights * shared, starts) >= threshold * (1 - 1e-6) * np.add.reduceat(weights, starts)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
     """Weighted Jaccard similarity of two documents: sorted distinct terms and their weights (terms that no other document has may be left out), and the weight of all terms."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
