@@ -142,6 +142,18 @@ def test_store_pack_count_encode_on_nulls_ties_and_clashes(spark):
     assert bpe_decode(bpe_encode(clash, ranks, P.PATTERN), ranks).columns == ["doc_id", "token_ids", "decoded"]
 
 
+def test_units_that_open_with_a_space_go_without_signs():
+    name = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(name)
+    opens = units._space_tokens(name)
+    assert [bool(opens[i]) for i in (t.token_to_id("\u0120the"), t.token_to_id("the"), t.token_to_id("\u0120"))] == [True, False, True]
+    assert units._space_tokens(P.path("word_bpe_49k.json")) is None
+    some = list(dict.fromkeys([" don't", " 'tis", " x'll've", " \xe9\xe9", " 1a2", " ...", " \u0301", " \u65e5", "x", "'s", " ", "\n", "", " a\nb", "<|endoftext|>", " <", *(" " + "".join(rng.choice("ab's1\xe9.\u65e5-") for _ in range(rng.randint(1, 9))) for _ in range(2000))]))
+    got = units.library_encoder(name)._encode([x.encode() for x in some])
+    for x, ids in zip(some, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
 def test_a_worker_drops_its_units_when_other_work_comes():
     storage.serve("packing")
     first = library_encoder(P.path("byte_bpe_50k.json"))

@@ -35,6 +35,8 @@ BLOCK = 128
 PERCENTILE = 90.0
 #: A segment is closed once it has so many ids; a longer document makes a longer segment.
 SEGMENT_IDS = 1 << 16
+#: Bytes of text that are encoded together: the more, the fewer times a task looks up a unit.
+GROUP_BYTES = 4 << 20
 #: Up to so many writing tasks their first ids are broadcast to the readers (16 bytes for each); beyond, they are joined by shuffle.
 BROADCAST_TASKS = 500_000
 
@@ -138,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, text: str
             return out
 
         for batch in batches:
-            for lo, hi, ids, bounds in encoder.documents(batch.column(1)):
+            for lo, hi, ids, bounds in encoder.documents(batch.column(1), GROUP_BYTES):
                 ids, bounds = with_end(ids, bounds, end)
                 names = batch.column(0).slice(lo, hi - lo).to_pylist()
                 at = 0

@@ -116,7 +116,9 @@ class UnitEncoder:
         starts = np.flatnonzero(cut)
         bounds = np.append(starts, len(data)).astype(np.int32)
         units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        have = self._known(units.dictionary.to_pylist())
+        _, at, raw = units.dictionary.buffers()
+        raw, at = raw.to_pybytes() if raw is not None else b"", np.frombuffer(at, np.int32, len(units.dictionary) + 1).tolist()
+        have = self._known([raw[a:z] for a, z in zip(at, at[1:], strict=False)])
         size = np.fromiter(map(len, have), np.int64, len(have)) // 4
         flat = np.frombuffer(b"".join(have), "<u4")
         which = units.indices.to_numpy()
@@ -131,15 +133,17 @@ class UnitEncoder:
         if len(self._young) > CACHE_UNITS // 2:
             self._young, self._old = {}, self._young
         young, old = self._young, self._old
+        have = list(map(young.get, units))
         new = []
-        for u in units:
-            if u not in young:
-                if (ids := old.get(u)) is None:
-                    new.append(u)
+        for i, ids in enumerate(have):
+            if ids is None:
+                if (ids := old.get(units[i])) is None:
+                    new.append(i)
                 else:
-                    young[u] = ids
-        young.update(zip(new, self._encode(new), strict=True))
-        return [young[u] for u in units]
+                    have[i] = young[units[i]] = ids
+        for i, ids in zip(new, self._encode([units[i] for i in new]), strict=True):
+            have[i] = young[units[i]] = ids
+        return have
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +156,30 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray,
     return out, longer
 
 
-def _alone(units: list[bytes]) -> np.ndarray:
-    """Which units are not joined with others: those with (what may be) white space but for one leading space, nothing else, the sign between units, or what may begin an added token."""
+def _alone(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which units are not joined with others: those with (what may be) white space but for one leading space, nothing else, the sign between units, or what may begin an added token. And which of the others have that space."""
     size = np.fromiter(map(len, units), np.int64, len(units))
     data = np.frombuffer(b"".join(units), np.uint8)
     first = np.cumsum(size) - size
     odd = _ODD[data]
-    lead = first[size > 1]
-    odd[lead[data[lead] == 0x20]] = False
+    led = size > 1
+    led[led] = data[first[led]] == 0x20
+    odd[first[led]] = False
     n = np.concatenate([[0], np.cumsum(odd)])
-    return (n[first + size] > n[first]) | (size == 0)
+    alone = (n[first + size] > n[first]) | (size == 0)
+    return alone, led & ~alone
+
+
+def _space_tokens(path: str) -> np.ndarray | None:
+    """By id, whether a token begins with a space; None unless texts go unchanged, byte by byte, into pre-tokens that a space may only open."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre, model = t["pre_tokenizer"] or {}, t["model"]
+    if t["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("type") != "BPE":
+        return None
+    out = np.zeros(1 + max(max(model["vocab"].values()), *(x["id"] for x in t["added_tokens"]), 0), bool)
+    out[[i for x, i in model["vocab"].items() if x.startswith("\u0120")]] = True
+    return out
 
 
 _library: dict[str, UnitEncoder] = {}
@@ -189,17 +207,33 @@ def library_encoder(path: str) -> UnitEncoder:
         line, sign, letter, probe = each([b"\n", MARK, b"a", b"a\n" + MARK + b"\na"])
         joins = len(line) < 2 and len(sign) == 1 and probe.tolist() == [*letter, *line, *sign, *line, *letter]
 
+        # Where a space opens a pre-token and its first token, units that open with one need no sign between them.
+        opens = _space_tokens(path) if joins else None
+
+        def together(units: list[bytes], sign: bytes) -> Iterator[tuple[list[bytes], np.ndarray]]:
+            runs = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
+            return zip(runs, each([sign.join(x) for x in runs]), strict=True)
+
         def encode(units: list[bytes]) -> list[bytes]:
-            alone = _alone(units) if joins else np.ones(len(units), bool)
+            alone, led = _alone(units) if joins else (np.ones(len(units), bool), np.zeros(len(units), bool))
+            if opens is None:
+                led[:] = False
             out = np.empty(len(units), object)
             out[alone] = [x.tobytes() for x in each([units[i] for i in np.flatnonzero(alone)])]
-            rest = [units[i] for i in np.flatnonzero(~alone)]
             joined: list[bytes] = []
-            for x in each([(b"\n" + MARK + b"\n").join(rest[i : i + JOINED]) for i in range(0, len(rest), JOINED)]):
+            for run, x in together([units[i] for i in np.flatnonzero(led)], b""):
+                raw, at = x.tobytes(), 4 * np.flatnonzero(opens[x])
+                if len(at) != len(run):
+                    raise ValueError("a token of a unit's first character is missing")
+                joined += [raw[a:z] for a, z in zip(at.tolist(), [*at[1:].tolist(), len(raw)], strict=True)]
+            out[led] = joined
+            rest = ~alone & ~led
+            joined = []
+            for _, x in together([units[i] for i in np.flatnonzero(rest)], b"\n" + MARK + b"\n"):
                 raw, at = x.tobytes(), np.flatnonzero(x == sign[0])
                 starts, ends = 4 * np.concatenate([[0], at + 1 + len(line)]), 4 * np.append(at - len(line), len(x))
                 joined += [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-            out[~alone] = joined
+            out[rest] = joined
             return out.tolist()
 
         have = _library[path] = UnitEncoder(encode, tuple(x["content"].encode() for x in added), whole)
