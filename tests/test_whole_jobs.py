@@ -141,3 +141,10 @@ def test_gaps_and_snapshots_of_every_mint(spark, tape):
     assert {(r.mint, r.d) for r in rows(spark, "anti_join_via_null", at)} == absent
     board = {(m, s, s - 1 not in x, s + 1 not in x) for m, x in snaps.items() for s in x}
     assert {(r.mint, r.snap, r.enters, r.leaves) for r in rows(spark, "board_watcher", at)} == board
+
+
+def test_chains_of_any_length(spark, tmp_path):
+    r = random.Random(5)
+    trades = [(r.randrange(9), r.randrange(9), s, x, 10, 1, r.choice((0.3, 1, 2, 7))) for s, n in ((1, 1), (2, 17), (3, 18), (4, 70), (None, 20)) for x in range(1, n + 1)]
+    got = {(x.slot, x.txi): x.place for x in rows(spark, "slot_chain_order", write_trades(tmp_path, trades))}
+    assert got == {(s, x): x - 1 for _, _, s, x, *_ in trades}
