@@ -148,3 +148,26 @@ def test_chains_of_any_length(spark, tmp_path):
     trades = [(r.randrange(9), r.randrange(9), s, x, 10, 1, r.choice((0.3, 1, 2, 7))) for s, n in ((1, 1), (2, 17), (3, 18), (4, 70), (None, 20)) for x in range(1, n + 1)]
     got = {(x.slot, x.txi): x.place for x in rows(spark, "slot_chain_order", write_trades(tmp_path, trades))}
     assert got == {(s, x): x - 1 for _, _, s, x, *_ in trades}
+
+
+def test_burst_pairs_in_order_and_across_batches(spark, tmp_path):
+    r = random.Random(8)
+    trades = [(r.choice((1, 2, 2, 2, 9)), r.choice((5, 6, 7)), s, 1, r.randrange(300), 1, 1) for s in range(400)] + [(3, 5, 1000, 1, 0, 1, 1), (3, None, 1001, 1, 40, 1, 1)]
+    near = sum(1 for i, x in enumerate(trades) for y in trades[:i] if x[0] == y[0] and None not in (x[1], y[1]) and x[1] != y[1] and abs(x[4] - y[4]) <= 20)
+    at = write_trades(tmp_path, trades)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        df = registry.queries()["burst_null"](spark, at)
+        assert {x.kind: x.observed for x in df.collect()} == {"envelope": near, "uniform": near}
+        from tidemark.operators import replans
+
+        # Draws stay in the rows that they are made of: no exchange holds them, and no join pairs them.
+        plan = replans._burst_pairs(spark, at, False)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Generate") < plan.index("Repartition")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet'")
+    assert {tuple(x) for x in df.collect()} == set(con.execute(registry.oracle_sql()["burst_null"]).fetchall())
