@@ -68,6 +68,21 @@ def test_knn_takes_all_earlier_calls(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("places", [400, 1])
+def test_knn_over_many_cells(spark, tmp_path, monkeypatch, places):
+    from tidemark.functions import nearest
+
+    monkeypatch.setattr(nearest, "CELL", 40)
+    r = random.Random(3)
+    calls = [(i, r.randrange(places), r.randrange(300), float(r.randrange(places)) * 1000) for i in range(600)]
+    got = {(x.call_id, x.rank_): x.a_id for x in rows(spark, "knn_topk", write_calls(tmp_path, calls))}
+    want = {}
+    for i, m, d, p in calls[::20]:
+        near = sorted((abs(p - q) / 1000 + abs(m - n), j) for j, n, e, q in calls if e < d)[:5]
+        want |= {(i, k + 1): j for k, (_, j) in enumerate(near)}
+    assert got == want
+
+
 def test_crew_matches_every_slot_by_its_whole_owner_set(spark, tape):
     at, trades = tape
     owners, day = defaultdict(set), {}

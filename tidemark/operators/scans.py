@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.nearest import blocks, in_cells, nearest_by_value, nearest_calls
+from tidemark.functions.nearest import nearest_by_value, nearest_earlier
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
@@ -109,10 +109,7 @@ _KNN = "WITH v AS (SELECT call_id, price, mint, t FROM calls WHERE call_id % 20
 @query("knn_topk", oracle(_KNN))
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of all earlier calls, for the calls whose call_id is divisible by 20."""
-    calls = run(spark, sf_dir, "SELECT call_id, price, mint, t FROM calls")
-    queries = blocks(calls.where("call_id % 20 = 0"), "call_id", 1024, "q")
-    candidates = blocks(calls.toDF("a_id", "a_price", "a_mint", "a_t"), "a_id", 8192, "c")
-    found = in_cells(queries, candidates, lambda q, c: nearest_calls(q, c, 5), "call_id long, a_id long, far double")
+    found = nearest_earlier(run(spark, sf_dir, "SELECT call_id, price, mint, t FROM calls"), F.col("call_id") % 20 == 0, 5)
     rank = F.row_number().over(Window.partitionBy("call_id").orderBy("far", "a_id")).cast("long")
     return found.withColumn("rank_", rank).where("rank_ <= 5").select("call_id", "a_id", "rank_")
 
