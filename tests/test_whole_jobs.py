@@ -186,3 +186,12 @@ def test_burst_pairs_in_order_and_across_batches(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet'")
     assert {tuple(x) for x in df.collect()} == set(con.execute(registry.oracle_sql()["burst_null"]).fetchall())
+
+
+def test_absent_days_are_made_after_the_sort(spark, tmp_path):
+    trades = [(m, 1, 1, 1, d, 1, 1) for m, x in ((1, (0, 1, 4, 4, 9)), (2, (7,)), (3, (2, 3)), (None, (5, 8))) for d in x]
+    at = write_trades(tmp_path, trades)
+    df = registry.queries()["anti_join_via_null"](spark, at)
+    assert {(x.mint, x.d) for x in df.collect()} == {(1, 2), (1, 3), (1, 5), (1, 6), (1, 7), (1, 8), (None, 5), (None, 6), (None, 7), (None, 8)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Window")
