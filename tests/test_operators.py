@@ -128,3 +128,17 @@ def test_select_by_list_range_pattern_and_condition(spark):
     assert got(row=re.compile("w1|w2.")) == [1, *range(20, 30)] and got(row=re.compile(r"x\|y")) == [3]
     assert got(row=lambda c: c.startswith("w3"), keep=F.col("val") > 3) == [32, 33, 34, 39]
     assert got() == sorted([*range(40), 3])
+
+
+@pytest.mark.parametrize("part", [2_000, 9])
+def test_pairs_are_counted_where_the_lists_of_a_range_are(spark, monkeypatch, part):
+    monkeypatch.setattr(assoc, "PART", part)
+    monkeypatch.setattr(assoc, "PAIRS", 100)
+    held = {r: {c for c in range(30) if (r * 13 + c * 7) % 11 < 4 or c == 3} for r in [*range(-5, 60), 10**12]}
+    a = spark.createDataFrame([(r, c, 1.0) for r, x in held.items() for c in x] + [(None, 3, 1.0), (4, None, 1.0), (5, None, 1.0)], "row long, col long, val double")
+    df = assoc.co_occurrence(a)
+    assert {(x.row, x.col): x.val for x in df.collect()} == {(p, q): float(len(held[p] & held[q])) for p in held for q in held if p < q}
+    # The last exchange is by range; pairs are aggregated above it without another.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning(range")
+    assert "Exchange" not in plan[: plan.index("Generate")]

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.sources.code import ship
+from tidemark.sources.scratch import written
 
 SEMIRINGS = {
     "plus_times": (lambda a, b: a * b, F.sum),
@@ -16,6 +23,8 @@ SEMIRINGS = {
 }
 #: Entries of an inner key that stay together.
 PART = 2_000
+#: Pairs that are counted together, about.
+PAIRS = 5_000_000
 AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -79,11 +88,65 @@ def restrict_degree(a: DataFrame, axis: str, most: int) -> DataFrame:
     return a.join(degree(a, axis).where(F.col("degree") <= most).select(F.col("key").alias(axis)), axis, "left_semi").select("row", "col", "val")
 
 
-def co_occurrence(a: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs of rows (row < col) with the number of columns they share, from `least` up."""
-    b = a.select("row", "col").distinct()
-    pairs = met(b.withColumnRenamed("col", "_k"), b.select(F.col("row").alias("_r"), F.col("col").alias("_k")), "row", "_r").where("row < _r")
-    return pairs.groupBy("row", F.col("_r").alias("col")).agg(F.count("*").cast("double").alias("val")).where(F.col("val") >= least)
+def co_occurrence(a: DataFrame, least: int = 1, kept: bool = False) -> DataFrame:
+    """Pairs of rows (row < col) with the number of columns they share, from `least` up; kept: a's entries are unique and read from files.
+
+    A column travels as the list of its rows, once for each range of rows that it touches;
+    pairs are made and counted where the range's lists are, and are not shuffled. Ranges
+    hold as many entries as one another, and are as many as the pairs ask for. A column
+    with over PART rows is cut into lists of about PART that meet each other.
+    """
+    spark = a.sparkSession
+    ship(spark)
+    b = a.select("row", "col").where("row IS NOT NULL AND col IS NOT NULL")
+    b = b if kept else written(b.distinct(), "entries")
+    sizes = b.groupBy("col").agg(F.count("*").alias("_n"))
+    most = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * (F.col("_n") - 1) / 2)).first()[0] or 0
+    ranges = int(max(most, pairs // PAIRS))
+    numeric = b.schema["row"].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+    edges = b.agg(F.percentile_approx("row", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if numeric else None
+
+    cuts = sizes.where(F.col("_n") > PART).select("col", F.ceil(F.col("_n") / PART).cast("int").alias("_n"))
+    part = F.pmod(F.xxhash64("row"), F.coalesce("_n", F.lit(1))).cast("int").alias("_part")
+    lists = b.join(cuts, "col", "left").select("row", "col", "_n", part).groupBy("col", "_n", "_part").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    whole = lists.where("_n IS NULL").select("rows")
+    large = lists.where("_n IS NOT NULL")
+    met_ = large.select("col", "rows").join(large.select("col", F.col("rows").alias("cols")), "col").select("rows", "cols")
+    if numeric:
+        schema = T.StructType([T.StructField("range", T.IntegerType()), met_.schema["rows"], met_.schema["cols"]])
+        cut = _dealt(np.unique(np.array(edges or [])))
+        dealt = whole.mapInArrow(cut, schema).unionByName(met_.mapInArrow(cut, schema))
+    else:
+        both = whole.select("rows", F.col("rows").alias("cols")).unionByName(met_).select(F.explode("rows").alias("_r"), "cols")
+        dealt = both.select(F.pmod(F.xxhash64("_r"), F.lit(ranges)).cast("int").alias("range"), F.array("_r").alias("rows"), "cols")
+    near = dealt.repartition(ranges, "range")
+    each = near.select("range", F.explode("rows").alias("row"), "cols").select("range", "row", F.explode("cols").alias("col")).where("row < col")
+    return each.groupBy("range", "row", "col").agg(F.count("*").cast("double").alias("val")).where(F.col("val") >= least).drop("range")
+
+
+def _dealt(edges: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of sorted rows cut where a range ends, each with the list that it meets; that is its own list, from its first row on, where none is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            if not len(rows):
+                continue
+            flat, sizes = rows.flatten(), rows.value_lengths().to_numpy()
+            line = np.repeat(np.arange(len(rows)), sizes)
+            at = np.searchsorted(edges, flat.to_numpy()).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (line[1:] != line[:-1])]))
+            cut = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), flat)
+            if batch.num_columns > 1:
+                cols = batch.column(1).take(pa.array(line[first]))
+            else:
+                n = np.cumsum(sizes)[line[first]] - first
+                upto = np.cumsum(n)
+                cols = pa.ListArray.from_arrays(pa.array(np.append(0, upto).astype(np.int32)), flat.take(pa.array(np.arange(upto[-1]) + np.repeat(first - (upto - n), n))))
+            yield pa.RecordBatch.from_arrays([pa.array(at[first]), cut, cols], ["range", "rows", "cols"])
+
+    return run
 
 
 def similarity(overlap: DataFrame, degrees: DataFrame, kind: str = "jaccard") -> DataFrame:

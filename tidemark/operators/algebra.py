@@ -12,6 +12,7 @@ from tidemark.functions.graph import components
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run, statement
 from tidemark.plans.tape import oracle
+from tidemark.sources.scratch import written
 
 _T = "SELECT owner AS row, mint AS col, CAST(delta AS DOUBLE) AS val, d * 100000 + slot + txi / 10.0 AS ord FROM trades"
 _A = f"SELECT row, col, sum(val) AS val FROM ({_T}) t GROUP BY row, col HAVING sum(val) <> 0"
@@ -34,6 +35,12 @@ def _mean_of_neighbours(a: DataFrame) -> DataFrame:
     return pairs.agg((F.floor(F.avg(F.col("both") / (F.col("degree") + F.col("next") - F.col("both"))) * 1e7 + 0.5) / 1e7).alias("mean"))
 
 
+def _similar(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Pairs of rows with what they share. The degrees are written, so that their size is known and few are broadcast."""
+    a = written(_a(spark, sf_dir).select("row", "col"), "entries")
+    return assoc.similarity(assoc.co_occurrence(a, kept=True), written(assoc.degree(a), "degrees"), kind)
+
+
 def _put(name: str, sql: str, f) -> None:
     query(name, oracle(sql))(f)
 
@@ -56,7 +63,7 @@ _CO = f"SELECT x.row, y.row AS col, CAST(count(*) AS DOUBLE) AS val FROM ({_A})
 _put("co_occurrence", f"{_CO} HAVING count(*) >= 2", lambda s, d: assoc.co_occurrence(_a(s, d), 2))
 _DEG = f"(SELECT row AS key, count(*) AS degree FROM ({_A}) a GROUP BY row)"
 for _name, _kind, _by in (("jaccard", "jaccard", "p.degree + q.degree - o.val"), ("overlap_coefficient", "overlap", "least(p.degree, q.degree)"), ("cosine_norm", "cosine", "sqrt(CAST(p.degree AS DOUBLE) * q.degree)")):
-    _put(_name, f"SELECT o.row, o.col, o.val / ({_by}) AS val FROM ({_CO}) o JOIN {_DEG} p ON p.key = o.row JOIN {_DEG} q ON q.key = o.col", lambda s, d, k=_kind: assoc.similarity(assoc.co_occurrence(_a(s, d)), assoc.degree(_a(s, d)), k))
+    _put(_name, f"SELECT o.row, o.col, o.val / ({_by}) AS val FROM ({_CO}) o JOIN {_DEG} p ON p.key = o.row JOIN {_DEG} q ON q.key = o.col", lambda s, d, k=_kind: _similar(s, d, k))
 _put("upper_pairs", f"SELECT row, col, val FROM ({_A}) a WHERE row < col", lambda s, d: _a(s, d).where("row < col"))
 _put("threshold_prune", f"SELECT row, col, val FROM ({_A}) a WHERE val >= 30", lambda s, d: _a(s, d).where("val >= 30"))
 _put("mean_jaccard_pairs", f"SELECT floor(sum(v) / max(n) * 1e7 + 0.5) / 1e7 AS mean FROM (SELECT coalesce(o.val / (p.degree + q.degree - o.val), 0) AS v, count(*) OVER () AS n FROM {_DEG} p JOIN {_DEG} q ON q.key = p.key + 1 LEFT JOIN ({_CO}) o ON o.row = p.key AND o.col = q.key) z",
