@@ -221,3 +221,21 @@ def test_quantile_approx_is_near_the_exact_one(spark, series):
         x = np.sort(prices[r.status])
         for q, v in zip((0.25, 0.5, 0.75), r.quartiles, strict=True):
             assert abs(np.searchsorted(x, v) / len(x) - q) < 0.005
+
+
+def test_nearest_by_value_over_many_ranges(spark, monkeypatch):
+    import random
+
+    from tidemark.functions import nearest
+
+    monkeypatch.setattr(nearest, "RANGE", 12)
+    r = random.Random(6)
+    pool = [(i, float(r.choice([2, 2, 8, r.randint(0, 90), r.randint(0, 9)])), r.choice((0, 1, 2, None)), i % 7) for i in range(300)]
+    asked = [(1000 + i, float(r.randint(-5, 95)) + r.choice([0, 0.5]), r.choice((0, 1, 2, 3, None))) for i in range(150)]
+    for k in (1, 5):
+        got = nearest_by_value(spark.createDataFrame(asked, "id long, value double, kind int"), spark.createDataFrame(pool, "a_id long, a_value double, a_kind int, n long"), k, ("n",))
+        want = {}
+        for i, v, kind in asked:
+            for place, (far, _, a, n) in enumerate(sorted((abs(v - b), kind is None or kind != c, a, n) for a, b, c, n in pool)[:k]):
+                want[i, place + 1] = (a, far, n)
+        assert {(x.id, x.rank_): (x.a_id, x.far, x.n) for x in got.collect()} == want

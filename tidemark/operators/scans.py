@@ -80,12 +80,15 @@ statement("censoring_check", "SELECT a.mint, a.px AS by_last, b.px AS by_best, b
 _ANALOGS = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 86400 * 1260), c AS (SELECT call_id AS a_id, caller AS a_caller, price AS a_price, t AS a_t FROM calls WHERE t < 86400 * 1200) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price), CASE WHEN caller = a_caller THEN 0 ELSE 1 END, a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 3"
 
 
-def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """call_id, a_id, rank_: the k nearest train calls of every validation call, by the parts of temporal_partition."""
+def _nearest(spark: SparkSession, sf_dir: str, k: int, known: DataFrame | None = None) -> DataFrame:
+    """call_id, a_id, rank_: the k nearest train calls of every validation call, by the parts of temporal_partition; known: whole numbers by a_id that come along."""
     calls = run(spark, sf_dir, "SELECT call_id, caller, price, t FROM calls")
     queries = calls.where("t >= 86400 * 1260").select(F.col("call_id").alias("id"), F.col("price").alias("value"), F.col("caller").alias("kind"))
     candidates = calls.where("t < 86400 * 1200").select(F.col("call_id").alias("a_id"), F.col("price").alias("a_value"), F.col("caller").alias("a_kind"))
-    return nearest_by_value(queries, candidates, k).select(F.col("id").alias("call_id"), "a_id", "rank_")
+    if known is None:
+        return nearest_by_value(queries, candidates, k).select(F.col("id").alias("call_id"), "a_id", "rank_")
+    more = tuple(c for c in known.columns if c != "a_id")
+    return nearest_by_value(queries, candidates.join(known, "a_id", "left").fillna(0, list(more)), k, more).select(F.col("id").alias("call_id"), "a_id", "rank_", *more)
 
 
 @query("descriptive_analogs", oracle(_ANALOGS))
@@ -99,8 +102,9 @@ _MODEL = "WITH v AS (SELECT call_id, caller, price, t FROM calls WHERE t >= 8640
 @query("analog_knn_model", oracle(_MODEL))
 def analog_knn_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a validation call ends well: the share of its 20 nearest train calls that did."""
-    found = _nearest(spark, sf_dir, 20).join(run(spark, sf_dir, "SELECT o_orderkey AS a_id, o_orderstatus FROM orders"), "a_id")
-    return found.groupBy("call_id").agg(F.count("*").alias("k"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("p"))
+    ended = run(spark, sf_dir, "SELECT o_orderkey AS a_id, count(*) AS n, count_if(o_orderstatus = 'F') AS well FROM orders GROUP BY o_orderkey")
+    found = _nearest(spark, sf_dir, 20, ended).groupBy("call_id").agg(F.sum("n").alias("k"), F.sum("well").alias("well"))
+    return found.where("k > 0").select("call_id", "k", (F.col("well") / F.col("k")).alias("p"))
 
 
 _KNN = "WITH v AS (SELECT call_id, price, mint, t FROM calls WHERE call_id % 20 = 0), c AS (SELECT call_id AS a_id, price AS a_price, mint AS a_mint, t AS a_t FROM calls) SELECT call_id, a_id, rank_ FROM (SELECT call_id, a_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY abs(price - a_price) / 1000 + abs(mint - a_mint), a_id) AS BIGINT) AS rank_ FROM v JOIN c ON a_t < t) x WHERE rank_ <= 5"
