@@ -195,3 +195,23 @@ def test_absent_days_are_made_after_the_sort(spark, tmp_path):
     assert {(x.mint, x.d) for x in df.collect()} == {(1, 2), (1, 3), (1, 5), (1, 6), (1, 7), (1, 8), (None, 5), (None, 6), (None, 7), (None, 8)}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.index("Generate") < plan.index("Window")
+
+
+def test_draws_of_a_scene_whose_cut_misses_the_band(spark, tmp_path, monkeypatch):
+    registry.queries()
+    from tidemark.operators import replans
+
+    r = random.Random(9)
+    trades = [(m, r.randrange(5), s, 1, r.randrange(12), r.choice((1, -1)), r.randrange(1, 9)) for s in range(900) for m in [r.randrange(150)]]
+    at = write_calls(tmp_path, [(i, r.randrange(200), r.randrange(12), 1.0) for i in range(300)])
+    write_trades(tmp_path, trades)
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()["selection_score"]).fetchall()
+    # In a band of no width nearly every cut misses, and all draws of those scenes are sorted.
+    for band in (replans.SCORE_BAND, 0.0):
+        monkeypatch.setattr(replans, "SCORE_BAND", band)
+        assert [tuple(x) for x in rows(spark, "selection_score", at)] == want
