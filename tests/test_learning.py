@@ -234,3 +234,44 @@ def test_replay_over_slots_without_readings_equals_a_plain_one():
 def test_replay_query_fills_and_refuses(spark):
     rows = registry.queries()["event_replay"](spark, DATA).collect()
     assert sum(x.fills for x in rows) > 50 and sum(x.too_large for x in rows) > 0 and all(x.cash == 5_000_000 + x.received - x.spent for x in rows)
+
+
+def test_many_desks_at_once_equal_each_alone():
+    from tidemark.functions.bandits import Desk, Desks
+
+    r = np.random.default_rng(11)
+    series = []
+    for key, n in ((7, 1), (3, 60), (9, 25), (4, 60), (12, 140)):
+        x = pd.DataFrame(r.normal(size=(n, 2)), columns=["a", "b"])
+        x["t"] = np.sort(r.integers(0, n, n)).astype(float)
+        for k in range(3):
+            x[f"reward{k}"], x[f"delay{k}"] = r.normal(size=n) + k * x["a"], r.integers(0, 12, n).astype(float)
+        series.append((key, x))
+    want = {}
+    for key, x in series:
+        desk = Desk(key, 3, ["a", "b"])
+        desk.feed(x)
+        want |= {(key, p): (n, u, pytest.approx(g), pytest.approx(a)) for _, p, n, u, g, a in desk.end()}
+    assert {(key, p): x for key, p, *x in map(list, Desks(3, ["a", "b"]).results(series))} == {k: list(v) for k, v in want.items()}
+
+
+def test_a_series_longer_than_what_is_taken_together(spark, monkeypatch):
+    from tidemark.functions import folds
+
+    class Sum:
+        def __init__(self, key):
+            self._key, self._n = key, 0
+
+        def feed(self, rows):
+            self._n += len(rows)
+            return []
+
+        def end(self):
+            return [(self._key, self._n, "alone")]
+
+    df = spark.createDataFrame([(k, i) for k, n in ((1, 5), (2, 70), (3, 30), (4, 31), (5, 2)) for i in range(n)], "k long, i long")
+    monkeypatch.setattr(folds, "TOGETHER", 30)
+    parts = folds.batches_of_keys(iter([df.toPandas().sort_values(["k", "i"])]), "k")
+    assert [k for k, p in parts if p is None] == [1, 2, 3, 4, 5]
+    got = folds.folded_together(df, "k", ["i"], Sum, lambda s: [(k, len(x), "together") for k, x in s], "k long, n long, how string").collect()
+    assert {(x.k, x.n, x.how) for x in got} == {(1, 5, "together"), (2, 70, "alone"), (3, 30, "together"), (4, 31, "alone"), (5, 2, "together")}

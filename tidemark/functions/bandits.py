@@ -95,3 +95,80 @@ class Desk:
 
     def end(self) -> list[tuple]:
         return [(self._key, b.policy, b.rounds, b.updates, b.gained, float(self._alone.max())) for b in self._bandits]
+
+
+def _many_uniforms(names: list[str], n: int) -> np.ndarray:
+    """uniforms of each name, one row a name."""
+    out = b"".join(hashlib.sha256(f"{name}:{i}".encode()).digest() for name in names for i in range(-(-n // 8)))
+    return (np.frombuffer(out, "<u4").reshape(len(names), -1)[:, :n].astype(float) + 0.5) / 4294967296.0
+
+
+class Desks:
+    """What Desk makes of many whole series, round by round for all of them at once."""
+
+    def __init__(self, arms: int, context: list[str], now: str = "t", ridge: float = 1.0, epsilon: float = 0.1, alpha: float = 0.5, scale: float = 0.1):
+        self._arms, self._context, self._now, self._ridge = arms, context, now, ridge
+        self._epsilon, self._alpha, self._scale = epsilon, alpha, scale
+
+    def results(self, series: list[tuple]) -> list[tuple]:
+        """Rows of the result from (key, rows) of each series."""
+        series = sorted(series, key=lambda s: -len(s[1]))  # those that still go on are the first ones
+        arms, width, keys = self._arms, len(self._context), [k for k, _ in series]
+        sizes = np.array([len(x) for _, x in series])
+        start, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(series)), sizes)
+        number = np.arange(len(owner)) - start[owner]
+        column = lambda c: np.concatenate([x[c].to_numpy(float) for _, x in series])
+        x, t = np.stack([column(c) for c in self._context], 1), column(self._now)
+        rewards, delays = (np.stack([column(f"{c}{k}") for k in range(arms)], 1) for c in ("reward", "delay"))
+
+        # Every reward that could be earned, by the round that would learn it and the order there.
+        ready = t[:, None] + delays
+        known = np.stack([np.concatenate([np.searchsorted(t[a : a + n], ready[a : a + n, k]) for a, n in zip(start.tolist(), sizes.tolist(), strict=True)]) for k in range(arms)], 1)
+        known = np.maximum(known, number[:, None] + 1)
+        row, arm = np.nonzero(known < sizes[owner][:, None])
+        order = np.lexsort((row, ready[row, arm], owner[row], known[row, arm]))
+        row, arm = row[order], arm[order]
+        edges = np.searchsorted(known[row, arm], np.arange(sizes[0] + 1))
+
+        line = [(keys[o], n) for o, n in zip(owner.tolist(), number.tolist(), strict=True)]
+        explore = _many_uniforms([f"epsilon:{k}:{n}" for k, n in line], 2)
+        u = _many_uniforms([f"thompson:{k}:{n}" for k, n in line], 2 * arms)
+        drawn = np.sqrt(-2 * np.log(u[:, :arms])) * np.cos(2 * math.pi * u[:, arms:])
+
+        lines = len(POLICIES) * len(keys)
+        inverse = np.tile(np.eye(width) / self._ridge, (lines, arms, 1, 1))
+        total, weights = np.zeros((lines, arms, width)), np.zeros((lines, arms, width))
+        chosen = np.zeros((len(POLICIES), len(owner)), np.int64)
+        gained, updates = np.zeros((len(POLICIES), len(keys))), np.zeros((len(POLICIES), len(keys)), np.int64)
+        for r in range(sizes[0]):
+            some = slice(edges[r], edges[r + 1])
+            policy, at = np.nonzero(chosen[:, row[some]] == arm[some])
+            if len(at):
+                self._learn(policy * len(keys) + owner[row[some]][at], arm[some][at], x[row[some]][at], rewards[row[some], arm[some]][at], inverse, total, weights)
+                np.add.at(updates, (policy, owner[row[some]][at]), 1)
+            here = int(np.searchsorted(-sizes, -r))  # series with more than r rounds
+            now = start[:here] + r
+            seen = x[now]
+            shape = (len(POLICIES), len(keys), arms)
+            mean = (weights.reshape(*shape, width)[:, :here] * seen[None, :, None]).sum(-1)
+            by = inverse.reshape(*shape, width, width)[1:, :here]
+            spread = np.sqrt(np.maximum(((by * seen[None, :, None, None]).sum(-1) * seen[None, :, None]).sum(-1), 0.0))
+            first = np.where(explore[now, 0] < self._epsilon, (explore[now, 1] * arms).astype(np.int64), mean[0].argmax(1))
+            chosen[:, now] = [first, (mean[1] + self._alpha * spread[0]).argmax(1), (mean[2] + self._scale * spread[1] * drawn[now]).argmax(1)]
+            gained[:, :here] += rewards[now[None], chosen[:, now]]
+        alone = np.add.reduceat(rewards, start).max(1)
+        return [(k, p, int(sizes[o]), int(updates[i, o]), float(gained[i, o]), float(alone[o])) for o, k in enumerate(keys) for i, p in enumerate(POLICIES)]
+
+    @staticmethod
+    def _learn(line: np.ndarray, arm: np.ndarray, x: np.ndarray, reward: np.ndarray, inverse: np.ndarray, total: np.ndarray, weights: np.ndarray) -> None:
+        """Rank-one updates as in LinearArms: the first of every line, then the second, and so on."""
+        turn = np.arange(len(line)) - np.searchsorted(line, line)
+        for j in range(int(turn.max()) + 1):
+            s = turn == j
+            at, then = (line[s], arm[s]), x[s]
+            before = inverse[at]
+            v = (before * then[:, None]).sum(-1)
+            before -= v[:, :, None] * v[:, None] / (1.0 + (then * v).sum(-1))[:, None, None]
+            inverse[at] = before
+            total[at] += reward[s][:, None] * then
+            weights[at] = (before * total[at][:, None]).sum(-1)

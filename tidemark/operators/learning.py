@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions import hawkes
-from tidemark.functions.bandits import Desk
-from tidemark.functions.folds import folded
+from tidemark.functions.bandits import Desk, Desks
+from tidemark.functions.folds import folded, folded_together
 from tidemark.functions.pool import DipPolicy, Replay
 from tidemark.operators.registry import query
 from tidemark.operators.sql import run
@@ -25,7 +25,7 @@ FROM (SELECT *, {_LEADS} FROM trades WINDOW w AS (PARTITION BY mint ORDER BY t,
 def contextual_bandit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each owner's desk three policies (epsilon-greedy, upper bounds, drawn weights) over when to sell what it traded; a reward teaches once the exit has happened. Rounds, rewards learned by the end, the sum of rewards, and that of the best single exit."""
     rows = run(spark, sf_dir, _ROUNDS)
-    return folded(rows, "owner", ["t", "slot", "txi"], lambda key: Desk(key, len(EXITS), CONTEXT), "owner long, policy string, rounds long, updates long, reward double, best_alone double")
+    return folded_together(rows, "owner", ["t", "slot", "txi"], lambda key: Desk(key, len(EXITS), CONTEXT), Desks(len(EXITS), CONTEXT).results, "owner long, policy string, rounds long, updates long, reward double, best_alone double")
 
 
 @query("hawkes_bivariate")
