@@ -188,3 +188,16 @@ def test_alerts_of_a_stream_do_not_depend_on_how_it_is_cut(spark):
     pages = spark.createDataFrame(rows, "feed string, poll long, mint long, v5 long").withColumn("at", instant("poll"))
     cuts = [{tuple(x) for x in replayed(pages, "poll", lambda x: mover_alerts(x, Movers(**RULES)), "cut", n).collect()} for n in (1, 5)]
     assert cuts[0] == cuts[1] and cuts[0]
+
+
+def test_only_launches_that_share_a_key_in_time_reach_the_stream(spark):
+    from tidemark.operators import registry
+
+    registry.queries()
+    from tidemark.operators import machines
+
+    launches = [(1, 10, "abcd", "t1"), (2, 11, "abcd", "t2"), (3, 12, "abce", "t3"), (4, 40, "abcd", "t1"), (5, 90, "zzzz", "t9"), (6, 92, "yyyy", "t9"), (7, 95, "xxxx", "t9")]
+    spark.createDataFrame([(m, d, n, t, "x", "1") for m, d, n, t in launches], "mint long, d long, name string, p_brand string, p_type string, p_size string").createOrReplaceTempView("swarm_launches")
+    got = sorted((x.kind, x.mint, x.name, x.d) for x in spark.sql(machines._KEYED).collect())
+    # abcd and abce share one variant, abc; 4 and 7 come too late for any other.
+    assert got == [("name", 1, "abcd", 10), ("name", 2, "abcd", 11), ("near", 1, "abcd", 10), ("near", 2, "abcd", 11), ("near", 3, "abce", 12), ("type", 5, "zzzz", 90), ("type", 6, "yyyy", 92)]
